@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import line_quality, packing, site_lines
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,10 +20,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and verdict for every document."""
+    judged = line_quality.clean_lines(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that its source repeats."""
+    return site_lines.drop_site_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-for _query in (op8_best_fit_packing,):
+for _query in (op3_line_first_quality, op7_site_relative_lines, op8_best_fit_packing):
     QUERIES[_query.__name__] = _query
+
+ORACLES["op3_line_first_quality"] = line_quality.ORACLE
+ORACLES["op7_site_relative_lines"] = site_lines.ORACLE
