@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality, packing, site_lines
+from . import line_quality, near_dup, packing, site_lines
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def op3_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies over all documents."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that its source repeats."""
     return site_lines.drop_site_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
@@ -36,7 +41,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-for _query in (op3_line_first_quality, op7_site_relative_lines, op8_best_fit_packing):
+for _query in (op3_line_first_quality, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op3_line_first_quality"] = line_quality.ORACLE
