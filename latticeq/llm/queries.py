@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_quality, near_dup, packing, site_lines
+from . import decontam, line_quality, near_dup, packing, site_lines
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-for _query in (op3_line_first_quality, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing):
+def op10_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return decontam.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+for _query in (op3_line_first_quality, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op10_bm25_wand_decontamination):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op3_line_first_quality"] = line_quality.ORACLE
