@@ -1,6 +1,7 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with every passage by block-max WAND.
 
-The impact of a term on an item is its BM25 weight divided by the item's score for its own text, so a score is the part of an item that a
+The terms are pairs of neighbouring words: single words of common prose meet in too many items for any bound on scores to tell passages
+apart. The impact of a term on an item is its BM25 weight divided by the item's score for its own text, so a score is the part of an item that a
 passage holds, weighed by rarity, and one threshold serves all items. A passage is two blocks of words as long as the longest item, and
 passages advance by one block, so every item-sized span lies whole in some passage. Passages whose terms' greatest impacts cannot reach
 the threshold, which are nearly all, are passed over by vector operations; the rest run the search, and what it retrieves is verified by
@@ -13,7 +14,7 @@ import math
 import string
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,11 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_TABLE).split()
 
 
+def pairs(words: list[bytes]) -> list[bytes]:
+    """The index's terms: neighbouring words, joined by a blank."""
+    return [a + b" " + b for a, b in zip(words, words[1:], strict=False)]
+
+
 def _runs(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
     size = min(size, len(words))
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
@@ -48,6 +54,7 @@ class Item:
 
     def __init__(self, item_id: int, text: str | None) -> None:
         self.item_id, self.words = item_id, terms(text)
+        self.terms = pairs(self.words)
         lines = (text or "").split("\n")
         marked = [k for k, line in enumerate(lines) if line.lstrip().lower().startswith(("answer:", "a:"))]
         n = len(terms("\n".join(lines[: marked[-1]]))) if marked else len(self.words) - max(3, len(self.words) // 4)
@@ -68,17 +75,21 @@ class Index:
     """Postings by term: item numbers in order, impacts, and the greatest impact of each block of postings."""
 
     def __init__(self, items: list[Item], df: dict[bytes, int], n: int, average: float, longest: int) -> None:
-        self.items = [item for item in items if item.words]
+        self.items = [item for item in items if item.terms]
         self.block = max(16, longest)
         weights: dict[bytes, list[tuple[int, float]]] = {}
         for number, item in enumerate(self.items):
-            counts = Counter(item.words)
-            norm = K1 * (1 - B + B * len(item.words) / average)
+            counts = Counter(item.terms)
+            norm = K1 * (1 - B + B * len(item.terms) / average)
             raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in counts.items()}
             total = math.fsum(raw.values())
             for t, w in raw.items():
                 weights.setdefault(t, []).append((number, w / total))
         self.number = {t: k for k, t in enumerate(weights)}
+        self.word = {w: k for k, w in enumerate(sorted({w for t in weights for w in t.split(b" ")}))}
+        codes = np.array([self.word[a] * len(self.word) + self.word[b] for a, b in (t.split(b" ") for t in weights)], np.int64)
+        self._order = np.argsort(codes)
+        self._codes = codes[self._order]
         self.postings = [([i for i, _ in p], [w for _, w in p], [max(w for _, w in p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)]) for p in weights.values()]
         self.most = np.array([max(blocks) for _, _, blocks in self.postings], np.float64)
 
@@ -135,26 +146,29 @@ class Index:
 
     def leaks(self, texts: list[str | None], threshold: float = THRESHOLD) -> Iterator[list[tuple[int, int, float, float, float]]]:
         """For each text, the verified (item id, passage's first word, score, question and answer overlap), best passage of each item."""
-        get = self.number.get
+        get = self.word.get
         split = [terms(text) for text in texts]
         lengths = np.array([len(words) for words in split])
-        numbers = np.fromiter((x for words in split for x in map(get, words, repeat(-1))), np.int64, lengths.sum())
+        known = np.fromiter(chain.from_iterable(map(get, words, repeat(-1)) for words in split), np.int64, lengths.sum())
         n_blocks = -(-lengths // self.block) + 1  # one more stays empty, so passages of two texts never touch
         first_word, first_block = np.cumsum(lengths) - lengths, np.cumsum(n_blocks) - n_blocks
         doc = np.repeat(np.arange(len(split)), lengths)
-        block = first_block[doc] + (np.arange(len(numbers)) - first_word[doc]) // self.block
-        hit = numbers >= 0
-        width = max(1, len(self.most))
-        pairs = np.unique(block[hit] * width + numbers[hit])
-        sums = np.bincount(pairs // width, self.most[pairs % width], minlength=int(n_blocks.sum()) + 1)
+        block = first_block[doc] + (np.arange(len(known)) - first_word[doc]) // self.block
+        at = np.flatnonzero((known[:-1] >= 0) & (known[1:] >= 0) & (doc[:-1] == doc[1:]))  # where a pair of words starts
+        codes = known[at] * len(self.word) + known[at + 1]
+        place = np.minimum(np.searchsorted(self._codes, codes), len(self._codes) - 1)
+        hit = self._codes[place] == codes
+        width = len(self.most)
+        hits = np.unique(block[at[hit]] * width + self._order[place[hit]])
+        sums = np.bincount(hits // width, self.most[hits % width], minlength=int(n_blocks.sum()) + 1)
         promising = np.flatnonzero(sums[:-1] + sums[1:] >= threshold - 1e-9)
         where = np.searchsorted(first_block, promising, "right") - 1
         out: list[dict[int, tuple]] = [{} for _ in split]
         for at, k in zip(promising.tolist(), where.tolist(), strict=True):
-            low, high = np.searchsorted(pairs, [at * width, (at + 2) * width])
+            low, high = np.searchsorted(hits, [at * width, (at + 2) * width])
             start = (at - int(first_block[k])) * self.block
             passage = None
-            for number, score in self.search(sorted({int(x) for x in pairs[low:high] % width}), threshold):
+            for number, score in self.search(sorted({int(x) for x in hits[low:high] % width}), threshold):
                 if passage is None:
                     passage = split[k][start : start + 2 * self.block]
                 question, answer = self.items[number].overlap(passage)
@@ -171,28 +185,31 @@ def indexes(items: DataFrame, chars: int = INDEX_CHARS) -> Iterator[Index]:
     shards = -(-total // chars) or 1
     if shards == 1:
         own = [Item(row["item_id"], row["text"]) for row in source.collect()]  # at most `chars` characters
-        yield from _index(own, Counter(t for item in own for t in set(item.words)), [len(item.words) for item in own if item.words])
+        yield from _index(own, Counter(t for item in own for t in set(item.terms)), own)
         return
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = [terms(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in split], pa.int64()), pa.array([sorted(set(x)) for x in split], pa.list_(pa.binary()))], ["item_id", "n", "terms"])
+            own = [sorted(set(pairs(words))) for words in split]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in split], pa.int64()), pa.array(own, pa.list_(pa.binary()))], ["item_id", "n", "terms"])
 
     split = source.mapInArrow(words, "item_id bigint, n bigint, terms array<binary>")
-    n, average, longest = split.where("n > 0").agg(F.count("n"), F.avg("n"), F.max("n")).first()
+    n, average, longest = split.where("n > 1").agg(F.count("n"), F.avg(F.col("n") - 1), F.max("n")).first()
     frequencies = split.select("item_id", F.explode("terms").alias("term")).groupBy("term").count()
     for shard in range(shards):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard
         own = [Item(row["item_id"], row["text"]) for row in source.where(mine).collect()]
         needed = split.where(mine).select(F.explode("terms").alias("term")).distinct()
         df = {bytes(row["term"]): row["count"] for row in frequencies.join(needed, "term", "left_semi").collect()}
-        yield from _index(own, df, [], n, average, longest)
+        yield from _index(own, df, own, n, average, longest)
 
 
-def _index(items: list[Item], df: dict[bytes, int], lengths: list[int], n: int = 0, average: float = 0.0, longest: int = 0) -> Iterator[Index]:
-    if any(item.words for item in items):
-        yield Index(items, df, n or len(lengths), average or sum(lengths) / len(lengths), longest or max(lengths))
+def _index(items: list[Item], df: dict[bytes, int], every: list[Item], n: int = 0, average: float = 0.0, longest: int = 0) -> Iterator[Index]:
+    """Statistics are those given, or else those of every."""
+    lengths = [len(item.terms) for item in every if item.terms]
+    if any(item.terms for item in items):
+        yield Index(items, df, n or len(lengths), average or sum(lengths) / len(lengths), longest or max(lengths) + 1)
 
 
 def _slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -206,7 +223,7 @@ LEAKS = "doc_id bigint, item_id bigint, start_word bigint, score double, questio
 def benchmark_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each item (item_id, text) that a document (doc_id, text) holds, with its best passage: LEAKS.
 
-    Every passage of every text is searched. Null and empty texts hold nothing, nor do items without words; repeated documents give their
+    Every passage of every text is searched. Null and empty texts hold nothing, nor is an item of fewer than two words found; repeated documents give their
     rows each; a null doc_id stays null; empty tables give an empty table; other columns are left out.
     """
     spark = docs.sparkSession

@@ -9,10 +9,10 @@ def words(rng, n, k=300):
 
 def test_search_equals_brute_force():
     rng = random.Random(2)
-    items = [decontam.Item(i, words(rng, rng.randrange(4, 40))) for i in range(400)]
-    index = next(decontam._index(items, decontam.Counter(t for x in items for t in set(x.words)), [len(x.words) for x in items]))
+    items = [decontam.Item(i, words(rng, rng.randrange(4, 40), 25)) for i in range(400)]
+    index = next(decontam._index(items, decontam.Counter(t for x in items for t in set(x.terms)), items))
     for _ in range(60):
-        query = sorted({index.number[t] for t in decontam.terms(words(rng, 60)) if t in index.number})
+        query = sorted({index.number[t] for t in decontam.pairs(decontam.terms(words(rng, 90, 25))) if t in index.number})
         scores = {}
         for t in query:
             for i, w in zip(*index.postings[t][:2]):
