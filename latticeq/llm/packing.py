@@ -10,7 +10,7 @@ with offsets from counts, so that one common length is not one task.
 from __future__ import annotations
 
 import os
-import string
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -25,19 +25,22 @@ from .common import shuffle_width, stored
 CAPACITY = 2048
 END_ID = 0
 #: Words kept by a worker's cache of token ids; beyond that it starts anew. Bounds memory, not results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class WordTokenizer:
-    """Token ids of whole texts, as little-endian unsigned 32-bit, from a cache of the ids of white-space separated words.
+    """Token ids of whole texts, as little-endian unsigned 32-bit, from a cache of the ids of lower-case words.
 
     Exact for tokenizers that drop white space, lower-case letter by letter and split runs of letters from other characters, which
-    word_bpe_49k does; texts with an added token, or with characters that Python splits or lower-cases otherwise, are encoded whole.
+    word_bpe_49k does: a blank between a letter or digit and a mark changes nothing there, so marks are set apart first. Texts with an
+    added token, or with characters that Python splits or lower-cases otherwise, are encoded whole.
     """
 
-    _TAIL = string.punctuation
+    #: A full stop or comma after something else than a letter, a digit or white space may belong to a longer token.
+    _RUN = re.compile("[^a-z0-9\\sÀ-ÖØ-öø-ɏ][.,]")
+    _MARK = re.compile(r"(?<=[^\W\d_])(?=[^\w\s])")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,45 +52,41 @@ class WordTokenizer:
         self._ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
         self._whole = ["\x1c", "\x1d", "\x1e", "\x1f", "Σ", "İ", *(token.content for token in self._tokenizer.get_added_tokens_decoder().values())]
         self._words: dict[str, bytes] = {}
-        self._stems: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _split(self, text: str) -> list[str] | None:
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        if any(x in text for x in self._whole):
+            return None
+        text = text.lower()
+        if self._RUN.search(text):
+            return self._MARK.sub(" ", text).split()
+        return text.replace(".", " .").replace(",", " ,").split()
+
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            split.append(None if any(x in text for x in self._whole) else text.split())
+        split = [self._split(text) for text in texts]
         if len(self._words) > CACHE_WORDS:
             self._words.clear()
-        if len(self._stems) > CACHE_WORDS:
-            self._stems = {"": b""}
-        self._learn(list(set().union(*(words for words in split if words)) - self._words.keys()))
+        known = self._words
+        self._learn({word for words in split if words for word in words if word not in known})
         for text, words in zip(texts, split, strict=True):
-            yield self.whole(text) if words is None else b"".join(map(self._words.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
-        lower = [word.lower() for word in words]
-        stems = [word.rstrip(self._TAIL) for word in lower]
-        for k, stem in enumerate(stems):  # a tail is a token of its own only after a letter
-            if stem and not stem[-1].isalpha():
-                stems[k] = lower[k]
-        tails = [word[len(stem) :] for word, stem in zip(lower, stems, strict=True)]
-        need = set(stems).union(tails) - self._stems.keys()
-        letters = [stem for stem in need if stem.isalpha()]
+            yield self.whole(text) if words is None else b"".join(map(known.__getitem__, words))
+
+    def _learn(self, words: set[str]) -> None:
+        letters = [word for word in words if word.isalpha()]
         for i in range(0, len(letters), 4000):  # each run of letters is one pre-token, so it ends where a word-end token stands
             part = letters[i : i + 4000]
             ids = np.array(self._tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = ((np.flatnonzero(self._ends[ids]) + 1) * 4).tolist()
             if len(ends) != len(part):
-                self._stems.update((stem, self.whole(stem)) for stem in part)
+                self._words.update((word, self.whole(word)) for word in part)
                 continue
             data = ids.tobytes()
-            self._stems.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        self._stems.update((stem, self.whole(stem)) for stem in need.difference(letters))
-        self._words.update((word, self._stems[stem] + self._stems[tail]) for word, stem, tail in zip(words, stems, tails, strict=True))
+            self._words.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        self._words.update((word, self.whole(word)) for word in words.difference(letters))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
