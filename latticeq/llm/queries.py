@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, line_quality, near_dup, packing, site_lines
-from .common import table
+from . import decontam, line_quality, near_dup, packing, site_lines, toxicity
+from .common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +21,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document; fold 2 of 4 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and verdict for every document."""
     judged = line_quality.clean_lines(table(spark, sf_dir, "documents"))
@@ -46,7 +55,7 @@ def op10_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-for _query in (op3_line_first_quality, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op10_bm25_wand_decontamination):
+for _query in (op1_compression_toxicity, op3_line_first_quality, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op10_bm25_wand_decontamination):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op3_line_first_quality"] = line_quality.ORACLE
