@@ -1,9 +1,10 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full shingle sets, union-find.
 
-Nothing grows on the driver and no bucket is paired with itself as a whole. Documents with one shingle set are one class from the start.
-Each class meets one centre (a member of a bucket that it shares most bands with); verified links are united. Buckets whose members are
-not all in one component meet a new centre, round after round, until the pairs left between components are no more than the members; these
-are then all verified, so every candidate pair is either verified or already connected.
+Nothing grows on the driver and no bucket emits its pairs. Documents with one shingle set are one class from the start. Each class first
+meets the two centres, out of three in each of its buckets, that it shares most buckets with; verified links are united. Buckets that
+still hold several components are then worked through in blocks of bounded size: a task gets two blocks of a bucket with their sets, and
+compares what lies in different components, each pair in its first common bucket only. So every candidate pair is either verified or
+already connected, while the rows that move grow with the members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHasher, chunks, mixed, shingle_hashes, stored
+from .common import GOLDEN, WordHasher, chunks, mixed, shingle_hashes, shuffle_width, stored
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: 32 bands of 4: a pair at similarity 0.75 is missed with probability 5e-6, at 0.8 with 5e-8.
 BANDS, ROWS = 32, 4
-ROUNDS = 8
+#: Members of a bucket in one block, and bytes of their sets, on average.
+BLOCK, BLOCK_BYTES = 512, 8_000_000
+#: Least number of equal values, of 128, at which a pair in a block is verified: at similarity 0.75 fewer have a probability of 5e-6.
+LEAST_EQUAL = 75
 
 
 def super_min_hash(elements: np.ndarray, m: int) -> np.ndarray:
@@ -91,21 +95,24 @@ def _shingler(size: int) -> Shingler:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, and the keys of the bands; digest and keys are null for an empty set."""
+    """doc_id, n_shingles, digest of the shingle set, keys of the bands, and a byte of each value; the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _shingler(size)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
-                ids, counts, digests, keys = batch.column(0).slice(low, 512), [], [], []
+                ids, counts, digests, keys, sketches = batch.column(0).slice(low, 512), [], [], [], []
                 for own in shingler.sets(batch.column(1).slice(low, 512).to_pylist()):
                     counts.append(len(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    keys.append(band_keys(super_min_hash(own, bands * rows), bands, rows) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
+                    signature = super_min_hash(own, bands * rows)
+                    keys.append(band_keys(signature, bands, rows) if len(own) else None)
+                    sketches.append(mixed(signature).astype(np.uint8).tobytes() if len(own) else None)
+                arrays = [ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -126,15 +133,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, b = [], None, None
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one = np.frombuffer(x.as_buffer(), np.uint64)
-                if last is None or not last.equals(y):
-                    last, b = y, np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([one, b])
-                both.sort(kind="stable")  # merges two sorted runs
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     own = sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
@@ -181,50 +181,110 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: a node moves from each lesser neighbour to that one's least neighbour
         least = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        large = edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         # small star: a node and its lesser neighbours move to the least of these
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         stars = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(low, "a").select(F.explode(stars).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = stored(small)
-        open_ = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count() or edges.groupBy("a").count().where("count > 1").limit(1).count()
-        if not open_:
+        nodes = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        unsettled = nodes.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).where("ups > 1 or (ups > 0 and root = 0)")
+        if not unsettled.limit(1).count():
             roots = edges.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _block_links(members: DataFrame, percent: int, least_equal: int = LEAST_EQUAL) -> DataFrame:
+    """Links between different parts, as (a, b) of parts. members: key, low, high, block, part, n, keys, sketch, own; sorted by key, low, high.
+
+    Each task's rows come group by group; a group holds the blocks low and high of a bucket.
+    """
+
+    def links(group: list[dict]) -> Iterator[tuple[int, int]]:
+        key, low, high = (group[0][x] for x in ("key", "low", "high"))
+        part, n, block = (np.array([x[name] for x in group]) for name in ("part", "n", "block"))
+        if part.min() == part.max():
+            return
+        keys = np.array([x["keys"] for x in group], np.int64)
+        sketches = np.frombuffer(b"".join(x["sketch"] for x in group), np.uint8).reshape(len(group), -1)
+        joined: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for i in range(len(group)):
+            ok = (part[:i] != part[i]) & (100 * n[:i] >= percent * n[i]) & (100 * n[i] >= percent * n[:i])
+            if low != high:
+                ok &= block[:i] != block[i]
+            at = np.flatnonzero(ok)
+            at = at[(sketches[at] == sketches[i]).sum(1) >= least_equal]
+            if not len(at):
+                continue
+            equal = keys[at] == keys[i]
+            at = at[keys[i][equal.argmax(1)] == key]
+            one = np.frombuffer(group[i]["own"], np.uint64)
+            for j in at.tolist():
+                p, q = find(int(part[i])), find(int(part[j]))
+                if p != q and _similar(one, np.frombuffer(group[j]["own"], np.uint64), percent):
+                    joined[max(p, q)] = min(p, q)
+                    yield max(p, q), min(p, q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = [], None
+
+        def result() -> pa.RecordBatch:
+            found = list(links(group)) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                for row in batch.slice(at, BLOCK).to_pylist():
+                    own = (row["key"], row["low"], row["high"])
+                    if own != last:
+                        yield result()
+                        group, last = [], own
+                    group.append(row)
+        yield result()
+
+    return members.mapInArrow(run, "a bigint, b bigint")
+
+
+def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([one, other])
+    both.sort(kind="stable")  # merges two sorted runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """id and component of every class (id, n, keys) that is linked with another one. docs: (id, text) of the classes at least."""
+    """id and component of every class (id, n, keys, sketch) that is linked with another one. docs: (id, text) of the classes at least."""
     rows = classes.select("id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     members = stored(rows.join(shared, "key", "left_semi"))
     ids = members.select("id").distinct()
     sets = stored(shingle_sets(docs.join(ids.hint("shuffle_hash"), "id", "left_semi"), size))
     near = (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)
-    # the first centre: the one that a class shares most buckets with
-    centres = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.n").alias("nb"))
-    tries = members.join(centres, "key").where((F.col("id") != F.col("b")) & near).groupBy("id", "b").count()
-    pairs = tries.groupBy(F.col("id").alias("a")).agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-    links = stored(verified(pairs, sets, percent))
-    for turn in range(1, ROUNDS + 1):
-        known = components(links)
-        placed = members.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
-        mixed_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-        members = stored(placed.join(mixed_keys, "key", "left_semi"))
-        counts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("k"))
-        left = counts.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same")).agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not left["rows"]:
-            return known
-        if left["pairs"] <= 4 * left["rows"] or turn == ROUNDS:
-            break
-        centres = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "part"), F.xxhash64("id", F.lit(turn))).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.part").alias("pb"))
-        pairs = members.join(centres, "key").where((F.col("part") != F.col("pb")) & near).select(F.col("id").alias("a"), "b").distinct()
-        links = stored(links.unionByName(verified(pairs, sets, percent)))
-        members = members.drop("part")
-    # what is left between components, each pair once
-    other = members.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    pairs = members.join(other, "key").where((F.col("part") < F.col("pb")) & near).select(F.col("id").alias("a"), "b").distinct()
-    return components(links.unionByName(verified(pairs, sets, percent)))
+    pair = F.struct(F.col("id").alias("b"), F.col("n").alias("nb"))
+    centres = members.groupBy("key").agg(F.min(pair).alias("c0"), *(F.min_by(pair, F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in (1, 2)))
+    centres = centres.select("key", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c")).select("key", "c.*")
+    tries = members.join(centres, "key").where((F.col("id") != F.col("b")) & near).groupBy("id", "b").agg(F.count(F.lit(1)).alias("k"))
+    best = tries.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False).alias("c"))  # three for each band at most
+    pairs = best.select(F.col("id").alias("a"), F.explode(F.slice("c", 1, 2)).alias("c")).select("a", "c.b")
+    known = stored(components(verified(pairs, sets, percent)))
+    placed = members.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    counts = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks")).where("p < q").select("key", "blocks")
+    blocks = placed.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    blocks = blocks.withColumn("other", other).select("key", "id", "n", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    full = blocks.join(sets, "id").join(classes.select("id", "keys", "sketch"), "id")
+    grouped = full.repartition(shuffle_width(docs.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    links = stored(_block_links(grouped, percent))
+    top = components(links)
+    renamed = top.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    moved = known.join(renamed, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return moved.unionByName(top.join(known, "id", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -236,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """
     signed = stored(signatures(docs, size, bands, rows))
     own = signed.where("digest is not null and doc_id is not null")
-    classes = stored(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("keys", "doc_id").alias("keys")))
+    classes = stored(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch")))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     wanted = classes.select("id", "digest")
     component = linked_classes(texts, classes, percent, size)
