@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_quality, near_dup, packing, site_lines, toxicity
+from . import decontam, line_quality, near_dup, packing, page_diff, site_lines, toxicity, url_model
 from .common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,19 @@ def op3_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_diff.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+URL_RULES = [url_model.Rule.of(*x) for x in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+def op5_character_ratio_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url."""
+    return url_model.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_superminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies over all documents."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -55,7 +68,7 @@ def op10_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-for _query in (op1_compression_toxicity, op3_line_first_quality, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op10_bm25_wand_decontamination):
+for _query in (op1_compression_toxicity, op3_line_first_quality, op4_page_differencing, op5_character_ratio_urls, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op10_bm25_wand_decontamination):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op3_line_first_quality"] = line_quality.ORACLE
