@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_quality, near_dup, packing, page_diff, site_lines, toxicity, url_model
+from . import class_ngram, decontam, license_scan, line_quality, near_dup, packing, page_diff, site_lines, toxicity, url_model
 from .common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,13 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_brown_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and base scores of every document; fold 1 of 5 is held out."""
+    trained = class_ngram.in_training()
+    scored = class_ngram.score_texts(table(spark, sf_dir, "documents"), trained)
+    return scored.withColumn("held_out", ~trained)
+
+
 def op3_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and verdict for every document."""
     judged = line_quality.clean_lines(table(spark, sf_dir, "documents"))
@@ -63,12 +70,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices in all documents."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold."""
     return decontam.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-for _query in (op1_compression_toxicity, op3_line_first_quality, op4_page_differencing, op5_character_ratio_urls, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op10_bm25_wand_decontamination):
+for _query in (op1_compression_toxicity, op2_brown_class_bigrams, op3_line_first_quality, op4_page_differencing, op5_character_ratio_urls, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op9_patience_licenses, op10_bm25_wand_decontamination):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op3_line_first_quality"] = line_quality.ORACLE
