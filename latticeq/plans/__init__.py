@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ()
+FAMILIES = ("tables",)
 
 
 def load() -> None:
