@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("tables",)
+FAMILIES = ("tables", "reports")
 
 
 def load() -> None:
