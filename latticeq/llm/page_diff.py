@@ -134,48 +134,51 @@ def kept_blocks(roles: list[int], sizes: list[int], partners: list[tuple[list[in
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html); blocks are joined by an empty line.
 
-    A null or empty html gives an empty text, a null url the host '' and path ''. Pages of one path are ordered by page_id; repeated rows
-    are pages of their own. An empty table gives an empty table; other columns are left out. The order is a range sort of all pages with
-    ranks from partition counts, so a large host is spread over many tasks.
+    A null or empty html gives an empty text, a null url the host '' and path ''. Pages of one path are ordered by page_id; equal rows are
+    one page with one result. An empty table gives an empty table; other columns are left out. Only hashes of lines are sorted and
+    ranked, by a range sort and partition counts, so that a large host is spread over many tasks; texts move once, to meet the verdict.
     """
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    host = F.lower(F.regexp_extract("url", r"(?s)://([^/?#]*)", 1))
-    path = F.regexp_extract("url", r"(?s)://[^/?#]*([^?#]*)", 1)
-    source = source.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
+    source = source.withColumn("key", F.xxhash64("page_id", "url", "html"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 found = [blocks(x) for x in part.column(2).to_pylist()]
-                texts = pa.array([[text for _, text in own] for own in found], pa.list_(pa.string()))
-                roles = pa.array([[role for role, _ in own] for own in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), texts, roles], ["page_id", "url", "host", "path", "texts", "roles"])
-
-    split = source.mapInArrow(parsed, "page_id bigint, url string, host string, path string, texts array<string>, roles array<int>")
-    split = split.withColumn("lines", F.transform("texts", lambda text: F.xxhash64(text)))
-    order = ["host", "path", "page_id", "url", F.xxhash64("lines")]
-    ordered = split.repartitionByRange(shuffle_width(pages.sparkSession), *order).sortWithinPartitions(*order)
+                texts = pa.array(["\n".join(text for _, text in own) for own in found], pa.string())
+                roles = pa.array(["".join(str(role) for role, _ in own) for own in found], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(0), part.column(1), texts, roles], ["key", "page_id", "url", "text", "roles"])
+
+    split = source.mapInArrow(parsed, "key bigint, page_id bigint, url string, text string, roles string")
+    each = F.when(F.col("roles") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"(?s)://([^/?#]*)", 1)), F.lit("")).alias("host")
+    path = F.coalesce(F.regexp_extract("url", r"(?s)://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path")
+    hashed, sizes_ = F.transform(each, lambda x: F.xxhash64(x)).alias("lines"), F.transform(each, lambda x: F.length(x)).alias("sizes")
+    lines = stored(split.select("key", "page_id", host, path, hashed, sizes_, "roles"))
+    order = ["host", "path", "page_id", "key"]
+    ordered = lines.repartitionByRange(shuffle_width(pages.sparkSession), *order).sortWithinPartitions(*order)
     ordered = stored(ordered.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     sizes = {row["part"]: row["count"] for row in ordered.groupBy("part").count().collect()}  # a row per partition
     first = np.cumsum([0, *(sizes[k] for k in sorted(sizes))]).tolist()
-    offsets = F.create_map(*(F.lit(int(x)) for k, at in zip(sorted(sizes), first, strict=False) for x in (k, at))) if sizes else None
-    ranked = ordered.withColumn("rank", (offsets[F.col("part")] if sizes else F.lit(0)).cast("bigint") + F.col("place")).drop("part", "place")
-    slim = ranked.select("rank", F.struct("host", "path", "lines").alias("page"))
-    near = slim.select((F.col("rank") + 1).alias("rank"), F.col("page").alias("before")).join(slim.select((F.col("rank") - 1).alias("rank"), F.col("page").alias("after")), "rank", "full")
-    paired = ranked.join(near, "rank", "left").select("page_id", "url", "host", "path", "texts", "roles", "lines", "before", "after")
+    offset = F.create_map(*(F.lit(int(x)) for k, at in zip(sorted(sizes), first, strict=False) for x in (k, at)))[F.col("part")] if sizes else F.lit(0)
+    ranked = ordered.select("key", (offset.cast("bigint") + F.col("place")).alias("rank"), "host", "path", "lines", "sizes", "roles")
+    page = F.struct("host", "path", "lines")
+    before, after = (ranked.select((F.col("rank") + step).alias("rank"), page.alias(name)) for step, name in ((1, "before"), (-1, "after")))
 
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                out = []
+                keep = []
                 for row in part.to_pylist():
                     others = [x for x in (row["before"], row["after"]) if x is not None and x["host"] == row["host"]]
                     others.sort(key=lambda x: -_prefix(x["path"], row["path"]))  # stable: the page before wins ties
                     partners = [(common_lines(row["lines"], x["lines"]), len(x["lines"])) for x in others]
-                    keep = kept_blocks(row["roles"], [len(x) for x in row["texts"]], partners)
-                    out.append("\n\n".join(text for text, k in zip(row["texts"], keep, strict=True) if k))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+                    keep.append("".join("01"[x] for x in kept_blocks([int(x) for x in row["roles"]], row["sizes"], partners)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keep, pa.string())], ["rank", "key", "keep"])
 
-    return paired.mapInArrow(cleaned, "page_id bigint, url string, text string")
+    paired = ranked.join(before, "rank", "left").join(after, "rank", "left").select("rank", "key", "host", "path", "lines", "sizes", "roles", "before", "after")
+    verdicts = paired.mapInArrow(judged, "rank bigint, key bigint, keep string").groupBy("key").agg(F.min_by("keep", "rank").alias("keep"))
+    kept = F.filter(each, lambda x, i: F.substring(F.col("keep"), i + 1, 1) == "1")
+    return split.join(verdicts, "key", "left").select("page_id", "url", F.array_join(kept, "\n\n").alias("text"))
