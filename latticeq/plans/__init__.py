@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("tables", "reports")
+FAMILIES = ("tables", "reports", "alignments", "retrieval", "geometry")
 
 
 def load() -> None:
