@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("tables", "reports", "alignments", "retrieval", "geometry")
+FAMILIES = ("tables", "reports", "alignments", "retrieval", "geometry", "files", "streams")
 
 
 def load() -> None:
