@@ -33,7 +33,7 @@ def segments(pairs: DataFrame, key: str) -> DataFrame:
 
 def expanded(runs: DataFrame, key: str) -> DataFrame:
     """The pairs of runs: key, i, j."""
-    return runs.select(key, "i0", "j0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)).alias("k")).select(key, (F.col("i0") + F.col("k")).alias("i"), (F.col("j0") + F.col("k")).alias("j"))
+    return runs.select(key, "i0", "j0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)).alias("_k")).select(key, (F.col("i0") + F.col("_k")).alias("i"), (F.col("j0") + F.col("_k")).alias("j"))
 
 
 def identity(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
