@@ -86,7 +86,7 @@ SHARED = {
     "J9_cell_classes": (("orders",), "SELECT a.i, b.j, CASE WHEN b.j = a.partner THEN 'aligned' WHEN abs(b.j - a.partner) <= 32 THEN 'near' ELSE 'far' END AS cell FROM (SELECT DISTINCT o_orderkey % 97 AS i, o_orderkey % 97 + 3 AS partner FROM orders WHERE o_orderkey < 97) a CROSS JOIN (SELECT DISTINCT o_orderkey % 101 AS j FROM orders WHERE o_orderkey < 101) b"),
     "J10_node_pairs": (("embeddings",), "SELECT a.label, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id"),
     "J11_keep_earlier": (("part",), "SELECT a.p_partkey, coalesce(b.p_brand, a.p_type) AS value FROM part a LEFT JOIN (SELECT * FROM part WHERE p_size < 25) b ON a.p_partkey = b.p_partkey"),
-    "J12_full_methods": (("orders",), "SELECT coalesce(a.k, b.k) AS k, a.n AS method_a, b.n AS method_b FROM (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) a FULL OUTER JOIN (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) b ON a.k = b.k"),
+    "J12_full_methods": (("orders",), "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS method_a, coalesce(b.n, 0) AS method_b FROM (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) a FULL OUTER JOIN (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) b ON a.k = b.k"),
     "J13_length_fallback": (("documents", "labels"), "SELECT d.doc_id, CASE WHEN l.quality = 1 THEN d.lang ELSE 'fallback' END AS source_used FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id"),
     "J14_not_downloaded": (("supplier", "lineitem"), "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_orderkey < 100)"),
     # set operations
