@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +35,59 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Rows that a Python worker gets at once while a table is written: whole texts or sets of shingles, so some megabytes.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives a lost executor. The files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/latticeq-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CACHE: dict[tuple, object] = {}
+
+
+def worker_cache(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time, so that a worker that serves many stages holds no earlier one's."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        hand_back()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
+def hand_back() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def handing_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function over Arrow batches, with the worker's free memory given back at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        hand_back()
+
+    return wrapped
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

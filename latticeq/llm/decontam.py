@@ -22,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import handing_back
+
 K1, B = 1.2, 0.75
 #: Least part of an item's own score that a passage must reach.
 THRESHOLD = 0.55
@@ -240,7 +242,7 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESH
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in LEAKS.split(", ")])
 
-        out = out.unionByName(source.mapInArrow(run, LEAKS))
+        out = out.unionByName(source.mapInArrow(handing_back(run), LEAKS))
     return out
 
 
@@ -255,5 +257,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
                 for part, texts in _slices(batch, batch.column(batch.schema.get_field_index("text"))):
                     yield part.filter(pa.array([not leaks for leaks in shared.value.leaks(texts, threshold)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(handing_back(run), docs.schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHasher, chunks, mixed, shingle_hashes, shuffle_width, stored
+from .common import GOLDEN, WordHasher, chunks, handing_back, mixed, shingle_hashes, shuffle_width, stored, worker_cache
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
@@ -85,13 +85,8 @@ class Shingler:
                 yield np.unique(shingle_hashes(words[a:b], self._size))
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def _shingler(size: int) -> Shingler:
-    if size not in _SHINGLERS:
-        _SHINGLERS[size] = Shingler(size)
-    return _SHINGLERS[size]
+    return worker_cache(("shingler", size), lambda: Shingler(size))
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -112,7 +107,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch binary")
+    return source.mapInArrow(handing_back(run), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -125,7 +120,7 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 sets = [own.tobytes() for own in shingler.sets(batch.column(1).slice(low, 512).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, 512), pa.array(sets, pa.binary())], ["id", "own"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, own binary")
+    return docs.select("id", "text").mapInArrow(handing_back(run), "id bigint, own binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -139,7 +134,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
     own = sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
     other = sets.select(F.col("id").alias("b"), F.col("own").alias("own_b"))
-    return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own_a", "own_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own_a", "own_b").mapInArrow(handing_back(run), "a bigint, b bigint")
 
 
 def _united(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -168,7 +163,7 @@ def _forest(edges: DataFrame) -> DataFrame:
             stars = [(x, r) for x, r in found.items() if x != r]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], ["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return edges.select("a", "b").mapInArrow(handing_back(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,7 +243,7 @@ def _block_links(members: DataFrame, percent: int, least_equal: int = LEAST_EQUA
                     group.append(row)
         yield result()
 
-    return members.mapInArrow(run, "a bigint, b bigint")
+    return members.mapInArrow(handing_back(run), "a bigint, b bigint")
 
 
 def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -272,7 +267,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT,
     tries = members.join(centres, "key").where((F.col("id") != F.col("b")) & near).groupBy("id", "b").agg(F.count(F.lit(1)).alias("k"))
     best = tries.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False).alias("c"))  # three for each band at most
     pairs = best.select(F.col("id").alias("a"), F.explode(F.slice("c", 1, 2)).alias("c")).select("a", "c.b")
-    known = stored(components(verified(pairs, sets, percent)))
+    known = stored(components(stored(verified(pairs, sets, percent))))  # written first: two Python steps in one stage would need twice the workers
     placed = members.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
     counts = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks")).where("p < q").select("key", "blocks")
     blocks = placed.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored
+from .common import shuffle_width, stored, worker_cache
 
 CAPACITY = 2048
 END_ID = 0
 #: Words kept by a worker's cache of token ids; beyond that it starts anew. Bounds memory, not results.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 450_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -89,14 +89,9 @@ class WordTokenizer:
         self._words.update((word, self.whole(word)) for word in words.difference(letters))
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """One per worker and path."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    return worker_cache(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

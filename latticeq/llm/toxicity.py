@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, handing_back
 
 #: Words in a window.
 WINDOW = 10
@@ -194,7 +194,7 @@ def _scored(docs: DataFrame, model: Model, schema: str | object, result) -> Data
                     scores.append(own.score(own.share(own.differences(words(text), compressors)) if own.toxic else 0.0))
             yield result(batch, pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(handing_back(run), schema)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
