@@ -26,10 +26,32 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+#: Rounds in logarithms, after which the plan is near its marginals and the others run as matrix products on it.
+LOG_ROUNDS = 2
+
+
 def sinkhorn(cost: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float, rounds: int = INNER) -> np.ndarray:
-    """The entropic transport plan, in logarithms; the columns' marginal holds exactly."""
+    """The entropic transport plan after so many rounds; the columns' marginal holds exactly.
+
+    The first rounds run in logarithms, so that no cost is too large. The plan that they give is scaled to its marginals in the others: the same
+    iterates, without an exponential a cell and round. Where a scale leaves the range of numbers, all rounds run in logarithms.
+    """
+    first = min(rounds, LOG_ROUNDS)
+    plan = _log_rounds(cost, a, b, eps, first)
+    if first == rounds:
+        return plan
+    v = np.ones((*plan.shape[:-2], plan.shape[-1]))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for _ in range(rounds - first):
+            u = a / (plan @ v[..., None]).squeeze(-1)
+            v = b / (u[..., None, :] @ plan).squeeze(-2)
+        out = u[..., :, None] * plan * v[..., None, :]
+    return out if np.isfinite(out).all() else _log_rounds(cost, a, b, eps, rounds)
+
+
+def _log_rounds(cost: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float, rounds: int) -> np.ndarray:
     k = -cost / eps
-    g = np.zeros_like(np.broadcast_to(b, (*cost.shape[:-2], cost.shape[-1])))
+    g = np.zeros((*cost.shape[:-2], cost.shape[-1]))
     la, lb = np.log(a), np.log(b)
     for _ in range(rounds):
         f = la - _lse(k + g[..., None, :], -1)
@@ -119,6 +141,10 @@ def tm_d0(length: int) -> float:
     return 0.5 if length <= 21 else max(0.5, 1.24 * (length - 15) ** (1 / 3) - 1.8)
 
 
+#: Starts that an alignment refines.
+REFINED = 3
+
+
 def align_structures(x: np.ndarray, y: np.ndarray, rounds: int = 20) -> dict:
     """A structural alignment: threaded starts, then superposition and dynamic programming in turn on the TM term; scores by both lengths."""
     n, m = len(x), len(y)
@@ -126,16 +152,26 @@ def align_structures(x: np.ndarray, y: np.ndarray, rounds: int = 20) -> dict:
     best: dict = {"score": -1.0}
     step = max(1, (n + m) // 12)
     starts = [[(i, i + k) for i in range(n) if 0 <= i + k < m] for k in range(-(n - 4), m - 3, step)] + [[(i, i) for i in range(min(n, m))]]
+
+    def fitted(pairs: list[tuple[int, int]]) -> tuple[float, np.ndarray, dict]:
+        i, j = (np.array(side) for side in zip(*pairs, strict=True))
+        rotation, shift, rmsd = superpose(x[i], y[j])
+        near = 1 / (1 + (distances(x @ rotation.T + shift, y) / d0) ** 2)
+        total = float(near[i, j].sum())
+        return total, near, {"score": total, "pairs": pairs, "rotation": rotation, "shift": shift, "rmsd": rmsd}
+
+    # every start takes one step; only the most promising ones are refined
+    tried = []
     for pairs in starts:
-        if len(pairs) < 4:
-            continue
+        if len(pairs) >= 4:
+            new = _matched(fitted(pairs)[1])
+            if len(new) >= 4:
+                tried.append((fitted(new)[0], new))
+    for _, pairs in sorted(tried, key=lambda t: -t[0])[:REFINED]:
         for _ in range(rounds):
-            i, j = (np.array(side) for side in zip(*pairs, strict=True))
-            rotation, shift, rmsd = superpose(x[i], y[j])
-            near = 1 / (1 + (distances(x @ rotation.T + shift, y) / d0) ** 2)
-            total = near[i, j].sum()
+            total, near, own = fitted(pairs)
             if total > best["score"] + 1e-9:
-                best = {"score": total, "pairs": pairs, "rotation": rotation, "shift": shift, "rmsd": rmsd}
+                best = own
             new = _matched(near)
             if new == pairs or len(new) < 4:
                 break

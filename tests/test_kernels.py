@@ -32,6 +32,13 @@ def test_sinkhorn_marginals():
         assert np.allclose(plan.sum(0), 1 / 9) and np.allclose(plan.sum(1), 1 / 6, atol=1e-3)
 
 
+def test_sinkhorn_equals_rounds_in_logarithms():
+    for scale in (0.1, 1, 30):
+        for eps in (0.5, 0.05, 0.005):
+            cost, a, b = RNG.random((3, 8, 6)) * scale, np.full(8, 1 / 8), np.full(6, 1 / 6)
+            assert np.allclose(K.sinkhorn(cost, a, b, eps), K._log_rounds(cost, a, b, eps, K.INNER), atol=1e-9)
+
+
 def test_distortion_tells_structures_apart():
     x = ball(32)
     assert score(x, turned(x)) < 1e-3
