@@ -10,6 +10,7 @@ already connected, while the rows that move grow with the members and not with t
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Members of a bucket in one block, and bytes of their sets, on average.
 BLOCK, BLOCK_BYTES = 512, 8_000_000
-#: Least number of equal values, of 128, at which a pair in a block is verified: at similarity 0.75 fewer have a probability of 5e-6.
-LEAST_EQUAL = 75
+#: A pair in a block is verified if no fewer values of its signatures are equal than so many standard deviations under the number expected
+#: at the threshold: fewer have a probability of 5e-6 there, and SuperMinHash varies less than that. 75 of 128 at 0.75.
+DEVIATIONS = 4.4
 
 
 def super_min_hash(elements: np.ndarray, m: int) -> np.ndarray:
@@ -189,7 +191,13 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _block_links(members: DataFrame, percent: int, least_equal: int = LEAST_EQUAL) -> DataFrame:
+def least_equal(percent: int, values: int) -> int:
+    """How many of the bytes of two signatures are equal at least, for a pair to be verified; unequal values share a byte once in 256."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    return max(0, math.ceil(values * p - DEVIATIONS * math.sqrt(values * p * (1 - p))))
+
+
+def _block_links(members: DataFrame, percent: int) -> DataFrame:
     """Links between different parts, as (a, b) of parts. members: key, low, high, block, part, n, keys, sketch, own; sorted by key, low, high.
 
     Each task's rows come group by group; a group holds the blocks low and high of a bucket.
@@ -214,7 +222,7 @@ def _block_links(members: DataFrame, percent: int, least_equal: int = LEAST_EQUA
             if low != high:
                 ok &= block[:i] != block[i]
             at = np.flatnonzero(ok)
-            at = at[(sketches[at] == sketches[i]).sum(1) >= least_equal]
+            at = at[(sketches[at] == sketches[i]).sum(1) >= least_equal(percent, sketches.shape[1])]
             if not len(at):
                 continue
             equal = keys[at] == keys[i]

@@ -75,3 +75,15 @@ def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000 + i, 999) for i in range(1, 50)], "a long, b long").repartition(7)
     found = {r.id: r.component for r in near_dup.components(edges).collect()}
     assert found == {i: 0 for i in range(301)} | {i: 999 for i in range(999, 1050) if i != 1000}
+
+
+def test_filter_of_blocks():
+    assert near_dup.least_equal(75, 128) == 75 and near_dup.least_equal(75, 64) == 33 and near_dup.least_equal(100, 16) == 16
+
+
+def test_other_bands(spark):
+    rng = random.Random(9)
+    base = [f"b{rng.randrange(400)}" for _ in range(100)]
+    rows = [(k, edited(rng, base, rng.randrange(0, 6))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, bands=40, rows=3).collect()} == brute(rows)
