@@ -25,7 +25,7 @@ from .common import shuffle_width, stored, worker_cache
 CAPACITY = 2048
 END_ID = 0
 #: Words kept by a worker's cache of token ids; beyond that it starts anew. Bounds memory, not results.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 800_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
