@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that its source repeats."""
-    cleaned = site_lines.drop_site_lines(docs).select(*docs.columns)
+    cleaned = site_lines.drop_repeated_lines(docs).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 

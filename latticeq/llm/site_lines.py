@@ -10,6 +10,9 @@ from .common import stored
 RATIO = 0.1
 #: A line must stand on that many pages at least: on a small host, a ratio alone says nothing.
 LEAST_PAGES = 5
+#: The pipeline's rule: a part of a host's pages for lines of any length, and a number of pages alone for lines of more than LONG_WORDS words,
+#: which do not recur by chance, however large the host is.
+SITE_RATIO, LONG_WORDS, LONG_PAGES = 0.01, 50, 3
 
 
 def _lines(text: str) -> Column:
@@ -26,7 +29,7 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     Pages are different texts of a host: copies of one page count once, both among the pages with a line and in the host's total, so that
     a page is not boilerplate for being copied. At most (lines a page) / ratio lines of a host can qualify, which bounds each array.
     """
-    pages = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.xxhash64(text).alias("_page"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    pages = docs.select(_host(host).alias("_host"), F.xxhash64(text).alias("_page"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     totals = pages.groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines("_text"), lambda line: F.trim(line) != ""), _key))
     lines = pages.select("_host", "_page", F.explode(keys).alias("_line"))
@@ -44,8 +47,17 @@ def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", r
     and broadcasts it only if it is small.
     """
     table = stored(boilerplate_lines(docs, host, text, ratio, least_pages))
-    names = [name for name in docs.columns if name not in ("n_lines", "n_dropped")]
-    joined = docs.select(*names, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host")).join(table, "_host", "left")
+    joined = docs.withColumn("_host", _host(host)).join(table, "_host", "left")
+    return _cleaned(joined, docs.columns, text)
+
+
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+
+
+def _cleaned(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """columns of joined with the lines whose hash is in _drop taken out of the text, plus n_lines and n_dropped."""
+    names = [name for name in columns if name not in ("n_lines", "n_dropped")]
     kept = F.when(F.col("_drop").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda line: ~F.array_contains(F.col("_drop"), _key(line)) | (F.trim(line) == "")))
     cleaned = joined.withColumn("_kept", kept)
     counted = [F.coalesce(F.size(_lines(text)), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size(_lines(text)) - F.size("_kept"), F.lit(0)).cast("bigint").alias("n_dropped")]
@@ -53,6 +65,25 @@ def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", r
     return cleaned.select(*own, *counted)
 
 
+def drop_repeated_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = SITE_RATIO, least_pages: int = LEAST_PAGES, long_words: int = LONG_WORDS, long_pages: int = LONG_PAGES) -> DataFrame:
+    """As drop_site_lines, and lines of more than long_words words go from long_pages pages of their host on, whatever part of it these are.
+
+    The number of such lines grows with a host, so no array of them is made for each host: every page meets its own lines' verdicts, by joins
+    on (host, line) and then (host, page).
+    """
+    source = docs.withColumns({"_host": _host(host), "_page": F.xxhash64(text)})
+    pages = source.where(F.col(text).isNotNull()).select("_host", "_page", F.col(text).alias("_text"))
+    totals = pages.groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
+    is_long = lambda line: F.size(F.split(F.trim(line), r"\s+")) > long_words
+    keys = F.array_distinct(F.transform(F.filter(_lines("_text"), lambda line: F.trim(line) != ""), lambda line: F.struct(_key(line).alias("line"), is_long(line).alias("long"))))
+    lines = stored(pages.select("_host", "_page", F.explode(keys).alias("_x")).select("_host", "_page", F.col("_x.line").alias("_line"), F.col("_x.long").alias("_long")).distinct())
+    common = lines.groupBy("_host", "_line", "_long").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.when(F.col("_long"), min(least_pages, long_pages)).otherwise(least_pages))
+    frequent = (F.col("_n") >= least_pages) & (F.col("_n") > F.lit(float(ratio)) * F.col("_pages"))
+    chosen = common.join(totals, "_host").where(frequent | F.col("_long") & (F.col("_n") >= long_pages)).select("_host", "_line")
+    dropped = stored(lines.join(stored(chosen), ["_host", "_line"]).groupBy("_host", "_page").agg(F.collect_list("_line").alias("_drop")))
+    return _cleaned(source.join(dropped, ["_host", "_page"], "left"), docs.columns, text)
+
+
 ORACLE = f"""
 WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, text FROM documents),
 lines AS (SELECT DISTINCT host, text, trim(unnest(string_split(text, chr(10)))) AS line FROM docs WHERE text IS NOT NULL),

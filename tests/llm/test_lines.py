@@ -17,6 +17,27 @@ def test_site_lines(spark):
     assert site_lines.drop_site_lines(docs.limit(0)).count() == 0
 
 
+def test_repeated_lines_of_small_and_hot_sources_go(spark):
+    import corpus_pipeline
+
+    passage = {(host, k): " ".join(f"{host}{k}w{i}" for i in range(60)) for host in ("hot", "small") for k in range(8)}
+    rows = [(i, f"Own line {i}.\nSeen {i // 2} twice.", "hot", 0) for i in range(3000)] + [(10_000 + i, f"Small line {i}.", "small", 0) for i in range(40)]
+    holding = []
+    for (host, k), line in passage.items():  # each in three different texts, of 3,000 and of 40
+        for i in range(3):
+            at = k * 3 + i + (3000 if host == "small" else 0)
+            rows[at] = (*rows[at][:1], rows[at][1] + "\n " + line, *rows[at][2:])
+            holding.append(rows[at][0])
+    rows = [(k, text + "\nRead more." if host == "hot" and k % 50 == 0 else text, host, n) for k, text, host, n in rows]  # on 2 % of the pages
+    rows += [(20_000 + i, rows[0][1], "hot", 0) for i in range(5)] + [(30_000, None, "hot", 0), (30_001, "Read more.", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_site_lines(spark, docs, "").collect()}
+    assert len(out) == len(rows)
+    assert all(out[k] == (f"Own line {k}.\nSeen {k // 2} twice." if k < 3000 else f"Small line {k - 10_000}.") for k in holding)
+    assert not any("Read more." in (out[k] or "") for k in range(3000)) and out[30_001] == "Read more." and out[30_000] is None
+    assert out[20_003] == out[0] and out[2999] == "Own line 2999.\nSeen 1499 twice."
+
+
 def brute(text):
     import re
 
