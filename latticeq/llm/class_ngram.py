@@ -1,8 +1,10 @@
 """Brown class-based bigrams: exchange clustering assigns words to classes; class transitions and word emissions give smoothed scores.
 
-Counts cover every training text and stay distributed, by 64-bit hashes of words. Only tables of a fixed size reach the driver: the counts
-of at most KNOWN frequent words, and the bigram counts of UNITS units. A unit is one of the most frequent words, or all other words of one
-group of endings; exchange moves units between classes, so every word has a class, rare and unknown ones by their ending. Transitions
+Counts cover every training text and stay distributed, by 64-bit hashes of words. Tables of a fixed size reach the driver, the counts of at
+most KNOWN frequent words and the bigram counts of UNITS units, and one that grows with the vocabulary: the class of every word seen
+LEAST_SEEN times. A unit is one of the most frequent words, or all other words of one group of endings; exchange moves units between
+classes. Then every other word seen LEAST_SEEN times goes to the class that its own neighbours make likeliest, the classes being fixed;
+the counts of (word, neighbouring class) stay distributed. Rarer and unknown words have the class of their ending. Transitions
 between classes are smoothed by Witten-Bell with the class frequencies. Within a class, words are discounted absolutely, and what is taken
 off is the probability of an unknown word. A text's score splits into a part that the tables give on the spot and the emissions of its
 rarer words, whose counts come from a join.
@@ -23,6 +25,8 @@ WORDS, ENDINGS = 1000, 256
 UNITS = WORDS + ENDINGS + 1
 END = UNITS - 1
 CLASSES = 64
+#: A word seen so often is clustered by its own neighbours, however many such words there are.
+LEAST_SEEN = 20
 #: Frequent words whose counts are broadcast at most; those of all other words are joined.
 KNOWN = 500_000
 PASSES = 12
@@ -83,28 +87,42 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def unit_bigrams(docs: DataFrame, frequent: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The matrix of how often a unit follows another, texts starting after an end token. UNITS * UNITS cells, whatever the corpus."""
+def unit_bigrams(docs: DataFrame, frequent: np.ndarray, numbers: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """The matrix of how often a unit, or with classes a class, follows another, texts starting after an end token. Its size does not depend on the corpus."""
+    size, end = (UNITS, END) if classes is None else (CLASSES, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(frequent, numbers)
         for batch in batches:
-            pairs = [np.append(END, own[:-1]) * UNITS + own for _, own, _ in units.tokens(batch.column(0).to_pylist())]
+            own = (own if classes is None else classes[own] for _, own, _ in units.tokens(batch.column(0).to_pylist()))
+            pairs = [np.append(end, x[:-1]) * size + x for x in own]
             if pairs:
                 values, counts = _tallied(np.concatenate(pairs))
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["pair", "n"])
 
     partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pair bigint, n bigint")
     found = partial.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.zeros(UNITS * UNITS)
+    matrix = np.zeros(size * size)
     matrix[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return matrix.reshape(UNITS, UNITS)
+    return matrix.reshape(size, size)
 
 
 def _gain(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _values(grid: np.ndarray, right: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, itself: float, n_right: float, n_left: float) -> np.ndarray:
+    """For each class, what a unit adds to the likelihood there; a, b: its successors and predecessors by class. grid, right and left leave it out."""
+    base = _gain(grid)
+    rows = (_gain(grid + a) - base).sum(1)
+    columns = (_gain(grid + b[:, None]) - base).sum(0)
+    diagonal = grid.diagonal()
+    corner = _gain(diagonal + a + b + itself) - _gain(diagonal + a) - _gain(diagonal + b) + base.diagonal()
+    value = rows + columns + corner - _gain(right + n_right) + _gain(right) - _gain(left + n_left) + _gain(left)
+    value[0] = -np.inf
+    return value
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """A class for each unit; the last unit, the end token, is alone in class 0. Each pass moves every unit to the class that most raises the likelihood of the bigrams."""
     n = len(bigrams)
@@ -132,13 +150,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
             grid[k, k] -= itself
             right[k] -= rights[w]
             left[k] -= lefts[w]
-            base = _gain(grid)
-            rows = (_gain(grid + a) - base).sum(1)
-            columns = (_gain(grid + b[:, None]) - base).sum(0)
-            diagonal = grid.diagonal()
-            corner = _gain(diagonal + a + b + itself) - _gain(diagonal + a) - _gain(diagonal + b) + base.diagonal()
-            value = rows + columns + corner - _gain(right + rights[w]) + _gain(right) - _gain(left + lefts[w]) + _gain(left)
-            value[0] = -np.inf
+            value = _values(grid, right, left, a, b, itself, rights[w], lefts[w])
             best = int(value.argmax())
             if value[best] <= value[k] + 1e-9:
                 best = int(k)
@@ -159,8 +171,53 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return own
 
 
+def later_classes(docs: DataFrame, frequent: np.ndarray, numbers: np.ndarray, classes: np.ndarray, grid: np.ndarray, later: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """A class for each word of later (sorted hashes), which now counts in class `now`: of those in use, the one that its neighbours make likeliest."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, numbers, classes, grid, later, now))
+    width = 2 * CLASSES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, numbers, classes, _, later, _ = shared.value
+        units = Units(frequent, numbers)
+        for batch in batches:
+            found = []
+            for hashes, own, _ in units.tokens(batch.column(0).to_pylist()):
+                kinds = classes[own]
+                at = np.minimum(np.searchsorted(later, hashes), len(later) - 1)
+                rows = np.flatnonzero(later[at] == hashes)  # never the last token, an end
+                found += [at[rows] * width + kinds[rows + 1], at[rows] * width + CLASSES + np.append(0, kinds[:-1])[rows]]
+            if found:
+                values, counts = _tallied(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["pair", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, _, grid, _, now = shared.value
+        for batch in batches:
+            best = []
+            for word, pairs, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                both = np.zeros(width)
+                both[np.array(pairs) % width] = counts
+                a, b, k, n = both[:CLASSES], both[CLASSES:], int(now[word]), both[:CLASSES].sum()
+                rest = grid.copy()
+                rest[k] -= a
+                rest[:, k] -= b
+                rest = np.maximum(rest, 0)
+                value = _values(rest, rest.sum(1), rest.sum(0), a, b, 0, n, n)
+                value[rest.sum(1) == 0] = -np.inf
+                best.append(int(value.argmax()) if value.max() > -np.inf else k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32())], ["word", "class"])
+
+    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "pair bigint, n bigint")
+    tallied = partial.groupBy("pair").agg(F.sum("n").alias("n"))
+    words = tallied.groupBy(F.floor(F.col("pair") / width).alias("word")).agg(F.collect_list(F.struct("pair", "n")).alias("x"))  # 2 * CLASSES values at most
+    found = words.select("word", F.col("x.pair").alias("pairs"), F.col("x.n").alias("counts")).mapInArrow(choose, "word bigint, class int").toArrow()
+    out = now.copy()
+    out[found.column("word").to_numpy()] = found.column("class").to_numpy()
+    return out
+
+
 class Model:
-    """Tables of fixed size: units and classes, log transitions, class sizes, and the counts of frequent words."""
+    """Tables of units and classes, log transitions, class sizes, and the counts of frequent words."""
 
     def __init__(self, frequent, numbers, classes, transitions, tokens, types, discount, known, counts, total, distinct) -> None:
         self.frequent, self.numbers, self.classes, self.transitions = frequent, numbers, classes, transitions
@@ -200,6 +257,17 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     classes = exchange(bigrams)
     member = np.eye(CLASSES)[classes]
     grid = member.T @ bigrams @ member
+    often_seen = counts.where((F.col("n") >= LEAST_SEEN) & (F.col("hash") != END_HASH)).select("hash", "ending").toArrow()  # grows with the vocabulary
+    later, endings = often_seen.column("hash").to_numpy(), often_seen.column("ending").to_numpy()
+    rest = np.flatnonzero(~np.isin(later, frequent))
+    rest = rest[np.argsort(later[rest])]
+    if len(rest):
+        later, now = later[rest], classes[endings[rest]]
+        own = later_classes(training, frequent, numbers, classes, grid, later, now)
+        frequent, numbers = np.append(frequent, later), np.append(numbers, UNITS + own).astype(np.int32)  # a unit for each class behind the others
+        order = np.argsort(frequent)
+        frequent, numbers, classes = frequent[order], numbers[order], np.append(classes, np.arange(CLASSES))
+        grid = unit_bigrams(training, frequent, numbers, classes)
     single = (grid.sum(0) + 0.5) / (grid.sum() + 0.5 * CLASSES)
     kinds = np.maximum((grid > 0).sum(1), 1)
     transitions = np.log10((grid + kinds[:, None] * single) / (grid.sum(1) + kinds)[:, None])

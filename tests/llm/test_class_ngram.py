@@ -90,3 +90,15 @@ def test_exchange_finds_groups():
     matrix[n - 1, 0] = matrix[0, n - 1] = 5
     own = class_ngram.exchange(matrix, classes=4)
     assert own[n - 1] == 0 and all(len(set(own[:-1][group == g])) == 1 for g in range(3)) and len(set(own)) == 4
+
+
+def test_words_beyond_the_most_frequent_are_clustered_by_their_neighbours(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(class_ngram, "KNOWN", 12)
+    one, other = ([f"{x}{k}zzz" for k in range(30)] for x in "ab")
+    pick = lambda words: words[rng.randrange(2)] if rng.random() < 0.5 else rng.choice(words)
+    docs = spark.createDataFrame([(k, " ".join(f"left {pick(one)} up right {pick(other)} down" for _ in range(30))) for k in range(100)], "doc_id long, text string")
+    model, _ = class_ngram.fit(docs)
+    units = class_ngram.Units(model.frequent, model.numbers)
+    a, b = (set(model.classes[next(units.tokens([" ".join(words)]))[1][:-1]].tolist()) for words in (one, other))
+    assert len(model.frequent) == 64 and not a & b
