@@ -88,10 +88,14 @@ class Scanner:
         self.notices, self.least = [Notice.of(*x) for x in notices], least
         self.word = {w: k for k, w in enumerate(sorted({w for x in self.notices for w in x.words}))}
         self._of_run: dict[int, list[int]] = {}
+        self._offsets: dict[tuple[int, int], list[int]] = {}  # where a notice has a run
         for number, notice in enumerate(self.notices):
             ids = [self.word[w] for w in notice.words]
-            for code in {self._code(*ids[i : i + RUN]) for i in range(len(ids) - RUN + 1)}:
-                self._of_run.setdefault(code, []).append(number)
+            for i in range(len(ids) - RUN + 1):
+                offsets = self._offsets.setdefault((number, self._code(*ids[i : i + RUN])), [])
+                offsets.append(i)
+                if len(offsets) == 1:
+                    self._of_run.setdefault(self._code(*ids[i : i + RUN]), []).append(number)
         self._codes = np.array(sorted(self._of_run), np.int64)
 
     def _code(self, a: int, b: int, c: int) -> int:
@@ -116,30 +120,47 @@ class Scanner:
             yield self._notices(words, own) if own else []
 
     def _notices(self, words: list[bytes], hits: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
-        by_notice: dict[int, list[int]] = {}
+        by_notice: dict[int, list[tuple[int, int]]] = {}
         for at, code in hits:
             for number in self._of_run[code]:
-                by_notice.setdefault(number, []).append(at)
+                by_notice.setdefault(number, []).append((at, code))
         found = []
-        for number, places in by_notice.items():
+        for number, own in by_notice.items():
             notice = self.notices[number]
             size = len(notice.words)
-            start = 0
-            for k in range(1, len(places) + 1):  # stretches of hits no further apart than half a notice, each aligned with some room around
-                if k < len(places) and places[k] - places[k - 1] <= RUN + size // 2 and places[k] - places[start] <= size + size // 2:
-                    continue
-                low, high = max(0, places[start] - size // 2), min(len(words), places[k - 1] + RUN + size // 2)
+            for low, high in self._windows(number, own, len(words)):
                 pairs = patience_pairs(words[low:high], notice.words)
                 aligned = {notice.words[to] for _, to in pairs}
                 if len(pairs) >= self.least * size and notice.keys <= aligned:
                     found.append((len(pairs), len(pairs) / size, low + pairs[0][0], low + pairs[-1][0] + 1, notice.license_id))
-                start = k
         out: list[tuple[str, int, int, float]] = []
-        for _, coverage, low, high, license_id in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[4])):
+        for _, coverage, low, high, license_id in sorted(found, key=lambda x: (-x[0], -x[1], x[3] - x[2], x[2], x[4])):
             if all(high <= a or low >= b for _, a, b, _ in out):
                 out.append((license_id, low, high, coverage))
         return sorted(out, key=lambda x: x[1])
 
+    def _windows(self, number: int, hits: list[tuple[int, int]], n_words: int) -> set[tuple[int, int]]:
+        """What of a text to align with a notice: stretches of hits with some room around, and the places where single copies must lie.
+
+        A stretch may hold adjacent copies, in which no word is unique. So each hit also tells where its copy begins, from where the notice
+        has that run; beginnings within a quarter of the notice are one copy, edited, and its window is as long as the notice and they need.
+        """
+        size, places = len(self.notices[number].words), [at for at, _ in hits]
+        out = set()
+        start = 0
+        for k in range(1, len(places) + 1):  # stretches of hits no further apart than half a notice
+            if k < len(places) and places[k] - places[k - 1] <= RUN + size // 2 and places[k] - places[start] <= size + size // 2:
+                continue
+            out.add((max(0, places[start] - size // 2), min(n_words, places[k - 1] + RUN + size // 2)))
+            start = k
+        begins = sorted({at - offset for at, code in hits for offset in self._offsets[number, code]})
+        start = 0
+        for k in range(1, len(begins) + 1):
+            if k == len(begins) or begins[k] - begins[start] > size // 4:
+                out.add((max(0, begins[start]), min(n_words, begins[k - 1] + size)))
+                start = k
+        return out
+
 
 SPANS = "doc_id bigint, license_id string, start_word bigint, end_word bigint, coverage double"
 

@@ -35,3 +35,16 @@ def test_every_notice_is_found_in_whole_texts(spark):
     assert [(r.license_id, r.coverage < 1) for r in spans[100]] == [("MIT", True)]
     assert len(spans[1]) == 2 and spans[None][0].license_id.endswith("reserved") and not {101, 102, 103, 104} & spans.keys()
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_adjacent_copies_of_a_notice_are_all_found():
+    scanner = license_scan.Scanner(license_texts.NOTICES)
+    for license_id, _, text in license_texts.NOTICES:
+        n = len(license_scan.terms(text))
+        edited = text.split()
+        edited[len(edited) // 2 : len(edited) // 2] = ["xx", "yy"][: n // 8]
+        for copies in ([text] * 2, [text] * 3, [" ".join(edited), text]):
+            (out,) = scanner.scan(["foo bar.\n" + "\n".join(copies) + "\nbaz qux."])
+            more = len(copies[0].split()) - len(text.split())
+            expected = [2 + k * n + (more if k else 0) for k in range(len(copies))]
+            assert [x[1] for x in out if x[0] == license_id] == expected, (license_id, out)
