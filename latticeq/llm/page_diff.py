@@ -1,6 +1,7 @@
 """Main text of web pages by differencing each page with its nearest pages of the same host.
 
-Pages are ordered by host and URL path, and each is paired with the page before and after it. The text lines (blocks) of two pages are aligned
+Pages of a host with equal lines are one page, at the first place, and get one verdict, so that a run of copies hides no neighbour. Pages are
+ordered by host and URL path, and each is paired with the page before and after it. The text lines (blocks) of two pages are aligned
 by their longest common subsequence; lines shared with the nearer page are template and go. Markup bounds the verdict: navigation, headers,
 footers, sidebars, forms, adverts, notices and comments are never text, and inside an article a line goes only if both neighbours share it
 and it stands equally far from the beginning or the end of all three pages, as templates do, so that a quotation stays. A neighbour that shares most of a page's
@@ -134,8 +135,8 @@ def kept_blocks(roles: list[int], sizes: list[int], partners: list[tuple[list[in
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html); blocks are joined by an empty line.
 
-    A null or empty html gives an empty text, a null url the host '' and path ''. Pages of one path are ordered by page_id; equal rows are
-    one page with one result. An empty table gives an empty table; other columns are left out. Only hashes of lines are sorted and
+    A null or empty html gives an empty text, a null url the host '' and path ''. Pages of one path are ordered by page_id; pages of a
+    host with equal lines are one page with one verdict. An empty table gives an empty table; other columns are left out. Only hashes of lines are sorted and
     ranked, by a range sort and partition counts, so that a large host is spread over many tasks; texts move once, to meet the verdict.
     """
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -154,15 +155,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     each = F.when(F.col("roles") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"(?s)://([^/?#]*)", 1)), F.lit("")).alias("host")
     path = F.coalesce(F.regexp_extract("url", r"(?s)://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path")
+    split = split.withColumn("list", F.xxhash64(host, "text", "roles"))
     hashed, sizes_ = F.transform(each, lambda x: F.xxhash64(x)).alias("lines"), F.transform(each, lambda x: F.length(x)).alias("sizes")
-    lines = stored(split.select("key", "page_id", host, path, hashed, sizes_, "roles"))
+    lines = stored(split.select("list", "key", "page_id", host, path, hashed, sizes_, "roles", F.monotonically_increasing_id().alias("row")))
+    first_of = lines.groupBy("list").agg(F.min(F.struct("path", "page_id", "key", "row")).alias("x")).select("x.row")
+    lines = lines.join(first_of, "row", "leftsemi").drop("row")
     order = ["host", "path", "page_id", "key"]
     ordered = lines.repartitionByRange(shuffle_width(pages.sparkSession), *order).sortWithinPartitions(*order)
     ordered = stored(ordered.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     sizes = {row["part"]: row["count"] for row in ordered.groupBy("part").count().collect()}  # a row per partition
     first = np.cumsum([0, *(sizes[k] for k in sorted(sizes))]).tolist()
     offset = F.create_map(*(F.lit(int(x)) for k, at in zip(sorted(sizes), first, strict=False) for x in (k, at)))[F.col("part")] if sizes else F.lit(0)
-    ranked = ordered.select("key", (offset.cast("bigint") + F.col("place")).alias("rank"), "host", "path", "lines", "sizes", "roles")
+    ranked = ordered.select("list", (offset.cast("bigint") + F.col("place")).alias("rank"), "host", "path", "lines", "sizes", "roles")
     page = F.struct("host", "path", "lines")
     before, after = (ranked.select((F.col("rank") + step).alias("rank"), page.alias(name)) for step, name in ((1, "before"), (-1, "after")))
 
@@ -176,9 +180,9 @@ def main_text(pages: DataFrame) -> DataFrame:
                     others.sort(key=lambda x: -_prefix(x["path"], row["path"]))  # stable: the page before wins ties
                     partners = [(common_lines(row["lines"], x["lines"]), len(x["lines"])) for x in others]
                     keep.append("".join("01"[x] for x in kept_blocks([int(x) for x in row["roles"]], row["sizes"], partners)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keep, pa.string())], ["rank", "key", "keep"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keep, pa.string())], ["list", "keep"])
 
-    paired = ranked.join(before, "rank", "left").join(after, "rank", "left").select("rank", "key", "host", "path", "lines", "sizes", "roles", "before", "after")
-    verdicts = paired.mapInArrow(judged, "rank bigint, key bigint, keep string").groupBy("key").agg(F.min_by("keep", "rank").alias("keep"))
+    paired = ranked.join(before, "rank", "left").join(after, "rank", "left").select("list", "host", "path", "lines", "sizes", "roles", "before", "after")
+    verdicts = paired.mapInArrow(judged, "list bigint, keep string")
     kept = F.filter(each, lambda x, i: F.substring(F.col("keep"), i + 1, 1) == "1")
-    return split.join(verdicts, "key", "left").select("page_id", "url", F.array_join(kept, "\n\n").alias("text"))
+    return split.join(verdicts, "list", "left").select("page_id", "url", F.array_join(kept, "\n\n").alias("text"))

@@ -44,6 +44,16 @@ def test_main_text(spark):
     assert page_diff.main_text(pages.limit(0)).count() == 0
 
 
+def test_runs_of_copies_hide_no_neighbour(spark):
+    html = "<body><p>Site header</p><p>Story {0} is long enough.</p><p>Call us</p></body>"
+    rows = [(i, f"http://a.org/{i:03}", html.format(i if i < 20 or i > 40 else 20)) for i in range(60)]  # a run of 21 copies
+    rows += [(100, "http://b.org/1", html.format(1)), (101, "http://b.org/2", html.format(1))]  # of another host, and only copies
+    out = {r.page_id: r.text for r in page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i] == f"Story {i if i < 20 or i > 40 else 20} is long enough." for i in range(60))
+    assert out[100] == out[101] == "Site header\n\nStory 1 is long enough.\n\nCall us"
+
+
 def test_markov_model_sums_to_one():
     model = url_model.MarkovModel(3)
     for x in (b"abcab", b"abd", b"bca"):
