@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,35 +81,72 @@ def blocks(source: str | None) -> list[tuple[int, str]]:
 
 
 def common_lines(one: list[int], other: list[int]) -> list[int]:
-    """For each line of one, its partner in a longest common subsequence with other, or -1; equal lines are told apart by their number in the page."""
-
-    def numbered(lines: list[int]) -> list[tuple[int, int]]:
-        seen: dict[int, int] = {}
-        out = []
-        for line in lines:
-            seen[line] = seen.get(line, -1) + 1
-            out.append((line, seen[line]))
-        return out
-
-    place = {line: k for k, line in enumerate(numbered(other))}
-    tails: list[int] = []
-    ends: list[int] = []
-    before: dict[int, tuple[int, int]] = {}
-    for i, line in enumerate(numbered(one)):
-        at = place.get(line)
-        if at is None:
-            continue
-        k = bisect_left(tails, at)
-        tails[k : k + 1] = [at]
-        ends[k : k + 1] = [i]
-        before[i] = (ends[k - 1] if k else -1, at)
+    """For each line of one, its partner in a longest common subsequence with other, or -1."""
     partner = [-1] * len(one)
-    i = ends[-1] if ends else -1
-    while i >= 0:
-        partner[i], i = before[i][1], before[i][0]
+    low, most = 0, min(len(one), len(other))
+    while low < most and one[low] == other[low]:
+        partner[low] = low
+        low += 1
+    high, end = len(one), len(other)
+    while high > low and end > low and one[high - 1] == other[end - 1]:
+        high, end = high - 1, end - 1
+        partner[high] = end
+    known = set(one[low:high]) & set(other[low:end])
+    a, b = ([k for k in range(low, to) if lines[k] in known] for lines, to in ((one, high), (other, end)))
+    for i, k in _longest([one[k] for k in a], [other[k] for k in b]):
+        partner[a[i]] = b[k]
     return partner
 
 
+#: Bits that the rows of a longest common subsequence take at most; longer pages are halved.
+ROOM = 1 << 28
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each number of lines of a, bits: those at 0 among the first k count the longest common subsequence with the first k lines of b."""
+    masks: dict[int, int] = {}
+    for k, line in enumerate(b):
+        masks[line] = masks.get(line, 0) | 1 << k
+    row = full = (1 << len(b)) - 1
+    yield row
+    for line in a:
+        met = row & masks.get(line, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _longest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by bit-parallel rows; what is too large for ROOM is halved where both halves' lengths sum to the most."""
+    n, m = len(a), len(b)
+    if n > 1 and n * m > ROOM:
+        half = n // 2
+        for ahead in _rows(a[:half], b):
+            pass
+        for back in _rows(a[half:][::-1], b[::-1]):
+            pass
+        lost = [f"{x:0{m}b}" for x in (ahead, back)]
+        value, best, cut = m - back.bit_count(), -1, 0
+        for k in range(m + 1):
+            if value > best:
+                best, cut = value, k
+            if k < m:
+                value += (lost[0][m - 1 - k] == "0") - (lost[1][k] == "0")
+        return _longest(a[:half], b[:cut]) + [(i + half, k + cut) for i, k in _longest(a[half:], b[cut:])]
+    rows = list(_rows(a[::-1], b[::-1]))
+    length = lambda i, k: m - k - (rows[n - i] & (1 << m - k) - 1).bit_count()
+    out: list[tuple[int, int]] = []
+    i = k = 0
+    while i < n and k < m:
+        if a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        elif length(i + 1, k) == length(i, k):
+            i += 1
+        else:
+            k += 1
+    return out
+
+
 def _prefix(a: str, b: str) -> int:
     n = min(len(a), len(b))
     return next((k for k in range(n) if a[k] != b[k]), n)

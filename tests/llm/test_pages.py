@@ -29,6 +29,24 @@ def test_common_lines_is_a_longest_common_subsequence():
     assert page_diff.common_lines([1, 1, 2], [1, 2]) == [0, -1, 1]
 
 
+def test_common_lines_with_repeated_lines(monkeypatch):
+    import random
+
+    assert page_diff.common_lines([7, 1], [1, 7, 1]) == [1, 2]
+    rng = random.Random(8)
+    for room in (page_diff.ROOM, 6):
+        monkeypatch.setattr(page_diff, "ROOM", room)
+        for _ in range(200):
+            a, b = ([rng.randrange(5) for _ in range(rng.randrange(0, 14))] for _ in range(2))
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+            own = page_diff.common_lines(a, b)
+            pairs = [(i, k) for i, k in enumerate(own) if k >= 0]
+            assert len(pairs) == best[-1][-1] and all(a[i] == b[k] for i, k in pairs) and all(x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
 def test_main_text(spark):
     plain = "<html><body><p>Site header</p><p>Story {0} begins.</p><p>Story {0} ends, after a long while.</p><p>Call us</p></body></html>"
     marked = "<body><p>Site header</p><article><h1>Title {0}</h1><p>Common saying.</p><p>Body {0}.</p><p>Share this.</p></article><footer>f</footer></body>"
