@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Characters of context at most.
 ORDER = 6
-#: URLs of each verdict that the models are fitted on at most, and characters of each that are learnt. Judging has no bounds.
-SAMPLE, SAMPLE_CHARS = 20_000, 400
+#: URLs of each verdict that the models are fitted on at most, each whole. Judging has no bounds.
+SAMPLE = 20_000
 ALPHABET = 256
 
 
@@ -101,7 +101,7 @@ def fit(accepted: list[str], rejected: list[str], order: int = ORDER) -> UrlMode
     for own, urls, kind in ((model.accepted, accepted, True), (model.rejected, rejected, False)):
         for url in sorted(set(urls)):
             if zlib.crc32(url.encode()) % 5:
-                own.learn(url.encode()[:SAMPLE_CHARS])
+                own.learn(url.encode())
             else:
                 left.append((url, kind))
     values = sorted((model.ratio(url), kind) for url, kind in left)
@@ -139,8 +139,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, order:
     urls = {}
     for kind in ("allow", "block"):
         chosen = ruled.where(F.col("ruled") == kind).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(sample)
-        urls[kind] = [row["url"] for row in chosen.select(F.substring("url", 1, SAMPLE_CHARS).alias("url")).collect()]
-    model = pages.sparkSession.sparkContext.broadcast(fit(urls["allow"], urls["block"], order))  # bounded by sample * SAMPLE_CHARS * order contexts
+        urls[kind] = [row["url"] for row in chosen.collect()]
+    model = pages.sparkSession.sparkContext.broadcast(fit(urls["allow"], urls["block"], order))  # grows with the characters of the sampled URLs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value

@@ -94,3 +94,10 @@ def test_urls(spark):
     assert [out[k].host + out[k].path for k in (5002, 5003, 5004)] == ["", "", ""] and out[5003].ratio == 0
     assert (out[5005].host, out[5005].path, out[5005].rule) == ("bad.org", "", None)
     assert (out[None].host, out[None].path, out[None].rule) == ("a.b.com", "/fr/x", "com/fr/")
+
+
+def test_long_urls_are_learnt_whole():
+    url = "http://n.net/" + "a/" * 220 + "?{0}={1}"
+    model = url_model.fit([url.format("article", i) for i in range(60)], [url.format("buypills", i) for i in range(60)])
+    assert model.ratio(url.format("article", 77)) > model.threshold > model.ratio(url.format("buypills", 77))
+    assert sum(model.accepted.counts[b"artic"].values()) > 0
