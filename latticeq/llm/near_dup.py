@@ -1,16 +1,18 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full shingle sets, union-find.
 
 Nothing grows on the driver and no bucket emits its pairs. Documents with one shingle set are one class from the start. Each class first
-meets the two centres, out of three in each of its buckets, that it shares most buckets with; verified links are united. Buckets that
-still hold several components are then worked through in blocks of bounded size: a task gets two blocks of a bucket with their sets, and
-compares what lies in different components, each pair in its first common bucket only. So every candidate pair is either verified or
-already connected, while the rows that move grow with the members and not with their pairs.
+meets the two centres, out of three in each of its buckets, that it shares most buckets with; verified links are united. In crowded buckets
+this goes on with other centres, while a round still halves the members outside the largest component of their bucket. What then holds
+several components is worked through in blocks of bounded size: a task gets a block of members outside the largest component and another
+block of the bucket, with their sets, and compares what lies in different components, each pair in its first common bucket only. So
+every candidate pair is either verified on its full sets or already connected. For a bucket of n members, k of them outside its largest
+component, about n + k * n / BLOCK rows move: in proportion to n where copies hang together, and with the square of n, divided by BLOCK,
+only where many texts share a bucket but are no copies of each other.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Members of a bucket in one block, and bytes of their sets, on average.
 BLOCK, BLOCK_BYTES = 512, 8_000_000
-#: A pair in a block is verified if no fewer values of its signatures are equal than so many standard deviations under the number expected
-#: at the threshold: fewer have a probability of 5e-6 there, and SuperMinHash varies less than that. 75 of 128 at 0.75.
-DEVIATIONS = 4.4
+#: Buckets of fewer members get no further rounds of centres.
+CROWD = 64
 
 
 def super_min_hash(elements: np.ndarray, m: int) -> np.ndarray:
@@ -92,24 +93,22 @@ def _shingler(size: int) -> Shingler:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, keys of the bands, and a byte of each value; the last three are null for an empty set."""
+    """doc_id, n_shingles, digest of the shingle set, and keys of the bands; the last two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _shingler(size)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
-                ids, counts, digests, keys, sketches = batch.column(0).slice(low, 512), [], [], [], []
+                ids, counts, digests, keys = batch.column(0).slice(low, 512), [], [], []
                 for own in shingler.sets(batch.column(1).slice(low, 512).to_pylist()):
                     counts.append(len(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    signature = super_min_hash(own, bands * rows)
-                    keys.append(band_keys(signature, bands, rows) if len(own) else None)
-                    sketches.append(mixed(signature).astype(np.uint8).tobytes() if len(own) else None)
-                arrays = [ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "digest", "keys", "sketch"])
+                    keys.append(band_keys(super_min_hash(own, bands * rows), bands, rows) if len(own) else None)
+                arrays = [ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "digest", "keys"])
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(handing_back(run), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sketch binary")
+    return source.mapInArrow(handing_back(run), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -191,25 +190,39 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def least_equal(percent: int, values: int) -> int:
-    """How many of the bytes of two signatures are equal at least, for a pair to be verified; unequal values share a byte once in 256."""
-    p = percent / 100 + (1 - percent / 100) / 256
-    return max(0, math.ceil(values * p - DEVIATIONS * math.sqrt(values * p * (1 - p))))
+class _Postings:
+    """Sizes of the intersections of one set with each of many: an inverted index of their elements."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self._sets = sets
+        sizes = np.array([len(x) for x in sets])
+        elements = np.concatenate(sets)
+        order = np.argsort(elements, kind="stable")
+        self._elements, self._owners = elements[order], np.repeat(np.arange(len(sets)), sizes)[order]
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self._elements, own, side) for side in ("left", "right"))
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self._owners[at], minlength=len(self._sets))
 
 
 def _block_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links between different parts, as (a, b) of parts. members: key, low, high, block, part, n, keys, sketch, own; sorted by key, low, high.
+    """Links between different parts, as (a, b) of parts. members: key, low, high, within, block, part, keys, own; sorted by key, low, high.
 
-    Each task's rows come group by group; a group holds the blocks low and high of a bucket.
+    Each task's rows come group by group; a group holds the blocks low and high of a bucket. Members of low are compared with those of
+    high, and with each other if the group is also the one in which that is done.
     """
 
     def links(group: list[dict]) -> Iterator[tuple[int, int]]:
-        key, low, high = (group[0][x] for x in ("key", "low", "high"))
-        part, n, block = (np.array([x[name] for x in group]) for name in ("part", "n", "block"))
+        key, low, high, within = (group[0][x] for x in ("key", "low", "high", "within"))
+        part, block = (np.array([x[name] for x in group]) for name in ("part", "block"))
         if part.min() == part.max():
             return
         keys = np.array([x["keys"] for x in group], np.int64)
-        sketches = np.frombuffer(b"".join(x["sketch"] for x in group), np.uint8).reshape(len(group), -1)
+        sets = [np.frombuffer(x["own"], np.uint64) for x in group]
+        n = np.array([len(x) for x in sets])
+        postings = None
         joined: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -217,20 +230,27 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
                 x = joined[x]
             return x
 
-        for i in range(len(group)):
-            ok = (part[:i] != part[i]) & (100 * n[:i] >= percent * n[i]) & (100 * n[i] >= percent * n[:i])
-            if low != high:
-                ok &= block[:i] != block[i]
+        for i in np.flatnonzero(block == low).tolist():
+            ok = (part != part[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n)
+            ok &= (block == high) | (within & (block == low))
+            ok[: i + 1] &= block[: i + 1] != low
             at = np.flatnonzero(ok)
-            at = at[(sketches[at] == sketches[i]).sum(1) >= least_equal(percent, sketches.shape[1])]
             if not len(at):
                 continue
             equal = keys[at] == keys[i]
             at = at[keys[i][equal.argmax(1)] == key]
-            one = np.frombuffer(group[i]["own"], np.uint64)
-            for j in at.tolist():
+            at = at[[find(int(part[j])) != find(int(part[i])) for j in at.tolist()]] if joined and len(at) else at
+            if not len(at):
+                continue
+            if len(at) < 8:
+                linked = np.array([_similar(sets[i], sets[j], percent) for j in at.tolist()])
+            else:
+                postings = postings or _Postings(sets)
+                common = postings.common(sets[i])[at]
+                linked = 100 * common >= percent * (n[at] + n[i] - common)
+            for j in at[linked].tolist():
                 p, q = find(int(part[i])), find(int(part[j]))
-                if p != q and _similar(one, np.frombuffer(group[j]["own"], np.uint64), percent):
+                if p != q:
                     joined[max(p, q)] = min(p, q)
                     yield max(p, q), min(p, q)
 
@@ -242,8 +262,8 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                for row in batch.slice(at, BLOCK).to_pylist():
+            for at in range(0, batch.num_rows, 512):
+                for row in batch.slice(at, 512).to_pylist():
                     own = (row["key"], row["low"], row["high"])
                     if own != last:
                         yield result()
@@ -261,27 +281,61 @@ def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
+def _placed(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members with their component as part, their id if they have none; and a row for each key of several parts: its largest part, members and bytes of sets there and elsewhere."""
+    placed = members.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    size = [F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")]
+    buckets = placed.groupBy("key", "part").agg(*size).groupBy("key").agg(F.max(F.struct("m", "part", "t")).alias("x"), F.sum("m").alias("m"), F.sum("t").alias("t")).where("x.m < m")
+    rest = (F.col("m") - F.col("x.m")).alias("m_rest"), (F.col("t") - F.col("x.t")).alias("t_rest")
+    return placed, buckets.select("key", F.col("x.part").alias("top"), F.col("x.m").alias("m_top"), F.col("x.t").alias("t_top"), *rest)
+
+
+def _centre_pairs(members: DataFrame, percent: int, seed: int = 0) -> DataFrame:
+    """(a, b): for each of members (key, id, n, part, top) two of its buckets' centres, in other parts, that it shares most buckets with.
+
+    A bucket's centres are its least member and two by hash. In later rounds, with a seed, only members outside the bucket's largest part, top, look for
+    centres, and two of these are in it.
+    """
+    pair = F.struct(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    drawn = [F.min_by(pair, F.xxhash64("id", F.lit(seed), F.lit(k)) if not seed or k == 2 else F.when(F.col("part") == F.col("top"), F.xxhash64("id", F.lit(seed), F.lit(k)))) for k in range(3)]
+    centres = members.groupBy("key").agg((drawn[0] if seed else F.min(pair)).alias("c0"), drawn[1].alias("c1"), drawn[2].alias("c2"))
+    centres = centres.select("key", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c")).select("key", "c.*")
+    near = (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)
+    looking = members.where("part <> top") if seed else members
+    tries = looking.join(centres, "key").where((F.col("part") != F.col("pb")) & near).groupBy("id", "b").agg(F.count(F.lit(1)).alias("k"))
+    best = tries.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False).alias("c"))  # three for each band at most
+    return best.select(F.col("id").alias("a"), F.explode(F.slice("c", 1, 2)).alias("c")).select("a", "c.b")
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """id and component of every class (id, n, keys, sketch) that is linked with another one. docs: (id, text) of the classes at least."""
+    """id and component of every class (id, n, keys) that is linked with another one. docs: (id, text) of the classes at least."""
     rows = classes.select("id", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     members = stored(rows.join(shared, "key", "left_semi"))
     ids = members.select("id").distinct()
     sets = stored(shingle_sets(docs.join(ids.hint("shuffle_hash"), "id", "left_semi"), size))
-    near = (F.col("n") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("n") * percent)
-    pair = F.struct(F.col("id").alias("b"), F.col("n").alias("nb"))
-    centres = members.groupBy("key").agg(F.min(pair).alias("c0"), *(F.min_by(pair, F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in (1, 2)))
-    centres = centres.select("key", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c")).select("key", "c.*")
-    tries = members.join(centres, "key").where((F.col("id") != F.col("b")) & near).groupBy("id", "b").agg(F.count(F.lit(1)).alias("k"))
-    best = tries.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False).alias("c"))  # three for each band at most
-    pairs = best.select(F.col("id").alias("a"), F.explode(F.slice("c", 1, 2)).alias("c")).select("a", "c.b")
-    known = stored(components(stored(verified(pairs, sets, percent))))  # written first: two Python steps in one stage would need twice the workers
-    placed = members.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
-    counts = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks")).where("p < q").select("key", "blocks")
-    blocks = placed.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    blocks = blocks.withColumn("other", other).select("key", "id", "n", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    full = blocks.join(sets, "id").join(classes.select("id", "keys", "sketch"), "id")
+    links = stored(verified(_centre_pairs(members.withColumn("part", F.col("id")), percent), sets, percent))  # written first: two Python steps in one stage would need twice the workers
+    known = stored(components(links))
+    seed, before = 1, None
+    while True:
+        placed, buckets = _placed(members, known)
+        buckets = stored(buckets)
+        crowded = buckets.where(F.col("m_top") + F.col("m_rest") >= CROWD)
+        outside = crowded.agg(F.sum("m_rest")).first()[0] or 0
+        if not outside or before is not None and 2 * outside > before:
+            break
+        links = stored(verified(_centre_pairs(placed.join(crowded.select("key", "top"), "key"), percent, seed), sets, percent))
+        stars = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        known, seed, before = stored(components(stars.unionByName(links))), seed + 1, outside
+    number = [F.ceil(F.greatest(F.col(f"m_{x}") / BLOCK, F.col(f"t_{x}") * 8 / BLOCK_BYTES)).alias(f"{x}s") for x in ("top", "rest")]
+    blocks = placed.join(buckets.select("key", "top", *number), "key")
+    is_top = F.col("part") == F.col("top")
+    block = F.when(is_top, F.col("rests") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rests")))
+    # blocks of the rest come first; a block of the rest meets the others of the rest and all of the largest part, the first of these together with itself
+    other = F.when(is_top, F.sequence(F.lit(0).cast("bigint"), F.col("rests") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("rests") + F.col("tops") - 1))
+    blocks = blocks.withColumn("block", block).withColumn("other", F.explode(other)).where("block <> other")
+    blocks = blocks.select("key", "id", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.greatest("block", "other") == F.col("rests")).alias("within"))
+    full = blocks.join(sets, "id").join(classes.select("id", "keys"), "id")
     grouped = full.repartition(shuffle_width(docs.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
     links = stored(_block_links(grouped, percent))
     top = components(links)
@@ -299,12 +353,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """
     signed = stored(signatures(docs, size, bands, rows))
     own = signed.where("digest is not null and doc_id is not null")
-    classes = stored(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch")))
+    classes = stored(own.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("keys", "doc_id").alias("keys")))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     wanted = classes.select("id", "digest")
     component = linked_classes(texts, classes, percent, size)
     found = wanted.join(component, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    joined = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left")
+    alone = F.col("doc_id").isNull() | F.col("digest").isNull()  # no key for a join, so all of them would meet in one task
+    without = signed.where(alone).select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
+    joined = signed.where(~alone).select("doc_id", "n_shingles", "digest").join(found, "digest").drop("digest").unionByName(without)
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -77,8 +77,31 @@ def test_components_of_long_paths(spark):
     assert found == {i: 0 for i in range(301)} | {i: 999 for i in range(999, 1050) if i != 1000}
 
 
-def test_filter_of_blocks():
-    assert near_dup.least_equal(75, 128) == 75 and near_dup.least_equal(75, 64) == 33 and near_dup.least_equal(100, 16) == 16
+def test_blocks_of_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    """Buckets of many members that no centre unites go through many small blocks, in every combination of largest part and rest."""
+    rng = random.Random(11)
+    rows = []
+    for group in range(3):  # near copies around a text that is not there, some of them of each other
+        base = [f"c{group}_{rng.randrange(500)}" for _ in range(90)]
+        for _ in range(40):
+            own = edited(rng, base, rng.randrange(1, 4)).split()
+            rows += [(len(rows) + k, edited(rng, own, rng.randrange(0, 2))) for k in range(rng.choice([1, 1, 3]))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows)
+    assert 3 < len(set(expected.values())) < len(rows)
+    for block, crowd in ((8, 16), (8, 10_000), (1024, 16)):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "CROWD", crowd)
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()} == expected
+
+
+def test_postings_count_common_elements():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40), dtype=np.uint64)) for _ in range(30)]
+    postings = near_dup._Postings(sets)
+    for own in sets:
+        assert postings.common(own).tolist() == [len(np.intersect1d(own, other)) for other in sets]
 
 
 def test_other_bands(spark):
