@@ -1,11 +1,11 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with every passage by block-max WAND.
 
 The terms are pairs of neighbouring words: single words of common prose meet in too many items for any bound on scores to tell passages
-apart. The impact of a term on an item is its BM25 weight divided by the item's score for its own text, so a score is the part of an item that a
-passage holds, weighed by rarity, and one threshold serves all items. A passage is two blocks of words as long as the longest item, and
-passages advance by one block, so every item-sized span lies whole in some passage. Passages whose terms' greatest impacts cannot reach
-the threshold, which are nearly all, are passed over by vector operations; the rest run the search, and what it retrieves is verified by
-the overlap of question and answer.
+apart. Each item has its own threshold: the least BM25 score that a passage can have which holds the parts of question and answer that
+verification asks for. So the search retrieves all that can be verified. Impacts are divided by that score, which makes 1 the threshold
+of every item. A passage is two blocks of words as long as the longest item, and passages advance by one block, so every item-sized span lies
+whole in some passage. Passages whose terms' greatest impacts cannot reach the threshold, which are nearly all, are passed over by vector
+operations; the rest run the search, and what it retrieves is verified by the overlap of question and answer.
 """
 
 from __future__ import annotations
@@ -22,11 +22,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back
+from .common import handing_back, stored
 
 K1, B = 1.2, 0.75
-#: Least part of an item's own score that a passage must reach.
-THRESHOLD = 0.55
 #: Least parts of the question's and the answer's word runs that the passage must hold.
 QUESTION, ANSWER = 0.6, 0.6
 BLOCK = 64
@@ -52,7 +50,7 @@ def _runs(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
 
 
 class Item:
-    """The answer is what follows the last 'Answer:' or 'A:' at the start of a line, else the last quarter of the words, three at least."""
+    """The answer is what follows the last 'Answer:' or 'A:' at the start of a line, else the last quarter of the words, three at least. Where neither side has two words, all is the answer."""
 
     def __init__(self, item_id: int, text: str | None) -> None:
         self.item_id, self.words = item_id, terms(text)
@@ -61,8 +59,32 @@ class Item:
         marked = [k for k, line in enumerate(lines) if line.lstrip().lower().startswith(("answer:", "a:"))]
         n = len(terms("\n".join(lines[: marked[-1]]))) if marked else len(self.words) - max(3, len(self.words) // 4)
         n = max(0, min(n, len(self.words)))
+        if max(n, len(self.words) - n) < 2:
+            n = 0
         self.question, self.answer = _runs(self.words[:n], 5), _runs(self.words[n:], 3)
 
+    def least_score(self, weights: dict[bytes, float]) -> float:
+        """No passage that holds the asked parts of question and answer has terms of less weight in all.
+
+        A passage with a run has the pair of words at any one place of it, and a pair is there for so many runs of the side at most. So the
+        cheapest pairs, by weight for each run, bound the weight from below, the last one in part; the place that gives most is taken. A pair of both
+        sides counts half for each.
+        """
+        within = [{pair for run in side for pair in pairs(list(run))} for side in (self.question, self.answer)]
+        half = within[0] & within[1]
+        total = 0.0
+        for side, share in ((self.question, QUESTION), (self.answer, ANSWER)):
+            best = 0.0
+            for k in range(max((len(run) for run in side), default=1) - 1):
+                there = Counter(run[k] + b" " + run[k + 1] for run in side)
+                need, weight = math.ceil(share * len(side) - 1e-9), 0.0
+                for cost, pair in sorted((weights[pair] * (0.5 if pair in half else 1) / n, pair) for pair, n in there.items()):
+                    weight += cost * min(need, there[pair])
+                    need -= min(need, there[pair])
+                best = max(best, weight)
+            total += best
+        return total
+
     def overlap(self, passage: list[bytes]) -> tuple[float, float]:
         """The parts of the question's and of the answer's runs that the passage holds; 1 for a side without words."""
         out = []
@@ -84,9 +106,10 @@ class Index:
             counts = Counter(item.terms)
             norm = K1 * (1 - B + B * len(item.terms) / average)
             raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in counts.items()}
-            total = math.fsum(raw.values())
+            least = item.least_score(raw)
+            item.least = least / math.fsum(raw.values())
             for t, w in raw.items():
-                weights.setdefault(t, []).append((number, w / total))
+                weights.setdefault(t, []).append((number, w / least))
         self.number = {t: k for k, t in enumerate(weights)}
         self.word = {w: k for k, w in enumerate(sorted({w for t in weights for w in t.split(b" ")}))}
         codes = np.array([self.word[a] * len(self.word) + self.word[b] for a, b in (t.split(b" ") for t in weights)], np.int64)
@@ -95,7 +118,7 @@ class Index:
         self.postings = [([i for i, _ in p], [w for _, w in p], [max(w for _, w in p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)]) for p in weights.values()]
         self.most = np.array([max(blocks) for _, _, blocks in self.postings], np.float64)
 
-    def search(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
+    def search(self, query: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
         """Block-max WAND: all items with a score of at least threshold for the distinct terms of query, as (number, score)."""
         threshold -= 1e-9
         found = []
@@ -146,8 +169,8 @@ class Index:
             cursors = kept
         return found
 
-    def leaks(self, texts: list[str | None], threshold: float = THRESHOLD) -> Iterator[list[tuple[int, int, float, float, float]]]:
-        """For each text, the verified (item id, passage's first word, score, question and answer overlap), best passage of each item."""
+    def leaks(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, float, float, float]]]:
+        """For each text, the verified (item id, passage's first word, score, question and answer overlap): of each item its best passage, the first of equals. The score is a part of the item's own."""
         get = self.word.get
         split = [terms(text) for text in texts]
         lengths = np.array([len(words) for words in split])
@@ -163,17 +186,18 @@ class Index:
         width = len(self.most)
         hits = np.unique(block[at[hit]] * width + self._order[place[hit]])
         sums = np.bincount(hits // width, self.most[hits % width], minlength=int(n_blocks.sum()) + 1)
-        promising = np.flatnonzero(sums[:-1] + sums[1:] >= threshold - 1e-9)
+        promising = np.flatnonzero(sums[:-1] + sums[1:] >= 1 - 1e-9)
         where = np.searchsorted(first_block, promising, "right") - 1
         out: list[dict[int, tuple]] = [{} for _ in split]
         for at, k in zip(promising.tolist(), where.tolist(), strict=True):
             low, high = np.searchsorted(hits, [at * width, (at + 2) * width])
             start = (at - int(first_block[k])) * self.block
             passage = None
-            for number, score in self.search(sorted({int(x) for x in hits[low:high] % width}), threshold):
+            for number, score in self.search(sorted({int(x) for x in hits[low:high] % width})):
                 if passage is None:
                     passage = split[k][start : start + 2 * self.block]
                 question, answer = self.items[number].overlap(passage)
+                score *= self.items[number].least
                 if question >= QUESTION and answer >= ANSWER and (number not in out[k] or out[k][number][2] < score):
                     out[k][number] = (self.items[number].item_id, start, score, question, answer)
         for found in out:
@@ -196,9 +220,9 @@ def indexes(items: DataFrame, chars: int = INDEX_CHARS) -> Iterator[Index]:
             own = [sorted(set(pairs(words))) for words in split]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in split], pa.int64()), pa.array(own, pa.list_(pa.binary()))], ["item_id", "n", "terms"])
 
-    split = source.mapInArrow(words, "item_id bigint, n bigint, terms array<binary>")
+    split = stored(source.mapInArrow(words, "item_id bigint, n bigint, terms array<binary>"))
     n, average, longest = split.where("n > 1").agg(F.count("n"), F.avg(F.col("n") - 1), F.max("n")).first()
-    frequencies = split.select("item_id", F.explode("terms").alias("term")).groupBy("term").count()
+    frequencies = stored(split.select("item_id", F.explode("terms").alias("term")).groupBy("term").count())
     for shard in range(shards):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard
         own = [Item(row["item_id"], row["text"]) for row in source.where(mine).collect()]
@@ -222,11 +246,12 @@ def _slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 256) -> Iterator
 LEAKS = "doc_id bigint, item_id bigint, start_word bigint, score double, question_overlap double, answer_overlap double"
 
 
-def benchmark_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each item (item_id, text) that a document (doc_id, text) holds, with its best passage: LEAKS.
+def benchmark_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each item (item_id, text) that a document (doc_id, text) holds, with its best passage, the first of equal ones: LEAKS.
 
-    Every passage of every text is searched. Null and empty texts hold nothing, nor is an item of fewer than two words found; repeated documents give their
-    rows each; a null doc_id stays null; empty tables give an empty table; other columns are left out.
+    Every passage of every text, however long, is searched. Null and empty texts hold nothing, nor is an item of fewer than two words or with
+    a null id found; items of one text are found each; repeated documents give their rows each; a null doc_id stays null; empty tables give an empty
+    table; other columns are left out.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -237,7 +262,7 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESH
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in _slices(batch, batch.column(1)):
-                    rows = [(doc, *leak) for doc, leaks in zip(part.column(0).to_pylist(), shared.value.leaks(texts, threshold), strict=True) for leak in leaks]
+                    rows = [(doc, *leak) for doc, leaks in zip(part.column(0).to_pylist(), shared.value.leaks(texts), strict=True) for leak in leaks]
                     columns = list(zip(*rows, strict=True)) or [()] * 6
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in LEAKS.split(", ")])
@@ -246,8 +271,11 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that hold an item; all columns stay, nothing is shuffled."""
+def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs (text) without the rows that hold an item (item_id, text); all columns stay, nothing is shuffled.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go alike; without items all stay; an empty table gives an empty table.
+    """
     spark = docs.sparkSession
     for index in indexes(items):
         shared = spark.sparkContext.broadcast(index)
@@ -255,7 +283,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in _slices(batch, batch.column(batch.schema.get_field_index("text"))):
-                    yield part.filter(pa.array([not leaks for leaks in shared.value.leaks(texts, threshold)], pa.bool_()))
+                    yield part.filter(pa.array([not leaks for leaks in shared.value.leaks(texts)], pa.bool_()))
 
         docs = docs.mapInArrow(handing_back(run), docs.schema)
     return docs

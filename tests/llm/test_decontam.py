@@ -21,6 +21,37 @@ def test_search_equals_brute_force():
             assert sorted(i for i, _ in index.search(query, threshold)) == sorted(i for i, s in scores.items() if s >= threshold)
 
 
+def test_every_passage_that_overlaps_is_retrieved():
+    """Against all passages and items, each by its overlaps alone: items are planted with words changed, so that many are near the limits."""
+    rng = random.Random(6)
+    items = [decontam.Item(i, words(rng, rng.randrange(6, 50), 60 if i % 2 else 3000) + ("\nAnswer: " + words(rng, rng.choice([1, 2, 3, 9]), 40) if i % 3 == 0 else "")) for i in range(120)]
+    items += [decontam.Item(200, "yes no"), decontam.Item(201, "a b a b a b a b a b a b"), decontam.Item(202, "q\nA: r"), decontam.Item(203, items[5].words and b" ".join(items[5].words).decode())]
+    index = next(decontam._index(items, decontam.Counter(t for x in items for t in set(x.terms)), items))
+    texts = []
+    for _ in range(150):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            own = [w.decode() for w in rng.choice(items).words]
+            for _ in range(rng.randrange(0, 1 + len(own) // 5)):
+                own[rng.randrange(len(own))] = f"z{rng.random()}"
+            text += words(rng, rng.randrange(0, 200), 3000).split() + own
+        texts.append(" ".join(text))
+    texts += ["a b " * 30, "yes no", "", None, items[1].words and b" ".join(items[1].words * 3).decode()]
+    found = limits = 0
+    for text, leaks in zip(texts, index.leaks(texts), strict=True):
+        own = decontam.terms(text)
+        expected = set()
+        for item in items:
+            for start in range(0, max(1, len(own)), index.block):
+                question, answer = item.overlap(own[start : start + 2 * index.block])
+                if item.terms and question >= decontam.QUESTION and answer >= decontam.ANSWER:
+                    expected.add(item.item_id)
+                    limits += min(question, answer) < 0.8
+        assert {x[0] for x in leaks} == expected
+        found += len(expected)
+    assert found > 100 and limits > 30
+
+
 def test_leaks(spark, monkeypatch):
     rng = random.Random(3)
     items = [(i, words(rng, rng.randrange(15, 60), 4000)) for i in range(60)] + [(90, None), (91, ""), (None, "some words here")]
