@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sampling
+
 
 def r6(x: Column) -> Column:
     return F.round(x, 6)
@@ -16,14 +18,26 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def tied_rank(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Average ranks of ties. Values are counted first and ranks come from running counts of distinct values, so ties cost one row.
-
-    Without keys the running count is one ordered pass over the distinct values; with keys, one per group.
-    """
+    """df with average ranks of ties. Values are counted first, so ties cost one row, and ranks come from running counts over ranges of distinct values."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(out, F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
-    return df.join(ranks, [*keys, value])
+    ranks = sampling.running(counts, value, "_n", "_before", keys=keys).withColumn(out, F.coalesce("_before", F.lit(0)) + (F.col("_n") + 1) / 2)
+    return df.join(ranks.drop("_n", "_before"), [*keys, value])
+
+
+def quantiles(df: DataFrame, value: str, parts: list[float], names: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles by keys, interpolated between neighbouring values. Only counts of distinct values move, and no task holds all those of a key."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = sampling.running(counts, "_v", "_n", "_before", keys=keys).withColumn("_before", F.coalesce("_before", F.lit(0)))
+    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    joined = placed.join(F.broadcast(size), list(keys)) if keys else placed.crossJoin(F.broadcast(size))  # a row for each key
+    found, out = [], []
+    for k, q in enumerate(parts):
+        at = F.lit(float(q)) * (F.col("_size") - 1)
+        for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            found.append(F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_v"))).alias(f"_{end}{k}"))
+        share = at - F.floor(at)
+        out.append((F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * share).alias(names[k]))
+    return joined.groupBy(*keys, "_size").agg(*found).select(*keys, *out)
 
 
 def regression(df: DataFrame, pred: str, target: str, keys: tuple[str, ...] = (), spearman: bool = True) -> DataFrame:
@@ -60,15 +74,75 @@ def error_by_bucket(df: DataFrame, pred: str, target: str, by: str, edges: list[
 
 def calibration(df: DataFrame, pred: str, target: str, bins: int = 15) -> DataFrame:
     """Mean prediction and target in bins between quantiles of the prediction; equal quantiles leave bins empty."""
-    edges = df.agg(F.percentile(pred, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("edges"))
+    names = [f"_e{k}" for k in range(bins + 1)]
+    edges = quantiles(df, pred, [k / bins for k in range(bins + 1)], names).select(F.array(*names).alias("edges"))
     place = F.size(F.filter("edges", lambda e: e <= F.col(pred))) - 1
     own = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)))  # edges: one row
     return own.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(pred)).alias("pred_mean"), r6(F.avg(target)).alias("target_mean"))
 
 
 def agreement(df: DataFrame, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    own = [r6(F.avg(x)).alias("mean"), r6(F.median(x)).alias("median"), r6(F.percentile(x, F.lit(0.1))).alias("p10"), r6(F.avg((F.col(x) < 0.5).cast("double"))).alias("below_half")]
-    return df.groupBy(*keys).agg(*own) if keys else df.agg(*own)
+    own = [r6(F.avg(x)).alias("mean"), r6(F.avg((F.col(x) < 0.5).cast("double"))).alias("below_half")]
+    means = df.groupBy(*keys).agg(*own)
+    parts = quantiles(df, x, [0.5, 0.1], ["median", "p10"], keys)
+    joined = means.join(parts, list(keys)) if keys else means.crossJoin(parts)
+    return joined.select(*keys, "mean", r6(F.col("median")).alias("median"), r6(F.col("p10")).alias("p10"), "below_half")
+
+
+def box_statistics(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """Quartiles by keys, and the ends of the whiskers: the farthest values within one and a half times the box."""
+    boxes = quantiles(df, value, [0.25, 0.5, 0.75], ["q1", "q2", "q3"], keys)
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    ends = df.join(F.broadcast(boxes), list(keys)).groupBy(*keys, "q1", "q2", "q3")  # boxes: a row for each key
+    own = ends.agg(F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value))).alias("low"), F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value))).alias("high"))
+    return own.select(*keys, *(r6(F.col(c)).alias(c) for c in ("q1", "q2", "q3", "low", "high")))
+
+
+def timing_summary(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """n, median, mean, 90th percentile as the value at place floor(0.9 (n - 1)), and total by keys."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = sampling.running(counts, value, "_n", "_before", keys=keys).withColumn("_before", F.coalesce("_before", F.lit(0)))
+    whole = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(value)).alias("mean"), F.round(F.sum(value), 4).alias("total"))
+    rank = F.floor((F.col("n") - 1) * 0.9)
+    p90 = placed.join(F.broadcast(whole), list(keys)).where((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))).select(*keys, r6(F.col(value)).alias("p90"))
+    middle = quantiles(df, value, [0.5], ["median"], keys)
+    return whole.join(p90, list(keys)).join(middle, list(keys)).select(*keys, "n", r6(F.col("median")).alias("median"), "mean", "p90", "total")
+
+
+def reproduction(df: DataFrame, one: str, other: str, least: float = 1e-4) -> DataFrame:
+    """The greatest difference of two columns, and the share of rows that differ by more than `least`."""
+    apart = F.abs(F.col(one) - F.col(other))
+    return df.agg(r6(F.max(apart)).alias("most"), r6(F.avg((apart > least).cast("double"))).alias("share"))
+
+
+def weighted_loss(df: DataFrame, loss: str, n: str) -> DataFrame:
+    """The mean loss of batches, each weighing as many rows as it has."""
+    return df.agg(r6(F.sum(F.col(loss) * F.col(n)) / F.sum(n)).alias("loss"))
+
+
+def distillation(cosine: Column, mask: Column) -> Column:
+    """1 - cosine over the rows of the mask, as a mean; 0 if there are none."""
+    return masked_mean(1 - cosine, mask)
+
+
+def validation(df: DataFrame, pred: str, target: str, kind: str) -> DataFrame:
+    """n and mse overall and by kind, of kinds with two rows or more."""
+    error = F.col(pred) - F.col(target)
+    own = [F.count(F.lit(1)).alias("n"), r6(F.avg(error * error)).alias("mse")]
+    kinds = df.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(*own)
+    return df.agg(*own).select(F.lit("overall").alias("kind"), "n", "mse").unionByName(kinds).where("n > 1")
+
+
+def best_so_far(df: DataFrame, order: str, value: str) -> DataFrame:
+    """df with `best`: whether a value is less than all before it in order."""
+    return sampling.running(df, order, value, "_least", F.min).withColumn("best", F.coalesce(F.col(value) < F.col("_least"), F.lit(True))).drop("_least")
+
+
+def report_block(df: DataFrame, pred: str, target: str) -> DataFrame:
+    """name and value of the figures that a report's block prints."""
+    error = F.col(pred) - F.col(target)
+    row = df.agg(F.count(F.lit(1)).cast("double").alias("n"), r6(F.avg(error * error)).alias("mse"), r6(F.avg(error)).alias("bias"))
+    return row.unpivot([], ["n", "mse", "bias"], "name", "value")
 
 
 def masked_mean(x: Column, mask: Column) -> Column:

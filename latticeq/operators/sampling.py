@@ -1,26 +1,66 @@
-"""Groups, strides and samples by keys."""
+"""Places in an order, running totals, groups, strides and runs, without a task that sees all rows.
+
+All of them deal rows to ranges of the first order column, whose bounds are quantiles, work within a range, and add what the ranges before
+it hold, which is a row for each range.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def key_numbers(df: DataFrame, key: str, out: str = "number") -> DataFrame:
-    """The distinct keys of df and their place in order, from 0.
+def ranged(df: DataFrame, order: str, out: str = "_part") -> DataFrame:
+    """df with the number of the range that the numeric or time column `order` falls in; there are as many ranges as shuffle partitions. Nulls are in range 0."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    if width < 2:
+        return df.withColumn(out, F.lit(0))
+    number = F.col(order).cast("double") if dict(df.dtypes)[order] != "timestamp" else F.unix_micros(order)
+    bounds = df.agg(F.percentile_approx(number, F.array(*(F.lit(k / width) for k in range(1, width))), 10_000).alias("_bounds"))
+    place = F.coalesce(F.size(F.filter("_bounds", lambda x: x < number)), F.lit(0))
+    return df.crossJoin(F.broadcast(bounds)).withColumn(out, F.when(number.isNull(), 0).otherwise(place)).drop("_bounds")  # one row of bounds
+
+
+def _before(parts: DataFrame, keys: list[str], total: str, how=F.sum) -> DataFrame:
+    """parts (keys, _part, total) with what the ranges before hold: a row for each range and key."""
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_before", how(total).over(earlier)).drop(total)
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "number", keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with each row's place from 0 in the order of its columns, within keys if there are any. Rows that the order does not tell apart share no place, in any order.
 
-    Keys are range-sorted into partitions, counted there and numbered from the counts of the partitions before, so no task sees all keys.
+    A key of many rows is dealt to ranges like all others.
     """
-    keys = df.select(key).distinct()
-    spark = df.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    bounds = keys.agg(F.percentile_approx(key, F.array(*(F.lit(k / width) for k in range(1, width))), 10_000).alias("b")) if width > 1 else None
-    part = F.lit(0) if bounds is None else F.size(F.filter("b", lambda x: x < F.col(key)))
-    placed = keys.withColumn("_part", part) if bounds is None else keys.crossJoin(F.broadcast(bounds)).withColumn("_part", part).drop("b")  # one row of bounds
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row per partition
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return placed.join(F.broadcast(before), "_part").withColumn(out, (rank + F.col("_before")).cast("bigint")).select(key, out)
+    own = [*keys]
+    parts = ranged(df, order[0])
+    sizes = parts.groupBy(*own, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(*own, "_part").orderBy(*order)) - 1
+    before = _before(sizes, own, "_n").withColumnsRenamed({c: f"_k{i}" for i, c in enumerate([*own, "_part"])})
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*own, "_part"])]
+    joined = parts.withColumn("_place", place).join(before, same)
+    return joined.withColumn(out, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("bigint")).select(*(c for c in df.columns if c != out), out)
+
+
+def running(df: DataFrame, order: str, value: str, out: str, how=F.sum, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with the total of `value` over the rows before each one in the order of a column of distinct values, within keys: null for the first. how: F.sum, F.min or F.max."""
+    own = [*keys]
+    parts = ranged(df, order)
+    totals = parts.groupBy(*own, "_part").agg(how(value).alias("_n"))
+    within = how(value).over(Window.partitionBy(*own, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    before = _before(totals, own, "_n", how).withColumnsRenamed({c: f"_k{i}" for i, c in enumerate([*own, "_part"])})
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*own, "_part"])]
+    joined = parts.withColumn("_within", within).join(before, same)
+    if how is F.sum:
+        both = F.when(F.col("_within").isNull() & F.col("_before").isNull(), None).otherwise(F.coalesce("_within", F.lit(0)) + F.coalesce("_before", F.lit(0)))
+    else:
+        both = (F.least if how is F.min else F.greatest)("_within", "_before")  # nulls are skipped
+    return joined.withColumn(out, both).select(*(c for c in df.columns if c != out), out)
+
+
+def key_numbers(df: DataFrame, key: str, out: str = "number") -> DataFrame:
+    """The distinct keys of df and their place in order, from 0."""
+    return numbered(df.select(key).distinct(), [key], out)
 
 
 def group_range(df: DataFrame, key: str, skip: int, count: int) -> DataFrame:
@@ -32,3 +72,36 @@ def group_range(df: DataFrame, key: str, skip: int, count: int) -> DataFrame:
 def buffers(df: DataFrame, key: str, size: int) -> DataFrame:
     """Each key and the number of its buffer of `size` groups."""
     return key_numbers(df, key).select(key, F.floor(F.col("number") / size).cast("bigint").alias("buffer"))
+
+
+def offsets(df: DataFrame, key: str, out: str = "first") -> DataFrame:
+    """Each key and the number of rows with lesser keys: where its rows start when they lie in order."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return running(counts, key, "_rows", out).select(key, F.coalesce(out, F.lit(0)).cast("bigint").alias(out))
+
+
+def every(df: DataFrame, order: list[str], step: int, first: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each step-th row in order, from the row `first` on: a stride, or part `first` of `step` parts."""
+    return numbered(df, order, "_number", keys).where(F.col("_number") % step == first).drop("_number")
+
+
+def blocks(df: DataFrame, order: list[str], size: int, out: str = "block") -> DataFrame:
+    """df with the number of the block of `size` rows in order that a row falls in."""
+    return numbered(df, order, "_number").withColumn(out, F.floor(F.col("_number") / size).cast("bigint")).drop("_number")
+
+
+def key_runs(df: DataFrame, key: str, order: str, out: str = "runs") -> DataFrame:
+    """How many times each key starts anew when rows are read in the order of a column of distinct values."""
+    own = ranged(df.select(key, order), order)
+    lagged = F.lag(F.struct(key)).over(Window.partitionBy("_part").orderBy(order))
+    last = own.groupBy("_part").agg(F.max_by(F.struct(key), order).alias("_last"))
+    last = last.withColumn("_earlier", F.lag("_last").over(Window.orderBy("_part"))).drop("_last")  # a row for each range
+    starts = own.withColumn("_lagged", lagged).join(F.broadcast(last), "_part").withColumn("_previous", F.coalesce("_lagged", "_earlier"))
+    new = F.col("_previous").isNull() | ~F.col(f"_previous.{key}").eqNullSafe(F.col(key))
+    return starts.groupBy(key).agg(F.sum(new.cast("bigint")).alias(out))
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """The first row of each key in an order. Rows are compared before the shuffle, so many rows of one key cost no more than one a task."""
+    ranks = [F.struct(*(F.col(c) if isinstance(c, str) else c for c in order)).alias("_o"), F.struct(*df.columns).alias("_x")]
+    return df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *ranks).groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.min(F.struct("_o", "_x")).alias("m")).select("m._x.*")

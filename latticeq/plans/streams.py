@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..registry import query
+from ..registry import folder, query
 from ..streaming import incremental
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or in a local session without one, under the temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/latticeq-stream-{uuid.uuid4().hex}"
-
-
 @query("G1_incremental_append", "SELECT event_id, event_type FROM events")
 def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appended twice: the second run finds nothing new."""
-    where = _folder(spark)
+    where = folder(spark)
     for _ in range(2):
         stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type")
         incremental.append_stream(stream, f"{where}/out", f"{where}/state", "event_id")
@@ -31,7 +20,7 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G2_first_seen", "SELECT DISTINCT user_id FROM events")
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = _folder(spark)
+    where = folder(spark)
     stream = incremental.first_seen(incremental.file_stream(spark, f"{sf_dir}/events.parquet"), "user_id", "ts", "3650 days").select("user_id")
     incremental.run_available(stream, f"{where}/state", lambda batch, _: batch.write.mode("append").parquet(f"{where}/out"))
     return spark.read.parquet(f"{where}/out")
@@ -41,7 +30,7 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    where = _folder(spark)
+    where = folder(spark)
     counts = incremental.windowed_counts(incremental.file_stream(spark, f"{sf_dir}/events.parquet"), "ts", "1 day", "event_type")
     sink = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{where}/out"))
     sink.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
@@ -53,7 +42,7 @@ def carried_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose group is complete once it has three rows."""
     from pyspark.sql import functions as F
 
-    where = _folder(spark)
+    where = folder(spark)
     stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").select("user_id", F.lit(3).alias("size"))
     groups = incremental.carried_groups(stream, "user_id", "size")
     incremental.run_available(groups, f"{where}/state", lambda batch, _: batch.write.mode("append").parquet(f"{where}/out"))
@@ -62,7 +51,7 @@ def carried_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G6_incremental_pack", "SELECT event_id, value FROM events WHERE event_id % 2 = 0")
 def incremental_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = _folder(spark)
+    where = folder(spark)
     stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").where("event_id % 2 = 0").select("event_id", "value")
     incremental.append_stream(stream, f"{where}/out", f"{where}/state", "event_id")
     return spark.read.parquet(f"{where}/out")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import RESIDUES
 
@@ -17,6 +18,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
+def csv_columns(spark: SparkSession, path: str, schema: StructType | str, columns: list[str]) -> DataFrame:
+    """Some columns of a CSV table with a header; the parser passes over the others. Rows come split by split, so no table is read whole."""
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False).select(*columns)
+
+
 def multi_model(source: DataFrame) -> DataFrame:
     """file and whether it has more than one model."""
     return source.groupBy("file").agg((F.sum(F.col("line").startswith("MODEL").cast("int")) > 1).alias("multi_model"))
