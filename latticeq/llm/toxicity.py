@@ -1,17 +1,18 @@
 """Toxicity by compression distance: windows of words compressed with zstandard dictionaries of toxic and of ordinary text.
 
-The ordinary dictionary is trained on ordinary text. Toxic dictionaries are trained on the words that set toxic texts apart, and stand
-behind the ordinary one's content, so that both compress ordinary prose alike and a window's lengths differ only where toxic material
-matches. Several toxic dictionaries are trained; those that tell a validation part apart best are used together. A text's share of windows
-whose lengths differ by a threshold or more, also chosen there, is calibrated to a probability by isotonic regression.
+The ordinary dictionary is trained on the windows of ordinary texts. Toxic dictionaries are trained on toxic texts, and stand behind the ordinary
+one's content, so that both compress ordinary prose alike and a window's lengths differ only where toxic material matches. Most of a
+toxic text is ordinary prose, so besides its whole windows its stretches that ordinary texts rarely hold are tried as samples: what is covered by runs
+of RUN bytes that are in more toxic texts than chance allows. Several toxic dictionaries are trained; those that tell a validation part apart
+best are used together. A text's share of windows whose lengths differ by a threshold or more, also chosen there, is calibrated to a
+probability by isotonic regression.
 """
 
 from __future__ import annotations
 
-import math
+import contextlib
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
@@ -21,18 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, handing_back
+from .common import crc_bucket, handing_back, mixed
 
 #: Words in a window.
 WINDOW = 10
-#: Labelled texts of each class that a model is fitted on at most, and the length of the longest such text. Scoring has no bounds.
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+#: Labelled texts of each class that a model is fitted on at most, each whole. Scoring has no bounds.
+SAMPLE = 3000
 ORDINARY_BYTES = 16_384
-#: (bytes, segment length of the trainer or 0 for the plain words, least z-score) of the toxic dictionaries that are tried; ENSEMBLE of them are used.
-TRIED = tuple(product((512, 768, 1280), (0, 8, 10, 12), (5.0, 7.0, 9.0)))
+#: Bytes of a run, and how many times as frequent it is in toxic texts.
+RUN, LEAST_LIFT = 8, 5.0
+#: (bytes, segment length of the trainer, least z-score of a run or None for whole windows) of the toxic dictionaries that are tried; ENSEMBLE of them are used.
+TRIED = (*product((512, 768, 1280), (8, 10, 12), (5.0, 7.0, 9.0)), (1280, 12, None), (4096, 12, None))
 ENSEMBLE = 4
-#: A distinguishing word is that many times as frequent in toxic texts.
-LEAST_LIFT = 5.0
 THRESHOLD = 0.3
 
 _TABLE = bytes(32 if chr(i) in string.punctuation + string.whitespace else i for i in range(256))
@@ -99,48 +100,87 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[fl
     return [p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools]
 
 
+#: Control characters, which prose does not hold.
+_FILLER = bytes(range(1, 9)) + bytes(range(14, 28))
+
+
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
-    """The content of a trained dictionary; its header is left out, as all windows are coded alike."""
+    """The best `size` bytes of a trained dictionary's content, without its header, as all windows are coded alike.
+
+    The trainer lays the most useful segments last, and its header pushes bytes off the end. So filler goes first among the samples, as that
+    is what ends up last; it is taken out again.
+    """
     import zstandard
 
-    try:
-        return zstandard.train_dictionary(size + 150, samples, d=6, k=segment).as_bytes()[-size:]
-    except zstandard.ZstdError:  # too few samples to train on
-        return b"".join(dict.fromkeys(samples))[-size:]
+    samples = sorted(samples, key=zlib.crc32)  # the trainer takes a segment from each stretch
+    samples = [samples[k] for k in np.random.default_rng(0).permutation(len(samples))]
+    room = max(2048, sum(map(len, samples)) // 2)
+    filler = np.frombuffer(_FILLER, np.uint8)[np.random.default_rng(1).integers(0, len(_FILLER), room)].tobytes()
+    first = [filler[i : i + 64] for i in range(0, room, 64) for _ in (0, 1)]
+    content = b""
+    with contextlib.suppress(zstandard.ZstdError):  # too few samples to train on
+        trained = zstandard.train_dictionary(2 * size + 1024, first + samples, d=6, k=segment).as_bytes()
+        content = trained.partition(b"\1\0\0\0\4\0\0\0\x08\0\0\0")[2].translate(None, _FILLER)[-size:]  # a header ends with three offsets
+    return content or b"".join(dict.fromkeys(samples))[-size:]
+
+
+def _joined(own: list[bytes]) -> bytes:
+    return b" " + b" ".join(own) + b" "
+
+
+def _cells(text: bytes) -> np.ndarray:
+    """A 24-bit hash of the RUN bytes at each place of a text."""
+    codes = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(codes) - RUN + 1)
+    runs = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        runs = runs << np.uint64(8) | codes[k : k + n]
+    return (mixed(runs) >> np.uint64(40)).astype(np.int64)
+
+
+def scores_of_runs(texts: list[tuple[list[bytes], bool]]) -> np.ndarray:
+    """By hash, the z-score of the share of toxic texts with a run against that of ordinary ones; 0 where the lift is too low. The size is fixed."""
+    counts = {kind: np.zeros(1 << 24, np.float32) for kind in (True, False)}
+    for own, kind in texts:
+        counts[kind][np.unique(_cells(_joined(own)))] += 1
+    n, m = (max(1, sum(kind is label for _, kind in texts)) for label in (True, False))
+    out = np.zeros(1 << 24, np.float32)
+    at = np.flatnonzero(counts[True])
+    a, b = counts[True][at].astype(float), counts[False][at].astype(float)
+    p = (a + b) / (n + m)
+    out[at] = np.where(a / n >= LEAST_LIFT * b / m, (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12), 0)
+    return out
+
+
+def stretches(text: bytes, scores: np.ndarray, least: float) -> list[bytes]:
+    """What is covered by runs that score least or more, runs no further apart than a run in one, with a byte more at both ends."""
+    hit = np.flatnonzero(scores[_cells(text)] >= least)
+    if not len(hit):
+        return []
+    cuts = np.flatnonzero(np.diff(hit) > RUN)
+    starts, ends = np.append(hit[0], hit[cuts + 1]), np.append(hit[cuts], hit[-1]) + RUN
+    return [text[max(0, i - 1) : j + 1] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Model:
-    """A model from whole texts of both classes; prior: the part of toxic texts among all, if the samples do not show it."""
+    """A model from whole texts of both classes; prior: the part of toxic texts among all, if the samples do not show it. Texts of both classes count in both."""
     prior = len(toxic) / max(1, len(toxic) + len(ordinary)) if prior is None else prior
     texts = [(words(text), label) for label, group in ((True, toxic), (False, ordinary)) for text in group]
     part = [zlib.crc32(b" ".join(own)) % 3 == 0 for own, _ in texts]  # copies fall into one part
     learn, check = [x for x, p in zip(texts, part, strict=True) if not p], [x for x, p in zip(texts, part, strict=True) if p]
-    counts = {label: Counter(w for own, kind in learn if kind is label for w in set(own)) for label in (True, False)}
-    n, m = (sum(kind is label for _, kind in learn) for label in (True, False))
-    if not n or not m or len({kind for _, kind in check}) < 2:
+    if len({kind for _, kind in learn}) < 2 or len({kind for _, kind in check}) < 2:
         return Model(scores=[prior])
-
-    def z(word: bytes) -> float:
-        a, b = counts[True][word], counts[False][word]
-        p = (a + b) / (n + m)
-        return (a / n - b / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12) if a / n >= LEAST_LIFT * b / m else 0.0
-
-    scores = {word: z(word) for word in counts[True]}
-    content = _dictionary([w for own, kind in learn if not kind for w in windows(own, 8)][:60_000], ORDINARY_BYTES, 24)
-    told = np.array([kind for _, kind in check])
-    tried = []
-    for size, segment, least in TRIED:
-        told_by = sorted((w for w in scores if scores[w] >= least), key=lambda w: (scores[w], w))
-        if not segment:  # the words themselves, the most telling last, where matches are cheapest
-            tried += [b"".join(b" " + w + b" " for w in told_by)[-size:]] * bool(told_by)
-            continue
-        samples = [b" " + w + b" " for w in told_by for _ in range(2 + int(scores[w] ** 2 / 8))]  # as often as they tell
-        samples.sort(key=zlib.crc32)
-        samples = [samples[k] for k in np.random.default_rng(0).permutation(len(samples))]  # the trainer takes a segment from each stretch
-        if samples:
-            tried.append(_dictionary(samples, size, segment))
+    content = _dictionary([w for own, kind in learn if not kind for w in windows(own, 8)], ORDINARY_BYTES, 24)
+    scores = scores_of_runs(learn)
+    samples = {None: [w for own, kind in learn if kind for w in windows(own, 8)]}
+    for least in {x for _, _, x in TRIED} - {None}:
+        samples[least] = [x for own, kind in learn if kind for x in stretches(_joined(own), scores, least)]
+    del scores
+    tried = [_dictionary(samples[least], size, segment) for size, segment, least in TRIED if samples[least]]
+    tried = [x for x in tried if x]
     if not tried:
         return Model(scores=[prior])
+    told = np.array([kind for _, kind in check])
     # all candidates at once, each against the ordinary content
     every = Model(content, list(dict.fromkeys(tried)))
     base, others = every.compressors()
@@ -164,8 +204,9 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Mo
 def fit_on(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> Model:
     """A model fitted on documents whose label (doc_id, toxic 0 or 1) is known and whose crc32(doc_id as text) modulo folds is not held_out.
 
-    At most `sample` labels of each class, by hash of the id, and of these texts up to SAMPLE_CHARS; the class shares come from all labels.
-    Where a document has several labels, the greatest counts.
+    At most `sample` labels of each class, by hash of the id, with their whole texts, which the driver holds; the class shares come from all
+    labels. Where a document has several labels, the greatest counts; repeated rows count once; null labels, ids and texts and empty texts
+    are left out. Without texts of both classes, the model scores all alike.
     """
     known = labels.where((crc_bucket("doc_id", folds) != held_out) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
@@ -173,7 +214,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2
     for kind in (0, 1):
         own = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = own if chosen is None else chosen.unionByName(own)
-    texts = docs.select("doc_id", "text").where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
     rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # two samples at most
     rows = sorted({(row["doc_id"], row["toxic"], row["text"]) for row in rows})
     total = sizes.get(0, 0) + sizes.get(1, 0)
@@ -198,13 +239,20 @@ def _scored(docs: DataFrame, model: Model, schema: str | object, result) -> Data
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score for every row of docs. The score of a null or empty text is that of a text without any toxic window; repeated rows are scored each; null ids stay null."""
+    """doc_id and score for every row of docs (doc_id, text), from all windows of its whole text.
+
+    The score of a null or empty text is that of a text without any toxic window; equal texts score alike; repeated rows are scored each;
+    null ids stay null; an empty table gives an empty table; other columns, whatever their names, are left out.
+    """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _scored(source, model, "doc_id bigint, score double", lambda batch, scores: pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score threshold or more; all columns stay, nothing is shuffled."""
+    """docs (text) without the rows that score threshold or more; all columns stay, nothing is shuffled.
+
+    Null and empty texts score as texts without any toxic window; repeated rows stay or go alike; an empty table gives an empty table.
+    """
     import pyarrow.compute as pc
 
     return _scored(docs, model, docs.schema, lambda batch, scores: batch.filter(pc.less(scores, threshold)))

@@ -39,3 +39,24 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
     empty = toxicity.fit_on(docs, marks.limit(0))
     assert {r.score for r in toxicity.score_toxicity(docs, empty).collect()} == {0.0}
+
+
+def test_dictionaries_hold_what_sets_toxic_texts_apart():
+    rows, labels = corpus(600)
+    texts = [(toxicity.words(text), bool(label)) for (_, text, *_), (_, label, _) in zip(rows, labels)]
+    scores = toxicity.scores_of_runs(texts)
+    assert toxicity.stretches(b" lo mi you wretch fiend ba ", scores, 5.0) and not toxicity.stretches(b" lo mi ter un gra shi ", scores, 5.0) and not toxicity.stretches(b"", scores, 5.0)
+    samples = [x for own, kind in texts if kind for x in toxicity.stretches(b" " + b" ".join(own) + b" ", scores, 5.0)]
+    trained = toxicity._dictionary(samples, 512, 8)
+    assert len(trained) <= 512 and all(word in trained for word in (b"wretch", b"fiend", b"cretin"))
+    assert toxicity._dictionary([b" a few "], 512, 8) == b" a few "
+
+
+def test_equal_texts_score_alike_and_one_class_scores_the_prior():
+    rows, labels = corpus(300)
+    toxic, ordinary = ([text for (_, text, *_), (_, label, _) in zip(rows, labels) if label == kind] for kind in (1, 0))
+    model = toxicity.fit(toxic, ordinary)
+    compressors = model.compressors()
+    score = lambda text: model.score(model.share(model.differences(toxicity.words(text), compressors)))
+    assert score("You WRETCH, fiend! cretin ...") == score("you wretch fiend cretin") and score("") == score(None) == score(" .,; ")
+    assert toxicity.fit([], ordinary).scores == [0.0] and toxicity.fit(toxic, []).scores == [1.0] and toxicity.fit([], []).scores == [0.0]
