@@ -25,17 +25,31 @@ from .common import shuffle_width, stored
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 HOLDERS = frozenset("article aside button details dialog div dl fieldset figure footer form head header main menu nav ol section select table textarea title ul".split())
 CHROME = frozenset("aside button dialog fieldset footer form head menu nav select textarea title".split())
-#: Words of a class, id or role that mark what is not text.
+#: Words that mark what is not text, if a class, id or role is made of them and of PLACES alone: "ad", "site-nav", "comment_list", but not "no-sidebar".
 MARKS = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer footer login menu modal nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!/?][^>]*\Z", re.S | re.I)
-_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_PART = re.compile(r"[a-z]+")
+PLACES = frozenset("area article bar bottom box center block container content entry footer form global header holder inner left links list main menu outer page post posts primary right row secondary section signup site text top wrap wrapper".split())
+#: The rest of a tag; a quoted value may hold any character, if an attribute can end behind it.
+_REST = r"""((?:(?>=\s*"[^"]*"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>]))*+)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*){_REST}>|<[!?/][^>]*>|<[a-zA-Z!/?][^>]*\Z", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+_PART = re.compile(r"[^a-z0-9]+")
 
 PLAIN, ARTICLE = 0, 1
 #: A neighbour that shares more of the characters than this is a copy.
 COPY_SHARE = 0.8
 
 
+def marked(attributes: str) -> bool:
+    """Whether a class, an id or the role of a tag says that the element is not text."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for token in "".join(values).split():
+                parts = [x for x in _PART.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x and not x[0].isdigit()]
+                if not MARKS.isdisjoint(parts) and all(x in MARKS or x in PLACES for x in parts):
+                    return True
+    return False
+
+
 def blocks(source: str | None) -> list[tuple[int, str]]:
     """Role and text of each block of a page that its markup does not rule out, in order; white space is one blank, references are decoded."""
     found: list[tuple[int, str]] = []
@@ -73,8 +87,8 @@ def blocks(source: str | None) -> list[tuple[int, str]]:
                 del open_[at:]
         elif not token[4].endswith("/"):
             within = any(held in ("article", "main") for held, _ in open_)
-            named = any(not MARKS.isdisjoint(_PART.findall(value.lower())) for value in _NAMED.findall(token[4]))
-            open_.append((name, name in CHROME or named or name == "header" and not within))
+            chrome = name in CHROME or name == "header" and not within
+            open_.append((name, chrome or name not in ("article", "main", "body") and marked(token[4])))
     pieces.append(source[last:])
     flush()
     return found
@@ -172,7 +186,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html); blocks are joined by an empty line.
 
     A null or empty html gives an empty text, a null url the host '' and path ''. Pages of one path are ordered by page_id; pages of a
-    host with equal lines are one page with one verdict. An empty table gives an empty table; other columns are left out. Only hashes of lines are sorted and
+    host with equal lines are one page with one verdict; of two neighbours with equal beginnings of the path, the one before counts as nearer;
+    repeated rows give their text each, however long. An empty table gives an empty table; other columns are left out. Only hashes of lines are sorted and
     ranked, by a range sort and partition counts, so that a large host is spread over many tasks; texts move once, to meet the verdict.
     """
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -11,6 +11,46 @@ def test_blocks_read_what_is_text():
     assert page_diff.blocks(None) == page_diff.blocks("") == [] and page_diff.blocks("a < b <p") == [(0, "a < b")]
 
 
+def test_marks_are_whole_and_tags_are_parsed():
+    text = lambda source: [x for _, x in page_diff.blocks(source)]
+    assert text('<main class="no-sidebar"><article><p>Body</p></article></main>') == ["Body"]
+    assert text('<article class="post related-science"><p>Body</p></article>') == ["Body"]
+    assert text('<article data-id="comment-box"><p>Body</p></article><main id=comments><p>too') == ["Body", "too"]
+    assert text('<p title="a > b">Body</p>') == ["Body"] and text("<p title='x>y' class=a>Body") == ["Body"]
+    assert text('<p title="open>Body</p><p class="b">More</p>') == ["Body", "More"]
+    assert text('<div class="no-sidebar has-comments"><p>Body</p></div><div data-class="ad" title="class=ad">too') == ["Body", "too"]
+    for name in ('class="ad"', "class='x site-nav'", "id=commentList", 'role="navigation"', 'class="ad-300x250"', 'class="post_comments"', 'CLASS="sidebar"'):
+        assert text(f"<div {name}><p>Out</p></div><p>In</p>") == ["In"], name
+    assert text("<p " + 'a="b" ' * 30_000) == [] and text("<p " + 'a="b" ' * 30_000 + ">In") == ["In"]
+
+
+def test_main_text_of_random_sites_equals_plain_loops(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for host in range(5):
+        template = [f"Template {host} {k} {'and more words ' * 3}" for k in range(4)]
+        for k in range(rng.randrange(3, 30)):
+            lines = template[:2] + [f"Story {host} {k} {j} {'is rather long. ' * 8}" for j in range(rng.randrange(1, 6))] + template[2:]
+            lines = [x for x in lines if rng.random() < 0.9]
+            rows.append((len(rows), f"http://h{host}.org/{rng.choice('abc')}/{rng.randrange(1000)}", "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"))
+    rows.append((len(rows), "http://h0.org/long", "<p>" + "</p><p>".join(f"Line {k} of a very long page" for k in range(20_000))))
+    by_host = {}
+    for row in rows:
+        by_host.setdefault(row[1].split("/")[2], []).append((row[1].split("/", 3)[3], row[0], [x for _, x in page_diff.blocks(row[2])]))
+    expected = {}
+    for pages in by_host.values():
+        pages.sort()
+        for k, (path, page, lines) in enumerate(pages):
+            near = [pages[i] for i in (k - 1, k + 1) if 0 <= i < len(pages)]
+            near.sort(key=lambda x: -next((n for n, (a, b) in enumerate(zip(path, x[0])) if a != b), min(len(path), len(x[0]))))
+            near = [x for x in near if sum(len(y) for y in lines if y in x[2]) <= page_diff.COPY_SHARE * sum(map(len, lines))]
+            expected[page] = "\n\n".join(x for x in lines if not near or x not in near[0][2])
+    found = page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()
+    assert {r.page_id: r.text for r in found} == expected and sum("Template" in x for x in expected.values()) < len(rows) / 3
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     def lcs(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
