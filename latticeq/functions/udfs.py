@@ -7,50 +7,86 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from . import kernels
+from . import exprs, kernels
 
 
-def label_pairs(pairs: DataFrame) -> DataFrame:
-    """id, gw_raw, fgw_raw and fgw_feature_term for rows (id, x, y, fx, fy): points and features of two patches as arrays of arrays.
+LABEL = ["gw_raw", "fgw_raw", "fgw_feature_term"]
 
-    Rows of a batch with patches of equal sizes are solved together; a patch without points gives nulls.
+
+def label_records(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, status, error, gw_raw, fgw_raw, fgw_feature_term and label of rows (keys, x, y, fx, fy): points and features of two patches as arrays of arrays.
+
+    Patches of equal sizes are solved together, 64 at a time. A row that cannot be labelled says why and has nulls: a side is missing, points and
+    features differ in number, or points are no numbers.
     """
-    names = ["gw_raw", "fgw_raw", "fgw_feature_term"]
+    own = pairs.select(*keys, "x", "y", "fx", "fy")
+    out = StructType([*own.select(*keys).schema.fields, *(StructField(c, StringType()) for c in ("status", "error")), *(StructField(c, DoubleType()) for c in LABEL)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            found: dict[int, dict] = {}
+            sides = [[_matrix(value) for value in batch.column(batch.schema.get_field_index(c))] for c in ("x", "y", "fx", "fy")]
+            errors = [_label_error(*row) for row in zip(*sides, strict=True)]
+            found: dict[int, tuple] = {}
             sizes: dict[tuple, list[int]] = {}
-            for k, row in enumerate(rows):
-                if row["x"] and row["y"]:
-                    sizes.setdefault((len(row["x"]), len(row["y"])), []).append(k)
-            for own in sizes.values():
-                for at in range(0, len(own), 64):
-                    part = own[at : at + 64]
-                    out = kernels.local_labels(*(np.array([rows[k][c] for k in part], float) for c in ("x", "y", "fx", "fy")))
-                    for i, k in enumerate(part):
-                        found[k] = {name: float(out[name][i]) for name in names}
-            arrays = [pa.array([found.get(k, {}).get(name) for k in range(len(rows))], pa.float64()) for name in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *names])
-
-    return pairs.select("id", "x", "y", "fx", "fy").mapInArrow(run, "id bigint, gw_raw double, fgw_raw double, fgw_feature_term double")
+            for k, error in enumerate(errors):
+                if error is None:
+                    sizes.setdefault((len(sides[0][k]), len(sides[1][k])), []).append(k)
+            for rows in sizes.values():
+                for at in range(0, len(rows), 64):
+                    part = rows[at : at + 64]
+                    labels = kernels.local_labels(*(np.stack([side[k] for k in part]) for side in sides))
+                    found |= {k: tuple(round(float(labels[name][i]), 5) + 0.0 for name in LABEL) for i, k in enumerate(part)}
+            nothing = (None,) * len(LABEL)
+            columns = [pa.array([("error" if e else "ok") for e in errors], pa.string()), pa.array(errors, pa.string())]
+            columns += [pa.array([found.get(k, nothing)[c] for k in range(len(errors))], pa.float64()) for c in range(len(LABEL))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *columns], out.names)
+
+    return own.mapInArrow(run, out).withColumn("label", F.round(exprs.similarity(F.col("gw_raw")), 5))
+
+
+def _matrix(value: pa.Scalar) -> np.ndarray | None:
+    """A list of lists of one length as a matrix, without Python objects; None for null, empty or ragged ones."""
+    rows = value.values if value.is_valid else None
+    if rows is None or not len(rows) or rows.null_count:
+        return None
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(rows), -1) if len(flat) % len(rows) == 0 and len({*rows.value_lengths().to_pylist()}) == 1 else None
+
+
+def _label_error(x: np.ndarray | None, y: np.ndarray | None, fx: np.ndarray | None, fy: np.ndarray | None) -> str | None:
+    if any(v is None for v in (x, y, fx, fy)):
+        return "missing patch"
+    if len(x) != len(fx) or len(y) != len(fy):
+        return "points and features differ in number"
+    if not all(np.isfinite(v).all() for v in (x, y, fx, fy)):
+        return "not a number"
+    return None
 
 
 def local_alignments(pairs: DataFrame, shift: float, open_: float, extend: float) -> DataFrame:
     """query, target and the local alignment score of the standardised similarity of their residue vectors a and b (arrays of arrays)."""
+    return alignment_grid(pairs, [(shift, open_, extend)]).select("query", "target", "score")
+
+
+def alignment_grid(pairs: DataFrame, settings: list[tuple[float, float, float]]) -> DataFrame:
+    """query, target, shift, open, extend and score: each pair's matrix is made once and aligned under all settings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for row in batch.select(["a", "b"]).to_pylist():
-                a, b = (np.array(row[c], float) for c in ("a", "b"))
+            for k in range(batch.num_rows):
+                a, b = (_matrix(batch.column(c)[k]) for c in (2, 3))
+                if a is None or b is None:
+                    continue
                 a, b = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9) for v in (a, b))
-                scores.append(kernels.smith_waterman(kernels.standardised(a @ b.T), shift, open_, extend))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["query", "target", "score"])
+                matrix = kernels.standardised(a @ b.T)
+                rows = [(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), *x, kernels.smith_waterman(matrix, *x)) for x in settings]
+                kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["query", "target", "shift", "open", "extend", "score"])
 
-    return pairs.select("query", "target", "a", "b").mapInArrow(run, "query bigint, target bigint, score double")
+    return pairs.select("query", "target", "a", "b").mapInArrow(run, "query bigint, target bigint, shift double, open double, extend double, score double")
 
 
 def structure_alignments(pairs: DataFrame) -> DataFrame:
@@ -58,7 +94,7 @@ def structure_alignments(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [kernels.align_structures(np.array(row["x"], float), np.array(row["y"], float)) for row in batch.to_pylist()]
+            out = [kernels.align_structures(_matrix(x), _matrix(y)) for x, y in zip(batch.column(1), batch.column(2), strict=True)]
             arrays = [pa.array([x[name] for x in out], pa.float64()) for name in ("tm1", "tm2", "rmsd")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array([len(x["pairs"]) for x in out], pa.int64())], ["id", "tm1", "tm2", "rmsd", "aligned"])
 

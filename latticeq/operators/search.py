@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dot, unit
+from ..sources.shared import stored
+from . import sampling
 
-#: Vectors of a block of the blocked search; a task scores two blocks at a time.
-BLOCK = 2048
+#: Vectors of a block of the blocked search, and queries that a task scores at a time.
+BLOCK, STRIP = 8192, 256
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query", target: str = "target", score: str = "score") -> DataFrame:
@@ -29,8 +31,9 @@ def cosine_pairs(queries: DataFrame, targets: DataFrame) -> DataFrame:
 def blocked_top_k(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """The k nearest by cosine of every vector (id, vec): query, target, score, rank.
 
-    Vectors get a block by hash; each unordered pair of blocks is one group of a task, which multiplies them as matrices and keeps k targets a
-    query, so what leaves a task grows with queries and blocks, not with pairs. Null vectors are left out.
+    Vectors get a block by hash; each unordered pair of blocks is one group of a task, which multiplies strips of one with the other and keeps k
+    targets a query, so what leaves a task grows with queries and blocks, not with pairs. Each vector moves once a block: n * n / BLOCK rows,
+    the least that a task of bounded memory allows when all pairs are compared. Null vectors are left out.
     """
     own = vectors.where("id is not null and vec is not null")
     blocks = blocks or max(1, -(-own.count() // BLOCK))
@@ -45,16 +48,21 @@ def blocked_top_k(vectors: DataFrame, k: int, blocks: int | None = None) -> Data
         low, high = (table.column(name)[0].as_py() if len(ids) else 0 for name in ("low", "high"))
         out: list[tuple] = []
         for a, b in ((low, high), (high, low))[: 1 + (low != high)]:
-            q, t = np.flatnonzero(block == a), np.flatnonzero(block == b)
-            if not len(q) or not len(t):
-                continue
+            queries, t = np.flatnonzero(block == a), np.flatnonzero(block == b)
             t = t[np.argsort(ids[t], kind="stable")]
-            scores = np.round(np.clip(vec[q] @ vec[t].T, -1, 1), 6)
-            scores[ids[q][:, None] == ids[t][None, :]] = -np.inf
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            for row, cols in zip(range(len(q)), best, strict=True):
-                keep = cols[scores[row, cols] > -np.inf]
-                out.append((np.repeat(ids[q[row]], len(keep)), ids[t[keep]], scores[row, keep]))
+            for at in range(0, len(queries) if len(t) else 0, STRIP):
+                q = queries[at : at + STRIP]
+                scores = np.round(np.clip(vec[q] @ vec[t].T, -1, 1), 6)
+                scores[ids[q][:, None] == ids[t][None, :]] = -np.inf
+                if len(t) > 4 * k:  # all that score no less than the k-th, then in order
+                    least = -np.partition(-scores, k, axis=1)[:, k]
+                    best = [np.flatnonzero(row >= x) for row, x in zip(scores, least, strict=True)]
+                    best = [cols[np.argsort(-row[cols], kind="stable")][:k] for row, cols in zip(scores, best, strict=True)]
+                else:
+                    best = list(np.argsort(-scores, axis=1, kind="stable")[:, :k])
+                for row, cols in enumerate(best):
+                    keep = cols[scores[row, cols] > -np.inf]
+                    out.append((np.repeat(ids[q[row]], len(keep)), ids[t[keep]], scores[row, keep]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query", "target", "score"), columns, strict=True)))
 
@@ -124,12 +132,13 @@ def paired_bootstrap(scores: DataFrame, draws: int, a: str = "a", b: str = "b")
     Draw d takes as its i-th query the one whose number is md5(d|i) modulo the number of queries: the same draws on any cluster. Draws are a
     stated set; each is summed on its own after a join on the query's number.
     """
-    n = scores.count()
-    numbered = scores.select((F.row_number().over(Window.orderBy("query")) - 1).cast("bigint").alias("number"), (F.col(a) - F.col(b)).alias("diff"))
-    picks = scores.sparkSession.range(draws * max(n, 1)).select((F.col("id") / max(n, 1)).cast("bigint").alias("draw"), (F.col("id") % max(n, 1)).alias("i"))
+    own = stored(scores.select("query", (F.col(a) - F.col(b)).alias("diff")))
+    n = max(own.count(), 1)
+    places = sampling.numbered(own, ["query"])
+    picks = scores.sparkSession.range(draws * n).select((F.col("id") / n).cast("bigint").alias("draw"), (F.col("id") % n).alias("i"))
     key = F.concat_ws("|", F.col("draw").cast("string"), F.col("i").cast("string"))
-    picks = picks.select("draw", (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") % max(n, 1)).alias("number"))
-    means = picks.join(numbered, "number").groupBy("draw").agg(F.avg("diff").alias("mean"))
+    picks = picks.select("draw", (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") % n).alias("number"))
+    means = picks.join(places, "number").groupBy("draw").agg(F.avg("diff").alias("mean"))  # a row for each draw
     interval = means.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
-    whole = numbered.agg(F.round(F.avg("diff"), 6).alias("difference"), F.sum((F.col("diff") > 0).cast("bigint")).alias("wins_a"), F.sum((F.col("diff") < 0).cast("bigint")).alias("wins_b"))
+    whole = own.agg(F.round(F.avg("diff"), 6).alias("difference"), F.sum((F.col("diff") > 0).cast("bigint")).alias("wins_a"), F.sum((F.col("diff") < 0).cast("bigint")).alias("wins_b"))
     return whole.crossJoin(interval)  # two rows

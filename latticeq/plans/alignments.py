@@ -8,18 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import alignment
 from ..registry import query, table
 
-WIDTH = 60
-
-
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.substring("text", 1, WIDTH)
+    text = F.col("text")
     own = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(text, "[aeiou-]", "-").alias("a"), F.translate(F.regexp_replace(text, "[^aeiourst]", ":"), "aeiourst", "...    X").alias("m"), F.regexp_replace(text, "[rst-]", "-").alias("b"))
     return own
 
 
 _LONG = f"""SELECT item_id, k - 1 AS pos, substr(a, k, 1) AS a, substr(m, k, 1) AS marker, substr(b, k, 1) AS b FROM (
  SELECT item_id, regexp_replace(t, '[aeiou-]', '-', 'g') AS a, translate(regexp_replace(t, '[^aeiourst]', ':', 'g'), 'aeiourst', '...    X') AS m, regexp_replace(t, '[rst-]', '-', 'g') AS b, unnest(range(1, length(t) + 1)) AS k
- FROM (SELECT item_id, substr(text, 1, {WIDTH}) AS t FROM benchmark))"""
+ FROM (SELECT item_id, text AS t FROM benchmark))"""
 _PAIRS = f"""SELECT item_id, pos, i, j, a, marker, b FROM (SELECT *, CAST(sum((a <> '-')::INT) OVER w - 1 AS BIGINT) AS i, CAST(sum((b <> '-')::INT) OVER w - 1 AS BIGINT) AS j FROM ({_LONG}) WINDOW w AS (PARTITION BY item_id ORDER BY pos))
  WHERE a <> '-' AND b <> '-' AND marker IN (':', '.', ' ')"""
 _SEGMENTS = f"SELECT item_id, min(i) AS i0, min(j) AS j0, count(*)::BIGINT AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY item_id, j - i ORDER BY i) AS g FROM ({_PAIRS})) GROUP BY item_id, j - i, g"
@@ -29,6 +26,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_pairs(strings(spark, sf_dir), "item_id", "a", "m", "b")
 
 
+def sized_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned pairs with the length of the second side."""
+    length = strings(spark, sf_dir).select("item_id", F.length(F.replace("b", F.lit("-"), F.lit(""))).alias("size"))
+    return pairs(spark, sf_dir).join(length, "item_id")
+
+
 @query("X17_aligned_pairs", f"SELECT item_id, pos::INT AS pos, i, j, a, marker, b FROM ({_PAIRS})")
 def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir)
@@ -62,14 +65,14 @@ def string_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W8_aligned_stride", f"SELECT item_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS k FROM ({_PAIRS})) WHERE (k - 1) % 8 = 0")
 def aligned_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = alignment.negatives(pairs(spark, sf_dir).withColumn("size", F.lit(WIDTH)), "item_id", "size", stride=8)
+    own = alignment.negatives(sized_pairs(spark, sf_dir), "item_id", "size", stride=8)
     return own.where("pair_type = 'aligned'").select("item_id", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))
 
 
 @query("W9_negatives")
 def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positives and negatives by turns; hashes take the place of random numbers, so a test checks their rules."""
-    return alignment.negatives(pairs(spark, sf_dir).withColumn("size", F.lit(WIDTH)), "item_id", "size", stride=8)
+    return alignment.negatives(sized_pairs(spark, sf_dir), "item_id", "size", stride=8)
 
 
 @query("R5_dense_anchors", f"SELECT b.item_id, coalesce(s.n, 0) AS anchors, CASE WHEN coalesce(s.n, 0) > 12 THEN 'stored' ELSE 'labelled' END AS used FROM benchmark b LEFT JOIN (SELECT item_id, count(*)::BIGINT AS n FROM ({_PAIRS}) GROUP BY 1) s ON b.item_id = s.item_id")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, udfs
 from ..operators import geometry
 from ..registry import query, sql_query, table
 
-#: Structures that the kernels' queries take, and residues of each: the kernels cost thousands of small solves a label.
-SMALL, RESIDUES = 6, 24
-
 
 def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings")
@@ -56,9 +53,9 @@ def number_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("id", "idx", exprs.encode_numbers(exprs.decode_numbers(F.col("code"), 3)).alias("code"))
 
 
-@query("X9_radial_basis", f"SELECT id, i, j, list_transform(range(0, 16), lambda k: round(exp(-(((distance - k * (20.0::DOUBLE / 15)) / (20.0::DOUBLE / 15)) ** 2)), 6)) AS code FROM ({_DIST}) WHERE i = 0")
+@query("X9_radial_basis", f"SELECT id, i, j, list_transform(range(0, 16), lambda k: round(exp(-(((distance - k * (20.0::DOUBLE / 15)) / (20.0::DOUBLE / 15)) ** 2)), 6)) AS code FROM ({_DIST})")
 def radial_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = geometry.pair_distances(residues(spark, sf_dir)).where("i = 0")
+    own = geometry.pair_distances(residues(spark, sf_dir))
     return own.select("id", "i", "j", F.transform(exprs.radial_basis(F.col("distance")), lambda x: F.round(x, 6)).alias("code"))
 
 
@@ -85,9 +82,9 @@ def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select("label", "dim", F.round(F.col("m") / length, 6).alias("value"))
 
 
-@query("X16_pair_features", f"SELECT a.vec_id, list_transform(list_concat(a.v[1:4], b.v[1:4], list_transform(range(1, 5), lambda k: abs(a.v[k] - b.v[k])), list_transform(range(1, 5), lambda k: a.v[k] * b.v[k])), lambda x: round(x, 6)) AS features FROM ({_VEC}) a JOIN ({_VEC}) b ON b.vec_id = a.vec_id + 1")
+@query("X16_pair_features", f"SELECT a.vec_id, list_transform(list_concat(a.v, b.v, list_transform(range(1, len(a.v) + 1), lambda k: abs(a.v[k] - b.v[k])), list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])), lambda x: round(x, 6)) AS features FROM ({_VEC}) a JOIN ({_VEC}) b ON b.vec_id = a.vec_id + 1")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     other = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
     return own.join(other, "vec_id").select("vec_id", F.transform(exprs.pair_features(F.col("v"), F.col("w")), lambda x: F.round(x, 6)).alias("features"))
 
@@ -97,16 +94,17 @@ def gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.element_at("embedding", (F.col("vec_id") % 64 + 1).cast("int")).alias("value"))
 
 
-def cells(spark: SparkSession, sf_dir: str, most: int = SMALL) -> DataFrame:
-    """Residue similarities of pairs of the first structures: each pair's residues meet on the pair, not all with all."""
-    own = residues(spark, sf_dir).where((F.col("id") < most) & (F.col("idx") < RESIDUES)).withColumn("u", exprs.unit(F.col("vec")))
-    pairs = spark.range(most).select(F.col("id").alias("query"), F.explode(F.sequence(F.col("id") + 1, F.lit(most).cast("bigint"))).alias("target")).where(F.col("target") < most)
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residue similarities of all pairs of structures (the first before the second): each pair's residues meet on the pair."""
+    own = residues(spark, sf_dir).withColumn("u", exprs.unit(F.col("vec")))
+    ids = own.select("id").distinct()
+    pairs = ids.select(F.col("id").alias("query")).join(ids.select(F.col("id").alias("target")), F.col("query") < F.col("target"))  # a row for each matrix
     a = own.select(F.col("id").alias("query"), F.col("idx").alias("i"), F.col("u").alias("ua"))
     b = own.select(F.col("id").alias("target"), F.col("idx").alias("j"), F.col("u").alias("ub"))
     return pairs.join(a, "query").join(b, "target").select("query", "target", "i", "j", F.round(exprs.dot(F.col("ua"), F.col("ub")), 6).alias("s"))
 
 
-_UNIT = f"SELECT id, idx, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS u FROM (SELECT id, idx, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM ({_POINTS}) WHERE id < {SMALL} AND idx < {RESIDUES})"
+_UNIT = f"SELECT id, idx, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS u FROM (SELECT id, idx, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM ({_POINTS}))"
 _CELLS = f"SELECT a.id AS query, b.id AS target, a.idx AS i, b.idx AS j, round(list_inner_product(a.u, b.u), 6) AS s FROM ({_UNIT}) a JOIN ({_UNIT}) b ON a.id < b.id"
 
 
@@ -130,21 +128,21 @@ def mixed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SOFT = "SELECT query, target, {0}, max(s) AS best, sum(exp((s - m) / 0.1) * s) / sum(exp((s - m) / 0.1)) AS soft FROM (SELECT *, max(s) OVER (PARTITION BY query, target, {0}) AS m FROM (" + _CELLS + ")) GROUP BY 1, 2, 3"
 
 
-@query("N11_similarity_statistics", f"SELECT r.query, r.target, row_best, row_soft, col_best, col_soft, mean_all FROM (SELECT query, target, round(avg(best), 6) AS row_best, round(avg(soft), 6) AS row_soft FROM ({_SOFT.format('i')}) GROUP BY 1, 2) r JOIN (SELECT query, target, round(avg(best), 6) AS col_best, round(avg(soft), 6) AS col_soft FROM ({_SOFT.format('j')}) GROUP BY 1, 2) c ON r.query = c.query AND r.target = c.target JOIN (SELECT query, target, round(avg(s), 6) AS mean_all FROM ({_CELLS}) GROUP BY 1, 2) a ON r.query = a.query AND r.target = a.target")
+@query("N11_similarity_statistics", f"SELECT r.query, r.target, row_best, row_soft, col_best, col_soft, mean_all FROM (SELECT query, target, round(avg(best), 9) AS row_best, round(avg(soft), 9) AS row_soft FROM ({_SOFT.format('i')}) GROUP BY 1, 2) r JOIN (SELECT query, target, round(avg(best), 9) AS col_best, round(avg(soft), 9) AS col_soft FROM ({_SOFT.format('j')}) GROUP BY 1, 2) c ON r.query = c.query AND r.target = c.target JOIN (SELECT query, target, round(avg(s), 9) AS mean_all FROM ({_CELLS}) GROUP BY 1, 2) a ON r.query = a.query AND r.target = a.target")
 def similarity_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.similarity_statistics(cells(spark, sf_dir))
 
 
 @query("A36_centre_cosine", f"SELECT a.id, round(list_inner_product(a.u, b.u), 6) AS cosine FROM ({_UNIT}) a JOIN ({_UNIT}) b ON b.id = a.id + 1 AND a.idx = 0 AND b.idx = 0")
 def centre_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = residues(spark, sf_dir).where((F.col("idx") == 0) & (F.col("id") < SMALL))
+    own = residues(spark, sf_dir).where("idx = 0")
     other = own.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other"))
     return own.join(other, "id").select("id", F.round(exprs.cosine(F.col("vec"), F.col("other")), 6).alias("cosine"))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = residues(spark, sf_dir).where((F.col("id") < SMALL) & (F.col("idx") < RESIDUES))
-    ordered = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", F.array("x", "y", "z").alias("p"), "vec"))).alias("r"))  # RESIDUES entries
+    """Whole structures: points and vectors in order of their residues."""
+    ordered = residues(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", F.array("x", "y", "z").alias("p"), "vec"))).alias("r"))  # one chain
     return ordered.select("id", F.transform("r", lambda x: x["p"]).alias("points"), F.transform("r", lambda x: x["vec"]).alias("vecs"))
 
 
@@ -153,14 +151,45 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("id2") - F.col("id1") == 1)  # neighbours only
 
 
+def patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each residue's patch: points and vectors of its 32 nearest residues, nearest first."""
+    own = residues(spark, sf_dir)
+    near = geometry.patches(own).select("id", "i", "place", F.col("j").alias("idx"))
+    filled = near.join(own, ["id", "idx"]).groupBy("id", "i").agg(F.array_sort(F.collect_list(F.struct("place", F.array("x", "y", "z").alias("p"), "vec"))).alias("r"))  # 32 entries at most
+    return filled.select("id", "i", F.transform("r", lambda x: x["p"]).alias("points"), F.transform("r", lambda x: x["vec"]).alias("vecs"))
+
+
+def _turned(points: str) -> Column:
+    return F.transform(points, lambda p: F.array(F.get(p, 1) + 1.0, -F.get(p, 0), F.get(p, 2)))
+
+
 @query("N6_local_labels")
 def local_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transport labels of a structure against its moved self (distortion near 0) and against its neighbour."""
+    """Transport labels of every residue's patch against its moved self (distortion near 0), and against the patch at the same place of the next structure."""
+    own = patch_features(spark, sf_dir)
+    itself = own.select("id", "i", F.lit("self").alias("against"), F.col("points").alias("x"), _turned("points").alias("y"), F.col("vecs").alias("fx"), F.col("vecs").alias("fy"))
+    after = own.select((F.col("id") - 1).alias("id"), "i", F.col("points").alias("y"), F.col("vecs").alias("fy"))
+    other = own.join(after, ["id", "i"]).select("id", "i", F.lit("next").alias("against"), F.col("points").alias("x"), "y", F.col("vecs").alias("fx"), "fy")
+    return udfs.label_records(itself.unionByName(other), ["id", "i", "against"])
+
+
+@query("N7_whole_scores")
+def whole_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused score of whole structures, each against its moved self and against the next one."""
     own = _lists(spark, sf_dir)
-    itself = own.select(F.col("id"), F.col("points").alias("x"), F.transform("points", lambda p: F.array(F.get(p, 1) + 1.0, -F.get(p, 0), F.get(p, 2))).alias("y"), F.col("vecs").alias("fx"), F.col("vecs").alias("fy"))
-    other = _pairs(spark, sf_dir).select((F.col("id1") + 1000).alias("id"), F.col("points1").alias("x"), F.col("points2").alias("y"), F.col("vecs1").alias("fx"), F.col("vecs2").alias("fy"))
-    labels = udfs.label_pairs(itself.unionByName(other))
-    return labels.select("id", *(F.round(c, 5).alias(c) for c in ("gw_raw", "fgw_raw", "fgw_feature_term")), F.round(exprs.similarity(F.col("gw_raw")), 5).alias("label"))
+    itself = own.select("id", F.lit("self").alias("against"), F.col("points").alias("x"), _turned("points").alias("y"), F.col("vecs").alias("fx"), F.col("vecs").alias("fy"))
+    other = _pairs(spark, sf_dir).select(F.col("id1").alias("id"), F.lit("next").alias("against"), F.col("points1").alias("x"), F.col("points2").alias("y"), F.col("vecs1").alias("fx"), F.col("vecs2").alias("fy"))
+    return udfs.label_records(itself.unionByName(other).repartition("id", "against"), ["id", "against"])
+
+
+@query("N8_label_records")
+def label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each residue pair that is asked for: labelled, or why it is not. Some ask for residues that are not there, or for points that are no numbers."""
+    own = patch_features(spark, sf_dir).where("i % 16 = 0")
+    asked = own.select("id", "i", F.when(F.col("i") % 32 == 0, F.col("i")).otherwise(F.col("i") + 100_000).alias("j"))
+    one = own.select("id", "i", F.when(F.col("id") % 5 == 4, F.transform("points", lambda p: F.transform(p, lambda _: F.lit(float("nan"))))).otherwise(F.col("points")).alias("x"), F.col("vecs").alias("fx"))
+    other = own.select("id", F.col("i").alias("j"), F.col("points").alias("y"), F.col("vecs").alias("fy"))
+    return udfs.label_records(asked.join(one, ["id", "i"], "left").join(other, ["id", "j"], "left"), ["id", "i", "j"])
 
 
 @query("N14_smith_waterman")
@@ -173,12 +202,9 @@ def smith_waterman(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean alignment score for every setting whose extension costs no more than its opening."""
     own = _pairs(spark, sf_dir).select(F.col("id1").alias("query"), F.col("id2").alias("target"), F.col("vecs1").alias("a"), F.col("vecs2").alias("b"))
-    out = None
-    for shift in (0.0, 0.5):
-        for open_, extend in ((1.0, 0.5), (2.0, 0.5), (2.0, 1.0)):
-            part = udfs.local_alignments(own, shift, open_, extend).agg(F.round(F.avg("score"), 5).alias("mean_score")).select(F.lit(shift).alias("shift"), F.lit(open_).alias("open"), F.lit(extend).alias("extend"), "mean_score")
-            out = part if out is None else out.unionByName(part)
-    return out
+    settings = [(shift, open_, extend) for shift in (0.0, 0.25, 0.5) for open_ in (1.0, 2.0, 3.0) for extend in (0.25, 0.5, 1.0) if extend <= open_]
+    scores = udfs.alignment_grid(own, settings)
+    return scores.groupBy("shift", "open", "extend").agg(F.round(F.avg("score"), 5).alias("mean_score"))
 
 
 @query("N10_structure_alignment")
@@ -195,7 +221,7 @@ def residue_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query("X21_shape_text", ("embeddings",), "SELECT vec_id, concat(CAST(size(embedding) AS STRING), 'x', CAST(label AS STRING)) AS shape FROM embeddings", "SELECT vec_id, concat(CAST(len(embedding) AS VARCHAR), 'x', CAST(label AS VARCHAR)) AS shape FROM embeddings")
-sql_query("R3_padded_groups", ("lineitem",), "SELECT l_orderkey, concat(codes, array_repeat(-1, 20 - size(codes))) AS padded FROM (SELECT l_orderkey, array_sort(collect_list(l_linenumber)) AS codes FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey)", "SELECT l_orderkey, codes || list_resize([]::INT[], 20 - len(codes), -1) AS padded FROM (SELECT l_orderkey, list_sort(list(l_linenumber)) AS codes FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey)")
+sql_query("R3_padded_groups", ("lineitem",), "SELECT l_orderkey, concat(codes, array_repeat(-1, 20 - size(codes))) AS padded FROM (SELECT l_orderkey, array_sort(collect_list(l_linenumber)) AS codes FROM lineitem GROUP BY l_orderkey)", "SELECT l_orderkey, codes || list_resize([]::INT[], 20 - len(codes), -1) AS padded FROM (SELECT l_orderkey, list_sort(list(l_linenumber)) AS codes FROM lineitem GROUP BY l_orderkey)")
 sql_query("R4_extra_residues", ("embeddings",), "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(concat(CAST(vec_id AS STRING), '|', CAST(label AS STRING))), vec_id) AS k FROM embeddings) WHERE k <= 8", None)
 sql_query("R1_item_builder", ("lineitem", "part"), "SELECT l.l_orderkey, l.l_linenumber, round(exp(-l.l_discount / 0.05), 6) AS label, l.l_partkey % 50 < p.p_size AS within FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey")
 sql_query("R2_error_policy", ("lineitem", "part"), "SELECT CASE WHEN l.l_partkey % 50 < p.p_size THEN 'ok' ELSE 'index out of range' END AS status, CAST(count(*) AS BIGINT) AS n FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Search over the embeddings: fold, superfamily and family are the signs of the first components, the score a cosine over the first four."""
+"""Search over the embeddings by the cosine of whole vectors; fold, superfamily and family are the signs of the first components."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from ..registry import query, table
 TOP = 50
 
 
-def vectors(spark: SparkSession, sf_dir: str, low: int = 0, high: int = 4) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", low + 1, high - low), lambda x: x.cast("double")).alias("vec"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,19 +26,19 @@ def hits(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
 
 
 def other_hits(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
-    """A second method: cosine over components 3 to 6."""
-    return search.blocked_top_k(vectors(spark, sf_dir, 2, 6), k)
+    """A second method: the cosine of signed squares of the components."""
+    return search.blocked_top_k(vectors(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x: x * F.abs(x))), k)
 
 
-def _hits_sql(low: int, high: int, k: int = TOP) -> str:
-    v = f"SELECT vec_id AS id, list_transform(embedding[{low + 1}:{high}], lambda x: x::DOUBLE) AS v FROM embeddings"
+def _hits_sql(component: str = "x::DOUBLE", k: int = TOP) -> str:
+    v = f"SELECT vec_id AS id, list_transform(embedding, lambda x: {component}) AS v FROM embeddings"
     unit = f"SELECT id, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS u FROM ({v})"
     return f"SELECT query, target, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS rank FROM (SELECT a.id AS query, b.id AS target, round(list_inner_product(a.u, b.u), 6) AS score FROM ({unit}) a, ({unit}) b WHERE a.id <> b.id)) WHERE rank <= {k}"
 
 
 _DOMAINS = "SELECT vec_id AS id, concat(s1, s2, s3, s4) AS family, concat(s1, s2, s3) AS superfamily, concat(s1, s2) AS fold FROM (SELECT vec_id, " + ", ".join(f"CASE WHEN embedding[{k}] >= 0 THEN 'p' ELSE 'n' END AS s{k}" for k in range(1, 5)) + " FROM embeddings)"
 _SIZES = f"SELECT *, count(*) OVER (PARTITION BY family) AS nf, count(*) OVER (PARTITION BY superfamily) AS ns, count(*) OVER (PARTITION BY fold) AS no FROM ({_DOMAINS})"
-_HITS, _OTHER = _hits_sql(0, 4), _hits_sql(2, 6)
+_HITS, _OTHER = _hits_sql(), _hits_sql("x::DOUBLE * abs(x::DOUBLE)")
 
 
 def _found_sql(hits_sql: str, rows: str) -> str:
@@ -62,10 +62,10 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir)
 
 
-@query("J8_all_against_all", "SELECT query, target, score FROM (" + _hits_sql(0, 64, 100000) + ") WHERE query % 20 = 0")
+@query("J8_all_against_all", "SELECT query, target, score FROM (" + _hits_sql(k=100000) + ") WHERE query % 20 = 0")
 def all_against_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain form: a stated set of queries against all vectors, with the whole embedding."""
-    own = vectors(spark, sf_dir, 0, 64)
+    own = vectors(spark, sf_dir)
     return search.cosine_pairs(own.where("id % 20 = 0"), own).where("query <> target")
 
 

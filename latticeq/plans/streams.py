@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..registry import folder, query
+from ..registry import query
+from ..sources.shared import folder
 from ..streaming import incremental
 
 

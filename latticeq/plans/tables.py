@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import audits, ids, joins, metrics, sampling
-from ..registry import folder, over_tables, query, table
+from ..registry import over_tables, query, table
 from ..sources import parquet, sinks, text
+from ..sources.shared import folder
 
 #: The pair table: a row number and two ids.
 PAIRS = "SELECT o_orderkey AS row_id, CAST(o_custkey AS STRING) AS id1, o_orderpriority AS id2 FROM orders"

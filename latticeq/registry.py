@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +46,6 @@ def over_tables(name: str, oracle: str | None, make: Callable[[Callable[[str], D
     query(name, oracle)(run)
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or in a local session without one, under the temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/latticeq-{uuid.uuid4().hex}"
-
-
 def sql_query(name: str, tables: tuple[str, ...], sql: str, oracle: str | None = None) -> None:
     """A query written in Spark SQL; without an oracle of its own, the same text runs in DuckDB."""
 
