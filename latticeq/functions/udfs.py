@@ -71,22 +71,31 @@ def local_alignments(pairs: DataFrame, shift: float, open_: float, extend: float
     return alignment_grid(pairs, [(shift, open_, extend)]).select("query", "target", "score")
 
 
-def alignment_grid(pairs: DataFrame, settings: list[tuple[float, float, float]]) -> DataFrame:
-    """query, target, shift, open, extend and score: each pair's matrix is made once and aligned under all settings."""
+def alignment_grid(pairs: DataFrame, settings: list[tuple[float, float, float]], sides: list[tuple[str, str]] | None = None) -> DataFrame:
+    """query, target, shift, open, extend and score of pairs (query, target, and columns of residue vectors).
+
+    sides: the columns of both sides for each view, ('a', 'b') by default. A pair's matrix, the mean of its views' standardised ones, is made once and
+    aligned under all settings. Pairs without residues are left out.
+    """
+    sides = sides or [("a", "b")]
+    names = list(dict.fromkeys(c for pair in sides for c in pair))
+
+    def unit(value: pa.Scalar) -> np.ndarray | None:
+        v = _matrix(value)
+        return None if v is None else v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = (_matrix(batch.column(c)[k]) for c in (2, 3))
-                if a is None or b is None:
+                own = {c: unit(batch.column(batch.schema.get_field_index(c))[k]) for c in names}
+                if any(v is None for v in own.values()):
                     continue
-                a, b = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9) for v in (a, b))
-                matrix = kernels.standardised(a @ b.T)
+                matrix = sum(kernels.standardised(own[a] @ own[b].T) for a, b in sides) / len(sides)
                 rows = [(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), *x, kernels.smith_waterman(matrix, *x)) for x in settings]
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["query", "target", "shift", "open", "extend", "score"])
 
-    return pairs.select("query", "target", "a", "b").mapInArrow(run, "query bigint, target bigint, shift double, open double, extend double, score double")
+    return pairs.select("query", "target", *names).mapInArrow(run, "query bigint, target bigint, shift double, open double, extend double, score double")
 
 
 def structure_alignments(pairs: DataFrame) -> DataFrame:

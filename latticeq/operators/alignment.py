@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Markers of an aligned column.
@@ -43,23 +43,57 @@ def identity(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
     return df.select(key, F.coalesce(F.try_divide(equal.cast("double"), F.size(both).cast("double")), F.lit(0.0)).alias("identity"))
 
 
-def negatives(pairs: DataFrame, key: str, length: str, stride: int = 32, seed: int = 0) -> DataFrame:
-    """Every stride-th aligned pair and one negative for each: shifted for even numbers, random for odd ones.
+#: Least and greatest shift of a negative, and how many random ones are tried.
+SHIFTS, TRIES = (4, 32), 10
 
-    A shift is 4 to 32 columns either way by hash, the other way if it leaves the sequence, else the negative is random. A random partner is
-    the first of ten hashed ones that is not on the path (the tenth at last). pairs has key, pos, i, j and the second side's length.
+
+def _drawn(n: Column, *parts: Column) -> Column:
+    """A number from 0 to n - 1 by hash: the same on any cluster."""
+    return F.pmod(F.xxhash64(*parts), n).cast("int")
+
+
+def shifted(rows: DataFrame, keys: list[str], length: str, seed: int = 0) -> DataFrame:
+    """rows (keys, i, j) with `shifted`: j moved by 4 to 32 places, either way, the other way if that leaves the sequence, else null."""
+    own = [F.col(k) for k in keys]
+    step = _drawn(F.lit(SHIFTS[1] - SHIFTS[0] + 1), *own, F.lit(seed), F.lit("step")) + SHIFTS[0]
+    step = F.when(_drawn(F.lit(2), *own, F.lit(seed), F.lit("sign")) == 0, step).otherwise(-step)
+    inside = lambda x: (x >= 0) & (x < F.col(length))
+    there, back = F.col("j") + step, F.col("j") - step
+    return rows.withColumn("shifted", F.when(inside(there), there).when(inside(back), back).cast("int"))
+
+
+def random_pairs(rows: DataFrame, path: DataFrame, keys: list[str], group: str, lengths: tuple[str, str], seed: int = 0) -> DataFrame:
+    """keys, group, ri and rj: the first of ten hashed pairs of places that is not on the path (group, i, j), the tenth if all are.
+
+    Membership is an anti join on (group, i, j), so no path is gathered.
     """
-    number = F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1
+    own = [F.col(k) for k in keys]
+    tries = F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))).alias("t")
+    tried = rows.select(*keys, group, *lengths, tries) if group not in keys else rows.select(*keys, *lengths, tries)
+    for k, (name, length) in enumerate(zip(("ri", "rj"), lengths, strict=True)):
+        tried = tried.withColumn(name, _drawn(F.col(length), *own, F.lit(seed), F.col("t"), F.lit(k)))
+    there = path.select(F.col(group), F.col("i").cast("int").alias("ri"), F.col("j").cast("int").alias("rj"), F.lit(1).alias("_on"))
+    marked = tried.join(there, [group, "ri", "rj"], "left")
+    best = F.min(F.struct(F.when(F.col("_on").isNull(), F.col("t")).otherwise(F.lit(TRIES) - F.col("t") + TRIES).alias("o"), "ri", "rj"))  # off the path first, else the last try
+    return marked.groupBy(*keys).agg(best.alias("x")).select(*keys, "x.ri", "x.rj")
+
+
+def negatives(pairs: DataFrame, key: str, length: str, stride: int = 32, seed: int = 0, first_length: str | None = None) -> DataFrame:
+    """Every stride-th aligned pair and one negative for each: shifted for even numbers, random for odd ones and where no shift fits.
+
+    pairs has key, pos, i, j and the second side's length; random places of the first side come from its own length, else from the second's. Rows
+    are key, k, pair_type, pos (-1 for negatives), i, j.
+    """
+    number = F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1  # a group is one pair of sequences
     own = pairs.withColumn("k", number).where(F.col("k") % stride == 0).withColumn("k", (F.col("k") / stride).cast("int"))
-    hashed = lambda *x: F.xxhash64(F.col(key), F.col("k"), F.lit(seed), *x)
-    step = F.pmod(hashed(F.lit("step")), F.lit(29)) + 4
-    step = F.when(F.pmod(hashed(F.lit("sign")), F.lit(2)) == 0, step).otherwise(-step)
-    there, back = F.col("j") + step, F.col("j") - step
-    inside = lambda x: (x >= 0) & (x < F.col(length))
-    shifted = F.when(inside(there), there).when(inside(back), back)
-    path = pairs.groupBy(key).agg(F.collect_set(F.struct("i", "j")).alias("path"))  # a group is one pair of sequences
-    tried = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda t: F.pmod(F.xxhash64(F.col(key), F.col("k"), F.lit(seed), t), F.col(length)).cast("int"))
-    off = F.filter(tried, lambda j: ~F.array_contains(F.transform("path", lambda p: p["i"] * 100_000 + p["j"]), F.col("i") * 100_000 + j))
-    wanted = own.join(path, key).withColumn("_shifted", F.when(F.col("k") % 2 == 0, shifted)).withColumn("_random", F.coalesce(F.get(off, 0), F.get(tried, 9)))
-    negative = wanted.select(key, "k", F.when(F.col("_shifted").isNotNull(), "shifted").otherwise("random").alias("pair_type"), F.lit(-1).alias("pos"), "i", F.coalesce("_shifted", "_random").cast("int").alias("j"))
+    moved = shifted(own, [key, "k"], length, seed).withColumn("_shifted", F.when(F.col("k") % 2 == 0, F.col("shifted")))
+    drawn = random_pairs(moved.where("_shifted is null").withColumn("_first", F.col(first_length or length)), pairs, [key, "k"], key, ("_first", length), seed)
+    joined = moved.join(drawn, [key, "k"], "left")
+    negative = joined.select(key, "k", F.when(F.col("_shifted").isNotNull(), "shifted").otherwise("random").alias("pair_type"), F.lit(-1).alias("pos"), F.when(F.col("_shifted").isNotNull(), F.col("i")).otherwise(F.col("ri")).cast("int").alias("i"), F.coalesce("_shifted", "rj").cast("int").alias("j"))
     return own.select(key, "k", F.lit("aligned").alias("pair_type"), "pos", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).unionByName(negative)
+
+
+def whole_pairs(rows: DataFrame, key: str, failed: Column) -> DataFrame:
+    """The rows of the keys none of whose rows failed: all of a pair, or nothing."""
+    bad = rows.where(F.coalesce(failed, F.lit(True))).select(key).distinct()
+    return rows.join(bad, key, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,3 +66,57 @@ def one_each(df: DataFrame, key: str) -> DataFrame:
     for row in df.groupBy(key).count().where("count > 1").limit(1).collect():
         raise ValueError(f"{key} {row[key]!r} occurs {row['count']} times")
     return df
+
+
+def run_sharded(spark: SparkSession, rows: int, shards: int, compute: Callable[[int, int], DataFrame], target: str) -> DataFrame:
+    """The table at target, made from windows of rows, each written on its own.
+
+    An existing target is an error, as a run must not go on where another one broke off. A window that fails stops the run, and nothing is merged;
+    the merged table must have as many rows as its shards.
+    """
+    if exists(spark, target) or exists(spark, f"{target}.shards"):
+        raise FileExistsError(f"{target} or its shards are there already")
+    failed, paths = [], []
+    for number, (low, high) in enumerate(row_windows(rows, shards)):
+        paths.append(f"{target}.shards/shard={number}")
+        try:
+            compute(low, high).write.parquet(paths[-1])
+        except Exception as error:
+            failed.append(f"[{low}, {high}): {error}")
+    if failed:
+        raise RuntimeError(f"{len(failed)} of {len(paths)} windows failed, nothing is merged: {'; '.join(failed)}")
+    if not paths:
+        compute(0, 0).write.parquet(target)
+        return spark.read.parquet(target)
+    merged = spark.read.parquet(*paths)
+    merged.write.parquet(target)
+    out = spark.read.parquet(target)
+    if (n := out.count()) != (m := merged.count()):
+        raise RuntimeError(f"{target} has {n} rows, its shards {m}")
+    return out
+
+
+def settings_warnings(saved: dict, wanted: dict) -> list[str]:
+    """What differs between the settings that a result was made with and those that are asked for now."""
+    return [f"{name}: made with {saved[name]!r}, now {wanted[name]!r}" for name in sorted(saved.keys() & wanted.keys()) if saved[name] != wanted[name]]
+
+
+def workers(cpus: int, most: int = 8) -> int:
+    """How many workers read: one processor is left, and there is one worker at least."""
+    return max(1, min(most, cpus - 1))
+
+
+def timed(work: Callable[[], object], repeats: int = 3, warm_up: int = 1) -> list[float]:
+    """Seconds of each repeat; the first ones, which warm up, are not counted."""
+    out = []
+    for k in range(warm_up + repeats):
+        began = time.perf_counter()
+        work()
+        if k >= warm_up:
+            out.append(time.perf_counter() - began)
+    return out
+
+
+def seconds_a_pair(elapsed: float, n: int) -> float:
+    """The cost of one pair when n things were compared with each other."""
+    return elapsed / (n * n) if n else 0.0

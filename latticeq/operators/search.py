@@ -76,6 +76,59 @@ def rerank(hits: DataFrame, new_score: str, head: int) -> DataFrame:
     return hits.withColumn("new_rank", F.row_number().over(order)).drop("rank").withColumnRenamed("new_rank", "rank")
 
 
+def _head(ranked: DataFrame, residues: DataFrame, views: list[str], top: int) -> DataFrame:
+    """The first `top` hits of each query with the residues of both sides under each view."""
+    sides = [residues.select(F.col("id").alias(side), *(F.col(v).alias(f"{side}_{v}") for v in views)) for side in ("query", "target")]
+    return ranked.where(F.col("rank") <= top).select("query", "target").join(sides[0], "query").join(sides[1], "target")
+
+
+def _reordered(ranked: DataFrame, scores: DataFrame, top: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, query, target, score, rank: the head by new scores (by, query, target, score), ties in their old order, and the tail as it was. Only queries with scores."""
+    lists = scores.select(*by, "query").distinct()
+    own = ranked.select("query", "target", F.col("score").alias("_old"), "rank").join(lists, "query").join(scores, [*by, "query", "target"], "left")
+    in_head = F.col("rank") <= top
+    order = Window.partitionBy(*by, "query").orderBy(in_head.desc(), F.when(in_head, F.col("score")).desc_nulls_last(), F.col("rank"))
+    return own.select(*by, "query", "target", F.when(in_head, F.col("score")).otherwise(F.col("_old")).alias("score"), F.row_number().over(order).alias("rank"))
+
+
+def _best(hits: DataFrame, domains: DataFrame, by: tuple[str, ...]) -> dict | None:
+    """The list with the greatest mean sensitivity, superfamily first, then family, then the order of the lists' columns."""
+    means = sensitivity(hits, domains, by).groupBy(*by).agg(F.avg("superfamily").alias("superfamily"), F.avg("family").alias("family"))
+    found = means.orderBy(F.col("superfamily").desc_nulls_last(), F.col("family").desc_nulls_last(), *by).first()  # a row for each setting
+    return None if found is None else found.asDict()
+
+
+def rerank_variants(ranked: dict[str, DataFrame], residues: DataFrame, variants: dict[str, tuple[str, list[str]]], domains: DataFrame, settings: list[tuple[float, float, float]], weights: list[float], tuning: Column, top: int) -> DataFrame:
+    """variant, query, target, score and rank: the lists of all queries, re-ranked by local alignment under each variant.
+
+    ranked: hit lists (query, target, score, rank) by name; residues: id and a column of residue vectors for each view; variants: the list that each
+    re-ranks and the views whose standardised matrices it averages. Settings (shift, open, extend) are chosen for each variant on the queries
+    where `tuning` holds, by mean sensitivity. 'blend' mixes the first variant's alignment scores with its list's own, both as z-scores within a
+    query, by the weight that does best. Tails keep their order. Pairs are aligned under all settings at once; only a row for each setting
+    reaches the driver.
+    """
+    from ..functions import udfs
+
+    keys = ("shift", "open", "extend")
+    out, first = None, None
+    for name, (source, views) in variants.items():
+        pairs = stored(_head(ranked[source], residues, views, top))
+        sides = [(f"query_{v}", f"target_{v}") for v in views]
+        tuned = _reordered(ranked[source], udfs.alignment_grid(pairs.where(tuning), settings, sides), top, keys)
+        best = _best(tuned, domains, keys) or dict(zip(keys, settings[0], strict=True))
+        scores = stored(udfs.alignment_grid(pairs, [tuple(best[k] for k in keys)], sides).select("query", "target", F.round("score", 5).alias("score")))
+        first = first or (source, scores)
+        own = _reordered(ranked[source], scores, top).select(F.lit(name).alias("variant"), "query", "target", "score", "rank")
+        out = own if out is None else out.unionByName(own)
+    source, scores = first
+    both = scores.withColumn("a", z_score("score")).drop("score").join(ranked[source].where(F.col("rank") <= top).withColumn("b", z_score("score")).select("query", "target", "b"), ["query", "target"])
+    mixed = both.withColumn("weight", F.explode(F.array(*(F.lit(float(w)) for w in weights)))).select("weight", "query", "target", F.round(F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b"), 5).alias("score"))
+    mixed = stored(mixed)
+    best = _best(_reordered(ranked[source], mixed.where(tuning), top, ("weight",)), domains, ("weight",)) or {"weight": weights[0]}
+    blend = _reordered(ranked[source], mixed.where(F.col("weight") == best["weight"]).drop("weight"), top)
+    return out.unionByName(blend.select(F.lit("blend").alias("variant"), "query", "target", "score", "rank"))
+
+
 def z_score(x: str, key: str = "query", eps: float = 1e-12) -> Column:
     own = Window.partitionBy(key)
     return (F.col(x) - F.avg(x).over(own)) / (F.stddev_pop(x).over(own) + eps)
@@ -88,34 +141,37 @@ def level_sizes(domains: DataFrame) -> DataFrame:
     return domains.withColumn("eligible", (F.col("n_family") > 1) & (F.col("n_superfamily") > F.col("n_family")) & (F.col("n_fold") > F.col("n_superfamily")))
 
 
-def resolved(hits: DataFrame, domains: DataFrame) -> DataFrame:
-    """hits (query, target, rank): known queries only, the first of each target, no self hits, with both sides' levels; a target may be unknown."""
+def resolved(hits: DataFrame, domains: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """hits (query, target, rank): known queries only, the first of each target, no self hits, with both sides' levels; a target may be unknown. by: columns that tell lists apart."""
     levels = ["family", "superfamily", "fold"]
     q = domains.select(F.col("id").alias("query"), *(F.col(c).alias(f"q_{c}") for c in levels))
     t = domains.select(F.col("id").alias("target"), *(F.col(c).alias(f"t_{c}") for c in levels))
-    best = hits.groupBy("query", "target").agg(F.min("rank").alias("rank")).where("query <> target")
+    best = hits.groupBy(*by, "query", "target").agg(F.min("rank").alias("rank")).where("query <> target")
     return best.join(q, "query").join(t, "target", "left")
 
 
-def _level_hits(rows: DataFrame) -> DataFrame:
+def _level_hits(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     same = {c: F.coalesce(F.col(f"q_{c}") == F.col(f"t_{c}"), F.lit(False)) for c in ("family", "superfamily", "fold")}
     flags = {"family": same["family"], "superfamily": same["superfamily"] & ~same["family"], "fold": same["fold"] & ~same["superfamily"]}
-    return rows.groupBy("query").agg(*(F.sum(flag.cast("bigint")).alias(f"hit_{c}") for c, flag in flags.items()))
+    return rows.groupBy(*by, "query").agg(*(F.sum(flag.cast("bigint")).alias(f"hit_{c}") for c, flag in flags.items()))
 
 
-def sensitivity(hits: DataFrame, domains: DataFrame) -> DataFrame:
+def sensitivity(hits: DataFrame, domains: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per eligible query, the part of each level found before the first false positive; levels exclude the narrower ones.
 
     A target outside the domains or of another fold is a false positive. Denominators of superfamily and fold are one more than the
-    number of members, as in the measure's published form.
+    number of members, as in the measure's published form. by: columns that tell several lists of a query apart, each judged on its own.
     """
-    rows = resolved(hits, domains)
+    rows = resolved(hits, domains, by)
     wrong = F.coalesce(F.col("q_fold") != F.col("t_fold"), F.lit(True))
-    running = F.sum(wrong.cast("int")).over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    found = _level_hits(rows.withColumn("_fp", running).where("_fp = 0"))
-    base = level_sizes(domains).where("eligible").select(F.col("id").alias("query"), "n_family", "n_superfamily", "n_fold").join(found, "query", "left")
+    running = F.sum(wrong.cast("int")).over(Window.partitionBy(*by, "query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    found = _level_hits(rows.withColumn("_fp", running).where("_fp = 0"), by)
+    base = level_sizes(domains).where("eligible").select(F.col("id").alias("query"), "n_family", "n_superfamily", "n_fold")
+    if by:
+        base = base.crossJoin(F.broadcast(hits.select(*by).distinct()))  # a row for each list: settings or methods
+    base = base.join(found, [*by, "query"], "left")
     sizes = {"family": F.col("n_family") - 1, "superfamily": F.col("n_superfamily") - F.col("n_family") + 1, "fold": F.col("n_fold") - F.col("n_superfamily") + 1}
-    return base.select("query", *(F.round(F.coalesce(F.col(f"hit_{c}"), F.lit(0)) / n, 6).alias(c) for c, n in sizes.items()))
+    return base.select(*by, "query", *(F.round(F.coalesce(F.col(f"hit_{c}"), F.lit(0)) / n, 6).alias(c) for c, n in sizes.items()))
 
 
 def recall_at(hits: DataFrame, domains: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("tables", "reports", "alignments", "retrieval", "geometry", "files", "streams", "models")
+FAMILIES = ("tables", "reports", "alignments", "retrieval", "geometry", "files", "streams", "models", "writes")
 
 
 def load() -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import sampling
 from ..registry import query, table
 from ..sources import text
 from .geometry import _POINTS, residues
@@ -59,19 +60,19 @@ def first_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.first_model(structure_lines(spark, sf_dir)).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S15_fasta", "SELECT concat('i', CAST(item_id AS VARCHAR)) AS id, replace(substr(text, 1, 90), ' ', '') AS sequence FROM (SELECT item_id, replace(replace(text, chr(10), ''), '>', '') AS text FROM benchmark)")
+@query("S15_fasta", "SELECT concat('i', CAST(item_id AS VARCHAR)) AS id, replace(text, ' ', '') AS sequence FROM (SELECT item_id, replace(replace(text, chr(10), ''), '>', '') AS text FROM benchmark)")
 def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of two lines each, written and read."""
     clean = F.replace(F.replace("text", F.lit("\n"), F.lit("")), F.lit(">"), F.lit(""))
-    own = table(spark, sf_dir, "benchmark").select("item_id", F.replace(F.substring(clean, 1, 90), F.lit(" "), F.lit("")).alias("s"))
+    own = table(spark, sf_dir, "benchmark").select("item_id", F.replace(clean, F.lit(" "), F.lit("")).alias("s"))
     entry = F.concat(F.lit(">i"), F.col("item_id").cast("string"), F.lit(" note\n"), F.substring("s", 1, 40), F.lit("\n"), F.expr("substring(s, 41)"))
     source = own.select(F.col("item_id").cast("string").alias("file"), F.posexplode(F.split(entry, "\n")).alias("line_no", "line"))
     return text.fasta(source).select("id", "sequence")
 
 
-@query("K15_fasta_entry", "SELECT concat('>', CAST(item_id AS VARCHAR), chr(10), substr(text, 1, 20)) AS value FROM benchmark")
+@query("K15_fasta_entry", "SELECT concat('>', CAST(item_id AS VARCHAR), chr(10), text) AS value FROM benchmark")
 def fasta_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.to_fasta(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 20).alias("sequence")))
+    return text.to_fasta(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("sequence")))
 
 
 @query("S16_lookup", "SELECT key, value FROM (SELECT concat('k', CAST(p_partkey % 50 AS VARCHAR)) AS key, p_brand AS value, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey DESC) AS k FROM part) WHERE k = 1")
@@ -86,13 +87,10 @@ def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.id_list(table(spark, sf_dir, "customer").select(line.alias("line"), F.col("c_custkey").alias("line_no")))
 
 
-@query("S17_hit_list", "SELECT query, target, score, CAST(row_number() OVER (PARTITION BY query ORDER BY line_no) AS INT) AS rank FROM (SELECT CAST(l_orderkey AS VARCHAR) AS query, CAST(l_partkey AS VARCHAR) AS target, l_quantity AS score, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_no FROM lineitem WHERE l_orderkey < 500)")
+@query("S17_hit_list", "SELECT query, target, score, CAST(row_number() OVER (PARTITION BY query ORDER BY line_no) AS INT) AS rank FROM (SELECT CAST(l_orderkey AS VARCHAR) AS query, CAST(l_partkey AS VARCHAR) AS target, l_quantity AS score, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_no FROM lineitem)")
 def hit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    own = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
-    number = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return text.hits(own.select(F.lit("f").alias("file"), number.alias("line_no"), F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("line")))
+    own = sampling.numbered(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "line_no")
+    return text.hits(own.select(F.lit("f").alias("file"), "line_no", F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("line")))
 
 
 @query("K9_formatted_hits", "SELECT vec_id, printf('%.5f', round(embedding[1]::DOUBLE, 5)) AS score FROM embeddings")

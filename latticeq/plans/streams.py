@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..registry import query
+from ..registry import query, table
 from ..sources.shared import folder
 from ..streaming import incremental
 
@@ -16,7 +16,7 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type")
         incremental.append_stream(stream, f"{where}/out", f"{where}/state", "event_id")
-    return spark.read.parquet(f"{where}/out")
+    return incremental.appended(spark, f"{where}/out")
 
 
 @query("G2_first_seen", "SELECT DISTINCT user_id FROM events")
@@ -38,16 +38,30 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("G4_carried_groups", "SELECT user_id, count(*)::BIGINT AS rows FROM events GROUP BY 1 HAVING count(*) >= 3")
+@query("G4_carried_groups", "SELECT user_id, event_id, value FROM events")
 def carried_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose group is complete once it has three rows."""
+    """All rows of users, each user's together once all are there; the number of rows comes with each."""
     from pyspark.sql import functions as F
 
+    sizes = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
     where = folder(spark)
-    stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").select("user_id", F.lit(3).alias("size"))
+    stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "value").join(sizes, "user_id")
     groups = incremental.carried_groups(stream, "user_id", "size")
     incremental.run_available(groups, f"{where}/state", lambda batch, _: batch.write.mode("append").parquet(f"{where}/out"))
-    return spark.read.parquet(f"{where}/out").select("user_id", "rows")
+    return spark.read.parquet(f"{where}/out").select("user_id", "event_id", "value")
+
+
+@query("G5_stopped_and_resumed", "SELECT event_id FROM events")
+def stopped_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over eight files that stops after two batches, and one that goes on where it stopped."""
+    from pyspark.sql import functions as F
+
+    where = folder(spark)
+    table(spark, sf_dir, "events").select("event_id").repartition(8, F.col("event_id")).write.parquet(f"{where}/in")
+    each = lambda batch, number: batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+    for most in (2, 8):
+        incremental.stopped_after(incremental.file_stream(spark, f"{where}/in", 1), f"{where}/state", each, most)
+    return incremental.appended(spark, f"{where}/out")
 
 
 @query("G6_incremental_pack", "SELECT event_id, value FROM events WHERE event_id % 2 = 0")
@@ -55,4 +69,4 @@ def incremental_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = folder(spark)
     stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").where("event_id % 2 = 0").select("event_id", "value")
     incremental.append_stream(stream, f"{where}/out", f"{where}/state", "event_id")
-    return spark.read.parquet(f"{where}/out")
+    return incremental.appended(spark, f"{where}/out")

@@ -2,27 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+#: Footers that are read at a time.
+FOOTERS = 32
+PARTS = "path string, row_group int, first bigint, low bigint, high bigint"
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def files_of(path: str) -> list[str]:
+    """The table's files in the order of their names."""
+    store, where = _store(path)
+    if store.get_file_info(where).type == fs.FileType.File:
+        return [path]
+    found = [x.path for x in store.get_file_info(fs.FileSelector(where, recursive=True)) if x.type == fs.FileType.File]
+    return [path.rstrip("/") + x[len(where.rstrip("/")) :] for x in sorted(found) if not x.rpartition("/")[2].startswith(("_", "."))]
+
+
+def _groups(path: str) -> list[int]:
+    store, where = _store(path)
+    with store.open_input_file(where) as source:
+        meta = pq.read_metadata(source)
+        return [meta.row_group(k).num_rows for k in range(meta.num_row_groups)]
+
+
+def window_parts(path: str, start: int = 0, end: int | None = None) -> list[tuple[str, int, int, int, int]]:
+    """The row groups that meet the rows [start, end): file, group, place of its first row, and the rows [low, high) of it that are wanted.
+
+    Only footers are read, some at a time, and none behind the end of the window.
+    """
+    names, at, out = files_of(path), 0, []
+    with ThreadPoolExecutor(FOOTERS) as pool:
+        for k in range(0, len(names), FOOTERS):
+            for name, groups in zip(names[k : k + FOOTERS], pool.map(_groups, names[k : k + FOOTERS]), strict=True):
+                for number, rows in enumerate(groups):
+                    low, high = max(start, at), at + rows if end is None else min(end, at + rows)
+                    if low < high:
+                        out.append((name, number, at, low - at, high - at))
+                    at += rows
+            if end is not None and at >= end:
+                break
+    return out
 
 
 def window_scan(spark: SparkSession, path: str, columns: list[str], start: int = 0, end: int | None = None) -> DataFrame:
-    """row_id and columns of the rows [start, end) of a one-file table; the window is pushed to the scan, which skips other row groups.
+    """row_id and columns of the rows [start, end) of a table of one or more files, in the order of their names.
 
-    A table of several files needs an offset for each, in the order of their names; it comes from counts in the footers.
+    The footers say which row groups meet the window; only these are read, and of them only the columns. In a store that only Spark reads,
+    Spark scans the table and filters by place.
     """
+    try:
+        parts = window_parts(path, start, end)
+    except (pa.ArrowException, OSError, ValueError):
+        return _scanned(spark, path, columns, start, end)
+    schema = spark.read.parquet(path).select(*columns).schema
+    out = StructType([StructField("row_id", LongType()), *schema.fields])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.to_pylist():
+                store, where = _store(part["path"])
+                at = 0
+                with store.open_input_file(where) as source:
+                    for rows in pq.ParquetFile(source).iter_batches(row_groups=[part["row_group"]], columns=columns):
+                        low, high = max(part["low"] - at, 0), min(part["high"] - at, rows.num_rows)
+                        if low < high:
+                            own = rows.slice(low, high - low)
+                            places = pa.array(range(part["first"] + at + low, part["first"] + at + high), pa.int64())
+                            yield pa.RecordBatch.from_arrays([places, *(own.column(c) for c in columns)], ["row_id", *columns])
+                        at += rows.num_rows
+
+    return spark.createDataFrame(parts, PARTS).repartition(max(1, len(parts))).mapInArrow(read, out)
+
+
+def _scanned(spark: SparkSession, path: str, columns: list[str], start: int, end: int | None) -> DataFrame:
+    """As window_scan, by a scan of the whole table; offsets of several files are joined from counts."""
     files = spark.read.parquet(path)
-    names = sorted(files.inputFiles())
-    place = F.col("_metadata.row_index")
-    own = files.select(place.alias("row_id"), *columns)
-    if len(names) > 1:
-        sizes = {row["name"]: row["n"] for row in files.select(F.col("_metadata.file_path").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per file
-        offsets, at = [], 0
-        for name in sorted(sizes):
-            offsets.append((name, at))
-            at += sizes[name]
-        first = F.create_map(*(F.lit(x) for pair in offsets for x in pair))[F.col("_metadata.file_path")]
-        own = files.select((place + first).alias("row_id"), *columns)
+    name, place = F.col("_metadata.file_path").alias("_name"), F.col("_metadata.row_index").alias("_place")
+    sizes = files.select(name).groupBy("_name").agg(F.count(F.lit(1)).alias("_n"))
+    other = sizes.select(F.col("_name").alias("_other"), F.col("_n").alias("_m"))
+    first = sizes.join(other, F.col("_other") < F.col("_name"), "left").groupBy("_name").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_first"))  # a row per file
+    own = files.select(name, place, *columns).join(F.broadcast(first), "_name").select((F.col("_place") + F.col("_first")).alias("row_id"), *columns)
     own = own.where(F.col("row_id") >= start)
     return own if end is None else own.where(F.col("row_id") < end)
 

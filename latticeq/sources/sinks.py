@@ -7,10 +7,17 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import sampling
 
-def exists(spark: SparkSession, path: str) -> bool:
+
+def _store(spark: SparkSession, path: str) -> tuple:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _store(spark, path)
+    return store.exists(where)
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
@@ -52,3 +59,101 @@ def merge_shards(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
         own = spark.read.parquet(path).withColumn("_shard", F.lit(number))
         out = own if out is None else out.unionByName(own)
     return out.withColumn("_row", F.struct("_shard")).groupBy(key).agg(*(F.min_by(c, "_row").alias(c) for c in out.columns if c not in (key, "_shard")))
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Append rows to a table of CSV files, each with its header; a table with other columns is an error."""
+    spark = df.sparkSession
+    if exists(spark, path) and (there := spark.read.csv(path, header=True).columns) != df.columns:
+        raise ValueError(f"{path} has {there}, not {df.columns}")
+    df.write.mode("append").csv(path, header=True)
+
+
+def mark_progress(spark: SparkSession, path: str, run: str, row: int) -> None:
+    """Say that a run has done all rows before `row`."""
+    spark.range(1).select(F.lit(run).alias("run"), F.lit(row).cast("bigint").alias("row")).coalesce(1).write.mode("append").json(path)
+
+
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """run and row: how far each run has come."""
+    return spark.read.schema("run string, row bigint").json(path).groupBy("run").agg(F.max("row").alias("row"))
+
+
+def write_shards(df: DataFrame, path: str, key: str, shards: int) -> None:
+    """A pack of `shards` shards: rows are dealt by turns in the order of their keys. The index (key, shard, place) and the manifest come after the data.
+
+    A pack that is there already must have the same columns; its shards are kept and new keys go into shards behind the last one.
+    """
+    spark = df.sparkSession
+    first, types = 0, json.dumps(df.dtypes)
+    if exists(spark, f"{path}/manifest"):
+        facts = F.from_json("facts", "next int, types string").alias("x")
+        made = spark.read.json(f"{path}/manifest").select(facts).agg(F.max_by("x.types", "x.next"), F.max("x.next")).first()
+        if made[0] != types:
+            raise ValueError(f"{path} has {made[0]}, not {types}")
+        first = made[1]
+        df = df.join(spark.read.parquet(f"{path}/index").select(key), key, "left_anti").select(*df.columns)
+    dealt = sampling.numbered(df, [key], "_number").withColumn("shard", F.lit(first) + (F.col("_number") % shards).cast("int")).withColumn("place", F.floor(F.col("_number") / shards).cast("bigint")).drop("_number")
+    dealt.repartition("shard").sortWithinPartitions("shard", "place").write.mode("append").partitionBy("shard").parquet(f"{path}/data")
+    written = spark.read.parquet(f"{path}/data").where(F.col("shard") >= first)
+    written.select(key, "shard", "place").write.mode("append").parquet(f"{path}/index")
+    last = written.agg(F.max("shard")).first()[0]
+    append_manifest(spark, f"{path}/manifest", rows=written.count(), next=first if last is None else last + 1, types=types)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a pack that its index has: data of a write that broke off is not seen."""
+    own = spark.read.parquet(f"{path}/data")
+    key = next(c for c in spark.read.parquet(f"{path}/index").columns if c not in ("shard", "place"))
+    return own.join(spark.read.parquet(f"{path}/index"), [key, "shard", "place"], "left_semi").drop("shard", "place")
+
+
+def clear_pack(spark: SparkSession, path: str) -> list[str]:
+    """Delete the shards, index and manifest of a pack, and nothing else that lies there. Returns the names of what went."""
+    store, where = _store(spark, path)
+    gone = []
+    for pattern in ("manifest", "index", "data/shard=*", "data/_SUCCESS"):
+        for found in store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, pattern)) or []:
+            store.delete(found.getPath(), True)
+            gone.append(found.getPath().getName())
+    return sorted(gone)
+
+
+def write_reranked(head: DataFrame, rest: DataFrame, path: str) -> None:
+    """A re-ranked head with four decimals and the original tail with five, each query's hits together and in rank order, compressed."""
+    own = head.withColumn("score", F.format_string("%.4f", "score")).unionByName(rest.withColumn("score", F.format_string("%.5f", "score")))
+    own = own.select("query", "target", "score", "rank").repartition("query").sortWithinPartitions("query", "rank")
+    own.select("query", "target", "score").write.mode("overwrite").csv(path, sep="\t", compression="gzip")
+
+
+def write_predictions(df: DataFrame, path: str, name: str) -> None:
+    """The predictions of a model, beside those of others; a second write of a name replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/name={name}")
+
+
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    """All predictions under a path, with the name of their model."""
+    return spark.read.parquet(path)
+
+
+def merge_timings(spark: SparkSession, path: str, **timings: float) -> None:
+    """Add timings to those that a path keeps; one of a known name takes its place."""
+    rows = [(name, float(value)) for name, value in timings.items()]
+    own = spark.createDataFrame(rows, "name string, seconds double").withColumn("at", F.unix_micros(F.current_timestamp()))
+    own.coalesce(1).write.mode("append").json(path)
+
+
+def timings(spark: SparkSession, path: str) -> DataFrame:
+    """name and seconds, the latest of each name."""
+    return spark.read.schema("name string, seconds double, at bigint").json(path).groupBy("name").agg(F.max_by("seconds", "at").alias("seconds"))
+
+
+def text_table(df: DataFrame) -> DataFrame:
+    """A report's table as lines: cells padded to the width of their column, the header first. Reports are small; the lines keep the order of the first column."""
+    cells = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in df.columns))
+    widths = cells.agg(*(F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(f"_w{k}") for k, c in enumerate(cells.columns)))
+    joined = cells.crossJoin(F.broadcast(widths))  # one row of widths
+    line = lambda values: F.concat_ws("  ", *(F.rpad(v, F.col(f"_w{k}"), F.lit(" ")) for k, v in enumerate(values)))
+    rows = joined.select(F.lit(1).alias("part"), F.col(cells.columns[0]).alias("key"), line([F.col(c) for c in cells.columns]).alias("line"))
+    head = widths.select(F.lit(0).alias("part"), F.lit("").alias("key"), line([F.lit(c) for c in cells.columns]).alias("line"))
+    return head.unionByName(rows).select("part", "key", F.rtrim("line").alias("line"))

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.sinks import append_new
-
 
 def file_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """A stream of the Parquet files under a path, or of a single file, with the schema of what is there."""
@@ -27,8 +25,14 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
 
 
 def append_stream(stream: DataFrame, target: str, checkpoint: str, key: str) -> None:
-    """Append what is new, each key once: a batch that is retried finds its own rows and leaves them out."""
-    run_available(stream, checkpoint, lambda batch, _: append_new(batch.dropDuplicates([key]), target, key))
+    """Append what is new, each key once. What has been seen is the stream's state; each batch has a folder of its own, which a retry replaces, so no batch reads the table."""
+    own = stream.dropDuplicates([key])
+    run_available(own, checkpoint, lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}"))
+
+
+def appended(spark: SparkSession, target: str) -> DataFrame:
+    """What append_stream has written."""
+    return spark.read.parquet(target).drop("batch")
 
 
 def first_seen(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
@@ -43,19 +47,54 @@ def windowed_counts(stream: DataFrame, time: str, width: str, *keys: str, late:
 
 
 def carried_groups(stream: DataFrame, key: str, size: str) -> DataFrame:
-    """Whole groups from a stream that brings them in parts: rows are held until a group has as many as its column `size` says; key, rows and batches it took."""
+    """The rows of whole groups from a stream that brings them in parts: rows are held until a group has as many as its column `size` says.
+
+    State holds the rows of groups that are not whole yet. A group's rows come out together, with `parts`, the number of batches it took.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
+    from pyspark.sql.types import StructType
+
+    names = stream.columns
+    packed = stream.select(key, size, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("row"))
+    fields = {f.name: f for f in stream.schema.fields}
 
     def hold(group, batches, state):
-        have, need, times = state.get if state.exists else (0, 0, 0)
+        held, parts = state.get if state.exists else ([], 0)
+        held, need = list(held), None
         for rows in batches:
-            have, need = have + len(rows), int(rows[size].iloc[0])
-        times += 1
-        if have >= need:
-            state.remove()
-            yield pd.DataFrame({key: [group[0]], "rows": [have], "parts": [times]})
+            held += rows["row"].tolist()
+            need = int(rows[size].iloc[0])
+        if len(held) >= need:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"row": held, "parts": parts + 1})
         else:
-            state.update((have, need, times))
-
-    return stream.groupBy(key).applyInPandasWithState(hold, f"{key} bigint, rows bigint, parts bigint", "have bigint, need bigint, times bigint", "append", GroupStateTimeout.NoTimeout)
+            state.update((held, parts + 1))
+
+    out = packed.groupBy(key).applyInPandasWithState(hold, "row string, parts int", "held array<string>, parts int", "append", GroupStateTimeout.NoTimeout)
+    schema = StructType([fields[c] for c in names])
+    return out.select(F.from_json("row", schema).alias("x"), "parts").select("x.*", "parts")
+
+
+def stopped_after(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], batches: int) -> int:
+    """Take up to so many batches, then stop where a batch ends; the next run goes on there. Returns how many were taken."""
+    taken = 0
+
+    class _Enough(Exception):
+        pass
+
+    def run(batch: DataFrame, number: int) -> None:
+        nonlocal taken
+        if taken == batches:
+            raise _Enough
+        each(batch, number)
+        taken += 1
+
+    query = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except Exception:
+        if taken < batches or "_Enough" not in str(query.exception()):
+            raise
+    return taken

@@ -1,6 +1,7 @@
 import io
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from latticeq.sources import archives
@@ -53,13 +54,26 @@ def test_runs_add_only_what_is_new(spark, tmp_path):
         if part is not None:
             part.write.mode("append").parquet(source)
         incremental.append_stream(incremental.file_stream(spark, source), target, state, "id")
-    assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(10))
+    assert sorted(r.id for r in incremental.appended(spark, target).collect()) == list(range(10))
 
 
 def test_groups_are_carried_until_whole(spark, tmp_path):
     source, target, state = (f"{tmp_path}/{x}" for x in ("in", "out", "state"))
-    for part in ([(1, 3), (1, 3), (2, 1)], [(3, 2)], [(1, 3), (3, 2), (4, 5)]):
-        spark.createDataFrame(part, "k long, size int").coalesce(1).write.mode("append").parquet(source)
+    for part in ([(1, 3, "a"), (1, 3, None), (2, 1, "c")], [(3, 2, "d")], [(1, 3, "e"), (3, 2, "f"), (4, 5, "g")]):
+        spark.createDataFrame(part, "k long, size int, v string").coalesce(1).write.mode("append").parquet(source)
         groups = incremental.carried_groups(incremental.file_stream(spark, source), "k", "size")
         incremental.run_available(groups, state, lambda batch, _: batch.write.mode("append").parquet(target))
-    assert {(r.k, r.rows, r.parts) for r in spark.read.parquet(target).collect()} == {(2, 1, 1), (1, 3, 2), (3, 2, 2)}
+    rows = [tuple(r) for r in spark.read.parquet(target).collect()]
+    assert sorted(rows, key=str) == sorted([(2, 1, "c", 1), (1, 3, "a", 2), (1, 3, None, 2), (1, 3, "e", 2), (3, 2, "d", 2), (3, 2, "f", 2)], key=str)
+
+
+def test_a_run_stops_where_a_batch_ends(spark, tmp_path):
+    source, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    spark.range(60).repartition(6).write.parquet(source)
+    seen: list = []
+    each = lambda batch, number: seen.append({r.id for r in batch.collect()})
+    assert incremental.stopped_after(incremental.file_stream(spark, source, 1), state, each, 2) == 2 and len(seen) == 2
+    assert incremental.stopped_after(incremental.file_stream(spark, source, 1), state, each, 9) == 4
+    assert sum(map(len, seen)) == 60 and set().union(*seen) == set(range(60))
+    with pytest.raises(Exception, match="broken"):
+        incremental.stopped_after(incremental.file_stream(spark, source, 1), f"{state}2", lambda *_: (_ for _ in ()).throw(ValueError("broken")), 3)

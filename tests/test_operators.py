@@ -188,6 +188,121 @@ def test_window_scan_and_resume(spark, tmp_path):
         parquet.require_columns(many, ["b", "c"])
 
 
+def test_window_scan_reads_only_row_groups_that_meet_the_window(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k in range(4):
+        pq.write_table(pa.table({"a": list(range(k * 90, k * 90 + 90)), "b": ["x"] * 90}), f"{tmp_path}/t/{k}.parquet" if (tmp_path / "t").mkdir(exist_ok=True) is None else "", row_group_size=10)
+    path = f"{tmp_path}/t"
+    assert parquet.window_parts(path, 95, 112) == [(f"{path}/1.parquet", 0, 90, 5, 10), (f"{path}/1.parquet", 1, 100, 0, 10), (f"{path}/1.parquet", 2, 110, 0, 2)]
+    assert len(parquet.window_parts(path)) == 36 and parquet.window_parts(path, 400) == [] and parquet.window_parts(f"{path}/2.parquet", 0, 5) == [(f"{path}/2.parquet", 0, 0, 0, 5)]
+    for low, high in ((95, 112), (0, None), (355, 999), (89, 91), (400, None)):
+        expected = [(i, i) for i in range(low, 360 if high is None else min(high, 360))]
+        assert sorted((r.row_id, r.a) for r in parquet.window_scan(spark, path, ["a"], low, high).collect()) == expected
+        assert sorted((r.row_id, r.a) for r in parquet._scanned(spark, path, ["a"], low, high).collect()) == expected
+    assert parquet.window_scan(spark, path, ["b", "a"], 1, 2).columns == ["row_id", "b", "a"]
+
+
+def test_places_totals_and_quantiles_equal_plain_ones(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([0.5, 2.0, 2.0, 3.25, rng.random() * 9]), i) for i in range(400)] + [("a", None, 400), (None, 7.0, 401)]
+    df = spark.createDataFrame(rows, "k string, v double, i int").repartition(5)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    assert {r.i: r.number for r in sampling.numbered(df, ["v", "i"]).collect()} == {r[2]: n for n, r in enumerate(order)}
+    within = {r.i: r.n for r in sampling.numbered(df, ["v", "i"], "n", ("k",)).collect()}
+    assert within == {r[2]: sum(x[0] == r[0] for x in order[: order.index(r)]) for r in rows}
+    running = {r.i: (r.s, r.m) for r in sampling.running(sampling.running(df.where("v is not null"), "i", "v", "s"), "i", "v", "m", F.min).collect()}
+    for k, v, i in rows:
+        before = [x[1] for x in rows if x[2] < i and x[1] is not None]
+        if v is not None:
+            assert running[i][1] == (min(before) if before else None) and (running[i][0] is None) == (not before) and (not before or math.isclose(running[i][0], sum(before)))
+    import numpy as np
+
+    for r in metrics.quantiles(df, "v", [0, 0.1, 0.5, 0.77, 1], list("pqrst"), ("k",)).where("k is not null").collect():
+        own = [x[1] for x in rows if x[0] == r.k and x[1] is not None]
+        assert np.allclose([r.p, r.q, r.r, r.s, r.t], np.quantile(own, [0, 0.1, 0.5, 0.77, 1]))
+    assert metrics.quantiles(df.limit(0), "v", [0.5], ["m"]).count() == 0
+    runs_ = spark.createDataFrame([(x, i) for i, x in enumerate("aabbbacca")], "k string, i int").repartition(3)
+    assert {r.k: r.runs for r in sampling.key_runs(runs_, "k", "i").collect()} == {"a": 3, "b": 1, "c": 1}
+    first = sampling.keep_first(df, ["k"], [F.col("v").desc_nulls_last() if False else -F.coalesce("v", F.lit(0.0)), "i"]).collect()
+    assert {(r.k, r.i) for r in first} == {(k, min((x for x in rows if x[0] == k), key=lambda x: (-(x[1] or 0), x[2]))[2]) for k in ("a", "b", None)}
+
+
+def test_packs_grow_and_are_cleared(spark, tmp_path):
+    path = f"{tmp_path}/pack"
+    df = spark.range(20).select(F.col("id"), (F.col("id") * 3).alias("v"))
+    sinks.write_shards(df.where("id < 12"), path, "id", 3)
+    assert {(r.id, r.shard, r.place) for r in spark.read.parquet(f"{path}/data").collect()} == {(i, i % 3, i // 3) for i in range(12)}
+    sinks.write_shards(df.where("id >= 8"), path, "id", 2)
+    assert {r.id: r.shard for r in spark.read.parquet(f"{path}/data").where("shard >= 3").collect()} == {i: 3 + (i - 12) % 2 for i in range(12, 20)}
+    spark.createDataFrame([(99, 1, 7, 0)], "id long, v long, shard int, place long").write.mode("append").partitionBy("shard").parquet(f"{path}/data")  # a write that broke off
+    assert sorted(map(tuple, sinks.read_shards(spark, path).collect())) == [(i, 3 * i) for i in range(20)]
+    with pytest.raises(ValueError):
+        sinks.write_shards(df.withColumn("v", F.lit("x")), path, "id", 2)
+    (tmp_path / "pack" / "notes.txt").write_text("mine")
+    assert "shard=4" in sinks.clear_pack(spark, path) and (tmp_path / "pack" / "notes.txt").exists()
+    sinks.write_shards(df.withColumn("v", F.lit("x")), path, "id", 2)
+    assert sinks.read_shards(spark, path).count() == 20
+    with pytest.raises(ValueError):
+        sinks.append_csv(df, f"{tmp_path}/csv")
+        sinks.append_csv(df.withColumnRenamed("v", "w"), f"{tmp_path}/csv")
+
+
+def test_sharded_runs_merge_all_or_nothing(spark, tmp_path):
+    compute = lambda low, high: spark.range(low, high)
+    assert runs.run_sharded(spark, 25, 4, compute, f"{tmp_path}/a").count() == 25
+    with pytest.raises(FileExistsError):
+        runs.run_sharded(spark, 25, 4, compute, f"{tmp_path}/a")
+
+    def broken(low, high):
+        if low:
+            raise ValueError("no data")
+        return spark.range(low, high)
+
+    with pytest.raises(RuntimeError, match="1 of 2 windows failed"):
+        runs.run_sharded(spark, 20, 2, broken, f"{tmp_path}/b")
+    assert not sinks.exists(spark, f"{tmp_path}/b")
+    assert runs.settings_warnings({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 4}) == ["b: made with 2, now 3"]
+    assert (runs.workers(1), runs.workers(4), runs.workers(64)) == (1, 3, 8) and len(runs.timed(lambda: None, 2, 1)) == 2 and runs.seconds_a_pair(8.0, 2) == 2.0
+
+
+def test_shifted_and_random_negatives(spark):
+    own = spark.range(300).select(F.lit(1).alias("g"), F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(300).alias("n"))
+    for r in alignment.shifted(own, ["g", "i"], "n").collect():
+        assert 4 <= abs(r.shifted - r.j) <= 32 and 0 <= r.shifted < 300
+    assert alignment.shifted(own.limit(1).withColumn("n", F.lit(3)), ["g", "i"], "n").first().shifted is None
+    drawn = alignment.random_pairs(own.withColumn("m", F.lit(300)), own, ["g", "i"], "g", ("m", "n")).collect()
+    assert len(drawn) == 300 and all(r.ri != r.rj and 0 <= r.ri < 300 and 0 <= r.rj < 300 for r in drawn) and len({r.ri for r in drawn}) > 100
+    full = own.where("i < 1").withColumn("n", F.lit(1)).withColumn("m", F.lit(1))
+    assert [(r.ri, r.rj) for r in alignment.random_pairs(full, full, ["g", "i"], "g", ("m", "n")).collect()] == [(0, 0)]
+    rows = spark.createDataFrame([(1, "ok"), (1, "bad"), (2, "ok"), (3, None)], "k int, s string")
+    assert [r.k for r in alignment.whole_pairs(rows, "k", F.col("s") != "ok").collect()] == [2]
+
+
+def test_reranked_variants_choose_by_sensitivity_and_keep_tails(spark):
+    rng = __import__("random").Random(2)
+    centre = [[[rng.gauss(0, 1) for _ in range(6)] for _ in range(9)] for _ in range(3)]
+    own = [(k, [[x + rng.gauss(0, 0.2) for x in v] for v in centre[k % 3]]) for k in range(12)]
+    residues = spark.createDataFrame(own, "id long, good array<array<double>>").withColumn("noise", F.transform("good", lambda v: F.transform(v, lambda x, k: x * 0 + F.pmod(F.xxhash64(F.col("id"), x), F.lit(100)) / 100.0)))
+    hits = spark.createDataFrame([(q, t, 1.0 / (1 + r), r + 1) for q in range(12) for r, t in enumerate(x for x in range(12) if x != q)], "query long, target long, score double, rank int")
+    domains = spark.createDataFrame([(k, str(k % 3), str(k % 3), "x") if k < 9 else (k, f"{k % 3}b", str(k % 3), "x") for k in range(12)], "id long, family string, superfamily string, fold string")
+    out = search.rerank_variants({"list": hits}, residues, {"one": ("list", ["good"]), "two": ("list", ["good", "noise"])}, domains, [(5.0, 1.0, 1.0), (0.5, 2.0, 0.5)], [0.0, 1.0], F.col("query") < 6, 8)
+    lists: dict = {}
+    for r in out.collect():
+        lists.setdefault((r.variant, r.query), []).append((r.rank, r.target, r.score))
+    assert {v for v, _ in lists} == {"one", "two", "blend"} and all(len(x) == 11 for x in lists.values())
+    old = {q: [t for t in range(12) if t != q] for q in range(12)}
+    for (variant, q), rows in lists.items():
+        rows.sort()
+        assert [t for _, t, _ in rows[8:]] == old[q][8:] and sorted(t for _, t, _ in rows) == old[q]
+        if variant == "one":
+            same = [t for t in old[q][:8] if t % 3 == q % 3]
+            assert {t for _, t, _ in rows[: len(same)]} == set(same)
+
+
 def test_sinks_and_runs(spark, tmp_path):
     df = spark.range(10).withColumn("v", F.col("id") * 2)
     for part in (df.where("id < 6"), df):
