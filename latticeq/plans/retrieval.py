@@ -186,11 +186,11 @@ def before_first_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("fp", wrong).where("fp = 0").select("query", "target", "rank")
 
 
-@query("F9_resolved_names", f"SELECT query, CASE WHEN target % 2 = 0 THEN target ELSE target END AS target FROM ({_HITS}) WHERE rank <= 5")
+@query("F9_resolved_names", f"SELECT query, CASE WHEN target % 5 <> 0 THEN target END AS target FROM ({_HITS}) WHERE rank <= 5")
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as they are, or without their last part if only that is known."""
+    """Names as they are, or without their last part if only that is known; some are known in neither form."""
     known = domains(spark, sf_dir).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("name"), "id")
-    own = hits(spark, sf_dir, 5).withColumn("raw", F.concat(F.lit("d"), F.col("target").cast("string"), F.when(F.col("target") % 2 == 1, "_A").otherwise("")))
+    own = hits(spark, sf_dir, 5).withColumn("raw", F.concat(F.when(F.col("target") % 5 == 0, "x").otherwise("d"), F.col("target").cast("string"), F.when(F.col("target") % 2 == 1, "_A").otherwise("")))
     own = own.withColumn("short", F.regexp_replace("raw", "_[^_]*$", ""))
     whole = known.select(F.col("name").alias("raw"), F.col("id").alias("id1"))
     cut = known.select(F.col("name").alias("short"), F.col("id").alias("id2"))

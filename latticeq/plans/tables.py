@@ -217,8 +217,8 @@ TABLES: dict[str, tuple[str, Callable[[Callable[[str], DataFrame]], DataFrame]]]
         lambda t: audits.histogram(t("events"), "event_type", "event_type"),
     ),
     "A2_value_counts": (
-        "SELECT head, n FROM (SELECT head, n, row_number() OVER (ORDER BY n DESC, head) AS k FROM (SELECT substring(text, 1, 12) AS head, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY substring(text, 1, 12))) WHERE k <= 5",
-        lambda t: audits.top_values(t("documents"), F.substring("text", 1, 12), "head", 5),
+        "SELECT head, n FROM (SELECT head, n, row_number() OVER (ORDER BY n DESC, head) AS k FROM (SELECT substring(text, 1, 60) AS head, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY substring(text, 1, 60))) WHERE k <= 5",
+        lambda t: audits.top_values(t("documents"), F.substring("text", 1, 60), "head", 5),
     ),
     "A3_distinct_counts": (
         "SELECT CAST(count(DISTINCT l_orderkey) AS BIGINT) AS pairs, CAST(count(DISTINCT l_partkey) AS BIGINT) AS proteins, CAST(count(*) AS BIGINT) AS n FROM lineitem",
