@@ -11,28 +11,46 @@ from latticeq.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model of the labelled ones scores under the threshold."""
+    """Documents that a model of the labelled ones scores under the threshold.
+
+    Null and empty texts score as texts without any toxic window; repeated rows stay or go alike; without labels of both classes all score alike;
+    an empty table gives an empty table; extra columns stay.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that its source repeats."""
-    cleaned = site_lines.drop_repeated_lines(docs).select(*docs.columns)
+    """Every document, without the lines that its source repeats; n_chars is the length of what is left.
+
+    A null text stays null with its n_chars, a null source is the source ''; repeated rows are cleaned each; an empty table gives an empty table; extra
+    columns stay.
+    """
+    cleaned = site_lines.drop_site_lines(docs).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one with the least doc_id.
+
+    Null, empty and blank texts and null ids have no copies and stay; repeated rows with the kept id all stay; an empty table gives an empty table; extra
+    columns stay.
+    """
     return near_dup.keep_one(docs).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items.
+
+    Null and empty texts hold none and stay; repeated rows stay or go alike; without items all stay; an empty table gives an empty table; extra columns stay.
+    """
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, in sequences."""
+    """The documents' pieces, in sequences.
+
+    Null and empty texts give the end id alone; repeated rows are packed each; an empty table gives an empty table; extra columns are left out.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
