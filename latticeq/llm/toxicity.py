@@ -32,7 +32,7 @@ ORDINARY_BYTES = 16_384
 #: Bytes of a run, and how many times as frequent it is in toxic texts.
 RUN, LEAST_LIFT = 8, 5.0
 #: (bytes, segment length of the trainer, least z-score of a run or None for whole windows) of the toxic dictionaries that are tried; ENSEMBLE of them are used.
-TRIED = (*product((512, 768, 1280), (8, 10, 12), (5.0, 7.0, 9.0)), (1280, 12, None), (4096, 12, None))
+TRIED = (*product((768, 1280, 2048), (8, 10, 12), (5.0, 7.0, 9.0)), (1280, 12, None), (4096, 12, None))
 ENSEMBLE = 4
 THRESHOLD = 0.3
 
@@ -128,24 +128,29 @@ def _joined(own: list[bytes]) -> bytes:
     return b" " + b" ".join(own) + b" "
 
 
+#: Bits of the hash of a run: tables of counts have a fixed size.
+CELLS = 24
+
+
 def _cells(text: bytes) -> np.ndarray:
-    """A 24-bit hash of the RUN bytes at each place of a text."""
+    """A hash of the RUN bytes at each place of a text."""
     codes = np.frombuffer(text, np.uint8).astype(np.uint64)
     n = max(0, len(codes) - RUN + 1)
     runs = np.zeros(n, np.uint64)
     for k in range(RUN):
         runs = runs << np.uint64(8) | codes[k : k + n]
-    return (mixed(runs) >> np.uint64(40)).astype(np.int64)
+    return (mixed(runs) >> np.uint64(64 - CELLS)).astype(np.int64)
 
 
-def scores_of_runs(texts: list[tuple[list[bytes], bool]]) -> np.ndarray:
-    """By hash, the z-score of the share of toxic texts with a run against that of ordinary ones; 0 where the lift is too low. The size is fixed."""
-    counts = {kind: np.zeros(1 << 24, np.float32) for kind in (True, False)}
+def scores_of_runs(texts: list[tuple[bytes, bool]]) -> np.ndarray:
+    """By hash, the z-score of the share of toxic texts with a run against that of ordinary ones; 0 where the lift is too low or but one toxic text has it."""
+    counts = {kind: np.zeros(1 << CELLS, np.uint16) for kind in (True, False)}
     for own, kind in texts:
-        counts[kind][np.unique(_cells(_joined(own)))] += 1
+        cells = np.unique(_cells(own))
+        counts[kind][cells] += counts[kind][cells] < np.iinfo(np.uint16).max
     n, m = (max(1, sum(kind is label for _, kind in texts)) for label in (True, False))
-    out = np.zeros(1 << 24, np.float32)
-    at = np.flatnonzero(counts[True])
+    out = np.zeros(1 << CELLS, np.float32)
+    at = np.flatnonzero(counts[True] > 1)
     a, b = counts[True][at].astype(float), counts[False][at].astype(float)
     p = (a + b) / (n + m)
     out[at] = np.where(a / n >= LEAST_LIFT * b / m, (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12), 0)
@@ -165,18 +170,19 @@ def stretches(text: bytes, scores: np.ndarray, least: float) -> list[bytes]:
 def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Model:
     """A model from whole texts of both classes; prior: the part of toxic texts among all, if the samples do not show it. Texts of both classes count in both."""
     prior = len(toxic) / max(1, len(toxic) + len(ordinary)) if prior is None else prior
-    texts = [(words(text), label) for label, group in ((True, toxic), (False, ordinary)) for text in group]
-    part = [zlib.crc32(b" ".join(own)) % 3 == 0 for own, _ in texts]  # copies fall into one part
+    texts = [(_joined(words(text)), label) for label, group in ((True, toxic), (False, ordinary)) for text in group]
+    part = [zlib.crc32(own) % 3 == 0 for own, _ in texts]  # copies fall into one part
     learn, check = [x for x, p in zip(texts, part, strict=True) if not p], [x for x, p in zip(texts, part, strict=True) if p]
     if len({kind for _, kind in learn}) < 2 or len({kind for _, kind in check}) < 2:
         return Model(scores=[prior])
-    content = _dictionary([w for own, kind in learn if not kind for w in windows(own, 8)], ORDINARY_BYTES, 24)
+    content = _dictionary([w for own, kind in learn if not kind for w in windows(own.split(), 8)], ORDINARY_BYTES, 24)
     scores = scores_of_runs(learn)
-    samples = {None: [w for own, kind in learn if kind for w in windows(own, 8)]}
-    for least in {x for _, _, x in TRIED} - {None}:
-        samples[least] = [x for own, kind in learn if kind for x in stretches(_joined(own), scores, least)]
-    del scores
-    tried = [_dictionary(samples[least], size, segment) for size, segment, least in TRIED if samples[least]]
+    tried = []
+    for least in dict.fromkeys(x for _, _, x in TRIED):  # the samples of one kind at a time
+        toxic_texts = [own for own, kind in learn if kind]
+        samples = [x for own in toxic_texts for x in (windows(own.split(), 8) if least is None else stretches(own, scores, least))]
+        tried += [_dictionary(samples, size, segment) for size, segment, kind in TRIED if kind == least and samples]
+    del scores, samples
     tried = [x for x in tried if x]
     if not tried:
         return Model(scores=[prior])
@@ -184,11 +190,12 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Mo
     # all candidates at once, each against the ordinary content
     every = Model(content, list(dict.fromkeys(tried)))
     base, others = every.compressors()
-    gains = [np.array([[len(base.compress(w)) - len(f.compress(w)) for w in windows(own)] for f in others]).reshape(len(others), -1) for own, _ in check]
+    gains = [np.array([[len(base.compress(w)) - len(f.compress(w)) for w in windows(own.split())] for f in others], np.int16).reshape(len(others), -1) for own, _ in check]
     single = [_auc(np.array([float((g[k] >= 2).sum()) / (g.shape[1] + 10) for g in gains]), told) for k in range(len(others))]
     best = sorted(range(len(others)), key=lambda k: -single[k])[:ENSEMBLE]
     model = Model(content, [every.toxic[k] for k in best])
     sums = [g[best].sum(0) for g in gains]
+    del gains
 
     def shares(threshold: int) -> np.ndarray:
         return np.array([float((s >= threshold).sum()) / (len(s) + 10) for s in sums])

@@ -43,10 +43,10 @@ def test_held_out_accuracy_and_edge_cases(spark):
 
 def test_dictionaries_hold_what_sets_toxic_texts_apart():
     rows, labels = corpus(600)
-    texts = [(toxicity.words(text), bool(label)) for (_, text, *_), (_, label, _) in zip(rows, labels)]
+    texts = [(toxicity._joined(toxicity.words(text)), bool(label)) for (_, text, *_), (_, label, _) in zip(rows, labels)]
     scores = toxicity.scores_of_runs(texts)
     assert toxicity.stretches(b" lo mi you wretch fiend ba ", scores, 5.0) and not toxicity.stretches(b" lo mi ter un gra shi ", scores, 5.0) and not toxicity.stretches(b"", scores, 5.0)
-    samples = [x for own, kind in texts if kind for x in toxicity.stretches(b" " + b" ".join(own) + b" ", scores, 5.0)]
+    samples = [x for own, kind in texts if kind for x in toxicity.stretches(own, scores, 5.0)]
     trained = toxicity._dictionary(samples, 512, 8)
     assert len(trained) <= 512 and all(word in trained for word in (b"wretch", b"fiend", b"cretin"))
     assert toxicity._dictionary([b" a few "], 512, 8) == b" a few "
