@@ -365,6 +365,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the near copies: of each group the document with the least doc_id stays. All columns stay as they are."""
+    """docs (doc_id, text) without the near copies: of each group the document with the least doc_id stays, whatever the order of the rows. All columns stay as they are.
+
+    Null, empty and blank texts and null ids are in no group and stay; repeated rows of the kept id all stay; an empty table gives an empty table.
+    """
     dropped = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")

@@ -129,7 +129,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, order:
 
     Of rules of one length, the first given wins. A null or empty url, or one without '://', has no host and no rule; its ratio is 0 if
     it is empty. Without accepted or rejected URLs to learn from, that model knows nothing and gives all characters alike. Repeated rows
-    are judged each; an empty table gives an empty table; other columns are left out.
+    are judged each, equal urls alike, and urls of any length whole; a ratio that equals the threshold is accepted; an empty table gives an empty table; other
+    columns are left out.
     """
     host, path = host_and_path(F.col("url"))
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})

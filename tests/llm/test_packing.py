@@ -46,6 +46,20 @@ def test_fullest_is_the_best_subset():
     assert packing.fullest({7: 20}, 50) == {7: 7}
 
 
+def test_fullest_equals_plain_enumeration():
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        counts = {rng.randrange(1, 40): rng.randrange(1, 4) for _ in range(rng.randrange(1, 6))}
+        capacity = rng.randrange(max(counts), 90)
+        sums = (sum(k * n for k, n in zip(counts, ns)) for ns in itertools.product(*(range(n + 1) for n in counts.values())) if ns[[*counts].index(max(counts))])
+        own = packing.fullest(counts, capacity)
+        assert sum(k * n for k, n in own.items()) == max(x for x in sums if x <= capacity)
+        assert own[max(counts)] >= 1 and all(n <= counts[k] for k, n in own.items())
+
+
 def test_pack_documents(spark):
     rows = [(1, "a b c", "x", 1), (2, None, "x", 1), (3, "", "y", 2), (4, "word " * 5000, "y", 2), (5, "a b c", None, None), (5, "a b c", None, None), (None, "null id", "z", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string, sequence_id int")

@@ -141,3 +141,53 @@ def test_long_urls_are_learnt_whole():
     model = url_model.fit([url.format("article", i) for i in range(60)], [url.format("buypills", i) for i in range(60)])
     assert model.ratio(url.format("article", 77)) > model.threshold > model.ratio(url.format("buypills", 77))
     assert sum(model.accepted.counts[b"artic"].values()) > 0
+
+
+def test_ratios_and_verdicts_equal_plain_counts(spark):
+    """Witten-Bell blending, calibration and verdicts from plain counts of every context."""
+    import random
+    import zlib
+
+    rng = random.Random(9)
+    rows = [(i, f"http://{rng.choice(['a', 'bb', 'ccc'])}.{'org' if i % 2 else 'net'}/{''.join(rng.choice('abcdef' if i % 2 else 'uvwxyé') for _ in range(rng.randrange(3, 12)))}") for i in range(120)]
+    rows += [(500 + i, f"http://x.de/{''.join(rng.choice('abcdefuvwxy') for _ in range(8))}") for i in range(60)] + [(700, "http://x.de/" + "abc" * 3000), (701, ""), (702, "http://x.de/equal"), (703, "http://x.de/equal")]
+    rules = [url_model.Rule.of("allow", "org/"), url_model.Rule.of("block", "net/")]
+
+    def learnt(urls):
+        counts = {}
+        for url in urls:
+            data = url.encode()
+            for i in range(len(data)):
+                for k in range(min(i, 6) + 1):
+                    after = counts.setdefault(data[i - k : i], {})
+                    after[data[i]] = after.get(data[i], 0) + 1
+        return counts
+
+    def logs(counts, data):
+        total = 0.0
+        for i in range(len(data)):
+            p = 1 / 256
+            for k in range(min(i, 6) + 1):
+                after = counts.get(data[i - k : i])
+                if not after:
+                    break
+                n, kinds = sum(after.values()), len(after)
+                p = n / (n + kinds) * after.get(data[i], 0) / n + kinds / (n + kinds) * p
+            total += math.log(p)
+        return total
+
+    by_kind = {kind: {url for _, url in rows if "://" in url and url.split("/")[2].endswith(end)} for kind, end in (("allow", ".org"), ("block", ".net"))}
+    models = {kind: learnt(url for url in urls if zlib.crc32(url.encode()) % 5) for kind, urls in by_kind.items()}
+    ratio = lambda url: (logs(models["allow"], url.encode()) - logs(models["block"], url.encode())) / len(url.encode()) if url else 0.0
+    left = {kind: [ratio(url) for url in urls if zlib.crc32(url.encode()) % 5 == 0] for kind, urls in by_kind.items()}
+    right = lambda t: sum(x >= t for x in left["allow"]) / len(left["allow"]) + sum(x < t for x in left["block"]) / len(left["block"])
+    out = url_model.judge_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(3), rules).collect()
+    assert len(out) == len(rows)
+    threshold = url_model.fit([*by_kind["allow"]], [*by_kind["block"]]).threshold
+    assert math.isclose(right(threshold), max(right(t) for values in left.values() for x in values for t in (x, x + 1e-9)))
+    for row in out:
+        url = dict(rows)[row.page_id]
+        assert math.isclose(row.ratio, ratio(url), rel_tol=1e-9, abs_tol=1e-12)
+        assert row.verdict == ("allow" if url in by_kind["allow"] else "block" if url in by_kind["block"] else "allow" if row.ratio >= threshold else "block")
+    judged = {r.verdict for r in out if r.page_id >= 500}
+    assert judged == {"allow", "block"}

@@ -60,3 +60,30 @@ def test_equal_texts_score_alike_and_one_class_scores_the_prior():
     score = lambda text: model.score(model.share(model.differences(toxicity.words(text), compressors)))
     assert score("You WRETCH, fiend! cretin ...") == score("you wretch fiend cretin") and score("") == score(None) == score(" .,; ")
     assert toxicity.fit([], ordinary).scores == [0.0] and toxicity.fit(toxic, []).scores == [1.0] and toxicity.fit([], []).scores == [0.0]
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    import zstandard
+
+    rows, labels = corpus(300, 8)
+    rows = [(i, text) for i, text, *_ in rows] + [(900, "you wretch " + "ba lo mi " * 40_000), (901, "..."), (902, None)]
+    model = toxicity.fit([t for (_, t), (_, kind, _) in zip(rows, labels) if kind], [t for (_, t), (_, kind, _) in zip(rows, labels) if not kind])
+    longest = max(map(len, model.toxic))
+
+    def size(content, window):
+        options = zstandard.ZstdCompressionParameters.from_level(3, min_match=6, hash_log=17, chain_log=17, window_log=17, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=options).compress(window))
+
+    import numpy as np
+
+    for row in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string").where("doc_id % 25 = 0 or doc_id >= 900"), model).collect():
+        own = toxicity.words(dict(rows)[row.doc_id])
+        over = n = 0
+        for i in range(0, min(len(own), 4000), toxicity.WINDOW):  # of the long text, whose windows repeat, the first
+            window = b" " + b" ".join(own[i : i + toxicity.WINDOW]) + b" "
+            gain = sum(size(model.ordinary + bytes(longest), window) - size(model.ordinary + bytes(longest - len(x)) + x, window) for x in model.toxic)
+            over, n = over + (gain >= model.threshold), n + 1
+        if row.doc_id != 900:
+            assert abs(row.score - np.interp(over / (n + 10), model.shares, model.scores)) < 1e-12
+        else:
+            assert row.score < 0.3  # one window of 12,000 at most
