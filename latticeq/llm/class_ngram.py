@@ -171,6 +171,25 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return own
 
 
+def likeliest(grid: np.ndarray, after: np.ndarray, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """For each word, the class in use, but for the end token's, under which its neighbours are likeliest, the classes' counts being fixed.
+
+    after, before: how often classes follow and precede a word (a row each); now: the class that its own counts are part of in grid, and are taken from.
+    """
+    smooth = np.log(grid + 0.5)
+    n = after.sum(1)
+    size = np.log(np.maximum(grid.sum(1), 1)) + np.log(np.maximum(grid.sum(0), 1))
+    value = after @ smooth.T + before @ smooth - n[:, None] * size
+    rows, columns = np.maximum(grid[now] - after, 0), np.maximum(grid[:, now].T - before, 0)
+    without = np.log(np.maximum(rows.sum(1), 1)) + np.log(np.maximum(columns.sum(1), 1))
+    value[np.arange(len(now)), now] = (after * np.log(rows + 0.5)).sum(1) + (before * np.log(columns + 0.5)).sum(1) - n * without
+    unused = grid.sum(1) == 0
+    unused[0] = True
+    value[:, unused] = -np.inf
+    best = value.argmax(1)
+    return np.where(np.isfinite(value.max(1)), best, now)
+
+
 def later_classes(docs: DataFrame, frequent: np.ndarray, numbers: np.ndarray, classes: np.ndarray, grid: np.ndarray, later: np.ndarray, now: np.ndarray) -> np.ndarray:
     """A class for each word of later (sorted hashes), which now counts in class `now`: of those in use, the one that its neighbours make likeliest."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, numbers, classes, grid, later, now))
@@ -193,19 +212,11 @@ def later_classes(docs: DataFrame, frequent: np.ndarray, numbers: np.ndarray, cl
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, _, grid, _, now = shared.value
         for batch in batches:
-            best = []
-            for word, pairs, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                both = np.zeros(width)
-                both[np.array(pairs) % width] = counts
-                a, b, k, n = both[:CLASSES], both[CLASSES:], int(now[word]), both[:CLASSES].sum()
-                rest = grid.copy()
-                rest[k] -= a
-                rest[:, k] -= b
-                rest = np.maximum(rest, 0)
-                value = _values(rest, rest.sum(1), rest.sum(0), a, b, 0, n, n)
-                value[rest.sum(1) == 0] = -np.inf
-                best.append(int(value.argmax()) if value.max() > -np.inf else k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32())], ["word", "class"])
+            words = batch.column(0).to_numpy()
+            both = np.zeros((len(words), width))
+            at = np.repeat(np.arange(len(words)), batch.column(1).value_lengths().to_numpy())
+            both[at, batch.column(1).flatten().to_numpy() % width] = batch.column(2).flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(likeliest(grid, both[:, :CLASSES], both[:, CLASSES:], now[words]), pa.int32())], ["word", "class"])
 
     partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "pair bigint, n bigint")
     tallied = partial.groupBy("pair").agg(F.sum("n").alias("n"))

@@ -47,7 +47,71 @@ def test_known_bound_changes_no_score(spark, monkeypatch):
     for known in (500_000, 1200):
         monkeypatch.setattr(class_ngram, "KNOWN", known)
         scores.append({r.doc_id: r.score for r in class_ngram.score_texts(docs, class_ngram.in_training()).collect()})
-    assert scores[0].keys() == scores[1].keys()
+    assert scores[0].keys() == scores[1].keys() and all(math.isclose(scores[0][k], scores[1][k], rel_tol=1e-9) for k in scores[0])
+
+
+def test_scores_equal_plain_loops_over_the_classes(spark, monkeypatch):
+    """The classes are the model's; transitions, emissions, discount and sums are computed again, word by word."""
+    monkeypatch.setattr(class_ngram, "KNOWN", 60)
+    rows = [*enumerate(texts(250)), (900, "unoak NEVERSEEN " * 30_000), (901, ""), (902, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1]
+    model, _ = class_ngram.fit(docs.where(class_ngram.in_training()))
+    units = class_ngram.Units(model.frequent, model.numbers)
+    split = lambda t: [*(t or "").lower().split(), None]
+    kinds = {}
+    for _, text in rows:
+        for word in split(text):
+            if word not in kinds:
+                kinds[word] = int(model.classes[next(units.tokens([word or ""]))[1][0]])
+    n = class_ngram.CLASSES
+    follows, tokens, seen = Counter(), Counter(), Counter()
+    for _, text in training:
+        last = kinds[None]
+        for word in split(text):
+            follows[last, kinds[word]] += 1
+            tokens[kinds[word]] += 1
+            seen[word] += 1
+            last = kinds[word]
+    types = Counter(kinds[w] for w in seen)
+    left = Counter()
+    for (a, _), c in follows.items():
+        left[a] += c
+    once, twice = sum(c == 1 for c in seen.values()), sum(c == 2 for c in seen.values())
+    discount = min(0.95, max(0.05, once / (once + 2 * twice)))
+    everything = sum(follows.values())
+
+    def step(a, b):
+        followers = max(1, sum(x == a for x, _ in follows))
+        single = (sum(c for (_, y), c in follows.items() if y == b) + 0.5) / (everything + 0.5 * n)
+        return math.log10((follows[a, b] + followers * single) / (left[a] + followers))
+
+    def emission(word):
+        k = kinds[word]
+        if seen[word]:
+            return math.log10((seen[word] - (discount if k else 0)) / tokens[k])
+        return math.log10((discount * types[k] if tokens[k] else 1) / max(tokens[k], 1))
+
+    steps = {(a, b): step(a, b) for a in {*kinds.values()} for b in {*kinds.values()}}
+    emissions = {w: emission(w) for w in kinds}
+    for r in class_ngram.score_texts(docs, class_ngram.in_training()).collect():
+        own = split(dict(rows)[r.doc_id])
+        expected = sum(steps[kinds[a], kinds[b]] for a, b in zip([None, *own], own)) + sum(emissions[w] for w in own)
+        assert math.isclose(r.score, expected, rel_tol=1e-9), (r.doc_id, r.score, expected)
+
+
+def test_likeliest_class_equals_plain_sums():
+    rng = np.random.default_rng(7)
+    grid = rng.integers(0, 50, (6, 6)).astype(float)
+    grid[4] = grid[:, 4] = 0
+    after, before = rng.integers(0, 4, (20, 6)).astype(float), rng.integers(0, 4, (20, 6)).astype(float)
+    now = rng.integers(1, 4, 20)
+    for w, k in enumerate(class_ngram.likeliest(grid, after, before, now).tolist()):
+        values = {}
+        for c in (1, 2, 3, 5):
+            rows, columns = (np.maximum(grid[c] - after[w], 0), np.maximum(grid[:, c] - before[w], 0)) if c == now[w] else (grid[c], grid[:, c])
+            values[c] = sum(a * math.log(g + 0.5) for a, g in zip(after[w], rows)) + sum(b * math.log(g + 0.5) for b, g in zip(before[w], columns)) - after[w].sum() * (math.log(max(rows.sum(), 1)) + math.log(max(columns.sum(), 1)))
+        assert k == max(values, key=values.get)
 
 
 def test_probabilities_sum_to_one(spark):
