@@ -309,3 +309,9 @@ def pair_head(a: np.ndarray, b: np.ndarray, extra: np.ndarray, w: dict) -> np.nd
     """Scores in (0, 1) from two pooled embeddings and further numbers."""
     x = np.concatenate([a, b, np.abs(a - b), a * b, extra], -1)
     return 1 / (1 + np.exp(-linear(silu(linear(x, w, "head0")), w, "head1")))
+
+
+def linear_baseline(x: np.ndarray, mask: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The mean of the vectors that the mask holds, through one linear layer."""
+    mean = (x * mask[..., None]).sum(-2) / np.maximum(mask.sum(-1, keepdims=True), 1)
+    return mean @ weights + bias

@@ -27,7 +27,7 @@ def label_records(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [[_matrix(value) for value in batch.column(batch.schema.get_field_index(c))] for c in ("x", "y", "fx", "fy")]
+            sides = [[matrix(value) for value in batch.column(batch.schema.get_field_index(c))] for c in ("x", "y", "fx", "fy")]
             errors = [_label_error(*row) for row in zip(*sides, strict=True)]
             found: dict[int, tuple] = {}
             sizes: dict[tuple, list[int]] = {}
@@ -47,7 +47,7 @@ def label_records(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return own.mapInArrow(run, out).withColumn("label", F.round(exprs.similarity(F.col("gw_raw")), 5))
 
 
-def _matrix(value: pa.Scalar) -> np.ndarray | None:
+def matrix(value: pa.Scalar) -> np.ndarray | None:
     """A list of lists of one length as a matrix, without Python objects; None for null, empty or ragged ones."""
     rows = value.values if value.is_valid else None
     if rows is None or not len(rows) or rows.null_count:
@@ -81,7 +81,7 @@ def alignment_grid(pairs: DataFrame, settings: list[tuple[float, float, float]],
     names = list(dict.fromkeys(c for pair in sides for c in pair))
 
     def unit(value: pa.Scalar) -> np.ndarray | None:
-        v = _matrix(value)
+        v = matrix(value)
         return None if v is None else v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def structure_alignments(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [kernels.align_structures(_matrix(x), _matrix(y)) for x, y in zip(batch.column(1), batch.column(2), strict=True)]
+            out = [kernels.align_structures(matrix(x), matrix(y)) for x, y in zip(batch.column(1), batch.column(2), strict=True)]
             arrays = [pa.array([x[name] for x in out], pa.float64()) for name in ("tm1", "tm2", "rmsd")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array([len(x["pairs"]) for x in out], pa.int64())], ["id", "tm1", "tm2", "rmsd", "aligned"])
 

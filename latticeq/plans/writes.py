@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, runs, search
+from ..functions import exprs
+from ..operators import alignment, ids, runs, search
 from ..registry import query, table
-from ..sources import sinks
+from ..sources import archives, sinks
 from ..sources.shared import folder
 from .alignments import _PAIRS, sized_pairs
 from .retrieval import _HITS, _RERANKED, hits, reranked
@@ -151,3 +152,63 @@ def reranked_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = [(shift, open_, extend) for shift in (0.25, 1.0) for open_ in (1.0, 2.0) for extend in (0.25, 1.0)]
     ranked = {name: pooled(name) for name in ("plain", "squared")}
     return search.rerank_variants(ranked, own, variants, domains, settings, [0.25, 0.5, 0.75], F.col("query") % 2 == 0, 5)
+
+
+@query("S21_archive_members", "SELECT concat('d', CAST(item_id AS VARCHAR), '.ent') AS name, text FROM benchmark WHERE item_id % 5 <> 0")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written to archives and read from them again, renamed; some names are not wanted."""
+    own = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 3).alias("g"), F.concat(F.lit("x/g"), F.col("item_id").cast("string"), F.when(F.col("item_id") % 5 == 0, ".txt").otherwise(".ent")).alias("name"), "text")
+    return archives.members_of(archives.tar_of(own, "g"), lambda name: "d" + name.removeprefix("x/g") if name.endswith(".ent") else None)
+
+
+@query("S21_missing_members", "SELECT concat('d', CAST(item_id AS VARCHAR), '.ent') AS name FROM benchmark WHERE item_id % 5 = 0")
+def missing_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("d"), F.col("item_id").cast("string"), F.lit(".ent")).alias("name"))
+    return archives.missing(wanted, archive_members(spark, sf_dir))
+
+
+@query("S23_downloads", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 11 = 0 THEN 'failed: busy' ELSE 'ok' END AS status FROM part")
+def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of downloads by a fetch that stands for a server: some ids are not there, and some find it busy at every try."""
+
+    def fetch(key: str) -> bytes | None:
+        if int(key) % 7 == 0:
+            return None
+        if int(key) % 11 == 0:
+            raise archives.Busy
+        return key.encode()
+
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    return archives.fetched(ids, fetch, wait=0.0).select("id", "status")
+
+
+@query("F6_selected_target", "SELECT kind, l_orderkey, l_linenumber, round(CASE kind WHEN 'structure' THEN exp(-l_discount / 0.05) WHEN 'composite' THEN exp(-l_tax / 0.1) ELSE least(greatest(l_quantity / 40, 0), 1) END, 6) AS target FROM lineitem, (VALUES ('structure'), ('composite'), ('tm_term')) t(kind)")
+def selected_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem")
+    kinds = {kind: own.select("l_orderkey", "l_linenumber", F.round(exprs.target(kind, F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 40), 6).alias("target")) for kind in ("structure", "composite", "tm_term")}
+    return ids.named(kinds, "kind")
+
+
+@query("O1_stages", "SELECT stage, n FROM (VALUES ('copy', 1), ('count', 2)) s(stage, k), (SELECT count(*)::BIGINT AS n FROM region)")
+def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages of three, in order, each leaving its mark."""
+    where, own = folder(spark), table(spark, sf_dir, "region")
+    mark = lambda name, rows: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n").write.mode("append").parquet(f"{where}/marks")
+    steps = [("copy", lambda: (own.write.parquet(f"{where}/copy"), mark("copy", own))), ("count", lambda: mark("count", spark.read.parquet(f"{where}/copy"))), ("drop", lambda: mark("drop", own))]
+    runs.run_stages(steps, ["count", "copy"])
+    return spark.read.parquet(f"{where}/marks")
+
+
+@query("O5_cached_table", "SELECT n_nationkey, n_name FROM nation")
+def cached_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made once, then read; a second computation under the same stamp would give other rows."""
+    where, own = folder(spark), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    runs.cached(spark, f"{where}/t", "a", lambda: own)
+    return runs.cached(spark, f"{where}/t", "a", lambda: own.limit(0))
+
+
+@query("E7_method_columns", "SELECT * FROM (VALUES ('method_f'), ('method_o')) t(method)")
+def method_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The methods of a wide table, by the names of its columns."""
+    wide = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*(F.count(F.when(F.col("o_orderstatus") == c.upper(), 1)).alias(f"method_{c}_superfamily") for c in "of"))
+    return spark.createDataFrame([(name,) for name in runs.methods(wide.columns)], "method string")

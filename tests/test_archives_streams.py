@@ -46,6 +46,32 @@ def test_fetch_retries(spark, tmp_path):
     assert out["a"] == ("ok", b"a") and out["none"] == ("missing", None) and out["broken"][0] == "failed: OSError: no route" and len(out) == 3
 
 
+def test_fetch_over_http():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            code = {"/gone": 404, "/busy": 429, "/broken": 500}.get(self.path, 200)
+            self.send_response(code)
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(self.path.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    fetch = archives.http(lambda key: f"http://127.0.0.1:{server.server_port}/{key}")
+    assert fetch("a") == b"/a" and fetch("gone") is None
+    with pytest.raises(archives.Busy):
+        fetch("busy")
+    with pytest.raises(OSError):
+        fetch("broken")
+    server.shutdown()
+
+
 def test_runs_add_only_what_is_new(spark, tmp_path):
     source, target, state = (f"{tmp_path}/{x}" for x in ("in", "out", "state"))
     rows = spark.range(10).select("id", (F.col("id") % 3).alias("g"))
