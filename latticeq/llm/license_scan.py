@@ -143,7 +143,7 @@ class Scanner:
         """What of a text to align with a notice: stretches of hits with some room around, and the places where single copies must lie.
 
         A stretch may hold adjacent copies, in which no word is unique. So each hit also tells where its copy begins, from where the notice
-        has that run; beginnings within a quarter of the notice are one copy, edited, and its window is as long as the notice and they need.
+        has that run, and most of a copy agree; beginnings within a quarter of the notice are one copy, edited, and its window is as long as the notice and they need.
         """
         size, places = len(self.notices[number].words), [at for at, _ in hits]
         out = set()
@@ -153,7 +153,8 @@ class Scanner:
                 continue
             out.add((max(0, places[start] - size // 2), min(n_words, places[k - 1] + RUN + size // 2)))
             start = k
-        begins = sorted({at - offset for at, code in hits for offset in self._offsets[number, code]})
+        votes = Counter(at - offset for at, code in hits for offset in self._offsets[number, code])
+        begins = sorted(at for at, n in votes.items() if n >= size // 20)  # a run that a notice has twice tells a wrong beginning too, with few votes
         start = 0
         for k in range(1, len(begins) + 1):
             if k == len(begins) or begins[k] - begins[start] > size // 4:
@@ -169,7 +170,9 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str, str]] | None =
     """A row for each notice in each row of docs (doc_id, text): SPANS, in words without punctuation.
 
     Null and empty texts have none; repeated rows give theirs each; a null doc_id stays null; an empty table gives an empty table; other
-    columns are left out. The notices are a fixed list, some kilobytes, and travel with the tasks.
+    columns are left out. Of overlapping notices the one that aligns most words stays; of those that align as many, the one with more coverage, then
+    the shorter, then the earlier span, then the first identifier. Texts of any length are scanned whole. The notices are a fixed list, some kilobytes, and travel
+    with the tasks.
     """
     wanted = NOTICES if notices is None else notices
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -48,3 +48,26 @@ def test_adjacent_copies_of_a_notice_are_all_found():
             more = len(copies[0].split()) - len(text.split())
             expected = [2 + k * n + (more if k else 0) for k in range(len(copies))]
             assert [x[1] for x in out if x[0] == license_id] == expected, (license_id, out)
+
+
+def test_patience_pairs_against_the_quadratic_table():
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    rng = random.Random(13)
+    for _ in range(150):
+        a, b = (rng.sample(range(30), rng.randrange(0, 20)) for _ in range(2))  # every word is unique: anchors are a longest common subsequence
+        assert len(license_scan.patience_pairs(a, b)) == lcs(a, b)
+        c, d = ([rng.randrange(6) for _ in range(rng.randrange(0, 20))] for _ in range(2))
+        assert len(license_scan.patience_pairs(c, d)) <= lcs(c, d)
+
+
+def test_of_equal_notices_the_first_identifier_stays():
+    text = "one two three four five six seven"
+    scanner = license_scan.Scanner([("B", "one", text), ("A", "one", text), ("C", "one", text + " eight nine")])
+    (both, longer, none) = scanner.scan([f"x {text} y {text}", f"x {text} eight nine", "one two three x four"])
+    assert both == [("A", 1, 8, 1.0), ("A", 9, 16, 1.0)] and longer == [("C", 1, 10, 1.0)] and none == []
