@@ -142,7 +142,7 @@ def centre_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole structures: points and vectors in order of their residues."""
-    ordered = residues(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", F.array("x", "y", "z").alias("p"), "vec"))).alias("r"))  # one chain
+    ordered = residues(spark, sf_dir).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", F.array("x", "y", "z").alias("p"), "vec"))).alias("r"))  # one chain
     return ordered.select("id", F.transform("r", lambda x: x["p"]).alias("points"), F.transform("r", lambda x: x["vec"]).alias("vecs"))
 
 
@@ -155,7 +155,7 @@ def patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each residue's patch: points and vectors of its 32 nearest residues, nearest first."""
     own = residues(spark, sf_dir)
     near = geometry.patches(own).select("id", "i", "place", F.col("j").alias("idx"))
-    filled = near.join(own, ["id", "idx"]).groupBy("id", "i").agg(F.array_sort(F.collect_list(F.struct("place", F.array("x", "y", "z").alias("p"), "vec"))).alias("r"))  # 32 entries at most
+    filled = near.join(own, ["id", "idx"]).groupBy("id", "i").agg(F.sort_array(F.collect_list(F.struct("place", F.array("x", "y", "z").alias("p"), "vec"))).alias("r"))  # 32 entries at most
     return filled.select("id", "i", F.transform("r", lambda x: x["p"]).alias("points"), F.transform("r", lambda x: x["vec"]).alias("vecs"))
 
 

@@ -89,7 +89,7 @@ def fasta(source: DataFrame) -> DataFrame:
     """id (the first word after '>') and sequence (its lines joined) of every entry; lines before the first entry are left out."""
     entry = F.sum(F.col("line").startswith(">").cast("int")).over(Window.partitionBy("file").orderBy("line_no"))
     own = source.withColumn("entry", entry).where("entry > 0")
-    parts = own.groupBy("file", "entry").agg(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))).alias("p"))  # the lines of one sequence
+    parts = own.groupBy("file", "entry").agg(F.sort_array(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))).alias("p"))  # the lines of one sequence
     return parts.select("file", F.regexp_extract(F.col("p")[0]["line"], r"^>\s*(\S*)", 1).alias("id"), F.array_join(F.transform(F.slice("p", 2, 1_000_000), lambda x: x["line"]), "").alias("sequence"))
 
 
