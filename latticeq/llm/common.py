@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,19 +41,36 @@ BATCH_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_WRITING = threading.Lock()
+_writers, _before = 0, None
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's Arrow batches hold BATCH_ROWS rows while any table is written; the last writer restores what was set."""
+    global _writers, _before
+    with _WRITING:
+        if not _writers:
+            _before = spark.conf.get(_BATCH, None)
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _WRITING:
+            _writers -= 1
+            if not _writers and _before is None:
+                spark.conf.unset(_BATCH)
+            elif not _writers:
+                spark.conf.set(_BATCH, _before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives a lost executor. The files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/latticeq-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(BATCH_ROWS))
-    try:
+    with _small_batches(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_BATCH)
-        else:
-            spark.conf.set(_BATCH, before)
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)

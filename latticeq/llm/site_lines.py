@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-RATIO = 0.1
-#: A line must stand on that many pages at least: on a small host, a ratio alone says nothing.
-LEAST_PAGES = 5
-#: The pipeline's rule: a part of a host's pages for lines of any length, and a number of pages alone for lines of more than LONG_WORDS words,
-#: which do not recur by chance, however large the host is.
-SITE_RATIO, LONG_WORDS, LONG_PAGES = 0.01, 50, 3
+#: A line goes if it stands on more than this part of its host's pages, and on that many at least: on a small host, a ratio alone says nothing.
+RATIO, LEAST_PAGES = 0.01, 5
+#: A line of more than so many words does not recur by chance, and goes from so many pages on, whatever part of its host these are.
+LONG_WORDS, LONG_PAGES = 50, 3
+_BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def _lines(text: str) -> Column:
@@ -23,36 +22,36 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """A row per host with boilerplate: _host, and _drop, the hashes of its boilerplate lines.
-
-    Pages are different texts of a host: copies of one page count once, both among the pages with a line and in the host's total, so that
-    a page is not boilerplate for being copied. At most (lines a page) / ratio lines of a host can qualify, which bounds each array.
-    """
-    pages = docs.select(_host(host).alias("_host"), F.xxhash64(text).alias("_page"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    totals = pages.groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
-    keys = F.array_distinct(F.transform(F.filter(_lines("_text"), lambda line: F.trim(line) != ""), _key))
-    lines = pages.select("_host", "_page", F.explode(keys).alias("_line"))
-    common = lines.groupBy("_host", "_line").agg(F.count_distinct("_page").alias("_n")).where(F.col("_n") >= least_pages)
-    chosen = common.join(totals, "_host").where(F.col("_n") > F.lit(float(ratio)) * F.col("_pages"))
-    return chosen.groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
 
 
-def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, long_words: int = LONG_WORDS, long_pages: int = LONG_PAGES) -> DataFrame:
     """docs with the boilerplate lines of each host taken out of the text, plus n_lines and n_dropped.
 
-    Lines are compared without outer spaces; blank lines are neither counted nor dropped. A null host is the host ''; a null text stays
-    null with 0 lines; repeated rows are cleaned each; a document whose every line is dropped keeps an empty text; columns of docs keep
-    their values, n_lines and n_dropped among them are replaced. The table of boilerplate is written first, so that Spark knows its size
-    and broadcasts it only if it is small.
+    Pages are different texts of a host: copies of one page count once, both among the pages with a line and in the host's total, so that
+    a page is not boilerplate for being copied. Lines are compared without outer spaces; blank lines are neither counted nor dropped. A null
+    host is the host ''; a null text stays null with 0 lines; repeated rows are cleaned each; a document whose every line is dropped keeps an
+    empty text; a line of any length is one line; an empty table gives an empty table; columns of docs keep their values, n_lines and n_dropped
+    among them are replaced. No array is made for each host, as the number of long lines grows with it: every page meets its own lines'
+    verdicts, by joins on (host, line) and then (host, page), so that a hot host is dealt to many tasks.
     """
-    table = stored(boilerplate_lines(docs, host, text, ratio, least_pages))
-    joined = docs.withColumn("_host", _host(host)).join(table, "_host", "left")
-    return _cleaned(joined, docs.columns, text)
+    source = docs.withColumns({"_host": _host(host), "_page": F.xxhash64(text)})
+    pages = source.where(F.col(text).isNotNull()).select("_host", "_page", F.col(text).alias("_text"))
+    totals = pages.groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
+    keys = F.array_distinct(F.transform(F.filter(_lines("_text"), lambda line: F.trim(line) != ""), lambda line: F.struct(_key(line).alias("line"), _is_long(line, long_words).alias("long"))))
+    lines = stored(pages.select("_host", "_page", F.explode(keys).alias("_x")).select("_host", "_page", F.col("_x.line").alias("_line"), F.col("_x.long").alias("_long")).distinct())
+    common = lines.groupBy("_host", "_line", "_long").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.when(F.col("_long"), min(least_pages, long_pages)).otherwise(least_pages))
+    frequent = (F.col("_n") >= least_pages) & (F.col("_n") > F.lit(float(ratio)) * F.col("_pages"))
+    chosen = common.join(totals, "_host").where(frequent | F.col("_long") & (F.col("_n") >= long_pages)).select("_host", "_line")
+    dropped = stored(lines.join(stored(chosen), ["_host", "_line"]).groupBy("_host", "_page").agg(F.collect_list("_line").alias("_drop")))  # lines of one page
+    # dropped grows with the pages, so texts move once to meet it at every size; of copies of one page, Spark splits the side of the texts
+    return _cleaned(source.join(dropped.hint("merge"), ["_host", "_page"], "left"), docs.columns, text)
 
 
-def _host(host: str) -> Column:
-    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+def _is_long(line: Column, words: int) -> Column:
+    """Whether a line has more words; words are split only where the length allows so many."""
+    return F.when(F.length(line) > 2 * words, F.size(F.split(F.trim(line), _BLANKS, -1)) > words).otherwise(False)
 
 
 def _cleaned(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -65,31 +64,13 @@ def _cleaned(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
     return cleaned.select(*own, *counted)
 
 
-def drop_repeated_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = SITE_RATIO, least_pages: int = LEAST_PAGES, long_words: int = LONG_WORDS, long_pages: int = LONG_PAGES) -> DataFrame:
-    """As drop_site_lines, and lines of more than long_words words go from long_pages pages of their host on, whatever part of it these are.
-
-    The number of such lines grows with a host, so no array of them is made for each host: every page meets its own lines' verdicts, by joins
-    on (host, line) and then (host, page).
-    """
-    source = docs.withColumns({"_host": _host(host), "_page": F.xxhash64(text)})
-    pages = source.where(F.col(text).isNotNull()).select("_host", "_page", F.col(text).alias("_text"))
-    totals = pages.groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
-    is_long = lambda line: F.size(F.split(F.trim(line), r"\s+")) > long_words
-    keys = F.array_distinct(F.transform(F.filter(_lines("_text"), lambda line: F.trim(line) != ""), lambda line: F.struct(_key(line).alias("line"), is_long(line).alias("long"))))
-    lines = stored(pages.select("_host", "_page", F.explode(keys).alias("_x")).select("_host", "_page", F.col("_x.line").alias("_line"), F.col("_x.long").alias("_long")).distinct())
-    common = lines.groupBy("_host", "_line", "_long").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.when(F.col("_long"), min(least_pages, long_pages)).otherwise(least_pages))
-    frequent = (F.col("_n") >= least_pages) & (F.col("_n") > F.lit(float(ratio)) * F.col("_pages"))
-    chosen = common.join(totals, "_host").where(frequent | F.col("_long") & (F.col("_n") >= long_pages)).select("_host", "_line")
-    dropped = stored(lines.join(stored(chosen), ["_host", "_line"]).groupBy("_host", "_page").agg(F.collect_list("_line").alias("_drop")))
-    return _cleaned(source.join(dropped, ["_host", "_page"], "left"), docs.columns, text)
-
-
 ORACLE = f"""
 WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, text FROM documents),
 lines AS (SELECT DISTINCT host, text, trim(unnest(string_split(text, chr(10)))) AS line FROM docs WHERE text IS NOT NULL),
 totals AS (SELECT host, count(DISTINCT text) AS pages FROM docs WHERE text IS NOT NULL GROUP BY host),
 boiler AS (SELECT l.host, l.line FROM lines l JOIN totals t ON l.host = t.host WHERE l.line <> ''
-           GROUP BY l.host, l.line, t.pages HAVING count(*) >= {LEAST_PAGES} AND count(*) > CAST({RATIO} AS DOUBLE) * t.pages),
+           GROUP BY l.host, l.line, t.pages HAVING count(*) >= {LEAST_PAGES} AND count(*) > CAST({RATIO} AS DOUBLE) * t.pages
+           OR count(*) >= {LONG_PAGES} AND len(string_split_regex(l.line, '{_BLANKS}')) > {LONG_WORDS}),
 placed AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM docs WHERE text IS NOT NULL),
 kept AS (SELECT p.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped,
          coalesce(string_agg(p.line, chr(10) ORDER BY p.place) FILTER (WHERE b.line IS NULL), '') AS text

@@ -14,6 +14,10 @@ def test_site_lines(spark):
     assert out[201, None].text == "" and out[202, "b"].text == "Common header."
     assert out[None, "a"].text == ""
     assert site_lines.drop_site_lines(docs).count() == len(rows)
+    long = "word " * 60_000
+    rows = [(i, f"{long}\nOwn {i}", "a" if i < 5 else "b") for i in range(7)]  # on five pages of one host and two of another
+    out = {r.doc_id: r.text for r in site_lines.drop_site_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(out[i] == (f"Own {i}" if i < 5 else f"{long}\nOwn {i}") for i in range(7))
     assert site_lines.drop_site_lines(docs.limit(0)).count() == 0
 
 
