@@ -16,6 +16,13 @@ from . import exprs, kernels
 LABEL = ["gw_raw", "fgw_raw", "fgw_feature_term"]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt evenly to tasks: rows that a kernel works on for milliseconds are few bytes, so Spark would put them into few partitions."""
+    spark = df.sparkSession
+    width = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return df.repartition(width, *keys)
+
+
 def label_records(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, status, error, gw_raw, fgw_raw, fgw_feature_term and label of rows (keys, x, y, fx, fy): points and features of two patches as arrays of arrays.
 
@@ -44,7 +51,7 @@ def label_records(pairs: DataFrame, keys: list[str]) -> DataFrame:
             columns += [pa.array([found.get(k, nothing)[c] for k in range(len(errors))], pa.float64()) for c in range(len(LABEL))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *columns], out.names)
 
-    return own.mapInArrow(run, out).withColumn("label", F.round(exprs.similarity(F.col("gw_raw")), 5))
+    return spread(own, *keys).mapInArrow(run, out).withColumn("label", F.round(exprs.similarity(F.col("gw_raw")), 5))
 
 
 def matrix(value: pa.Scalar) -> np.ndarray | None:
@@ -95,7 +102,7 @@ def alignment_grid(pairs: DataFrame, settings: list[tuple[float, float, float]],
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["query", "target", "shift", "open", "extend", "score"])
 
-    return pairs.select("query", "target", *names).mapInArrow(run, "query bigint, target bigint, shift double, open double, extend double, score double")
+    return spread(pairs.select("query", "target", *names), "query", "target").mapInArrow(run, "query bigint, target bigint, shift double, open double, extend double, score double")
 
 
 def structure_alignments(pairs: DataFrame) -> DataFrame:
@@ -107,4 +114,4 @@ def structure_alignments(pairs: DataFrame) -> DataFrame:
             arrays = [pa.array([x[name] for x in out], pa.float64()) for name in ("tm1", "tm2", "rmsd")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array([len(x["pairs"]) for x in out], pa.int64())], ["id", "tm1", "tm2", "rmsd", "aligned"])
 
-    return pairs.select("id", "x", "y").mapInArrow(run, "id bigint, tm1 double, tm2 double, rmsd double, aligned bigint")
+    return spread(pairs.select("id", "x", "y"), "id").mapInArrow(run, "id bigint, tm1 double, tm2 double, rmsd double, aligned bigint")

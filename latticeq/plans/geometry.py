@@ -101,7 +101,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = ids.select(F.col("id").alias("query")).join(ids.select(F.col("id").alias("target")), F.col("query") < F.col("target"))  # a row for each matrix
     a = own.select(F.col("id").alias("query"), F.col("idx").alias("i"), F.col("u").alias("ua"))
     b = own.select(F.col("id").alias("target"), F.col("idx").alias("j"), F.col("u").alias("ub"))
-    return pairs.join(a, "query").join(b, "target").select("query", "target", "i", "j", F.round(exprs.dot(F.col("ua"), F.col("ub")), 6).alias("s"))
+    rows = udfs.spread(pairs.join(a, "query"), "query", "target", "i")
+    return rows.join(b, "target").select("query", "target", "i", "j", F.round(exprs.dot(F.col("ua"), F.col("ub")), 6).alias("s"))
 
 
 _UNIT = f"SELECT id, idx, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS u FROM (SELECT id, idx, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM ({_POINTS}))"
@@ -179,7 +180,7 @@ def whole_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _lists(spark, sf_dir)
     itself = own.select("id", F.lit("self").alias("against"), F.col("points").alias("x"), _turned("points").alias("y"), F.col("vecs").alias("fx"), F.col("vecs").alias("fy"))
     other = _pairs(spark, sf_dir).select(F.col("id1").alias("id"), F.lit("next").alias("against"), F.col("points1").alias("x"), F.col("points2").alias("y"), F.col("vecs1").alias("fx"), F.col("vecs2").alias("fy"))
-    return udfs.label_records(itself.unionByName(other).repartition("id", "against"), ["id", "against"])
+    return udfs.label_records(itself.unionByName(other), ["id", "against"])
 
 
 @query("N8_label_records")
