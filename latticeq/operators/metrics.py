@@ -17,11 +17,16 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def tied_rank(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """df with average ranks of ties. Values are counted first, so ties cost one row, and ranks come from running counts over ranges of distinct values."""
+def rank_table(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each distinct value with the average rank of its ties, by keys: values are counted first, and ranks come from running counts over ranges of them."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = sampling.running(counts, value, "_n", "_before", keys=keys).withColumn(out, F.coalesce("_before", F.lit(0)) + (F.col("_n") + 1) / 2)
-    return df.join(ranks.drop("_n", "_before"), [*keys, value])
+    ranks = sampling.running(counts, value, "_n", "_before", keys=keys)
+    return ranks.select(*keys, value, (F.coalesce("_before", F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+
+
+def tied_rank(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with average ranks of ties."""
+    return df.join(rank_table(df, value, out, keys), [*keys, value])
 
 
 def quantiles(df: DataFrame, value: str, parts: list[float], names: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -44,7 +49,9 @@ def regression(df: DataFrame, pred: str, target: str, keys: tuple[str, ...] = ()
     """n, mse, rmse, mae, bias, baseline_mse, r2, pearson, spearman, means and population deviations by keys."""
     df = df.where(F.col(pred).isNotNull() & F.col(target).isNotNull())
     if spearman:
-        df = tied_rank(tied_rank(df, pred, "_rp", keys), target, "_rt", keys)
+        ranks = [(rank_table(df, c, out, keys), c) for c, out in ((pred, "_rp"), (target, "_rt"))]
+        for table, c in ranks:
+            df = df.join(table, [*keys, c])
     p, t = F.col(pred), F.col(target)
     mse, baseline = F.avg((p - t) * (p - t)), F.var_pop(t)
     found = [F.count(F.lit(1)).alias("n"), r6(mse).alias("mse"), r6(F.sqrt(mse)).alias("rmse"), r6(F.avg(F.abs(p - t))).alias("mae"), r6(F.avg(p - t)).alias("bias"), r6(baseline).alias("baseline_mse")]
