@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_ngram, decontam, license_scan, line_quality, near_dup, packing, page_diff, site_lines, toxicity, url_model
+from . import class_ngram, decontam, license_scan, line_quality, near_dup, packing, page_diff, site_lines, toxicity, url_model, whitening
 from .common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +80,18 @@ def op10_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-for _query in (op1_compression_toxicity, op2_brown_class_bigrams, op3_line_first_quality, op4_page_differencing, op5_character_ratio_urls, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op9_patience_licenses, op10_bm25_wand_decontamination):
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's whitened components, a row for each, with the figures of the fit."""
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit_whitening(rows)
+    done = whitening.whiten(rows.select("vec_id", "embedding"), model)
+    explained = F.array(*(F.lit(float(e)) for e in (model.explained if model else ()))).cast("array<double>")
+    placed = done.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    figures = [F.lit(model.n if model else 0).cast("bigint").alias("n"), F.col("deviation")]
+    return placed.select("vec_id", (F.col("place") + 1).alias("component"), *figures, "whitened", F.get(explained, F.col("place")).alias("explained"), F.lit(model.identity_error if model else 0.0).alias("identity_error"))
+
+
+for _query in (op1_compression_toxicity, op2_brown_class_bigrams, op3_line_first_quality, op4_page_differencing, op5_character_ratio_urls, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op9_patience_licenses, op10_bm25_wand_decontamination, op11_embedding_whitening):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op3_line_first_quality"] = line_quality.ORACLE
