@@ -1,24 +1,60 @@
 """Places in an order, running totals, groups, strides and runs, without a task that sees all rows.
 
-All of them deal rows to ranges of the first order column, whose bounds are quantiles, work within a range, and add what the ranges before
-it hold, which is a row for each range.
+All of them deal rows to ranges of the whole sort key, whose bounds come from a sample of keys, work within a range, and add what the ranges
+before it hold, which is a row for each range. Keys are of any type that Spark orders: numbers, texts, dates, several columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
+from ..sources.shared import stored
 
-def ranged(df: DataFrame, order: str, out: str = "_part") -> DataFrame:
-    """df with the number of the range that the numeric or time column `order` falls in; there are as many ranges as shuffle partitions. Nulls are in range 0."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+#: Keys of the sample for each range: a range then holds under twice its share, but for rows that are equal in every column.
+SAMPLED = 100
+#: Bounds that are compared one by one after every so-many-th has told the place roughly.
+STEP = 16
+
+
+def _width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def tie_breaker(df: DataFrame, order: list[str]) -> Column | None:
+    """A number from the columns that the order does not name, so that rows with equal keys fall into several ranges; None if there are no such columns."""
+    rest = [f.name for f in df.schema.fields if f.name not in order and not isinstance(f.dataType, ArrayType | MapType | StructType | VariantType)]
+    return F.xxhash64(*(F.col(f"`{name}`") for name in rest)) if rest else None
+
+
+def bounds(df: DataFrame, key: Column, ranges: int) -> DataFrame:
+    """One row: the keys (all) that part df into ranges of about as many rows each, and every STEP-th of them (some). It is stored, so that every use sees the same bounds."""
+    sample = df.select(key.alias("k")).orderBy(F.rand(17)).limit(SAMPLED * ranges)
+    sorted_ = sample.agg(F.sort_array(F.collect_list("k")).alias("s"))  # SAMPLED keys a range
+    at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get(F.col("s"), F.floor(i * F.size("s") / ranges).cast("int")))
+    chosen = sorted_.where(F.size("s") > 0).select(F.array_distinct(at).alias("all"))
+    return stored(chosen.select("all", F.filter("all", lambda x, i: i % STEP == 0).alias("some")))
+
+
+def ranged(df: DataFrame, order: str | list[str], out: str = "_part", ties: bool = True) -> DataFrame:
+    """df with the number of the range that a row's sort key falls in; there are as many ranges as shuffle partitions, nulls come first.
+
+    With ties, rows with equal keys are told apart by their other columns, so that a key of half of the rows is dealt to half of the ranges; the
+    order by key and then by range is still the order by key.
+    """
+    names, width = [order] if isinstance(order, str) else list(order), _width(df)
     if width < 2:
         return df.withColumn(out, F.lit(0))
-    number = F.col(order).cast("double") if dict(df.dtypes)[order] != "timestamp" else F.unix_micros(order)
-    bounds = df.agg(F.percentile_approx(number, F.array(*(F.lit(k / width) for k in range(1, width))), 10_000).alias("_bounds"))
-    place = F.coalesce(F.size(F.filter("_bounds", lambda x: x < number)), F.lit(0))
-    return df.crossJoin(F.broadcast(bounds)).withColumn(out, F.when(number.isNull(), 0).otherwise(place)).drop("_bounds")  # one row of bounds
+    tie = tie_breaker(df, names) if ties else None
+    key = F.struct(*(F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(names)), *([] if tie is None else [tie.alias("tie")]))
+    limits = bounds(df, key, width).withColumnsRenamed({"all": "_all_bounds", "some": "_some_bounds"})
+    placed = df.withColumn("_range_key", key).join(F.broadcast(limits), how="left")  # one row, or none for an empty table
+    rough = F.size(F.filter("_some_bounds", lambda x: x < F.col("_range_key")))
+    placed = placed.withColumn("_rough", F.coalesce(rough, F.lit(0)))
+    near = F.size(F.filter(F.slice("_all_bounds", (F.col("_rough") - 1) * STEP + 2, STEP - 1), lambda x: x < F.col("_range_key")))
+    place = F.when(F.col("_rough") == 0, 0).otherwise((F.col("_rough") - 1) * STEP + 1 + near)
+    return placed.withColumn(out, place.cast("int")).drop("_range_key", "_all_bounds", "_some_bounds", "_rough")
 
 
 def _before(parts: DataFrame, keys: list[str], total: str, how=F.sum) -> DataFrame:
@@ -30,10 +66,10 @@ def _before(parts: DataFrame, keys: list[str], total: str, how=F.sum) -> DataFra
 def numbered(df: DataFrame, order: list[str], out: str = "number", keys: tuple[str, ...] = ()) -> DataFrame:
     """df with each row's place from 0 in the order of its columns, within keys if there are any. Rows that the order does not tell apart share no place, in any order.
 
-    A key of many rows is dealt to ranges like all others.
+    A key of many rows is dealt to ranges like all others, and so are rows with one value of the order.
     """
     own = [*keys]
-    parts = ranged(df, order[0])
+    parts = ranged(df, order)
     sizes = parts.groupBy(*own, "_part").agg(F.count(F.lit(1)).alias("_n"))
     place = F.row_number().over(Window.partitionBy(*own, "_part").orderBy(*order)) - 1
     before = _before(sizes, own, "_n").withColumnsRenamed({c: f"_k{i}" for i, c in enumerate([*own, "_part"])})
@@ -45,7 +81,7 @@ def numbered(df: DataFrame, order: list[str], out: str = "number", keys: tuple[s
 def running(df: DataFrame, order: str, value: str, out: str, how=F.sum, keys: tuple[str, ...] = ()) -> DataFrame:
     """df with the total of `value` over the rows before each one in the order of a column of distinct values, within keys: null for the first. how: F.sum, F.min or F.max."""
     own = [*keys]
-    parts = ranged(df, order)
+    parts = ranged(df, order, ties=False)
     totals = parts.groupBy(*own, "_part").agg(how(value).alias("_n"))
     within = how(value).over(Window.partitionBy(*own, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     before = _before(totals, own, "_n", how).withColumnsRenamed({c: f"_k{i}" for i, c in enumerate([*own, "_part"])})
@@ -92,7 +128,7 @@ def blocks(df: DataFrame, order: list[str], size: int, out: str = "block") -> Da
 
 def key_runs(df: DataFrame, key: str, order: str, out: str = "runs") -> DataFrame:
     """How many times each key starts anew when rows are read in the order of a column of distinct values."""
-    own = ranged(df.select(key, order), order)
+    own = ranged(df.select(key, order), order, ties=False)
     lagged = F.lag(F.struct(key)).over(Window.partitionBy("_part").orderBy(order))
     last = own.groupBy("_part").agg(F.max_by(F.struct(key), order).alias("_last"))
     last = last.withColumn("_earlier", F.lag("_last").over(Window.orderBy("_part"))).drop("_last")  # a row for each range

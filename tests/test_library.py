@@ -86,3 +86,39 @@ def test_csv_columns_and_text_tables(spark, tmp_path):
     sinks.write_table(df, f"{tmp_path}/t")
     assert rows(text.csv_columns(spark, f"{tmp_path}/t", df.schema, ["c", "a"]), "a", "c") == [(1, 2.5), (2, None)]
     assert [r.line for r in sinks.text_table(df).orderBy("part", "key").collect()] == ["a  b  c", "1  x  2.5", "2  -  -"]
+
+
+def _places(df, order):
+    rows = df.collect()
+    return [tuple(r[c] for c in order) for r in sorted(rows, key=lambda r: r["number"])], [r["number"] for r in rows]
+
+
+def test_places_by_any_orderable_key(spark):
+    from pyspark.sql import functions as F
+
+    from latticeq.operators import sampling
+
+    rows = spark.range(5000).select(
+        F.col("id"), F.concat(F.lit("P"), F.lpad((F.col("id") * 7919 % 5000).cast("string"), 5, "0")).alias("name"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 31 % 900).cast("int")).alias("day"),
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("skewed"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 11).alias("holes"),
+    )
+    for order in (["name"], ["day", "name"], ["skewed"], ["holes", "day"]):
+        got, numbers = _places(sampling.numbered(rows.select("id", *order), order), order)
+        plain = sorted((tuple(r) for r in rows.select(*order).collect()), key=lambda t: [(x is not None, x) for x in t])
+        assert got == plain and sorted(numbers) == list(range(5000))
+
+
+def test_ranges_split_a_value_of_half_of_the_rows(spark):
+    from pyspark.sql import functions as F
+
+    from latticeq.operators import sampling
+
+    rows = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.md5(F.col("id").cast("string"))).alias("key"))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        sizes = [r["count"] for r in sampling.ranged(rows, "key").groupBy("_part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) == 50 and max(sizes) < 2 * 20_000 / 50
