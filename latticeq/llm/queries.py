@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_ngram, decontam, license_scan, line_quality, near_dup, packing, page_diff, site_lines, toxicity, url_model, whitening
+from . import class_ngram, decontam, license_scan, line_quality, near_dup, packing, page_diff, site_lines, spot_sigs, toxicity, url_model, whitening
 from .common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +91,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("vec_id", (F.col("place") + 1).alias("component"), *figures, "whitened", F.get(explained, F.col("place")).alias("explained"), F.lit(model.identity_error if model else 0.0).alias("identity_error"))
 
 
-for _query in (op1_compression_toxicity, op2_brown_class_bigrams, op3_line_first_quality, op4_page_differencing, op5_character_ratio_urls, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op9_patience_licenses, op10_bm25_wand_decontamination, op11_embedding_whitening):
+def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return spot_sigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+for _query in (op1_compression_toxicity, op2_brown_class_bigrams, op3_line_first_quality, op4_page_differencing, op5_character_ratio_urls, op6_superminhash_near_dup, op7_site_relative_lines, op8_best_fit_packing, op9_patience_licenses, op10_bm25_wand_decontamination, op11_embedding_whitening, op12_spot_signatures):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op3_line_first_quality"] = line_quality.ORACLE
