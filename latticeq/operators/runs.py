@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable, Iterable
 
@@ -41,15 +43,26 @@ def run_stages(stages: list[tuple[str, Callable[[], object]]], only: Iterable[st
 
 
 def cached(spark: SparkSession, path: str, stamp: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path if it was made from the same stamp, else computed and written anew."""
+    """The table at path if it was made from the same stamp, else computed and written anew. The stamp is void while the table is written, so a run that broke off leaves none that looks finished."""
     marker = f"{path}.stamp"
     if exists(spark, marker) and exists(spark, path) and spark.read.text(marker).first()["value"] == stamp:
         return spark.read.parquet(path)
-    compute().write.mode("overwrite").parquet(path)
-    spark.range(1).select(F.lit(stamp).alias("value")).coalesce(1).write.mode("overwrite").text(marker)
+    for done, text in ((False, "void"), (True, stamp)):
+        if done:
+            compute().write.mode("overwrite").parquet(path)
+        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(marker)
     return spark.read.parquet(path)
 
 
+def files_stamp(files: DataFrame, *settings: object) -> str:
+    """A digest of a table's files, their sizes and times, and of settings: what a cached result depends on."""
+    facts = F.concat_ws("|", "_metadata.file_path", F.col("_metadata.file_size").cast("string"), F.unix_micros("_metadata.file_modification_time").cast("string"))
+    each = files.select(facts.alias("f")).distinct().select(F.md5(F.col("f").cast("binary")).alias("h"))
+    # as many sums of digests as hexadecimal numbers fit a decimal: no list of files reaches the driver
+    sums = each.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)))
+    return hashlib.md5(json.dumps([*map(str, sums.first()), *settings], sort_keys=True, default=str).encode()).hexdigest()
+
+
 def row_windows(rows: int, shards: int) -> list[tuple[int, int]]:
     """Windows of equal size, rounded up, that cover all rows."""
     size = -(-rows // max(1, shards))

@@ -22,6 +22,11 @@ def _width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def orderable(df: DataFrame, but: list[str] | None = None) -> list[str]:
+    """The columns of df that have an order, but some."""
+    return [f.name for f in df.schema.fields if f.name not in (but or []) and not isinstance(f.dataType, MapType | VariantType)]
+
+
 def tie_breaker(df: DataFrame, order: list[str]) -> Column | None:
     """A number from the columns that the order does not name, so that rows with equal keys fall into several ranges; None if there are no such columns."""
     rest = [f.name for f in df.schema.fields if f.name not in order and not isinstance(f.dataType, ArrayType | MapType | StructType | VariantType)]

@@ -59,9 +59,9 @@ def radial_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", "i", "j", F.transform(exprs.radial_basis(F.col("distance")), lambda x: F.round(x, 6)).alias("code"))
 
 
-@query("X12_position_code", f"SELECT id, idx, list_transform(range(0, 8), lambda k: round(CASE WHEN k % 2 = 0 THEN sin(idx / (10000.0::DOUBLE ** (2 * (k // 2) / 8))) ELSE cos(idx / (10000.0::DOUBLE ** (2 * (k // 2) / 8))) END, 6)) AS code FROM ({_POINTS})")
+@query("X12_position_code", f"SELECT id, idx, list_transform(range(0, 8), lambda k: round(CASE WHEN k % 2 = 0 THEN sin(idx / (10000.0::DOUBLE ** (2 * (k // 2) / 8))) ELSE cos(idx / (10000.0::DOUBLE ** (2 * (k // 2) / 8))) END, 6) + 0.0) AS code FROM ({_POINTS})")
 def position_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residues(spark, sf_dir).select("id", "idx", F.transform(exprs.position_code(F.col("idx"), 8), lambda x: F.round(x, 6)).alias("code"))
+    return residues(spark, sf_dir).select("id", "idx", F.transform(exprs.position_code(F.col("idx"), 8), lambda x: F.round(x, 6) + 0.0).alias("code"))
 
 
 _VEC = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
@@ -82,11 +82,11 @@ def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select("label", "dim", F.round(F.col("m") / length, 6).alias("value"))
 
 
-@query("X16_pair_features", f"SELECT a.vec_id, list_transform(list_concat(a.v, b.v, list_transform(range(1, len(a.v) + 1), lambda k: abs(a.v[k] - b.v[k])), list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])), lambda x: round(x, 6)) AS features FROM ({_VEC}) a JOIN ({_VEC}) b ON b.vec_id = a.vec_id + 1")
+@query("X16_pair_features", f"SELECT a.vec_id, list_transform(list_concat(a.v, b.v, list_transform(range(1, len(a.v) + 1), lambda k: abs(a.v[k] - b.v[k])), list_transform(range(1, len(a.v) + 1), lambda k: a.v[k] * b.v[k])), lambda x: round(x, 6) + 0.0) AS features FROM ({_VEC}) a JOIN ({_VEC}) b ON b.vec_id = a.vec_id + 1")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     other = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
-    return own.join(other, "vec_id").select("vec_id", F.transform(exprs.pair_features(F.col("v"), F.col("w")), lambda x: F.round(x, 6)).alias("features"))
+    return own.join(other, "vec_id").select("vec_id", F.transform(exprs.pair_features(F.col("v"), F.col("w")), lambda x: F.round(x, 6) + 0.0).alias("features"))  # + 0.0: no negative zero
 
 
 @query("J15_gather", "SELECT vec_id, embedding[vec_id % 64 + 1] AS value FROM embeddings")

@@ -125,10 +125,14 @@ _PAIRED = f"SELECT a.query, a.superfamily AS a, b.superfamily AS b FROM ({_sensi
 _DRAWS = 200
 
 
-@query("E6_paired_bootstrap", f"""WITH s AS MATERIALIZED ({_PAIRED}), n AS (SELECT count(*) AS n FROM s), d AS (SELECT row_number() OVER (ORDER BY query) - 1 AS number, a - b AS diff FROM s),
-p AS (SELECT x // n AS draw, CAST(concat('0x', substr(md5(concat(CAST(x // n AS VARCHAR), '|', CAST(x % n AS VARCHAR))), 1, 8)) AS BIGINT) % n AS number FROM n, range({_DRAWS} * (SELECT n FROM n)) r(x)),
+def bootstrap_sql(paired: str, draws: int = _DRAWS) -> str:
+    return f"""WITH s AS MATERIALIZED ({paired}), n AS (SELECT count(*) AS n FROM s), d AS (SELECT row_number() OVER (ORDER BY query) - 1 AS number, a - b AS diff FROM s),
+p AS (SELECT x // n AS draw, CAST(concat('0x', substr(md5(concat(CAST(x // n AS VARCHAR), '|', CAST(x % n AS VARCHAR))), 1, 8)) AS BIGINT) % n AS number FROM n, range({draws} * (SELECT n FROM n)) r(x)),
 m AS (SELECT draw, avg(diff) AS mean FROM p JOIN d USING (number) GROUP BY 1)
-SELECT (SELECT round(avg(diff), 6) FROM d) AS difference, (SELECT sum((diff > 0)::INT)::BIGINT FROM d) AS wins_a, (SELECT sum((diff < 0)::INT)::BIGINT FROM d) AS wins_b, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
+SELECT (SELECT round(avg(diff), 6) FROM d) AS difference, (SELECT sum((diff > 0)::INT)::BIGINT FROM d) AS wins_a, (SELECT sum((diff < 0)::INT)::BIGINT FROM d) AS wins_b, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m"""
+
+
+@query("E6_paired_bootstrap", bootstrap_sql(_PAIRED))
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = search.sensitivity(hits(spark, sf_dir), domains(spark, sf_dir)).select("query", F.col("superfamily").alias("a"))
     b = search.sensitivity(other_hits(spark, sf_dir), domains(spark, sf_dir)).select("query", F.col("superfamily").alias("b"))

@@ -23,8 +23,8 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = folder(spark)
     stream = incremental.first_seen(incremental.file_stream(spark, f"{sf_dir}/events.parquet"), "user_id", "ts", "3650 days").select("user_id")
-    incremental.run_available(stream, f"{where}/state", lambda batch, _: batch.write.mode("append").parquet(f"{where}/out"))
-    return spark.read.parquet(f"{where}/out")
+    incremental.write_batches(stream, f"{where}/out", f"{where}/state")
+    return incremental.appended(spark, f"{where}/out")
 
 
 @query("G3_windowed_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
@@ -47,8 +47,8 @@ def carried_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = folder(spark)
     stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "value").join(sizes, "user_id")
     groups = incremental.carried_groups(stream, "user_id", "size")
-    incremental.run_available(groups, f"{where}/state", lambda batch, _: batch.write.mode("append").parquet(f"{where}/out"))
-    return spark.read.parquet(f"{where}/out").select("user_id", "event_id", "value")
+    incremental.write_batches(groups, f"{where}/out", f"{where}/state")
+    return incremental.appended(spark, f"{where}/out").select("user_id", "event_id", "value")
 
 
 @query("G5_stopped_and_resumed", "SELECT event_id FROM events")
@@ -58,9 +58,8 @@ def stopped_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     where = folder(spark)
     table(spark, sf_dir, "events").select("event_id").repartition(8, F.col("event_id")).write.parquet(f"{where}/in")
-    each = lambda batch, number: batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
     for most in (2, 8):
-        incremental.stopped_after(incremental.file_stream(spark, f"{where}/in", 1), f"{where}/state", each, most)
+        incremental.stopped_after(incremental.file_stream(spark, f"{where}/in", 1), f"{where}/state", incremental.into(f"{where}/out"), most)
     return incremental.appended(spark, f"{where}/out")
 
 

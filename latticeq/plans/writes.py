@@ -17,9 +17,9 @@ from .retrieval import _HITS, _RERANKED, hits, reranked
 @query("K1_append_csv", "SELECT event_id, event_type FROM events")
 def append_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     where, own = folder(spark), table(spark, sf_dir, "events").select("event_id", "event_type")
-    for rest in (0, 1, 2):
-        sinks.append_csv(own.where(F.col("event_id") % 3 == rest), where)
-    return spark.read.schema(own.schema).csv(where, header=True)
+    for rest in (0, 1, 2, 1):  # the third part is written again, as after a failure
+        sinks.append_csv(own.where(F.col("event_id") % 3 == rest), where, str(rest))
+    return spark.read.schema(own.schema).csv(where, header=True).select(*own.columns)
 
 
 @query("K3_manifest", "SELECT * FROM (VALUES ('label', 0, true), ('label', 50, true), ('audit', 0, true)) t(stage, start_row, finished)")
@@ -44,7 +44,34 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     where, own = folder(spark), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     sinks.write_shards(own, where, "p_partkey", 7)
-    return spark.read.parquet(f"{where}/data").select("p_partkey", "p_brand", "shard", "place")
+    return sinks.read_shards(spark, where, places=True).select("p_partkey", "p_brand", "shard", "place")
+
+
+_NAMED = "SELECT concat('P', lpad(CAST((p_partkey * 7919) % 100003 AS VARCHAR), 6, '0')) AS name, p_partkey, p_brand FROM part"
+
+
+def _named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with names that do not sort as their numbers do."""
+    name = F.concat(F.lit("P"), F.lpad(((F.col("p_partkey") * 7919) % 100003).cast("string"), 6, "0"))
+    return table(spark, sf_dir, "part").select(name.alias("name"), "p_partkey", "p_brand")
+
+
+@query("K5_named_shards", f"SELECT name, p_partkey, p_brand, ((row_number() OVER (ORDER BY name) - 1) % 7)::INT AS shard, ((row_number() OVER (ORDER BY name) - 1) // 7)::BIGINT AS place FROM ({_NAMED})")
+def named_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack by names; a first write breaks off before its line in the manifest, and is repeated."""
+    where, own = folder(spark), _named_parts(spark, sf_dir)
+    sinks.write_shards(own, f"{where}/broken", "name", 3)
+    spark.read.parquet(f"{where}/broken/data").write.parquet(f"{where}/pack/data/attempt=broken")  # what a write leaves that did not come to its end
+    sinks.write_shards(own, f"{where}/pack", "name", 7)
+    return sinks.read_shards(spark, f"{where}/pack", places=True).select("name", "p_partkey", "p_brand", "shard", "place")
+
+
+@query("S24_named_lookup", f"SELECT name, p_partkey, p_brand FROM ({_NAMED}) WHERE name IN ('P007919', 'P015838', 'P000013', 'P031676')")
+def named_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a pack by their names, some of which are not there."""
+    where = folder(spark)
+    sinks.write_shards(_named_parts(spark, sf_dir), where, "name", 5)
+    return sinks.read_shards(spark, where, ["P007919", "P015838", "P000013", "P031676"])
 
 
 @query("K6_grown_pack", "SELECT p_partkey, p_brand FROM part")

@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or in a local session without one, under the temporary folder. It goes when the driver ends."""
+def kept_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, or in a local session without one, under the temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(shared or tempfile.gettempdir()).rstrip('/')}/latticeq-{uuid.uuid4().hex}"
+    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/latticeq-{uuid.uuid4().hex}"
+
+
+def folder(spark: SparkSession) -> str:
+    """As kept_folder, but the folder goes when the driver ends."""
+    path = kept_folder(spark)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +62,19 @@ def merge_shards(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
     return out.withColumn("_row", F.struct("_shard")).groupBy(key).agg(*(F.min_by(c, "_row").alias(c) for c in out.columns if c not in (key, "_shard")))
 
 
-def append_csv(df: DataFrame, path: str) -> None:
-    """Append rows to a table of CSV files, each with its header; a table with other columns is an error."""
+def append_csv(df: DataFrame, path: str, part: str | None = None) -> None:
+    """Append rows to a table of CSV files, each with its header; a table with other columns is an error.
+
+    With the name of a part, the rows are that part of the table, in a folder of their own: written again after a failure, they take the place of
+    what is there and are not doubled.
+    """
     spark = df.sparkSession
-    if exists(spark, path) and (there := spark.read.csv(path, header=True).columns) != df.columns:
+    if exists(spark, path) and (there := [c for c in spark.read.csv(path, header=True).columns if c != "part"]) != df.columns:
         raise ValueError(f"{path} has {there}, not {df.columns}")
-    df.write.mode("append").csv(path, header=True)
+    if part is None:
+        df.write.mode("append").csv(path, header=True)
+    else:
+        df.write.mode("overwrite").csv(f"{path}/part={part}", header=True)
 
 
 def mark_progress(spark: SparkSession, path: str, run: str, row: int) -> None:
@@ -79,40 +87,66 @@ def progress(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("run string, row bigint").json(path).groupBy("run").agg(F.max("row").alias("row"))
 
 
+#: What a pack's manifest says of each write, a line each: which attempt wrote it, its shards [first, next), its rows, key and columns.
+COMMITS = "attempt string, first int, next int, rows bigint, key string, types string"
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """The finished writes of a pack."""
+    lines = spark.read.schema("facts string").json(f"{path}/manifest")
+    return lines.select(F.from_json("facts", COMMITS).alias("x")).select("x.*")
+
+
 def write_shards(df: DataFrame, path: str, key: str, shards: int) -> None:
-    """A pack of `shards` shards: rows are dealt by turns in the order of their keys. The index (key, shard, place) and the manifest come after the data.
+    """A pack of `shards` shards: rows are dealt by turns in the order of their keys, which are of any type that has an order.
 
-    A pack that is there already must have the same columns; its shards are kept and new keys go into shards behind the last one.
+    Each write has a folder of its own, data/attempt=..., which nobody sees until one line in the manifest names it; a write that broke off leaves
+    a folder that no reader looks at, and is repeated as if it had not been. A pack that is there already must have the same columns; its shards are
+    kept, keys that it has are left out, and new ones go into shards behind the last one. Rows with a null key are left out, of rows with
+    one key the first in the order of the other columns stays.
     """
     spark = df.sparkSession
     first, types = 0, json.dumps(df.dtypes)
+    new = sampling.keep_first(df.where(F.col(key).isNotNull()), [key], sampling.orderable(df, but=[key]))
     if exists(spark, f"{path}/manifest"):
-        facts = F.from_json("facts", "next int, types string").alias("x")
-        made = spark.read.json(f"{path}/manifest").select(facts).agg(F.max_by("x.types", "x.next"), F.max("x.next")).first()
+        made = commits(spark, path).agg(F.max_by("types", "next"), F.max("next")).first()  # a line for each write
         if made[0] != types:
             raise ValueError(f"{path} has {made[0]}, not {types}")
         first = made[1]
-        df = df.join(spark.read.parquet(f"{path}/index").select(key), key, "left_anti").select(*df.columns)
-    dealt = sampling.numbered(df, [key], "_number").withColumn("shard", F.lit(first) + (F.col("_number") % shards).cast("int")).withColumn("place", F.floor(F.col("_number") / shards).cast("bigint")).drop("_number")
-    dealt.repartition("shard").sortWithinPartitions("shard", "place").write.mode("append").partitionBy("shard").parquet(f"{path}/data")
-    written = spark.read.parquet(f"{path}/data").where(F.col("shard") >= first)
-    written.select(key, "shard", "place").write.mode("append").parquet(f"{path}/index")
-    last = written.agg(F.max("shard")).first()[0]
-    append_manifest(spark, f"{path}/manifest", rows=written.count(), next=first if last is None else last + 1, types=types)
+        new = new.join(_visible(spark, path).select(key), key, "left_anti").select(*df.columns)
+    attempt = uuid.uuid4().hex
+    dealt = sampling.numbered(new, [key], "_number").withColumn("shard", F.lit(first) + (F.col("_number") % shards).cast("int")).withColumn("place", F.floor(F.col("_number") / shards).cast("bigint")).drop("_number")
+    dealt.repartition("shard").sortWithinPartitions("shard", "place").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/data/attempt={attempt}")
+    schema = df.withColumns({"place": F.lit(0).cast("bigint"), "shard": F.lit(0)}).schema
+    rows, last = spark.read.schema(schema).parquet(f"{path}/data/attempt={attempt}").agg(F.count(F.lit(1)), F.max("shard")).first()
+    append_manifest(spark, f"{path}/manifest", attempt=attempt, first=first, next=first if last is None else last + 1, rows=rows, key=key, types=types)
+
+
+def _visible(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of finished writes with shard and place: a list of folders, one for each write."""
+    done = commits(spark, path).select("attempt", "types").collect()  # a line for each write
+    columns = ", ".join(f"`{name}` {kind}" for name, kind in json.loads(done[0]["types"]))
+    folders = [f"{path}/data/attempt={x['attempt']}" for x in done]
+    return spark.read.schema(f"{columns}, place bigint, shard int").option("basePath", f"{path}/data").parquet(*folders).drop("attempt")
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a pack that its index has: data of a write that broke off is not seen."""
-    own = spark.read.parquet(f"{path}/data")
-    key = next(c for c in spark.read.parquet(f"{path}/index").columns if c not in ("shard", "place"))
-    return own.join(spark.read.parquet(f"{path}/index"), [key, "shard", "place"], "left_semi").drop("shard", "place")
+def read_shards(spark: SparkSession, path: str, keys: list | None = None, places: bool = False) -> DataFrame:
+    """The rows of a pack, all or those of some keys, and with places their shard and place in it. Data of writes that broke off are not seen.
+
+    A filter on keys reaches the scan, and rows of a shard lie in the order of their keys, so row groups without them are skipped.
+    """
+    own = _visible(spark, path)
+    if keys is not None:
+        key = commits(spark, path).agg(F.max("key")).first()[0]
+        own = own.where(F.col(key).isin(*keys))
+    return own if places else own.drop("shard", "place")
 
 
 def clear_pack(spark: SparkSession, path: str) -> list[str]:
-    """Delete the shards, index and manifest of a pack, and nothing else that lies there. Returns the names of what went."""
+    """Delete the manifest and the data of a pack, and nothing else that lies there; the manifest goes first, so what is left of a broken delete is not seen. Returns the names of what went."""
     store, where = _store(spark, path)
     gone = []
-    for pattern in ("manifest", "index", "data/shard=*", "data/_SUCCESS"):
+    for pattern in ("manifest", "data/attempt=*/shard=*", "data/attempt=*", "data/shard=*"):
         for found in store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, pattern)) or []:
             store.delete(found.getPath(), True)
             gone.append(found.getPath().getName())

@@ -24,14 +24,23 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def into(target: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch into a folder of its own, which a retry of the batch replaces: a row that comes once is there once, whatever breaks."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+
+def write_batches(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Take all that is new and write it, each batch once."""
+    run_available(stream, checkpoint, into(target))
+
+
 def append_stream(stream: DataFrame, target: str, checkpoint: str, key: str) -> None:
-    """Append what is new, each key once. What has been seen is the stream's state; each batch has a folder of its own, which a retry replaces, so no batch reads the table."""
-    own = stream.dropDuplicates([key])
-    run_available(own, checkpoint, lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}"))
+    """Append what is new, each key once. What has been seen is the stream's state, so no batch reads the table."""
+    write_batches(stream.dropDuplicates([key]), target, checkpoint)
 
 
 def appended(spark: SparkSession, target: str) -> DataFrame:
-    """What append_stream has written."""
+    """What has been written by batches."""
     return spark.read.parquet(target).drop("batch")
 
 

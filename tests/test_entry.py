@@ -1,11 +1,10 @@
-import duckdb
 import pytest
 
 import __spark_entry__
 from latticeq import registry
+from tests.oracles import same_rows
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def test_entry_and_names(spark):
@@ -17,13 +16,7 @@ def test_entry_and_names(spark):
 
 @pytest.mark.parametrize("name", ["S1_window_scan", "X3_pair_split", "A12_regression_metrics", "W6_aligned_segments", "E1_sensitivity_first_fp", "E6_paired_bootstrap", "N13_standardised", "G4_carried_groups", "S10_structures"])
 def test_queries_equal_their_oracles(spark, name):
-    con = duckdb.connect()
-    for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
-    own = __spark_entry__.queries()[name](spark, SF)
-    columns = sorted(own.columns)
-    theirs = con.execute(f"SELECT {', '.join(f'{c}' for c in columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
-    assert sorted(map(str, (tuple(r) for r in own.select(*columns).collect()))) == sorted(map(str, theirs))
+    same_rows(spark, name, SF)
 
 
 def test_clusters(spark):

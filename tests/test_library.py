@@ -122,3 +122,44 @@ def test_ranges_split_a_value_of_half_of_the_rows(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(sizes) == 50 and max(sizes) < 2 * 20_000 / 50
+
+
+def test_a_pack_survives_a_lost_index(spark, tmp_path):
+    import shutil
+
+    from latticeq.sources import sinks
+
+    path, own = f"{tmp_path}/pack", spark.range(20).selectExpr("concat('P', lpad(id * 7, 4, '0')) name", "id v")
+    sinks.write_shards(own, path, "name", 3)
+    shutil.rmtree(f"{path}/manifest")  # the write broke off before its last step
+    sinks.write_shards(own, path, "name", 3)
+    assert sorted(map(tuple, sinks.read_shards(spark, path).collect())) == sorted(map(tuple, own.collect()))
+    sinks.write_shards(own.union(own).union(own.selectExpr("concat('Q', name) name", "v")), path, "name", 2)
+    found = sinks.read_shards(spark, path, places=True).collect()
+    assert len(found) == 40 and {r.shard for r in found if r.name.startswith("Q")} == {3, 4}
+    assert [r.v for r in sinks.read_shards(spark, path, ["P0014", "QP0133", "none"]).orderBy("name").collect()] == [2, 19]
+
+
+def test_parts_and_batches_are_written_once(spark, tmp_path):
+    from latticeq.sources import sinks
+    from latticeq.streaming import incremental
+
+    own = spark.range(6).selectExpr("id", "id * 2 v")
+    for k in (0, 1, 1):
+        sinks.append_csv(own.where(f"id % 2 = {k}"), f"{tmp_path}/csv", str(k))
+    assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == 6
+    own.coalesce(1).write.parquet(f"{tmp_path}/in")
+    failed = []
+
+    def breaks(batch, number):
+        incremental.into(f"{tmp_path}/out")(batch, number)
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("lost after the write")
+
+    for _ in range(2):
+        try:
+            incremental.run_available(incremental.file_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/state", breaks)
+        except Exception as error:
+            assert "lost after the write" in str(error)
+    assert failed and incremental.appended(spark, f"{tmp_path}/out").count() == 6
