@@ -53,11 +53,14 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A line counts if it has a word; a line equal to an earlier one fails. A document is kept if it passes the base rules and its good
     lines hold half of the characters of its lines. A null or empty text has no words, so it fails the base rules; repeated rows are judged
-    each; columns of docs with names of the results are replaced. All is done within a row: no shuffle, no Python. Windows are compared by 64-bit hashes within a text.
+    each; a text of any length is read whole; an empty table gives an empty table; columns of docs keep their values, but those with names of the results,
+    which are replaced. All is done within a row: no shuffle, no Python. Windows are compared by 64-bit hashes within a text.
     """
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    step = docs.drop(*results).withColumn("_t", whole)
+    own = [c for c in docs.columns if c not in results]
+    # the caller's columns travel in one struct, so that no name can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in own)) if own else F.struct(F.lit(None).alias("none"))
+    step = docs.select(row.alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     # words and their hashes; each later column is read more than once, so Catalyst keeps the projections apart and computes each once
     spaced = functools.reduce(lambda x, blank: F.replace(x, F.lit(blank), F.lit(" ")), _BLANKS[1:], F.col("_t"))
     step = step.withColumn("_words", F.split(spaced, " ", -1))
@@ -100,7 +103,7 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     left = F.aggregate("_good", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
     step = step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     step = step.withColumn("kept", ~F.col("base_failed") & (left >= F.lit(LEAST_KEPT) * F.col("_all"))).withColumn("clean_text", F.array_join("_good", "\n"))
-    return step.select(*(c for c in docs.columns if c not in results), *results)
+    return step.select(*(F.col("_row").getField(c).alias(c) for c in own), *results)
 
 
 ORACLE = f"""

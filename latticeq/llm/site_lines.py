@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A line goes if it stands on more than this part of its host's pages, and on that many at least: on a small host, a ratio alone says nothing.
-RATIO, LEAST_PAGES = 0.01, 5
-#: A line of more than so many words does not recur by chance, and goes from so many pages on, whatever part of its host these are.
-LONG_WORDS, LONG_PAGES = 50, 3
+#: A line goes if its part of the host's pages, shrunk, is more than this. The shrunken part is (n - 1) / (pages + PRIOR): one page says nothing, and a host of few
+#: pages little, so that about five of a hundred pages, and in the end 1 % of a large host's, make boilerplate.
+RATIO, PRIOR = 0.01, 300
+#: A line of more than LONG_WORDS words does not recur by chance: a smaller part is enough, on a small host three pages.
+LONG_WORDS, LONG_RATIO, LONG_PRIOR = 50, 0.0003, 3500
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -26,27 +27,29 @@ def _host(host: str) -> Column:
     return F.coalesce(F.col(host).cast("string"), F.lit(""))
 
 
-def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, long_words: int = LONG_WORDS, long_pages: int = LONG_PAGES) -> DataFrame:
+def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, prior: float = PRIOR, long_words: int = LONG_WORDS, long_ratio: float = LONG_RATIO, long_prior: float = LONG_PRIOR) -> DataFrame:
     """docs with the boilerplate lines of each host taken out of the text, plus n_lines and n_dropped.
 
     Pages are different texts of a host: copies of one page count once, both among the pages with a line and in the host's total, so that
     a page is not boilerplate for being copied. Lines are compared without outer spaces; blank lines are neither counted nor dropped. A null
     host is the host ''; a null text stays null with 0 lines; repeated rows are cleaned each; a document whose every line is dropped keeps an
-    empty text; a line of any length is one line; an empty table gives an empty table; columns of docs keep their values, n_lines and n_dropped
-    among them are replaced. No array is made for each host, as the number of long lines grows with it: every page meets its own lines'
+    empty text; a line of any length is one line; an empty table gives an empty table; columns of docs keep their values, whatever their names, but
+    n_lines and n_dropped, which are replaced. No array is made for each host, as the number of long lines grows with it: every page meets its own lines'
     verdicts, by joins on (host, line) and then (host, page), so that a hot host is dealt to many tasks.
     """
-    source = docs.withColumns({"_host": _host(host), "_page": F.xxhash64(text)})
-    pages = source.where(F.col(text).isNotNull()).select("_host", "_page", F.col(text).alias("_text"))
-    totals = pages.groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
-    keys = F.array_distinct(F.transform(F.filter(_lines("_text"), lambda line: F.trim(line) != ""), lambda line: F.struct(_key(line).alias("line"), _is_long(line, long_words).alias("long"))))
-    lines = stored(pages.select("_host", "_page", F.explode(keys).alias("_x")).select("_host", "_page", F.col("_x.line").alias("_line"), F.col("_x.long").alias("_long")).distinct())
-    common = lines.groupBy("_host", "_line", "_long").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.when(F.col("_long"), min(least_pages, long_pages)).otherwise(least_pages))
-    frequent = (F.col("_n") >= least_pages) & (F.col("_n") > F.lit(float(ratio)) * F.col("_pages"))
-    chosen = common.join(totals, "_host").where(frequent | F.col("_long") & (F.col("_n") >= long_pages)).select("_host", "_line")
-    dropped = stored(lines.join(stored(chosen), ["_host", "_line"]).groupBy("_host", "_page").agg(F.collect_list("_line").alias("_drop")))  # lines of one page
+    # the caller's columns travel in one struct, so that no name can clash
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _host(f"`{host}`").alias("host"), F.xxhash64(f"`{text}`").alias("page"), F.col(f"`{text}`").alias("text"))
+    pages = source.where(F.col("text").isNotNull()).select("host", "page", "text")
+    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    keys = F.array_distinct(F.transform(F.filter(_lines("text"), lambda line: F.trim(line) != ""), lambda line: F.struct(_key(line).alias("line"), _is_long(line, long_words).alias("long"))))
+    lines = stored(pages.select("host", "page", F.explode(keys).alias("x")).select("host", "page", F.col("x.line").alias("line"), F.col("x.long").alias("long")).distinct())
+    common = lines.groupBy("host", "line", "long").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    part = lambda n, own, least: (n - 1) > F.lit(float(least)) * (F.col("pages") + F.lit(float(own)))
+    frequent = part(F.col("n"), prior, ratio) | F.col("long") & part(F.col("n"), long_prior, long_ratio)
+    chosen = common.join(totals, "host").where(frequent).select("host", "line")
+    dropped = stored(lines.join(stored(chosen), ["host", "line"]).groupBy("host", "page").agg(F.collect_list("line").alias("drop")))  # lines of one page
     # dropped grows with the pages, so texts move once to meet it at every size; of copies of one page, Spark splits the side of the texts
-    return _cleaned(source.join(dropped.hint("merge"), ["_host", "_page"], "left"), docs.columns, text)
+    return _cleaned(source.join(dropped.hint("merge"), ["host", "page"], "left"), docs.columns, text)
 
 
 def _is_long(line: Column, words: int) -> Column:
@@ -55,12 +58,11 @@ def _is_long(line: Column, words: int) -> Column:
 
 
 def _cleaned(joined: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """columns of joined with the lines whose hash is in _drop taken out of the text, plus n_lines and n_dropped."""
-    names = [name for name in columns if name not in ("n_lines", "n_dropped")]
-    kept = F.when(F.col("_drop").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda line: ~F.array_contains(F.col("_drop"), _key(line)) | (F.trim(line) == "")))
-    cleaned = joined.withColumn("_kept", kept)
-    counted = [F.coalesce(F.size(_lines(text)), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size(_lines(text)) - F.size("_kept"), F.lit(0)).cast("bigint").alias("n_dropped")]
-    own = [F.array_join("_kept", "\n").alias(name) if name == text else F.col(name) for name in names]
+    """The columns in `row` with the lines whose hash is in `drop` taken out of the text, plus n_lines and n_dropped."""
+    kept = F.when(F.col("drop").isNull(), _lines("text")).otherwise(F.filter(_lines("text"), lambda line: ~F.array_contains(F.col("drop"), _key(line)) | (F.trim(line) == "")))
+    cleaned = joined.withColumn("kept", kept)
+    counted = [F.coalesce(F.size(_lines("text")), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size(_lines("text")) - F.size("kept"), F.lit(0)).cast("bigint").alias("n_dropped")]
+    own = [F.array_join("kept", "\n").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns if c not in ("n_lines", "n_dropped")]
     return cleaned.select(*own, *counted)
 
 
@@ -69,8 +71,8 @@ WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, text FROM documents),
 lines AS (SELECT DISTINCT host, text, trim(unnest(string_split(text, chr(10)))) AS line FROM docs WHERE text IS NOT NULL),
 totals AS (SELECT host, count(DISTINCT text) AS pages FROM docs WHERE text IS NOT NULL GROUP BY host),
 boiler AS (SELECT l.host, l.line FROM lines l JOIN totals t ON l.host = t.host WHERE l.line <> ''
-           GROUP BY l.host, l.line, t.pages HAVING count(*) >= {LEAST_PAGES} AND count(*) > CAST({RATIO} AS DOUBLE) * t.pages
-           OR count(*) >= {LONG_PAGES} AND len(string_split_regex(l.line, '{_BLANKS}')) > {LONG_WORDS}),
+           GROUP BY l.host, l.line, t.pages HAVING count(*) - 1 > CAST({RATIO} AS DOUBLE) * (t.pages + {PRIOR})
+           OR count(*) - 1 > CAST({LONG_RATIO} AS DOUBLE) * (t.pages + {LONG_PRIOR}) AND len(string_split_regex(l.line, '{_BLANKS}')) > {LONG_WORDS}),
 placed AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM docs WHERE text IS NOT NULL),
 kept AS (SELECT p.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped,
          coalesce(string_agg(p.line, chr(10) ORDER BY p.place) FILTER (WHERE b.line IS NULL), '') AS text

@@ -69,3 +69,13 @@ def test_line_quality(spark):
     assert verdict[0] and verdict[11] and not any(verdict[i] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9))
     assert next(r for r in rows if r.doc_id == 11).clean_text.count("\n") == 2
     assert line_quality.clean_lines(docs.limit(0)).count() == 0
+
+
+def test_columns_with_names_of_inner_ones_keep_their_values(spark):
+    names = ["row", "host", "page", "line", "long", "drop", "kept_", "x", "n", "pages", "_page", "_drop", "_kept", "_h", "_t", "_words", "_row", "_good", "a.b"]
+    rows = [(i, f"Header on all.\nOwn line {i} says something.", "s", *([f"v{i}"] * len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for found, results in ((site_lines.drop_site_lines(docs), {"n_lines", "n_dropped"}), (line_quality.clean_lines(docs), None)):
+        own = found.collect()
+        assert len(own) == 12 and all(row[name] == f"v{row['doc_id']}" for row in own for name in names)
+        assert results is None or {r["text"] for r in own} == {f"Own line {i} says something." for i in range(12)} and {*found.columns} == {"doc_id", "text", "source", *names} | results

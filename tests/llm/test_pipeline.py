@@ -43,7 +43,7 @@ def plain(spark, path, docs, items):
     pages = {(d[3] or "", d[1]) for d in kept if d[1] is not None}
     totals = Counter(host for host, _ in pages)
     counts = Counter((host, line) for host, text in pages for line in {x.strip(" ") for x in text.split("\n")} if line)
-    drop = {key for key, n in counts.items() if n >= site_lines.LEAST_PAGES and n > site_lines.RATIO * totals[key[0]] or n >= site_lines.LONG_PAGES and len(key[1].split()) > site_lines.LONG_WORDS}
+    drop = {key for key, n in counts.items() if n - 1 > site_lines.RATIO * (totals[key[0]] + site_lines.PRIOR) or n - 1 > site_lines.LONG_RATIO * (totals[key[0]] + site_lines.LONG_PRIOR) and len(key[1].split()) > site_lines.LONG_WORDS}
     texts = [(d[0], None if d[1] is None else "\n".join(x for x in d[1].split("\n") if ((d[3] or ""), x.strip(" ")) not in drop)) for d in kept]
     root = brute(texts)
     texts = [(k, t) for k, t in texts if root[k] == k]
