@@ -3,9 +3,9 @@
 Pages of a host with equal lines are one page, at the first place, and get one verdict, so that a run of copies hides no neighbour. Pages are
 ordered by host and URL path, and each is paired with the page before and after it. The text lines (blocks) of two pages are aligned
 by their longest common subsequence; lines shared with the nearer page are template and go. Markup bounds the verdict: navigation, headers,
-footers, sidebars, forms, adverts, notices and comments are never text, and inside an article a line goes only if both neighbours share it
-and it stands equally far from the beginning or the end of all three pages, as templates do, so that a quotation stays. A neighbour that shares most of a page's
-text is a copy of it and shows no template.
+footers, sidebars, forms, adverts, notices and comments are never text, and what an article holds besides them always is. A neighbour that
+shares most of a page's text is a copy of it, or both are thin pages of one template. The lines that differ tell which: they are the text, and
+what is shared is template, if the page on the other side has the same lines and others in their place.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']
 _PART = re.compile(r"[^a-z0-9]+")
 
 PLAIN, ARTICLE = 0, 1
-#: A neighbour that shares more of the characters than this is a copy.
+#: A neighbour that shares more of the characters than this is a copy, or a page as thin.
 COPY_SHARE = 0.8
 
 
@@ -167,19 +167,20 @@ def _prefix(a: str, b: str) -> int:
 
 
 def kept_blocks(roles: list[int], sizes: list[int], partners: list[tuple[list[int], int]]) -> list[bool]:
-    """Which blocks stay. partners: for each neighbour, nearest first, the partner of each block or -1, and how many blocks it has."""
+    """Which blocks stay. partners: for each neighbour, nearest first, the partner of each block or -1, and how many blocks it has.
+
+    A block of an article stays. Any other goes if the nearest neighbour has it that is no copy; where both are near copies, if both have it, and
+    each of the three pages has a block that the others lack.
+    """
     most = COPY_SHARE * sum(sizes)
-    counting = [x for x in partners if sum(size for size, at in zip(sizes, x[0], strict=True) if at >= 0) <= most]
-    keep = [role == ARTICLE or not (counting and counting[0][0][k] >= 0) for k, role in enumerate(roles)]
-    if len(counting) > 1:
-        inside = [k for k, role in enumerate(roles) if role == ARTICLE]
-        for edge, from_end in ((inside, False), (inside[::-1], True)):
-            for k in edge:
-                place = len(roles) - k if from_end else k
-                if not all(at[k] >= 0 and (n - at[k] if from_end else at[k]) == place for at, n in counting):
-                    break
-                keep[k] = False
-    return keep
+    own = [x for x in partners if sum(size for size, at in zip(sizes, x[0], strict=True) if at >= 0) <= most]
+    if own:
+        shared = [at >= 0 for at in own[0][0]]
+    elif len(partners) == 2 and all(any(at < 0 for at in places) and n > sum(at >= 0 for at in places) for places, n in partners):
+        shared = [a >= 0 and b >= 0 for a, b in zip(partners[0][0], partners[1][0], strict=True)]
+    else:
+        shared = [False] * len(roles)
+    return [role == ARTICLE or not gone for role, gone in zip(roles, shared, strict=True)]
 
 
 def main_text(pages: DataFrame) -> DataFrame:

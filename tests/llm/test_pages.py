@@ -45,8 +45,9 @@ def test_main_text_of_random_sites_equals_plain_loops(spark):
         for k, (path, page, lines) in enumerate(pages):
             near = [pages[i] for i in (k - 1, k + 1) if 0 <= i < len(pages)]
             near.sort(key=lambda x: -next((n for n, (a, b) in enumerate(zip(path, x[0])) if a != b), min(len(path), len(x[0]))))
-            near = [x for x in near if sum(len(y) for y in lines if y in x[2]) <= page_diff.COPY_SHARE * sum(map(len, lines))]
-            expected[page] = "\n\n".join(x for x in lines if not near or x not in near[0][2])
+            far = [x for x in near if sum(len(y) for y in lines if y in x[2]) <= page_diff.COPY_SHARE * sum(map(len, lines))]
+            thin = not far and len(near) == 2 and all(set(lines) - set(x[2]) and set(x[2]) - set(lines) for x in near)
+            expected[page] = "\n\n".join(x for x in lines if not (far and x in far[0][2] or thin and all(x in y[2] for y in near)))
     found = page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()
     assert {r.page_id: r.text for r in found} == expected and sum("Template" in x for x in expected.values()) < len(rows) / 3
 
@@ -97,7 +98,7 @@ def test_main_text(spark):
     assert len(out) == len(rows)
     text = {r.page_id: r.text for r in out}
     assert all(text[i] == f"Story {i} begins.\n\nStory {i} ends, after a long while." for i in range(1, 40))
-    assert all(text[100 + i] == f"Title {i}\n\nCommon saying.\n\nBody {i}." for i in range(1, 8))
+    assert all(text[100 + i] == f"Title {i}\n\nCommon saying.\n\nBody {i}.\n\nShare this." for i in range(9))  # what an article holds is its text
     assert text[200].startswith("Site header") and text[201] == text[202] == "" and text[None] == "x"
     assert page_diff.main_text(pages.limit(0)).count() == 0
 
@@ -112,6 +113,24 @@ def test_runs_of_copies_hide_no_neighbour(spark):
     assert out[100] == out[101] == "Site header\n\nStory 1 is long enough.\n\nCall us"
 
 
+def test_articles_keep_every_block():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(1, 8)
+        roles, sizes = [rng.randrange(2) for _ in range(n)], [rng.randrange(1, 50) for _ in range(n)]
+        partners = [([rng.choice([-1, k]) for k in range(n)], n + rng.randrange(3)) for _ in range(rng.randrange(3))]
+        assert all(keep for role, keep in zip(roles, page_diff.kept_blocks(roles, sizes, partners), strict=True) if role == page_diff.ARTICLE)
+
+
+def test_thin_pages_of_a_template_lose_it(spark):
+    html = "<p>A long header that stands on every page of this site, with its many words.</p><p>Item {0}.</p><p>A footer as long as the header, which says who made the site and when.</p>"
+    rows = [(k, f"http://a.org/{k:03}", html.format(k)) for k in range(12)]
+    out = {r.page_id: r.text for r in page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == f"Item {k}." for k in range(1, 11))
+
+
 def test_markov_model_sums_to_one():
     model = url_model.MarkovModel(3)
     for x in (b"abcab", b"abd", b"bca"):
