@@ -133,11 +133,12 @@ class Scanner:
                 aligned = {notice.words[to] for _, to in pairs}
                 if len(pairs) >= self.least * size and notice.keys <= aligned:
                     found.append((len(pairs), len(pairs) / size, low + pairs[0][0], low + pairs[-1][0] + 1, notice.license_id))
-        out: list[tuple[str, int, int, float]] = []
+        out: list[tuple[int, int, str, float]] = []  # accepted spans in order: they do not overlap, so only neighbours can meet a new one
         for _, coverage, low, high, license_id in sorted(found, key=lambda x: (-x[0], -x[1], x[3] - x[2], x[2], x[4])):
-            if all(high <= a or low >= b for _, a, b, _ in out):
-                out.append((license_id, low, high, coverage))
-        return sorted(out, key=lambda x: x[1])
+            at = bisect_left(out, (low,))
+            if (at == 0 or out[at - 1][1] <= low) and (at == len(out) or high <= out[at][0]):
+                out.insert(at, (low, high, license_id, coverage))
+        return [(license_id, low, high, coverage) for low, high, license_id, coverage in out]
 
     def _windows(self, number: int, hits: list[tuple[int, int]], n_words: int) -> set[tuple[int, int]]:
         """What of a text to align with a notice: stretches of hits with some room around, and the places where single copies must lie.
@@ -146,12 +147,13 @@ class Scanner:
         has that run, and most of a copy agree; beginnings within a quarter of the notice are one copy, edited, and its window is as long as the notice and they need.
         """
         size, places = len(self.notices[number].words), [at for at, _ in hits]
+        room = size // 2 + size // 4  # half a notice without a run, and what was put in
         out = set()
         start = 0
         for k in range(1, len(places) + 1):  # stretches of hits no further apart than half a notice
             if k < len(places) and places[k] - places[k - 1] <= RUN + size // 2 and places[k] - places[start] <= size + size // 2:
                 continue
-            out.add((max(0, places[start] - size // 2), min(n_words, places[k - 1] + RUN + size // 2)))
+            out.add((max(0, places[start] - room), min(n_words, places[k - 1] + RUN + room)))
             start = k
         votes = Counter(at - offset for at, code in hits for offset in self._offsets[number, code])
         begins = sorted(at for at, n in votes.items() if n >= size // 20)  # a run that a notice has twice tells a wrong beginning too, with few votes

@@ -71,3 +71,41 @@ def test_of_equal_notices_the_first_identifier_stays():
     scanner = license_scan.Scanner([("B", "one", text), ("A", "one", text), ("C", "one", text + " eight nine")])
     (both, longer, none) = scanner.scan([f"x {text} y {text}", f"x {text} eight nine", "one two three x four"])
     assert both == [("A", 1, 8, 1.0), ("A", 9, 16, 1.0)] and longer == [("C", 1, 10, 1.0)] and none == []
+
+
+def test_many_notices_in_one_text_take_seconds():
+    import time
+
+    scanner = license_scan.Scanner(license_texts.NOTICES)
+    began = time.perf_counter()
+    (out,) = scanner.scan(["\n".join(f"All rights reserved. Item {k} goes on here for some words." for k in range(100_000))])
+    assert len(out) == 100_000 and time.perf_counter() - began < 60
+
+
+def test_scan_against_the_alignment_of_every_window():
+    """Brute force: each notice aligned with every window of the text of about its length, without looking for runs first."""
+    rng = random.Random(21)
+    notices = [(f"L{n}", f"w{n}x0", " ".join(f"w{n}x{k}" for k in range(size))) for n, size in enumerate((6, 9, 14))]
+    scanner = license_scan.Scanner(notices)
+    for _ in range(60):
+        text = []
+        for _ in range(3):
+            text += [f"p{rng.randrange(50)}" for _ in range(rng.randrange(12, 25))]
+            own = license_scan.terms(rng.choice(notices)[2])
+            own = [w.decode() for w in own]
+            for _ in range(rng.randrange(3)):  # edits
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = ["edit"] * rng.randrange(2)
+            text += own
+        words = license_scan.terms(" ".join(text))
+        best = {}
+        for notice in scanner.notices:
+            size = len(notice.words)
+            for low in range(len(words)):
+                pairs = license_scan.patience_pairs(words[low : low + size + 3], notice.words)
+                runs = any(len({pairs[k + j][0] - j for j in range(3)}) == 1 == len({pairs[k + j][1] - j for j in range(3)}) for k in range(len(pairs) - 2))
+                if len(pairs) >= scanner.least * size and notice.keys <= {notice.words[to] for _, to in pairs} and runs:
+                    best[notice.license_id, low + pairs[0][0]] = max(best.get((notice.license_id, low + pairs[0][0]), (0,)), (len(pairs), low + pairs[-1][0] + 1))
+        (found,) = scanner.scan([" ".join(text)])
+        assert {(name, low) for name, low, _, _ in found} == set(best), (text, found, best)
+        assert all(best[name, low][1] == high for name, low, high, _ in found), str([(x, best[x[:2]], b" ".join(words[x[1] - 2 : x[1] + 20]).decode()) for x in found if best[x[:2]][1] != x[2]])
