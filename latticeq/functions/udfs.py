@@ -85,6 +85,8 @@ def alignment_grid(pairs: DataFrame, settings: list[tuple[float, float, float]],
     aligned under all settings. Pairs without residues are left out.
     """
     sides = sides or [("a", "b")]
+    ids = [pairs.schema[c].dataType for c in ("query", "target")]
+    out = StructType([*(StructField(c, kind) for c, kind in zip(("query", "target"), ids, strict=True)), *(StructField(c, DoubleType()) for c in ("shift", "open", "extend", "score"))])
     names = list(dict.fromkeys(c for pair in sides for c in pair))
 
     def unit(value: pa.Scalar) -> np.ndarray | None:
@@ -99,10 +101,10 @@ def alignment_grid(pairs: DataFrame, settings: list[tuple[float, float, float]],
                     continue
                 matrix = sum(kernels.standardised(own[a] @ own[b].T) for a, b in sides) / len(sides)
                 rows = [(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), *x, kernels.smith_waterman(matrix, *x)) for x in settings]
-                kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
+                kinds = [batch.column(0).type, batch.column(1).type, *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["query", "target", "shift", "open", "extend", "score"])
 
-    return spread(pairs.select("query", "target", *names), "query", "target").mapInArrow(run, "query bigint, target bigint, shift double, open double, extend double, score double")
+    return spread(pairs.select("query", "target", *names), "query", "target").mapInArrow(run, out)
 
 
 def structure_alignments(pairs: DataFrame) -> DataFrame:

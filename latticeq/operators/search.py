@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.exprs import dot, unit
 from ..sources.shared import stored
@@ -28,8 +32,55 @@ def cosine_pairs(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return a.crossJoin(b).select("query", "target", F.round(dot(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as a matrix of unit rows."""
+    vec = np.stack(column.to_numpy(zero_copy_only=False)).astype(float) if len(column) else np.zeros((0, 1))
+    return vec / (np.sqrt((vec**2).sum(1, keepdims=True)) + 1e-9)
+
+
+def _places(ids: pa.ChunkedArray) -> np.ndarray:
+    """The place of each id among the distinct ids in order, so that ids of any type are compared as numbers."""
+    return np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest scores of each row, ties by column, without those of -inf."""
+    if scores.shape[1] > 4 * k:  # all that score no less than the k-th, then in order
+        least = -np.partition(-scores, k, axis=1)[:, k]
+        best = [np.flatnonzero(row >= x) for row, x in zip(scores, least, strict=True)]
+        best = [cols[np.argsort(-row[cols], kind="stable")][:k] for row, cols in zip(scores, best, strict=True)]
+    else:
+        best = list(np.argsort(-scores, axis=1, kind="stable")[:, :k])
+    best = [cols[row[cols] > -np.inf] for row, cols in zip(scores, best, strict=True)]
+    return np.repeat(np.arange(len(best)), [len(cols) for cols in best]), np.concatenate(best) if best else np.zeros(0, np.int64)
+
+
+def _nearest_of(ids: pa.ChunkedArray, place: np.ndarray, vec: np.ndarray, queries: np.ndarray, targets: np.ndarray, k: int, least: np.ndarray | None = None) -> list[pa.Table]:
+    """query, target and score of the k nearest among `targets` of each of `queries`, both numbers of rows; with `least`, only scores that reach the query's own."""
+    out = []
+    targets = targets[np.argsort(place[targets], kind="stable")]
+    for at in range(0, len(queries) if len(targets) else 0, STRIP):
+        q = queries[at : at + STRIP]
+        scores = np.round(np.clip(vec[q] @ vec[targets].T, -1, 1), 6)
+        scores[place[q][:, None] == place[targets][None, :]] = -np.inf
+        if least is not None:
+            scores[scores < least[q][:, None]] = -np.inf
+        rows, cols = _best(scores, k)
+        out.append(pa.table({"query": ids.take(pa.array(q[rows])), "target": ids.take(pa.array(targets[cols])), "score": scores[rows, cols]}))
+    return out
+
+
+def _pairs_schema(vectors: DataFrame) -> StructType:
+    kind = vectors.schema["id"].dataType
+    return StructType([StructField("query", kind), StructField("target", kind), StructField("score", DoubleType())])
+
+
+def _tables(parts: list[pa.Table], kind: pa.DataType) -> pa.Table:
+    return pa.concat_tables(parts) if parts else pa.schema([("query", kind), ("target", kind), ("score", pa.float64())]).empty_table()
+
+
 def blocked_top_k(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
-    """The k nearest by cosine of every vector (id, vec): query, target, score, rank.
+    """The k nearest by cosine of every vector (id, vec): query, target, score, rank. Ids are of any type that has an order.
 
     Vectors get a block by hash; each unordered pair of blocks is one group of a task, which multiplies strips of one with the other and keeps k
     targets a query, so what leaves a task grows with queries and blocks, not with pairs. Each vector moves once a block: n * n / BLOCK rows,
@@ -42,31 +93,156 @@ def blocked_top_k(vectors: DataFrame, k: int, blocks: int | None = None) -> Data
     sides = placed.select("id", F.col("vec").cast("array<double>").alias("vec"), "block", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def nearest(table: pa.Table) -> pa.Table:
-        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
-        vec = np.stack(table.column("vec").to_numpy(zero_copy_only=False)) if len(ids) else np.zeros((0, 1))
-        vec = vec / (np.sqrt((vec**2).sum(1, keepdims=True)) + 1e-9)
+        ids, block, vec = table.column("id"), table.column("block").to_numpy(), _unit_rows(table.column("vec"))
+        place = _places(ids)
         low, high = (table.column(name)[0].as_py() if len(ids) else 0 for name in ("low", "high"))
-        out: list[tuple] = []
-        for a, b in ((low, high), (high, low))[: 1 + (low != high)]:
-            queries, t = np.flatnonzero(block == a), np.flatnonzero(block == b)
-            t = t[np.argsort(ids[t], kind="stable")]
-            for at in range(0, len(queries) if len(t) else 0, STRIP):
-                q = queries[at : at + STRIP]
-                scores = np.round(np.clip(vec[q] @ vec[t].T, -1, 1), 6)
-                scores[ids[q][:, None] == ids[t][None, :]] = -np.inf
-                if len(t) > 4 * k:  # all that score no less than the k-th, then in order
-                    least = -np.partition(-scores, k, axis=1)[:, k]
-                    best = [np.flatnonzero(row >= x) for row, x in zip(scores, least, strict=True)]
-                    best = [cols[np.argsort(-row[cols], kind="stable")][:k] for row, cols in zip(scores, best, strict=True)]
-                else:
-                    best = list(np.argsort(-scores, axis=1, kind="stable")[:, :k])
-                for row, cols in enumerate(best):
-                    keep = cols[scores[row, cols] > -np.inf]
-                    out.append((np.repeat(ids[q[row]], len(keep)), ids[t[keep]], scores[row, keep]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query", "target", "score"), columns, strict=True)))
-
-    return top_k(sides.groupBy("low", "high").applyInArrow(nearest, "query bigint, target bigint, score double"), k)
+        found = [x for a, b in ((low, high), (high, low))[: 1 + (low != high)] for x in _nearest_of(ids, place, vec, np.flatnonzero(block == a), np.flatnonzero(block == b), k)]
+        return _tables(found, ids.type)
+
+    return top_k(sides.groupBy("low", "high").applyInArrow(nearest, _pairs_schema(vectors)), k)
+
+
+class Pruned(NamedTuple):
+    """Hits of a pruned search, and how many pairs of cells were compared of how many there are."""
+
+    hits: DataFrame
+    visited: int
+    pairs: int
+
+
+#: Cells of a pruned search hold CELL_ROOT * sqrt(n) vectors on average, BLOCK at most; pivots reach every task, so there are MOST_PIVOTS at most, and cells are parted beyond that.
+CELL_ROOT, MOST_PIVOTS = 8, 4096
+
+
+def pruned_top_k(vectors: DataFrame, k: int, pivots: int | None = None) -> Pruned:
+    """As blocked_top_k, with the same rows, but cells that cannot hold a hit are not looked at.
+
+    Angles between unit vectors obey the triangle inequality. Every vector belongs to the cell of its nearest pivot. A first round compares each
+    cell with itself and with the nearest cells until they hold k others; the k-th score of a query then bounds what any hit must reach. A
+    cell whose pivot is farther from a query than that angle and the cell's radius together holds none. Pairs of cells that some query needs are
+    compared in a second round, in which only such queries take part. How much is skipped depends on the data: clustered vectors skip
+    most pairs, evenly spread ones of many dimensions none, and then blocked_top_k moves fewer rows. Null vectors are left out.
+    """
+    spark = vectors.sparkSession
+    own = stored(vectors.where("id is not null and vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec")))
+    n = own.count()
+    pivots = pivots or min(MOST_PIVOTS, max(1, round(n / min(BLOCK, CELL_ROOT * max(n, 1) ** 0.5))))
+    chosen = own.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(pivots).select("vec").toArrow()  # MOST_PIVOTS vectors at most
+    centre = _unit_rows(chosen.column("vec"))
+    kind = vectors.schema["id"].dataType
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = np.clip(_unit_rows(batch.column(1)) @ centre.T, -1, 1)
+            cell = cos.argmax(1)
+            angle = np.arccos(cos[np.arange(len(cell)), cell])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], ["id", "vec", "cell", "angle"])
+
+    schema = StructType([StructField("id", kind), StructField("vec", ArrayType(DoubleType())), StructField("cell", IntegerType()), StructField("angle", DoubleType())])
+    placed = own.mapInArrow(assigned, schema) if n else spark.createDataFrame([], schema)
+    # a cell of more vectors than a task should hold is parted by hash; its parts have one pivot and radius
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
+    parted = placed.join(F.broadcast(sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))), "cell")  # a row for each pivot
+    placed = stored(parted.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts", "angle"))
+    cells = {row["cell"]: (row["n"], row["radius"]) for row in sizes.collect()}  # a row for each pivot
+    parts = sorted((row["cell"], row["part"]) for row in placed.select("cell", "part").distinct().collect())
+    number = {x: i for i, x in enumerate(parts)}
+    used = sorted(cells)
+    radius = np.array([cells[c][1] for c in used])
+    apart = np.arccos(np.clip(centre[used] @ centre[used].T, -1, 1)) if used else np.zeros((0, 0))
+    first: set[tuple[int, int]] = set()
+    for i, c in enumerate(used):
+        held = 0
+        for j in np.argsort(apart[i], kind="stable"):
+            first.add((c, used[j]))
+            held += cells[used[j]][0]
+            if held > k:
+                break
+
+    def compared(pairs: set[tuple[int, int]], bounds: DataFrame | None) -> DataFrame:
+        """query, target and score for the pairs of cells (query's, target's), one task for each pair of parts."""
+        rows = [(number[a, pa_], number[b, pb], a, pa_, b, pb) for a, pa_ in parts for b, pb in parts if (a, b) in pairs]
+        plan = spark.createDataFrame(rows, "qn int, tn int, a int, pa int, b int, pb int")
+        asked = placed if bounds is None else placed.join(bounds, "id")
+        queries = asked.join(F.broadcast(plan), (F.col("cell") == F.col("a")) & (F.col("part") == F.col("pa")))  # pairs of cells: no more than the square of MOST_PIVOTS
+        targets = placed.join(F.broadcast(plan), (F.col("cell") == F.col("b")) & (F.col("part") == F.col("pb")))
+        least = F.lit(-2.0) if bounds is None else F.col("least")
+        both = queries.select("qn", "tn", "id", "vec", F.lit(True).alias("asks"), least.alias("least")).unionByName(targets.select("qn", "tn", "id", "vec", F.lit(False).alias("asks"), F.lit(0.0).alias("least")))
+
+        def nearest(table: pa.Table) -> pa.Table:
+            ids, asks = table.column("id"), table.column("asks").to_numpy(zero_copy_only=False)
+            return _tables(_nearest_of(ids, _places(ids), _unit_rows(table.column("vec")), np.flatnonzero(asks), np.flatnonzero(~asks), k, table.column("least").to_numpy()), ids.type)
+
+        return both.groupBy("qn", "tn").applyInArrow(nearest, _pairs_schema(vectors))
+
+    near = stored(top_k(compared(first, None), k).drop("rank")) if used else compared(first, None)
+    reached = near.groupBy("query").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("found"))
+    bounds = stored(placed.select("id", "vec", "cell").join(reached, F.col("id") == F.col("query"), "left").select("id", "vec", "cell", F.when(F.col("found") >= k, F.col("kth")).otherwise(-2.0).alias("least")))
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angle = np.arccos(np.clip(_unit_rows(batch.column(0)) @ centre[used].T, -1, 1))
+            bound = np.cos(np.maximum(angle - radius, 0)) + 2e-6  # scores are rounded to six places
+            row, col = np.nonzero(bound >= batch.column(2).to_numpy()[:, None])
+            a, b = batch.column(1).to_numpy()[row], np.array(used, np.int32)[col]
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1].astype(np.int32))], ["a", "b"])
+
+    wanted = bounds.select("vec", "cell", "least").mapInArrow(needs, "a int, b int").distinct() if used else spark.createDataFrame([], "a int, b int")
+    second = {(row["a"], row["b"]) for row in wanted.collect()} - first  # pairs of cells
+    found = near.unionByName(compared(second, bounds.select("id", "least"))) if second else near
+    return Pruned(top_k(found, k), len(first) + len(second), len(used) ** 2)
+
+
+def matrix_scores(structures: DataFrame, queries: Column | None = None, cells: int = 1 << 24, temperature: float = 0.1) -> DataFrame:
+    """query, target and the statistics of their residue matrix for every ordered pair of structures (id, vecs: a vector for each residue).
+
+    The matrix of a pair holds the cosines of all residues of one with all of the other; row_best, row_soft, col_best, col_soft and mean_all are the
+    means of its rows' and columns' greatest and softly weighted entries, and of all. Structures are sorted by length and cut into blocks
+    that hold no more residues than the square root of `cells`, or one structure that is longer than half of that besides as many, so a task, which has
+    one block of queries and one of targets, multiplies about `cells` entries, a query at a time. No matrix leaves a task. `queries` says which structures ask; without it, all do. Ids are of
+    any type that has an order; structures without residues are left out.
+    """
+    side = max(1, int(cells**0.5 / 2))  # a block may reach as far again into the next one
+    own = stored(structures.where("id is not null and size(vecs) > 0").select("id", "vecs", F.size("vecs").cast("bigint").alias("length"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("asks")))
+    # places in the order of lengths: what lies before a structure tells its block
+    ordered = sampling.numbered(own.select("id", "length", "asks"), ["length", "id"], "place")
+    placed = stored(sampling.running(ordered, "place", "length", "before").withColumn("block", F.floor((F.coalesce("before", F.lit(0)) + F.col("length") - 1) / side).cast("bigint")))
+    blocks = placed.groupBy("block").agg(F.max("asks").alias("asks"))
+    plan = blocks.where("asks").select(F.col("block").alias("qb")).join(blocks.select(F.col("block").alias("tb")))  # a row for each task
+    located = own.join(placed.select("id", "block"), "id")
+    ask = located.where("asks").join(plan, F.col("block") == F.col("qb")).select("qb", "tb", "id", "vecs", F.lit(True).alias("asks"))
+    answer = located.join(plan, F.col("block") == F.col("tb")).select("qb", "tb", "id", "vecs", F.lit(False).alias("asks"))
+    names = ["row_best", "row_soft", "col_best", "col_soft", "mean_all"]
+    kind = structures.schema["id"].dataType
+    schema = StructType([StructField("query", kind), StructField("target", kind), *(StructField(name, DoubleType()) for name in names)])
+
+    def scored(table: pa.Table) -> pa.Table:
+        asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("id")
+        vecs = table.column("vecs").combine_chunks()
+        lengths = np.asarray(vecs.value_lengths())
+        unit_ = _unit_rows(vecs.flatten())
+        starts = np.cumsum(lengths) - lengths
+        rows = lambda which: np.concatenate([np.arange(starts[k], starts[k] + lengths[k]) for k in which])
+        targets = np.flatnonzero(~asks)
+        t, t_at = unit_[rows(targets)], np.cumsum(lengths[targets]) - lengths[targets]
+        out = []
+        for q in np.flatnonzero(asks):  # a strip: one query's residues with all of the block's
+            s = unit_[starts[q] : starts[q] + lengths[q]] @ t.T
+            width = lengths[targets]
+            best = np.maximum.reduceat(s, t_at, axis=1)
+            weight = np.exp((s - np.repeat(best, width, axis=1)) / temperature)
+            soft = np.add.reduceat(weight * s, t_at, axis=1) / np.add.reduceat(weight, t_at, axis=1)
+            top = s.max(0)
+            weight = np.exp((s - top) / temperature)
+            down = (weight * s).sum(0) / weight.sum(0)
+            mean = lambda x: np.add.reduceat(x, t_at) / width
+            out.append((q, best.mean(0), soft.mean(0), mean(top), mean(down), mean(s.mean(0))))
+        columns = [np.round(np.concatenate([x[k] for x in out]), 6) + 0.0 for k in range(1, 6)]
+        both = [ids.take(pa.array(np.repeat([x[0] for x in out], len(targets)))), ids.take(pa.array(np.tile(targets, len(out))))]
+        return pa.table(dict(zip(["query", "target", *names], [*both, *columns], strict=True)))
+
+    return ask.unionByName(answer).groupBy("qb", "tb").applyInArrow(scored, schema).where("query <> target")
 
 
 def rerank(hits: DataFrame, new_score: str, head: int) -> DataFrame:
@@ -91,7 +267,7 @@ def _reordered(ranked: DataFrame, scores: DataFrame, top: int, by: tuple[str, ..
     return own.select(*by, "query", "target", F.when(in_head, F.col("score")).otherwise(F.col("_old")).alias("score"), F.row_number().over(order).alias("rank"))
 
 
-def _best(hits: DataFrame, domains: DataFrame, by: tuple[str, ...]) -> dict | None:
+def _best_list(hits: DataFrame, domains: DataFrame, by: tuple[str, ...]) -> dict | None:
     """The list with the greatest mean sensitivity, superfamily first, then family, then the order of the lists' columns."""
     means = sensitivity(hits, domains, by).groupBy(*by).agg(F.avg("superfamily").alias("superfamily"), F.avg("family").alias("family"))
     found = means.orderBy(F.col("superfamily").desc_nulls_last(), F.col("family").desc_nulls_last(), *by).first()  # a row for each setting
@@ -115,7 +291,7 @@ def rerank_variants(ranked: dict[str, DataFrame], residues: DataFrame, variants:
         pairs = stored(_head(ranked[source], residues, views, top))
         sides = [(f"query_{v}", f"target_{v}") for v in views]
         tuned = _reordered(ranked[source], udfs.alignment_grid(pairs.where(tuning), settings, sides), top, keys)
-        best = _best(tuned, domains, keys) or dict(zip(keys, settings[0], strict=True))
+        best = _best_list(tuned, domains, keys) or dict(zip(keys, settings[0], strict=True))
         scores = stored(udfs.alignment_grid(pairs, [tuple(best[k] for k in keys)], sides).select("query", "target", F.round("score", 5).alias("score")))
         first = first or (source, scores)
         own = _reordered(ranked[source], scores, top).select(F.lit(name).alias("variant"), "query", "target", "score", "rank")
@@ -124,7 +300,7 @@ def rerank_variants(ranked: dict[str, DataFrame], residues: DataFrame, variants:
     both = scores.withColumn("a", z_score("score")).drop("score").join(ranked[source].where(F.col("rank") <= top).withColumn("b", z_score("score")).select("query", "target", "b"), ["query", "target"])
     mixed = both.withColumn("weight", F.explode(F.array(*(F.lit(float(w)) for w in weights)))).select("weight", "query", "target", F.round(F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b"), 5).alias("score"))
     mixed = stored(mixed)
-    best = _best(_reordered(ranked[source], mixed.where(tuning), top, ("weight",)), domains, ("weight",)) or {"weight": weights[0]}
+    best = _best_list(_reordered(ranked[source], mixed.where(tuning), top, ("weight",)), domains, ("weight",)) or {"weight": weights[0]}
     blend = _reordered(ranked[source], mixed.where(F.col("weight") == best["weight"]).drop("weight"), top)
     return out.unionByName(blend.select(F.lit("blend").alias("variant"), "query", "target", "score", "rank"))
 

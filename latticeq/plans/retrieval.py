@@ -62,6 +62,48 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir)
 
 
+def named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by names that do not sort as their numbers do."""
+    name = F.concat(F.lit("d"), F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 6), F.lit("_"), F.col("id").cast("string"))
+    return vectors(spark, sf_dir).select(name.alias("id"), "vec")
+
+
+_NAME = "concat('d', substr(md5(CAST({0} AS VARCHAR)), 1, 6), '_', CAST({0} AS VARCHAR))"
+
+
+@query("T1_named_topk", f"SELECT query, target, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS INT) AS rank FROM (SELECT {_NAME.format('query')} AS query, {_NAME.format('target')} AS target, score FROM ({_hits_sql(k=100000)})) QUALIFY rank <= {TOP}")
+def named_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.blocked_top_k(named_vectors(spark, sf_dir), TOP)
+
+
+@query("T1_pruned_topk", _hits_sql(k=10))
+def pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as the plain search, by cells around pivots."""
+    return search.pruned_top_k(vectors(spark, sf_dir), 10).hits
+
+
+def named_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures of 1, 3, 5, ... residues: the whole root of a vector's number says which it belongs to."""
+    own = table(spark, sf_dir, "embeddings").select(F.floor(F.sqrt(F.col("vec_id").cast("double"))).alias("s"), "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    lists = own.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vec"))).alias("r"))  # one chain
+    return lists.select(F.concat(F.lit("S"), F.lpad((F.col("s") * 7 % 1000).cast("string"), 4, "0"), F.lit("_"), F.col("s").cast("string")).alias("id"), F.transform("r", lambda x: x["vec"]).alias("vecs"))
+
+
+_RESIDUES = "SELECT concat('S', lpad(CAST(s * 7 % 1000 AS VARCHAR), 4, '0'), '_', CAST(s AS VARCHAR)) AS id, vec_id, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS u FROM (SELECT CAST(floor(sqrt(vec_id::DOUBLE)) AS BIGINT) AS s, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+_MATRIX = f"SELECT a.id AS query, b.id AS target, a.vec_id AS i, b.vec_id AS j, list_inner_product(a.u, b.u) AS s FROM r a JOIN r b ON a.id <> b.id"
+_LINES = "SELECT query, target, max(s) AS best, sum(exp((s - m) / 0.1) * s) / sum(exp((s - m) / 0.1)) AS soft FROM (SELECT *, max(s) OVER (PARTITION BY query, target, {0}) AS m FROM c) GROUP BY query, target, {0}"
+
+
+@query("J8_matrix_scores", f"""WITH r AS MATERIALIZED ({_RESIDUES}), c AS MATERIALIZED ({_MATRIX}),
+a AS (SELECT query, target, round(avg(best), 6) AS row_best, round(avg(soft), 6) AS row_soft FROM ({_LINES.format('i')}) GROUP BY 1, 2),
+b AS (SELECT query, target, round(avg(best), 6) AS col_best, round(avg(soft), 6) AS col_soft FROM ({_LINES.format('j')}) GROUP BY 1, 2),
+m AS (SELECT query, target, round(avg(s), 6) + 0.0 AS mean_all FROM c GROUP BY 1, 2)
+SELECT * FROM a JOIN b USING (query, target) JOIN m USING (query, target)""")
+def matrix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ordered pairs of structures by their residue matrices, in blocks of 65,536 entries, which is many blocks even here."""
+    return search.matrix_scores(named_structures(spark, sf_dir), cells=1 << 16)
+
+
 @query("J8_all_against_all", "SELECT query, target, score FROM (" + _hits_sql(k=100000) + ") WHERE query % 20 = 0")
 def all_against_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain form: a stated set of queries against all vectors, with the whole embedding."""

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from latticeq.operators import audits, ids, joins, metrics, sampling
@@ -163,3 +164,48 @@ def test_parts_and_batches_are_written_once(spark, tmp_path):
         except Exception as error:
             assert "lost after the write" in str(error)
     assert failed and incremental.appended(spark, f"{tmp_path}/out").count() == 6
+
+
+def _plain_top(vec, ids, k):
+    u = vec / (np.sqrt((vec**2).sum(1, keepdims=True)) + 1e-9)
+    scores = np.round(np.clip(u @ u.T, -1, 1), 6)
+    out = set()
+    for q in range(len(ids)):
+        best = sorted((j for j in range(len(ids)) if ids[j] != ids[q]), key=lambda j: (-scores[q, j], ids[j]))[:k]
+        out |= {(ids[q], ids[j], scores[q, j], rank) for rank, j in enumerate(best, 1)}
+    return out
+
+
+def test_pruned_search_gives_the_plain_rows_and_skips_cells(spark):
+    from latticeq.operators import search
+
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 8)) * 5
+    clustered = np.concatenate([c + rng.standard_normal((40, 8)) * 0.05 for c in centres])
+    clustered[7] = clustered[8]  # a tie
+    for vec, skips in ((clustered, True), (rng.standard_normal((300, 8)), False)):
+        ids = [f"v{(k * 37) % 1000:03d}" for k in range(len(vec))]
+        table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vec, strict=True)] + [("none", None)], "id string, vec array<double>")
+        found = search.pruned_top_k(table, 5, pivots=24)
+        assert {tuple(r) for r in found.hits.collect()} == _plain_top(vec, ids, 5)
+        assert found.visited < found.pairs / 3 if skips else found.visited <= found.pairs
+    assert search.pruned_top_k(table.limit(0), 5).hits.count() == 0
+
+
+def test_matrix_scores_of_pairs_in_blocks(spark):
+    from latticeq.operators import search
+
+    rng = np.random.default_rng(6)
+    sizes = [1, 1, 2, 3, 5, 8, 13, 21, 34]
+    structures = {f"s{k}": rng.standard_normal((n, 6)) for k, n in enumerate(sizes)}
+    rows = [(name, v.tolist()) for name, v in structures.items()] + [("empty", []), ("none", None)]
+    table = spark.createDataFrame(rows, "id string, vecs array<array<double>>")
+    for cells in (1, 64, 1 << 20):
+        got = {(r["query"], r["target"]): (r.row_best, r.row_soft, r.col_best, r.col_soft, r.mean_all) for r in search.matrix_scores(table, F.col("id").isin("s0", "s5", "s8"), cells).collect()}
+        assert got.keys() == {(q, t) for q in ("s0", "s5", "s8") for t in structures if q != t}
+        for (q, t), own in got.items():
+            a, b = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9) for v in (structures[q], structures[t]))
+            s = a @ b.T
+            soft = lambda m: (np.exp((m - m.max(1, keepdims=True)) / 0.1) * m).sum(1) / np.exp((m - m.max(1, keepdims=True)) / 0.1).sum(1)
+            assert np.allclose(own, (s.max(1).mean(), soft(s).mean(), s.max(0).mean(), soft(s.T).mean(), s.mean()), atol=1e-6)
+    assert search.matrix_scores(table.limit(0)).count() == 0
