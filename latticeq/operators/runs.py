@@ -6,7 +6,9 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +111,48 @@ def run_sharded(spark: SparkSession, rows: int, shards: int, compute: Callable[[
     return out
 
 
+def run_shards(spark: SparkSession, windows: list[tuple[int, int]], compute: Callable[[int, int], DataFrame], target: str, at_once: int = 4) -> DataFrame:
+    """The table at target, made of windows of rows, several at once, and gone on with where an earlier run ended.
+
+    Each window is a partition of target, shard=low, and is done when a marker says how many rows it has; a window without a marker is
+    written anew. Jobs are submitted from threads, each to a scheduler pool of its own. Windows that fail are named when all others have
+    ended; what is done stays. The table is the partitions as they lie: nothing is written a second time.
+    """
+    markers = f"{target}.done"
+    done = {row["low"] for row in finished_shards(spark, target).collect()}  # a row for each window
+
+    def one(window: tuple[int, int], pool: int) -> str | None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"shards-{pool}")
+        low, high = window
+        try:
+            compute(low, high).write.mode("overwrite").parquet(f"{target}/shard={low}")
+            rows = spark.read.parquet(f"{target}/shard={low}").count()
+            row = spark.range(1).select(F.lit(low).cast("bigint").alias("low"), F.lit(high).cast("bigint").alias("high"), F.lit(rows).cast("bigint").alias("rows"))
+            row.coalesce(1).write.mode("overwrite").parquet(f"{markers}/window={low}")
+        except Exception as error:
+            return f"[{low}, {high}): {error}"
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        return None
+
+    todo = [w for w in windows if w[0] not in done]
+    with ThreadPoolExecutor(at_once) as pool:
+        failed = [x for x in pool.map(inheritable_thread_target(one), todo, [k % at_once for k in range(len(todo))]) if x]
+    if failed:
+        raise RuntimeError(f"{len(failed)} of {len(windows)} windows failed, run again for these: {'; '.join(failed)}")
+    out = spark.read.parquet(target).drop("shard") if windows else compute(0, 0)
+    said = finished_shards(spark, target).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    if windows and (n := out.count()) != said:
+        raise RuntimeError(f"{target} has {n} rows, its markers say {said}")
+    return out
+
+
+def finished_shards(spark: SparkSession, target: str) -> DataFrame:
+    """low, high and rows of the windows that are done."""
+    schema = "low bigint, high bigint, rows bigint"
+    return spark.read.schema(schema).parquet(f"{target}.done") if exists(spark, f"{target}.done") else spark.createDataFrame([], schema)
+
+
 def settings_warnings(saved: dict, wanted: dict) -> list[str]:
     """What differs between the settings that a result was made with and those that are asked for now."""
     return [f"{name}: made with {saved[name]!r}, now {wanted[name]!r}" for name in sorted(saved.keys() & wanted.keys()) if saved[name] != wanted[name]]

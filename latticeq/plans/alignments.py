@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import alignment
 from ..registry import query, table
 
@@ -80,3 +81,18 @@ def dense_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = pairs(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     return table(spark, sf_dir, "benchmark").select("item_id").join(stored, "item_id", "left").select("item_id", n.alias("anchors"), F.when(n > 12, "stored").otherwise("labelled").alias("used"))
+
+
+@query("X17_lateral_columns", f"SELECT item_id, pos::INT AS pos, i, j, a, marker, b FROM ({_PAIRS})")
+def lateral_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As X17, from SQL with a table function."""
+    tables.register(spark)
+    return spark.sql("SELECT s.item_id, t.* FROM {strings} s, LATERAL aligned_columns(s.a, s.m, s.b) t", strings=strings(spark, sf_dir))
+
+
+@query("X18_lateral_runs", f"SELECT item_id, i, j FROM ({_PAIRS})")
+def lateral_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As X18, from SQL with a table function."""
+    tables.register(spark)
+    runs = alignment.segments(pairs(spark, sf_dir), "item_id")
+    return spark.sql("SELECT r.item_id, t.* FROM {runs} r, LATERAL expanded_run(r.i0, r.j0, r.len) t", runs=runs)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sampling
 from ..registry import query, table
-from ..sources import text
+from ..sources import formats, text
+from ..sources.shared import folder
+from ..streaming import incremental
 from .geometry import _POINTS, residues
 
 _NAMES = "ALA A GLY G TRP W SER S".split()
@@ -102,3 +104,49 @@ def formatted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["O", "F"]).agg(F.count(F.lit(1)))
     return own.select("o_custkey", F.coalesce("O", F.lit(0)).alias("method_o"), F.coalesce("F", F.lit(0)).alias("method_f"))
+
+
+def _written(spark: SparkSession, lines: DataFrame, key: str, order: str) -> str:
+    """A folder of text files, one for each value of key."""
+    where = folder(spark)
+    lines.repartition(key).sortWithinPartitions(key, order).select(key, F.col("line").alias("value")).write.partitionBy(key).text(where)
+    formats.register(spark)
+    return where
+
+
+def _name(file: str) -> Column:
+    """The value that a file of _written stands for."""
+    return F.regexp_extract(file, "=([^/]*)/", 1)
+
+
+@query("S10_residue_format", f"SELECT file, chain, idx, residue, x, y, z FROM ({_RES}) WHERE idx < 10")
+def residue_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure files written and read as a format: one chain of each."""
+    where = _written(spark, structure_lines(spark, sf_dir), "file", "line_no")
+    return spark.read.format("residues").option("chain", "B").load(where).withColumn("file", _name("file"))
+
+
+@query("S12_residue_format", f"SELECT file, residue, count(*)::BIGINT AS n FROM ({_RES}) GROUP BY 1, 2")
+def all_chains_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = _written(spark, structure_lines(spark, sf_dir), "file", "line_no")
+    return spark.read.format("residues").load(where).groupBy(_name("file").alias("file"), "residue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S15_fasta_format", "SELECT concat('i', CAST(item_id AS VARCHAR)) AS id, replace(text, ' ', '') AS sequence FROM (SELECT item_id, replace(replace(text, chr(10), ''), '>', '') AS text FROM benchmark)")
+def fasta_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA files of several entries, read as a format."""
+    clean = F.replace(F.replace(F.replace("text", F.lit("\n"), F.lit("")), F.lit(">"), F.lit("")), F.lit(" "), F.lit(""))
+    own = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 7).cast("string").alias("part"), clean.alias("s"))
+    entry = F.concat(F.lit(">i"), F.col("item_id").cast("string"), F.lit(" note\n"), F.substring("s", 1, 40), F.lit("\n"), F.expr("substring(s, 41)"))
+    where = _written(spark, own.select("part", "item_id", entry.alias("line")), "part", "item_id")
+    return spark.read.format("fasta").load(where).select("id", "sequence")
+
+
+@query("S17_hit_format", "SELECT CAST(l_orderkey AS VARCHAR) AS query, CAST(l_partkey AS VARCHAR) AS target, l_quantity AS score FROM lineitem")
+def hit_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked lists in files, streamed until all are taken."""
+    own = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).cast("string").alias("part"), "l_orderkey", F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("line"))
+    where, out = _written(spark, own, "part", "l_orderkey"), folder(spark)
+    stream = spark.readStream.format("hits").load(where).select("query", "target", "score")
+    incremental.write_batches(stream, f"{out}/hits", f"{out}/state")
+    return incremental.appended(spark, f"{out}/hits")

@@ -51,6 +51,22 @@ def carried_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.appended(spark, f"{where}/out").select("user_id", "event_id", "value")
 
 
+_SIZED = "SELECT user_id, event_id, ts, count(*) OVER (PARTITION BY user_id) + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS size, user_id % 5 <> 0 AS whole FROM events"
+
+
+@query("G4_late_groups", f"SELECT user_id, event_id, whole FROM ({_SIZED}) WHERE whole OR user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events))")
+def late_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' rows when all are there, held in keyed state; of users that lack a row, what is there an hour after their last one. Others still wait."""
+    from pyspark.sql import functions as F
+
+    own, where = table(spark, sf_dir, "events"), folder(spark)
+    sizes = own.groupBy("user_id").agg((F.count(F.lit(1)) + F.when(F.col("user_id") % 5 == 0, 1).otherwise(0)).alias("size"))
+    stream = incremental.file_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).join(sizes, "user_id")
+    with incremental.keyed_state(spark):
+        incremental.write_batches(incremental.whole_groups(stream, "user_id", "size", "ts", "1h"), f"{where}/out", f"{where}/state")
+    return incremental.appended(spark, f"{where}/out").select("user_id", "event_id", "whole")
+
+
 @query("G5_stopped_and_resumed", "SELECT event_id FROM events")
 def stopped_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run over eight files that stops after two batches, and one that goes on where it stopped."""

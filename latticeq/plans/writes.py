@@ -135,6 +135,28 @@ def sharded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_sharded(spark, table(spark, sf_dir, "lineitem").count(), 4, compute, f"{where}/merged")
 
 
+@query("O2_resumed_shards", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS twice FROM lineitem")
+def resumed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows computed several at once; one fails in the first run, and only that one is computed in the second."""
+    from ..sources import parquet
+
+    path, where, tried = f"{sf_dir}/lineitem.parquet", folder(spark), []
+
+    def compute(low: int, high: int) -> DataFrame:
+        tried.append(low)
+        if low and tried.count(low) == 1 and low == last:
+            raise ValueError("lost")
+        return parquet.window_scan(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"], low, high).select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("twice"))
+
+    windows = runs.row_windows(table(spark, sf_dir, "lineitem").count(), 6)
+    last = windows[-1][0]
+    try:
+        runs.run_shards(spark, windows, compute, f"{where}/out")
+    except RuntimeError:
+        pass
+    return runs.run_shards(spark, windows, compute, f"{where}/out")
+
+
 @query("R8_on_path", f"SELECT p.item_id, p.i, p.j, q.i IS NOT NULL AS next_on FROM ({_PAIRS}) p LEFT JOIN ({_PAIRS}) q ON q.item_id = p.item_id AND q.i = p.i + 1 AND q.j = p.j")
 def on_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the cell below an aligned one is aligned too."""

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 #: Footers that are read at a time.
 FOOTERS = 32
-PARTS = "path string, row_group int, first bigint, low bigint, high bigint"
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -56,45 +53,66 @@ def window_parts(path: str, start: int = 0, end: int | None = None) -> list[tupl
     return out
 
 
+def window_files(path: str, start: int = 0, end: int | None = None) -> list[tuple[str, int, int]]:
+    """The files that meet the rows [start, end): name, and the rows [low, high) of it that are wanted."""
+    out: dict[str, list[int]] = {}
+    base: dict[str, int] = {}
+    groups = window_parts(path, start, end)
+    for name, number, first, low, high in groups:
+        if name not in base:
+            base[name] = first - sum(_groups(name)[:number])
+        rows = out.setdefault(name, [first + low - base[name], 0])
+        rows[1] = first + high - base[name]
+    return [(name, low, high) for name, (low, high) in out.items()]
+
+
 def window_scan(spark: SparkSession, path: str, columns: list[str], start: int = 0, end: int | None = None) -> DataFrame:
     """row_id and columns of the rows [start, end) of a table of one or more files, in the order of their names.
 
-    The footers say which row groups meet the window; only these are read, and of them only the columns. In a store that only Spark reads,
-    Spark scans the table and filters by place.
+    The footers say which files meet the window; Spark reads these alone, and of the first and last one only the row groups that hold wanted places, as
+    a filter on a row's place reaches the scan. In a store that Arrow does not know, Spark scans the table and filters by place.
     """
-    try:
-        parts = window_parts(path, start, end)
-    except (pa.ArrowException, OSError, ValueError):
+    if not _known(path):
         return _scanned(spark, path, columns, start, end)
-    schema = spark.read.parquet(path).select(*columns).schema
-    out = StructType([StructField("row_id", LongType()), *schema.fields])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batch.to_pylist():
-                store, where = _store(part["path"])
-                at = 0
-                with store.open_input_file(where) as source:
-                    for rows in pq.ParquetFile(source).iter_batches(row_groups=[part["row_group"]], columns=columns):
-                        low, high = max(part["low"] - at, 0), min(part["high"] - at, rows.num_rows)
-                        if low < high:
-                            own = rows.slice(low, high - low)
-                            places = pa.array(range(part["first"] + at + low, part["first"] + at + high), pa.int64())
-                            yield pa.RecordBatch.from_arrays([places, *(own.column(c) for c in columns)], ["row_id", *columns])
-                        at += rows.num_rows
-
-    return spark.createDataFrame(parts, PARTS).repartition(max(1, len(parts))).mapInArrow(read, out)
+    found = window_files(path, start, end)
+    if not found:
+        return spark.read.parquet(path).select(F.lit(0).cast("bigint").alias("row_id"), *columns).where(F.lit(False))
+    place = F.col("_metadata.row_index")
+    at, out, middle = start, None, []
+    for k, (name, low, high) in enumerate(found):
+        if 0 < k < len(found) - 1:
+            middle.append((name, at))
+        else:
+            own = spark.read.parquet(name).where((place >= low) & (place < high)).select((place + F.lit(at - low)).alias("row_id"), *columns)
+            out = own if out is None else out.unionByName(own)
+        at += high - low
+    if middle:
+        out = out.unionByName(_placed(spark.read.parquet(*(name for name, _ in middle)), columns, middle[0][1]))
+    return out
 
 
-def _scanned(spark: SparkSession, path: str, columns: list[str], start: int, end: int | None) -> DataFrame:
-    """As window_scan, by a scan of the whole table; offsets of several files are joined from counts."""
-    files = spark.read.parquet(path)
+def _known(path: str) -> bool:
+    """Whether Arrow knows the store of a path."""
+    try:
+        _store(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
+    return True
+
+
+def _placed(files: DataFrame, columns: list[str], first: int) -> DataFrame:
+    """row_id and columns of whole files in the order of their names, counted from `first`; places of the files come from their counts."""
     name, place = F.col("_metadata.file_path").alias("_name"), F.col("_metadata.row_index").alias("_place")
     sizes = files.select(name).groupBy("_name").agg(F.count(F.lit(1)).alias("_n"))
-    other = sizes.select(F.col("_name").alias("_other"), F.col("_n").alias("_m"))
-    first = sizes.join(other, F.col("_other") < F.col("_name"), "left").groupBy("_name").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_first"))  # a row per file
-    own = files.select(name, place, *columns).join(F.broadcast(first), "_name").select((F.col("_place") + F.col("_first")).alias("row_id"), *columns)
-    own = own.where(F.col("row_id") >= start)
+    before = F.sum("_n").over(Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
+    starts = sizes.select("_name", F.coalesce(before, F.lit(0)).alias("_first"))
+    own = files.select(name, place, *columns).join(F.broadcast(starts), "_name")
+    return own.select((F.col("_place") + F.col("_first") + first).alias("row_id"), *columns)
+
+
+def _scanned(spark: SparkSession, path: str, columns: list[str], start: int, end: int | None) -> DataFrame:
+    """As window_scan, by a scan of the whole table."""
+    own = _placed(spark.read.parquet(path), columns, 0).where(F.col("row_id") >= start)
     return own if end is None else own.where(F.col("row_id") < end)
 
 

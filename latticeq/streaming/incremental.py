@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,78 @@ def carried_groups(stream: DataFrame, key: str, size: str) -> DataFrame:
     return out.select(F.from_json("row", schema).alias("x"), "parts").select("x.*", "parts")
 
 
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within have the state store that keyed state needs; what was set is restored."""
+    name, wanted = _PROVIDER
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, wanted)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def whole_groups(stream: DataFrame, key: str, size: str, time: str, wait: str = "1 day", keep: str = "0 seconds") -> DataFrame:
+    """The rows of whole groups, and of groups that waited too long: stream's columns, `parts` (batches it took) and `whole`.
+
+    A row is put into the group's list state when it comes and is read once, when the group has as many as its column `size` says, so state and work
+    grow with the rows. A timer is set behind the group's last row; if event time passes it by `wait`, what is held comes out with `whole` false, and
+    the state is dropped. Rows that come later begin a group anew. `keep`: how long event time waits for rows that are late. Start the stream within keyed_state.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+    from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
+    names = stream.columns
+    schema = StructType([f for f in stream.schema.fields])
+    waits = int(pd.Timedelta(wait) / pd.Timedelta("1ms"))
+
+    class Group(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.rows = handle.getListState("rows", schema)
+            self.facts = handle.getValueState("facts", "held bigint, parts int, last bigint")
+
+        def handleInputRows(self, group, frames, timers):
+            held, parts, last = self.facts.get() or (0, 0, 0) if self.facts.exists() else (0, 0, 0)
+            need = None
+            for frame in frames:
+                need = int(frame[size].iloc[0])
+                held += len(frame)
+                last = max(last, int(frame[time].max().timestamp() * 1000))
+                self.rows.appendList([tuple(x.to_pydatetime() if hasattr(x, "to_pydatetime") else x.item() if hasattr(x, "item") else x for x in row) for row in frame.itertuples(index=False, name=None)])
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if held >= need:
+                yield self.out(parts + 1, True)
+            else:
+                self.facts.update((held, parts + 1, last))
+                self.handle.registerTimer(last + waits)
+
+        def handleExpiredTimer(self, group, timers, expired):
+            if self.facts.exists():
+                yield self.out(self.facts.get()[1], False)
+
+        def out(self, parts, whole):
+            frame = pd.DataFrame([tuple(row) for row in self.rows.get()], columns=names).assign(parts=parts, whole=whole)
+            self.rows.clear()
+            self.facts.clear()
+            return frame
+
+        def close(self):
+            pass
+
+    out = StructType([*schema.fields, StructField("parts", IntegerType()), StructField("whole", BooleanType())])
+    return stream.withWatermark(time, keep).groupBy(key).transformWithStateInPandas(Group(), out, "Append", "eventTime")
+
+
 def stopped_after(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], batches: int) -> int:
     """Take up to so many batches, then stop where a batch ends; the next run goes on there. Returns how many were taken."""
     taken = 0
