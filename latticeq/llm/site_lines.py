@@ -37,8 +37,9 @@ def drop_site_lines(docs: DataFrame, host: str = "source", text: str = "text", r
     n_lines and n_dropped, which are replaced. No array is made for each host, as the number of long lines grows with it: every page meets its own lines'
     verdicts, by joins on (host, line) and then (host, page), so that a hot host is dealt to many tasks.
     """
-    # the caller's columns travel in one struct, so that no name can clash
-    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _host(f"`{host}`").alias("host"), F.xxhash64(f"`{text}`").alias("page"), F.col(f"`{text}`").alias("text"))
+    # the caller's other columns travel in one struct, so that no name can clash
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).alias("none")]
+    source = docs.select(F.struct(*others).alias("row"), _host(f"`{host}`").alias("host"), F.xxhash64(f"`{text}`").alias("page"), F.col(f"`{text}`").alias("text"))
     pages = source.where(F.col("text").isNotNull()).select("host", "page", "text")
     totals = pages.groupBy("host").agg(F.count_distinct("page").alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines("text"), lambda line: F.trim(line) != ""), lambda line: F.struct(_key(line).alias("line"), _is_long(line, long_words).alias("long"))))
