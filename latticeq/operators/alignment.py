@@ -48,8 +48,9 @@ SHIFTS, TRIES = (4, 32), 10
 
 
 def _drawn(n: Column, *parts: Column) -> Column:
-    """A number from 0 to n - 1 by hash: the same on any cluster."""
-    return F.pmod(F.xxhash64(*parts), n).cast("int")
+    """A number from 0 to n - 1 by md5 of the parts: the same on any cluster, and in any engine."""
+    text = F.concat_ws("|", *(part.cast("string") for part in parts))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % n).cast("int")
 
 
 def shifted(rows: DataFrame, keys: list[str], length: str, seed: int = 0) -> DataFrame:

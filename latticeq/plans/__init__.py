@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("tables", "reports", "alignments", "retrieval", "geometry", "loading", "files", "streams", "models", "writes")
+FAMILIES = ("tables", "reports", "alignments", "retrieval", "geometry", "loading", "files", "streams", "models", "noisy", "writes")
 
 
 def load() -> None:

@@ -70,9 +70,35 @@ def aligned_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where("pair_type = 'aligned'").select("item_id", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))
 
 
-@query("W9_negatives")
+def drawn_sql(n: str, *parts: str) -> str:
+    return f"CAST(concat('0x', substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT) % {n}"
+
+
+def shifted_sql(rows: str, keys: tuple[str, ...]) -> str:
+    """rows (keys, i, j, size) with shifted."""
+    step, sign = (drawn_sql(n, *keys, "0", f"'{name}'") for n, name in (("29", "step"), ("2", "sign")))
+    return f"SELECT * EXCLUDE (step), CAST(CASE WHEN j + step >= 0 AND j + step < size THEN j + step WHEN j - step >= 0 AND j - step < size THEN j - step END AS INT) AS shifted FROM (SELECT *, (CASE WHEN {sign} = 0 THEN 1 ELSE -1 END) * ({step} + 4) AS step FROM ({rows}))"
+
+
+def random_sql(rows: str, path: str, keys: tuple[str, ...]) -> str:
+    """keys, ri and rj of rows (keys, item_id, size): the first of ten that is not on the path, else the last."""
+    ri, rj = (drawn_sql("size", *keys, "0", "t", str(k)) for k in (0, 1))
+    tried = f"SELECT *, {ri} AS ri, {rj} AS rj FROM ({rows}), range(10) r(t)"
+    marked = f"SELECT t.*, CASE WHEN p.i IS NULL THEN t.t ELSE 20 - t.t END AS o FROM ({tried}) t LEFT JOIN ({path}) p ON p.item_id = t.item_id AND p.i = t.ri AND p.j = t.rj"
+    return f"SELECT {', '.join(keys)}, CAST(arg_min(ri, o) AS INT) AS ri, CAST(arg_min(rj, o) AS INT) AS rj FROM ({marked}) GROUP BY {', '.join(keys)}"
+
+
+SIZED = f"SELECT p.*, length(regexp_replace(text, '[rst-]', '', 'g')) AS size FROM ({_PAIRS}) p JOIN benchmark USING (item_id)"
+_POSITIVE = f"SELECT item_id, (n - 1) // 8 AS k, pos, i, j, size FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS n FROM ({SIZED})) WHERE (n - 1) % 8 = 0"
+_MOVED = f"SELECT * EXCLUDE (shifted), CASE WHEN k % 2 = 0 THEN shifted END AS s FROM ({shifted_sql(_POSITIVE, ('item_id', 'k'))})"
+NEGATIVES = f"""SELECT item_id, k::INT AS k, 'aligned' AS pair_type, pos::INT AS pos, i::INT AS i, j::INT AS j FROM ({_POSITIVE}) UNION ALL
+SELECT m.item_id, m.k::INT, CASE WHEN s IS NOT NULL THEN 'shifted' ELSE 'random' END, -1, CASE WHEN s IS NOT NULL THEN i ELSE ri END::INT, coalesce(s, rj)::INT
+FROM ({_MOVED}) m LEFT JOIN ({random_sql(f'SELECT * FROM ({_MOVED}) WHERE s IS NULL', _PAIRS, ('item_id', 'k'))}) d ON d.item_id = m.item_id AND d.k = m.k"""
+
+
+@query("W9_negatives", NEGATIVES)
 def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positives and negatives by turns; hashes take the place of random numbers, so a test checks their rules."""
+    """Positives and negatives by turns; md5 takes the place of random numbers."""
     return alignment.negatives(sized_pairs(spark, sf_dir), "item_id", "size", stride=8)
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import sampling
 from ..registry import query, table
-from ..sources import formats, text
+from ..sources import formats, sinks, text
 from ..sources.shared import folder
 from ..streaming import incremental
 from .geometry import _POINTS, residues
+from .retrieval import _HITS, hits
 
 _NAMES = "ALA A GLY G TRP W SER S".split()
 
@@ -95,9 +96,12 @@ def hit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.hits(own.select(F.lit("f").alias("file"), "line_no", F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("line")))
 
 
-@query("K9_formatted_hits", "SELECT vec_id, printf('%.5f', round(embedding[1]::DOUBLE, 5)) AS score FROM embeddings")
+@query("K9_formatted_hits", f"SELECT CAST(query AS VARCHAR) AS query, CAST(target AS VARCHAR) AS target, printf('%.5f', score + sign(score) * 1e-9) AS score FROM ({_HITS})")
 def formatted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.format_string("%.5f", F.round(F.get("embedding", 0).cast("double"), 5)).alias("score"))
+    """Ranked lists as the writer leaves them, compressed lines with five decimals, read as text."""
+    where = folder(spark)
+    sinks.write_hits(hits(spark, sf_dir), where)
+    return spark.read.csv(where, sep="\t").toDF("query", "target", "score")
 
 
 @query("K12_wide_methods", "SELECT o_custkey, sum((o_orderstatus = 'O')::INT)::BIGINT AS method_o, sum((o_orderstatus = 'F')::INT)::BIGINT AS method_f FROM orders GROUP BY 1")

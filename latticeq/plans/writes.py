@@ -10,7 +10,7 @@ from ..operators import alignment, ids, runs, search
 from ..registry import query, table
 from ..sources import archives, sinks
 from ..sources.shared import folder
-from .alignments import _PAIRS, sized_pairs
+from .alignments import _PAIRS, SIZED, random_sql, shifted_sql, sized_pairs
 from .retrieval import _HITS, _RERANKED, hits, reranked
 
 
@@ -165,15 +165,15 @@ def on_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("item_id", "i", "j").join(there, ["item_id", "i", "j"], "left").withColumn("next_on", F.coalesce("next_on", F.lit(False)))
 
 
-@query("R6_shifted")
+@query("R6_shifted", f"SELECT item_id, i, j, shifted FROM ({shifted_sql(SIZED, ('item_id', 'pos'))})")
 def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shifted negative of every aligned pair; a test checks the rules, as hashes take the place of random numbers."""
+    """A shifted negative of every aligned pair; md5 takes the place of random numbers."""
     return alignment.shifted(sized_pairs(spark, sf_dir), ["item_id", "pos"], "size").select("item_id", "i", "j", "shifted")
 
 
-@query("R7_random_pairs")
+@query("R7_random_pairs", random_sql(SIZED, _PAIRS, ("item_id", "pos")))
 def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random pair off the path for every aligned one; a test checks the rules."""
+    """A random pair off the path for every aligned one."""
     own = sized_pairs(spark, sf_dir).withColumn("first", F.col("size"))
     return alignment.random_pairs(own, own, ["item_id", "pos"], "item_id", ("first", "size"))
 

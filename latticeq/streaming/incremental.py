@@ -126,10 +126,10 @@ def whole_groups(stream: DataFrame, key: str, size: str, time: str, wait: str =
             self.rows = handle.getListState("rows", schema)
             self.facts = handle.getValueState("facts", "held bigint, parts int, last bigint")
 
-        def handleInputRows(self, group, frames, timers):
+        def handleInputRows(self, key, rows, timerValues):
             held, parts, last = self.facts.get() or (0, 0, 0) if self.facts.exists() else (0, 0, 0)
             need = None
-            for frame in frames:
+            for frame in rows:
                 need = int(frame[size].iloc[0])
                 held += len(frame)
                 last = max(last, int(frame[time].max().timestamp() * 1000))
@@ -142,7 +142,7 @@ def whole_groups(stream: DataFrame, key: str, size: str, time: str, wait: str =
                 self.facts.update((held, parts + 1, last))
                 self.handle.registerTimer(last + waits)
 
-        def handleExpiredTimer(self, group, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             if self.facts.exists():
                 yield self.out(self.facts.get()[1], False)
 
