@@ -374,3 +374,54 @@ def paired_bootstrap(scores: DataFrame, draws: int, a: str = "a", b: str = "b")
     interval = means.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
     whole = own.agg(F.round(F.avg("diff"), 6).alias("difference"), F.sum((F.col("diff") > 0).cast("bigint")).alias("wins_a"), F.sum((F.col("diff") < 0).cast("bigint")).alias("wins_b"))
     return whole.crossJoin(interval)  # two rows
+
+
+#: Rows of a range of the split bootstrap, and picks that a task holds at once.
+RANGE_ROWS, PICKS = 1 << 16, 1 << 22
+
+
+def picked(n: int, at: int, size: int, draws: int, seed: int) -> np.ndarray:
+    """How many of n picks each draw takes from range `at` of the ranges of `size` rows: a multinomial, split in halves from the whole down.
+
+    The split of a node is drawn by numbers that (seed, node) fixes, for all draws together, so every range finds its own part by itself and all parts of a
+    draw sum to n.
+    """
+    low, high, node = 0, -(-n // size), 1
+    count = np.full(draws, n, np.int64)
+    while high - low > 1:
+        half = (low + high) // 2
+        first, last = low * size, min(n, high * size)
+        left = np.random.Generator(np.random.Philox(key=[seed, node])).binomial(count, (half * size - first) / (last - first))
+        low, high, count, node = (low, half, left, 2 * node) if at < half else (half, high, count - left, 2 * node + 1)
+    return count
+
+
+def split_bootstrap(scores: DataFrame, draws: int, a: str = "a", b: str = "b", seed: int = 1, size: int = RANGE_ROWS) -> DataFrame:
+    """As paired_bootstrap, for many draws: no row moves for a draw.
+
+    Queries get places in order and ranges of `size` places. A task has whole ranges: how many picks of each draw fall into a range is known from
+    the range's number alone, the picks are drawn in place, and their sums leave the range, a number for each draw. So draws * n / size
+    rows are shuffled instead of draws * n, and the draws are the same on any cluster.
+    """
+    own = stored(sampling.numbered(scores.select("query", (F.col(a) - F.col(b)).alias("diff")), ["query"], "place"))
+    n = own.count()
+
+    def totals(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("place").to_numpy())
+        diff, at = table.column("diff").to_numpy()[order], table.column("range")[0].as_py()
+        counts = picked(n, at, size, draws, seed)
+        rng = np.random.Generator(np.random.Philox(key=[seed + 1, at]))
+        out = np.zeros(draws)
+        step = max(1, PICKS // max(1, int(counts.mean())))
+        for low in range(0, draws, step):
+            part = counts[low : low + step]
+            sums = np.append(0, np.cumsum(diff[rng.integers(0, len(diff), int(part.sum()))]))
+            ends = np.cumsum(part)
+            out[low : low + step] = sums[ends] - sums[ends - part]
+        return pa.table({"draw": pa.array(np.arange(draws, dtype=np.int32)), "total": out})
+
+    ranges = own.withColumn("range", F.floor(F.col("place") / size).cast("bigint"))
+    means = ranges.groupBy("range").applyInArrow(totals, "draw int, total double").groupBy("draw").agg((F.sum("total") / n).alias("mean"))  # a row for each draw
+    interval = means.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
+    whole = own.agg(F.round(F.avg("diff"), 6).alias("difference"), F.sum((F.col("diff") > 0).cast("bigint")).alias("wins_a"), F.sum((F.col("diff") < 0).cast("bigint")).alias("wins_b"))
+    return whole.crossJoin(interval)  # two rows

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sampling
+from ..operators import sampling, search
 from ..registry import query, table
 from ..sources import formats, sinks, text
 from ..sources.shared import folder
 from ..streaming import incremental
 from .geometry import _POINTS, residues
-from .retrieval import _HITS, hits
+from .retrieval import _HITS, _OTHER, _sensitivity_sql, domains, hits, other_hits
 
 _NAMES = "ALA A GLY G TRP W SER S".split()
 
@@ -110,6 +110,15 @@ def wide_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("o_custkey", F.coalesce("O", F.lit(0)).alias("method_o"), F.coalesce("F", F.lit(0)).alias("method_f"))
 
 
+@query("K12_wide_file", f"SELECT coalesce(a.query, b.query) AS query, coalesce(a.superfamily, 0) AS cosine, coalesce(b.superfamily, 0) AS other FROM ({_sensitivity_sql(_HITS)}) a FULL JOIN ({_sensitivity_sql(_OTHER)}) b ON a.query = b.query")
+def wide_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two methods' sensitivities side by side, written as a tab-separated table and read."""
+    where = folder(spark)
+    tables = {name: search.sensitivity(h(spark, sf_dir), domains(spark, sf_dir)) for name, h in (("cosine", hits), ("other", other_hits))}
+    sinks.write_wide(tables, where, "query", "superfamily")
+    return spark.read.schema("query bigint, cosine double, other double").csv(where, sep="\t", header=True)
+
+
 def _written(spark: SparkSession, lines: DataFrame, key: str, order: str) -> str:
     """A folder of text files, one for each value of key."""
     where = folder(spark)

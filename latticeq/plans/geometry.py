@@ -119,11 +119,11 @@ def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.standardised(cells(spark, sf_dir)).select("query", "target", "i", "j", F.round("z", 5).alias("z"))
 
 
-@query("N15_mixed_matrix", f"SELECT query, target, i, j, round((s + s * s) / 2, 6) AS mixed FROM ({_CELLS})")
+@query("N15_mixed_matrix", f"SELECT query, target, i, j, round((s + s * s) / 2, 6) + 0.0 AS mixed FROM ({_CELLS})")
 def mixed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cells(spark, sf_dir)
     other = own.select("query", "target", "i", "j", (F.col("s") * F.col("s")).alias("t"))
-    return own.join(other, ["query", "target", "i", "j"]).select("query", "target", "i", "j", F.round((F.col("s") + F.col("t")) / 2, 6).alias("mixed"))
+    return own.join(other, ["query", "target", "i", "j"]).select("query", "target", "i", "j", (F.round((F.col("s") + F.col("t")) / 2, 6) + 0.0).alias("mixed"))
 
 
 _SOFT = "SELECT query, target, {0}, max(s) AS best, sum(exp((s - m) / 0.1) * s) / sum(exp((s - m) / 0.1)) AS soft FROM (SELECT *, max(s) OVER (PARTITION BY query, target, {0}) AS m FROM (" + _CELLS + ")) GROUP BY 1, 2, 3"

@@ -248,3 +248,10 @@ def identity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries near the training set go; an unknown identity is no identity under the cut."""
     ident = F.when(F.col("query") % 3 != 0, F.col("query") % 10 / 10)
     return hits(spark, sf_dir).where(ident < 0.3).select("query", "target")
+
+
+@query("E6_split_bootstrap")
+def split_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten thousand draws, by names of queries."""
+    a, b = (search.sensitivity(h(spark, sf_dir), domains(spark, sf_dir)).select(F.concat(F.lit("q"), F.col("query").cast("string")).alias("query"), F.col("superfamily").alias(name)) for name, h in (("a", hits), ("b", other_hits)))
+    return search.split_bootstrap(a.join(b, "query"), 10_000)

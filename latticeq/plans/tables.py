@@ -312,6 +312,10 @@ TABLES: dict[str, tuple[str, Callable[[Callable[[str], DataFrame]], DataFrame]]]
         "SELECT doc_id, n_chars FROM documents EXCEPT SELECT doc_id, length(text) FROM documents",
         lambda t: audits.unequal(t("documents").select("doc_id", "n_chars"), t("documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n"))),
     ),
+    "R31_unequal_lengths": (
+        "SELECT doc_id, n_chars FROM documents EXCEPT SELECT doc_id, strlen(text) FROM documents",
+        lambda t: audits.unequal(t("documents").select("doc_id", "n_chars"), t("documents").select(F.col("doc_id").alias("id"), F.octet_length("text").cast("bigint").alias("n"))),
+    ),
     "R32_tuning_pool": (
         "SELECT c_custkey FROM customer c WHERE c_custkey % 10 <> 3 AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O') AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
         lambda t: ids.present_in_all("c_custkey", t("customer").where("c_custkey % 10 <> 3"), *(t("orders").where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("c_custkey")) for status in "OF")),

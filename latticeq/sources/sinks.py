@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sampling
+from ..operators import joins, sampling
 
 
 def _store(spark: SparkSession, path: str) -> tuple:
@@ -49,6 +49,12 @@ def write_hits(hits: DataFrame, path: str) -> None:
     own.select("query", "target", F.format_string("%.5f", "score").alias("score")).write.mode("overwrite").csv(path, sep="\t", compression="gzip")
 
 
+def write_wide(tables: dict[str, DataFrame], path: str, key: str, value: str, fill: float = 0.0) -> None:
+    """A tab-separated table of all keys, sorted, with a column for each method's value."""
+    own = joins.by_method(tables, key, value, fill)
+    own.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

@@ -93,6 +93,26 @@ def test_groups_are_carried_until_whole(spark, tmp_path):
     assert sorted(rows, key=str) == sorted([(2, 1, "c", 1), (1, 3, "a", 2), (1, 3, None, 2), (1, 3, "e", 2), (3, 2, "d", 2), (3, 2, "f", 2)], key=str)
 
 
+def test_groups_in_keyed_state_are_whole_or_late(spark, tmp_path):
+    import datetime
+
+    source, target, state = (f"{tmp_path}/{x}" for x in ("in", "out", "state"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before, at = spark.conf.get(provider, None), lambda hour: datetime.datetime(2024, 1, 1, hour)
+    parts = (
+        [(1, 3, "a", at(0)), (1, 3, None, at(1)), (2, 1, "c", at(1)), (5, 2, "late", at(0))],
+        [(3, 2, "d", at(3)), (9, 1, "z", at(9))],  # nine hours on: groups 1 and 5 have waited too long
+        [(3, 2, "f", at(10)), (1, 3, "e", at(10)), (4, 5, "g", at(10))],
+    )
+    for part in parts:
+        spark.createDataFrame(part, "k long, size int, v string, t timestamp").coalesce(1).write.mode("append").parquet(source)
+        with incremental.keyed_state(spark):
+            incremental.write_batches(incremental.whole_groups(incremental.file_stream(spark, source), "k", "size", "t", "6h", "1 hour"), target, state)
+    found = sorted(((r.k, r.v, r.parts, r.whole) for r in incremental.appended(spark, target).collect()), key=str)
+    assert found == sorted([(2, "c", 1, True), (9, "z", 1, True), (1, "a", 1, False), (1, None, 1, False), (5, "late", 1, False), (3, "d", 2, True), (3, "f", 2, True)], key=str)
+    assert spark.conf.get(provider, None) == before
+
+
 def test_a_run_stops_where_a_batch_ends(spark, tmp_path):
     source, state = f"{tmp_path}/in", f"{tmp_path}/state"
     spark.range(60).repartition(6).write.parquet(source)

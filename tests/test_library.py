@@ -209,3 +209,17 @@ def test_matrix_scores_of_pairs_in_blocks(spark):
             soft = lambda m: (np.exp((m - m.max(1, keepdims=True)) / 0.1) * m).sum(1) / np.exp((m - m.max(1, keepdims=True)) / 0.1).sum(1)
             assert np.allclose(own, (s.max(1).mean(), soft(s).mean(), s.max(0).mean(), soft(s.T).mean(), s.mean()), atol=1e-6)
     assert search.matrix_scores(table.limit(0)).count() == 0
+
+
+def test_split_bootstrap_draws_as_a_plain_one(spark):
+    from latticeq.operators import search
+
+    rng = np.random.default_rng(3)
+    diff = rng.standard_normal(700) + 0.3
+    rows = spark.createDataFrame([(f"q{k}", float(x), 0.0) for k, x in enumerate(diff)], "query string, a double, b double")
+    counts = np.stack([search.picked(700, at, 100, 2000, 1) for at in range(7)])
+    assert (counts.sum(0) == 700).all() and np.allclose(counts.mean(1), 100, atol=2) and np.allclose(counts.var(1), 700 * (1 / 7) * (6 / 7), rtol=0.15)
+    one, other = (search.split_bootstrap(x, 2000, size=100).first() for x in (rows, rows.repartition(9)))  # seven ranges
+    assert one == other and one.wins_a == int((diff > 0).sum()) and abs(one.difference - diff.mean()) < 1e-6
+    plain = np.array([diff[rng.integers(0, 700, 700)].mean() for _ in range(4000)])
+    assert abs(one.low - np.quantile(plain, 0.025)) < 0.01 and abs(one.high - np.quantile(plain, 0.975)) < 0.01
