@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
+from pyspark.sql.types import ArrayType, MapType, NumericType, StructType, TimestampType, VariantType
 
 from ..sources.shared import stored
 
@@ -52,6 +52,9 @@ def ranged(df: DataFrame, order: str | list[str], out: str = "_part", ties: bool
     if width < 2:
         return df.withColumn(out, F.lit(0))
     tie = tie_breaker(df, names) if ties else None
+    kind = df.schema[names[0]].dataType
+    if len(names) == 1 and tie is None and isinstance(kind, NumericType | TimestampType):
+        return _by_quantiles(df, names[0], F.unix_micros(names[0]) if isinstance(kind, TimestampType) else F.col(f"`{names[0]}`").cast("double"), width, out)
     key = F.struct(*(F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(names)), *([] if tie is None else [tie.alias("tie")]))
     limits = bounds(df, key, width).withColumnsRenamed({"all": "_all_bounds", "some": "_some_bounds"})
     placed = df.withColumn("_range_key", key).join(F.broadcast(limits), how="left")  # one row, or none for an empty table
@@ -62,19 +65,26 @@ def ranged(df: DataFrame, order: str | list[str], out: str = "_part", ties: bool
     return placed.withColumn(out, place.cast("int")).drop("_range_key", "_all_bounds", "_some_bounds", "_rough")
 
 
+def _by_quantiles(df: DataFrame, order: str, number: Column, width: int, out: str) -> DataFrame:
+    """As ranged, for one number: bounds are its quantiles, an aggregation in the same plan."""
+    limits = df.agg(F.percentile_approx(number, F.array(*(F.lit(k / width) for k in range(1, width))), 10_000).alias("_bounds"))
+    place = F.coalesce(F.size(F.filter("_bounds", lambda x: x < number)), F.lit(0))
+    return df.crossJoin(F.broadcast(limits)).withColumn(out, F.when(number.isNull(), 0).otherwise(place)).drop("_bounds")  # one row of bounds
+
+
 def _before(parts: DataFrame, keys: list[str], total: str, how=F.sum) -> DataFrame:
     """parts (keys, _part, total) with what the ranges before hold: a row for each range and key."""
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("_before", how(total).over(earlier)).drop(total)
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "number", keys: tuple[str, ...] = ()) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], out: str = "number", keys: tuple[str, ...] = (), ties: bool = True) -> DataFrame:
     """df with each row's place from 0 in the order of its columns, within keys if there are any. Rows that the order does not tell apart share no place, in any order.
 
-    A key of many rows is dealt to ranges like all others, and so are rows with one value of the order.
+    A key of many rows is dealt to ranges like all others, and so are rows with one value of the order. ties: whether there may be such rows.
     """
     own = [*keys]
-    parts = ranged(df, order)
+    parts = ranged(df, order, ties=ties)
     sizes = parts.groupBy(*own, "_part").agg(F.count(F.lit(1)).alias("_n"))
     place = F.row_number().over(Window.partitionBy(*own, "_part").orderBy(*order)) - 1
     before = _before(sizes, own, "_n").withColumnsRenamed({c: f"_k{i}" for i, c in enumerate([*own, "_part"])})

@@ -366,7 +366,7 @@ def paired_bootstrap(scores: DataFrame, draws: int, a: str = "a", b: str = "b")
     """
     own = stored(scores.select("query", (F.col(a) - F.col(b)).alias("diff")))
     n = max(own.count(), 1)
-    places = sampling.numbered(own, ["query"])
+    places = sampling.numbered(own, ["query"], ties=False)
     picks = scores.sparkSession.range(draws * n).select((F.col("id") / n).cast("bigint").alias("draw"), (F.col("id") % n).alias("i"))
     key = F.concat_ws("|", F.col("draw").cast("string"), F.col("i").cast("string"))
     picks = picks.select("draw", (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") % n).alias("number"))
@@ -403,7 +403,7 @@ def split_bootstrap(scores: DataFrame, draws: int, a: str = "a", b: str = "b", s
     the range's number alone, the picks are drawn in place, and their sums leave the range, a number for each draw. So draws * n / size
     rows are shuffled instead of draws * n, and the draws are the same on any cluster.
     """
-    own = stored(sampling.numbered(scores.select("query", (F.col(a) - F.col(b)).alias("diff")), ["query"], "place"))
+    own = stored(sampling.numbered(scores.select("query", (F.col(a) - F.col(b)).alias("diff")), ["query"], "place", ties=False))
     n = own.count()
 
     def totals(table: pa.Table) -> pa.Table:
