@@ -313,8 +313,8 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text), learnt from those where training holds.
 
     A null text is empty: its only token is the end. Without training texts, every token is unknown, and both scores are 0 for the
-    base and the transitions' alone for the model. Repeated rows are counted and scored each; null ids stay null; an empty table gives
-    an empty table; other columns are left out.
+    base and the transitions' alone for the model. Texts of any length are scored whole. Repeated rows are counted and scored each; words of equal counts are taken
+    in the order of their hashes; null ids stay null; an empty table gives an empty table; other columns are left out.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model, counts = fit(docs.where(training))
