@@ -1,9 +1,9 @@
 """Brown class-based bigrams: exchange clustering assigns words to classes; class transitions and word emissions give smoothed scores.
 
 Counts cover every training text and stay distributed, by 64-bit hashes of words. Tables of a fixed size reach the driver, the counts of at
-most KNOWN frequent words and the bigram counts of UNITS units, and one that grows with the vocabulary: the class of every word seen
-LEAST_SEEN times. A unit is one of the most frequent words, or all other words of one group of endings; exchange moves units between
-classes. Then every other word seen LEAST_SEEN times goes to the class that its own neighbours make likeliest, the classes being fixed;
+most KNOWN frequent words, the bigram counts of UNITS units, and the classes of the words seen LEAST_SEEN times, of the CLASSED most frequent ones at
+most. A unit is one of the most frequent words, or all other words of one group of endings; exchange moves units between
+classes. Then every other one of these words goes to the class that its own neighbours make likeliest, the classes being fixed;
 the counts of (word, neighbouring class) stay distributed. Rarer and unknown words have the class of their ending. Transitions
 between classes are smoothed by Witten-Bell with the class frequencies. Within a class, words are discounted absolutely, and what is taken
 off is the probability of an unknown word. A text's score splits into a part that the tables give on the spot and the emissions of its
@@ -29,6 +29,8 @@ CLASSES = 64
 LEAST_SEEN = 20
 #: Frequent words whose counts are broadcast at most; those of all other words are joined.
 KNOWN = 500_000
+#: Words whose classes are gathered and broadcast at most, the most frequent ones, some 12 bytes each; all other words have the class of their ending.
+CLASSED = 2_000_000
 PASSES = 12
 #: The hash of the end token, which no word is given.
 END_HASH = -1
@@ -246,16 +248,23 @@ class Model:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+def _least_scale(sizes: dict, room: int) -> int | None:
+    """The least scale of counts such that no more than `room` words have it or a greater one; None if the greatest scale has more."""
+    least = None
+    for s in sorted(sizes, reverse=True):
+        room -= sizes[s]["k"]
+        if room < 0:
+            break
+        least = s
+    return least
+
+
 def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     """A model of the texts of training (text), and the table of all counts (hash, n)."""
     counts = stored(word_counts(training))
     scale = F.floor(F.log2("n") * 16).cast("int")
     sizes = {row["s"]: row for row in counts.groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()}  # some hundred rows
-    room, least = KNOWN, None
-    for s in sorted(sizes, reverse=True):
-        if sizes[s]["k"] > room:
-            break
-        room, least = room - sizes[s]["k"], s
+    least = _least_scale(sizes, KNOWN)
     top = counts.where(scale >= least).select("hash", "n").toArrow() if least is not None else None  # KNOWN rows at most
     known = top.column("hash").to_numpy() if top is not None else np.zeros(0, np.int64)
     often = top.column("n").to_numpy() if top is not None else np.zeros(0, np.int64)
@@ -268,7 +277,8 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     classes = exchange(bigrams)
     member = np.eye(CLASSES)[classes]
     grid = member.T @ bigrams @ member
-    often_seen = counts.where((F.col("n") >= LEAST_SEEN) & (F.col("hash") != END_HASH)).select("hash", "ending").toArrow()  # grows with the vocabulary
+    classed = _least_scale(sizes, CLASSED)
+    often_seen = counts.where((F.col("n") >= LEAST_SEEN) & (F.col("hash") != END_HASH) & (scale >= F.lit(classed))).select("hash", "ending").toArrow()  # CLASSED rows at most
     later, endings = often_seen.column("hash").to_numpy(), often_seen.column("ending").to_numpy()
     rest = np.flatnonzero(~np.isin(later, frequent))
     rest = rest[np.argsort(later[rest])]
