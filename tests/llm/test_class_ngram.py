@@ -166,3 +166,16 @@ def test_words_beyond_the_most_frequent_are_clustered_by_their_neighbours(spark,
     units = class_ngram.Units(model.frequent, model.numbers)
     a, b = (set(model.classes[next(units.tokens([" ".join(words)]))[1][:-1]].tolist()) for words in (one, other))
     assert len(model.frequent) == 64 and not a & b
+
+
+def test_gathered_tables_have_a_bound(monkeypatch):
+    sizes = {s: {"k": k} for s, k in ((10, 5), (12, 3), (20, 2))}
+    assert [class_ngram._least_scale(sizes, room) for room in (1, 2, 4, 5, 9, 10, 99)] == [None, 20, 20, 12, 12, 10, 10] and class_ngram._least_scale({}, 5) is None
+
+
+def test_words_beyond_the_bound_have_the_class_of_their_ending(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 40}" for j in range(60))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(class_ngram, "CLASSED", 0)
+    model, _ = class_ngram.fit(docs)
+    assert len(model.frequent) == 40 and model.total == 60 * 61  # the words of the exchange alone; all tokens count
