@@ -225,7 +225,7 @@ def patch_encoder(features: np.ndarray, coords: np.ndarray, mask: np.ndarray, w:
     centres = np.linspace(0, 20, 16)
     for k in range(layers):
         apart = x[:, :, None] - x[:, None]
-        far = np.sqrt((apart**2).sum(-1) + 1e-12)
+        far = np.sqrt((apart**2).sum(-1) + 1e-8)
         bumps = np.exp(-(((far[..., None] - centres) / (centres[1] - centres[0])) ** 2))
         both = np.concatenate([np.broadcast_to(h[:, :, None], (*far.shape, h.shape[-1])), np.broadcast_to(h[:, None], (*far.shape, h.shape[-1])), bumps], -1)
         message = silu(linear(silu(linear(silu(linear(both, w, f"{k}.edge0")), w, f"{k}.edge1")), w, f"{k}.edge2")) * edges

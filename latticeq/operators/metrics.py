@@ -34,7 +34,7 @@ def quantiles(df: DataFrame, value: str, parts: list[float], names: list[str], k
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     placed = sampling.running(counts, "_v", "_n", "_before", keys=keys).withColumn("_before", F.coalesce("_before", F.lit(0)))
     size = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    joined = placed.join(F.broadcast(size), list(keys)) if keys else placed.crossJoin(F.broadcast(size))  # a row for each key
+    joined = placed.join(size, list(keys)) if keys else placed.crossJoin(F.broadcast(size))  # without keys, one row
     found, out = [], []
     for k, q in enumerate(parts):
         at = F.lit(float(q)) * (F.col("_size") - 1)
@@ -100,7 +100,7 @@ def box_statistics(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFram
     """Quartiles by keys, and the ends of the whiskers: the farthest values within one and a half times the box."""
     boxes = quantiles(df, value, [0.25, 0.5, 0.75], ["q1", "q2", "q3"], keys)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    ends = df.join(F.broadcast(boxes), list(keys)).groupBy(*keys, "q1", "q2", "q3")  # boxes: a row for each key
+    ends = df.join(boxes, list(keys)).groupBy(*keys, "q1", "q2", "q3")
     own = ends.agg(F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value))).alias("low"), F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value))).alias("high"))
     return own.select(*keys, *(r6(F.col(c)).alias(c) for c in ("q1", "q2", "q3", "low", "high")))
 
@@ -111,7 +111,7 @@ def timing_summary(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFram
     placed = sampling.running(counts, value, "_n", "_before", keys=keys).withColumn("_before", F.coalesce("_before", F.lit(0)))
     whole = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(value)).alias("mean"), F.round(F.sum(value), 4).alias("total"))
     rank = F.floor((F.col("n") - 1) * 0.9)
-    p90 = placed.join(F.broadcast(whole), list(keys)).where((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))).select(*keys, r6(F.col(value)).alias("p90"))
+    p90 = placed.join(whole, list(keys)).where((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))).select(*keys, r6(F.col(value)).alias("p90"))
     middle = quantiles(df, value, [0.5], ["median"], keys)
     return whole.join(p90, list(keys)).join(middle, list(keys)).select(*keys, "n", r6(F.col("median")).alias("median"), "mean", "p90", "total")
 

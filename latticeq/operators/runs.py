@@ -76,6 +76,15 @@ def methods(columns: Iterable[str], level: str = "superfamily") -> list[str]:
     return [name.removesuffix(f"_{level}") for name in columns if name.endswith(f"_{level}")]
 
 
+def method_means(wide: DataFrame, level: str = "superfamily") -> DataFrame:
+    """method and mean of every method that a wide table has a column for, by the columns' names; nulls are left out."""
+    found = methods(wide.columns, level)
+    if not found:
+        return wide.sparkSession.createDataFrame([], "method string, mean double")
+    columns = wide.select(*(F.col(f"`{name}_{level}`").cast("double").alias(name) for name in found))
+    return columns.unpivot([], found, "method", "value").groupBy("method").agg(F.avg("value").alias("mean"))
+
+
 def one_each(df: DataFrame, key: str) -> DataFrame:
     """df, if its key is unique; else an error that names a key."""
     for row in df.groupBy(key).count().where("count > 1").limit(1).collect():
@@ -86,7 +95,7 @@ def one_each(df: DataFrame, key: str) -> DataFrame:
 def run_sharded(spark: SparkSession, rows: int, shards: int, compute: Callable[[int, int], DataFrame], target: str) -> DataFrame:
     """The table at target, made from windows of rows, each written on its own.
 
-    An existing target is an error, as a run must not go on where another one broke off. A window that fails stops the run, and nothing is merged;
+    An existing target is an error, as a run must not go on where another one broke off. Windows that fail are named when all have been tried, and nothing is merged;
     the merged table must have as many rows as its shards.
     """
     if exists(spark, target) or exists(spark, f"{target}.shards"):

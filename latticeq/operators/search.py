@@ -274,6 +274,23 @@ def _best_list(hits: DataFrame, domains: DataFrame, by: tuple[str, ...]) -> dict
     return None if found is None else found.asDict()
 
 
+def graded_settings(ranked: DataFrame, residues: DataFrame, views: list[str], domains: DataFrame, settings: list[tuple[float, float, float]], tuning: Column, top: int) -> DataFrame:
+    """shift, open, extend, family, superfamily and place of every setting of the local alignment: mean sensitivities of a list re-ranked under it.
+
+    The first place has the greatest mean, superfamily first, then family, then the order of the settings. Only queries where `tuning` holds are aligned; a
+    pair's matrix is made once for all settings.
+    """
+    from ..functions import udfs
+
+    keys = ("shift", "open", "extend")
+    pairs = stored(_head(ranked, residues, views, top).where(tuning))
+    scores = udfs.alignment_grid(pairs, settings, [(f"query_{v}", f"target_{v}") for v in views])
+    judged = sensitivity(_reordered(ranked, scores, top, keys), domains, keys)
+    means = judged.groupBy(*keys).agg(*(F.round(F.avg(level), 6).alias(level) for level in ("family", "superfamily")))
+    order = Window.orderBy(F.col("superfamily").desc_nulls_last(), F.col("family").desc_nulls_last(), *keys)  # a row for each setting
+    return means.withColumn("place", F.row_number().over(order))
+
+
 def rerank_variants(ranked: dict[str, DataFrame], residues: DataFrame, variants: dict[str, tuple[str, list[str]]], domains: DataFrame, settings: list[tuple[float, float, float]], weights: list[float], tuning: Column, top: int) -> DataFrame:
     """variant, query, target, score and rank: the lists of all queries, re-ranked by local alignment under each variant.
 

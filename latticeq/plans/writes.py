@@ -22,12 +22,14 @@ def append_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(own.schema).csv(where, header=True).select(*own.columns)
 
 
-@query("K3_manifest", "SELECT * FROM (VALUES ('label', 0, true), ('label', 50, true), ('audit', 0, true)) t(stage, start_row, finished)")
+@query("K3_manifest", "SELECT event_type AS stage, min(event_id) AS start_row, count(*) AS rows, true AS finished FROM events GROUP BY 1")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each kind of events, with its first row and how many there are."""
     where = folder(spark)
-    for stage, row in (("label", 0), ("label", 50), ("audit", 0)):
-        sinks.append_manifest(spark, where, stage=stage, start_row=row)
-    facts = F.from_json("facts", "stage string, start_row int").alias("x")
+    kinds = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("event_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    for row in kinds.collect():  # a row for each kind
+        sinks.append_manifest(spark, where, stage=row["event_type"], start_row=row["first"], rows=row["n"])
+    facts = F.from_json("facts", "stage string, start_row bigint, rows bigint").alias("x")
     return spark.read.json(where).select(facts, F.col("finished_at").isNotNull().alias("finished")).select("x.*", "finished")
 
 
@@ -116,11 +118,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.predictions(spark, where).select("name", "event_id", "value")
 
 
-@query("K14_timings", "SELECT * FROM (VALUES ('align', 2.5), ('embed', 4.0), ('search', 1.0)) t(name, seconds)")
+@query("K14_timings", "SELECT event_type AS name, CASE WHEN event_type < 'd' THEN min(value) ELSE max(value) END AS seconds FROM events GROUP BY 1")
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest value of each kind of events, and then the least one of some, which takes its place."""
     where = folder(spark)
-    sinks.merge_timings(spark, where, align=9.0, embed=4.0)
-    sinks.merge_timings(spark, where, align=2.5, search=1.0)
+    kinds = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most")).collect()  # a row for each kind
+    sinks.merge_timings(spark, where, **{row["event_type"]: row["most"] for row in kinds})
+    sinks.merge_timings(spark, where, **{row["event_type"]: row["least"] for row in kinds if row["event_type"] < "d"})
     return sinks.timings(spark, where)
 
 
@@ -203,6 +207,16 @@ def reranked_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rerank_variants(ranked, own, variants, domains, settings, [0.25, 0.5, 0.75], F.col("query") % 2 == 0, 5)
 
 
+@query("N16_graded_settings")
+def graded_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every setting of the alignment by the sensitivity of the list re-ranked under it, the best one first."""
+    own = structures(spark, sf_dir)
+    pooled = own.select("id", F.array(*(F.aggregate(F.transform("plain", lambda v: F.get(v, k)), F.lit(0.0), lambda a, x: a + x) for k in range(64))).alias("vec"))  # noqa: B023
+    domains = own.select("id", (F.col("id") % 4).cast("string").alias("family"), (F.col("id") % 2).cast("string").alias("superfamily"), F.lit("all").alias("fold"))
+    settings = [(shift, open_, extend) for shift in (0.25, 1.0) for open_ in (1.0, 2.0) for extend in (0.25, 1.0) if extend <= open_]
+    return search.graded_settings(search.blocked_top_k(pooled, 9), own, ["plain"], domains, settings, F.lit(True), 5)
+
+
 @query("S21_archive_members", "SELECT concat('d', CAST(item_id AS VARCHAR), '.ent') AS name, text FROM benchmark WHERE item_id % 5 <> 0")
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written to archives and read from them again, renamed; some names are not wanted."""
@@ -261,3 +275,10 @@ def method_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The methods of a wide table, by the names of its columns."""
     wide = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*(F.count(F.when(F.col("o_orderstatus") == c.upper(), 1)).alias(f"method_{c}_superfamily") for c in "of"))
     return spark.createDataFrame([(name,) for name in runs.methods(wide.columns)], "method string")
+
+
+@query("E7_method_means", "SELECT method, round(avg(n), 6) AS mean FROM (SELECT o_custkey, unnest(['method_f', 'method_o']) AS method, unnest([sum((o_orderstatus = 'F')::INT), sum((o_orderstatus = 'O')::INT)]) AS n FROM orders GROUP BY 1) GROUP BY 1")
+def method_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of each method that a wide table has a column for."""
+    wide = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*(F.count(F.when(F.col("o_orderstatus") == c.upper(), 1)).alias(f"method_{c}_superfamily") for c in "of"))
+    return runs.method_means(wide).select("method", F.round("mean", 6).alias("mean"))

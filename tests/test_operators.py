@@ -332,3 +332,16 @@ def test_sinks_and_runs(spark, tmp_path):
     assert "never" not in order
     assert runs.bound("EOF") is None and runs.bound("12") == 12 and runs.row_windows(10, 3) == [(0, 4), (4, 8), (8, 10)]
     assert runs.methods(["x_family", "x_superfamily", "y_superfamily"]) == ["x", "y"]
+
+
+def test_settings_are_graded_by_sensitivity(spark):
+    rng = __import__("random").Random(2)
+    centre = [[[rng.gauss(0, 1) for _ in range(6)] for _ in range(9)] for _ in range(3)]
+    residues = spark.createDataFrame([(f"s{k:02d}", [[x + rng.gauss(0, 0.2) for x in v] for v in centre[k % 3]]) for k in range(12)], "id string, good array<array<double>>")
+    names = [f"s{k:02d}" for k in range(12)]
+    hits = spark.createDataFrame([(q, t, 1.0 / (1 + r), r + 1) for q in names for r, t in enumerate(x for x in names if x != q)], "query string, target string, score double, rank int")
+    domains = spark.createDataFrame([(n, str(k % 3), f"{k % 3}", "x") if k < 9 else (n, f"{k % 3}b", str(k % 3), "x") for k, n in enumerate(names)], "id string, family string, superfamily string, fold string")
+    graded = search.graded_settings(hits, residues, ["good"], domains, [(5.0, 1.0, 1.0), (0.5, 2.0, 0.5)], F.col("query") < "s06", 11).orderBy("place").collect()
+    assert [r.place for r in graded] == [1, 2] and (graded[0].shift, graded[0].open) == (0.5, 2.0) and graded[0].superfamily >= graded[1].superfamily
+    scores = [(r.superfamily, r.family) for r in graded]
+    assert scores == sorted(scores, reverse=True)
