@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -146,9 +147,16 @@ def fit_whitening(embeddings: DataFrame, vector: str = "embedding", k: int = COM
         return None
     dim, n = sizes[0]["d"], sizes[0]["count"]
     fit = distinct.where(F.size("x") == dim)
-    totals = fit.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v").cast("decimal(20,0)")).alias("s")).collect()  # a row for each dimension
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dim, object)  # whole numbers of any size
+        for x in _slices(batches, dim):
+            total = total + (x.sum(0) if len(x) * float(np.abs(x).max(initial=0)) < 2**62 else x.astype(object).sum(0)).astype(object)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), pa.array([Decimal(int(v)) for v in total], pa.decimal128(38, 0))], ["i", "s"])
+
+    rows = fit.select("x").mapInArrow(totals, "i int, s decimal(38,0)").groupBy("i").agg(F.sum("s").alias("s")).collect()  # a row for each dimension
     exact = [0] * dim
-    for row in totals:
+    for row in rows:
         exact[row["i"]] = int(row["s"])
     sums = np.array(exact, np.int64) if max(map(abs, exact)) < 2**62 else np.array(exact, float)
 
