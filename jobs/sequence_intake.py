@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from jobs.common import counts, logger, main
 from latticeq.functions import exprs
 from latticeq.operators import ids, sampling
+from latticeq.sources.shared import stored
 from latticeq.streaming import incremental
 
 log = logger("sequence_intake")
@@ -34,7 +35,7 @@ SEQUENCES = "id string, cluster string, sequence string, letters bigint, digest
 
 def sequence_of(text: Column) -> Column:
     """The Latin letters of a text in upper case, rare ones replaced."""
-    return F.translate(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "")), RARE, PLAIN)
+    return F.translate(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]+", "")), RARE, PLAIN)
 
 
 def cleaned(rows: DataFrame, config: dict) -> DataFrame:
@@ -55,7 +56,7 @@ def taken_in(batch: DataFrame, before: DataFrame | None, config: dict) -> DataFr
 
     Rows that are refused for what they are do not meet others: their sequences are often the same, and many.
     """
-    rows = cleaned(batch, config)
+    rows = stored(cleaned(batch, config))  # read by several joins, cleaned once
     usable, refused = rows.where("reason is null"), rows.where("reason is not null")
     firsts = first_of_each(usable).withColumn("old", F.lit(False))
     if before is not None:
