@@ -74,3 +74,33 @@ def test_no_matrix_is_held():
         peak = tracemalloc.get_traced_memory()[1] / 1e6
         tracemalloc.stop()
         assert peak < limit, peak
+
+
+def test_cells_of_residues_without_a_vector(spark, monkeypatch):
+    """Cells, z-scores and means in strips are those of the joined long form; a residue without a vector has null cells and counts nowhere."""
+    from pyspark.sql import functions as F
+
+    from latticeq.functions import exprs, udfs
+    from latticeq.operators import geometry
+
+    vecs = {1: [[1.0, 2.0], None, [0.5, -1.0], [3.0, 1.0]], 2: [[0.0, 1.0], [2.0, 2.0], [1.0, None]], 3: [None]}
+    pairs = spark.createDataFrame([(q, t, vecs[q], vecs[t]) for q in vecs for t in vecs if q < t], "query bigint, target bigint, a array<array<double>>, b array<array<double>>")
+    long = spark.createDataFrame([(k, i, v) for k, own in vecs.items() for i, v in enumerate(own)], "id bigint, idx bigint, vec array<double>").withColumn("u", exprs.unit(F.col("vec")))
+    a, b = (long.select(F.col("id").alias(name), F.col("idx").alias(at), F.col("u").alias(f"u{at}")) for name, at in (("query", "i"), ("target", "j")))
+    plain = a.join(b, F.col("query") < F.col("target")).select("query", "target", "i", "j", F.round(exprs.dot(F.col("ui"), F.col("uj")), 6).alias("s"))
+
+    def rows(df):
+        return sorted(tuple(-9.0 if x is None else round(x, 6) for x in row) for row in df.collect())
+
+    assert rows(udfs.similarity_cells(pairs)) == rows(plain)
+    assert rows(udfs.similarity_cells(pairs, "z", standard=5)) == rows(geometry.standardised(plain).select("query", "target", "i", "j", F.round("z", 5)))
+    assert rows(udfs.similarity_means(pairs).select("query", "target", *udfs.MEANS)) == rows(geometry.similarity_statistics(plain).select("query", "target", *udfs.MEANS))
+
+
+def test_cells_are_not_joined(spark, tmp_path):
+    """No matrix goes through a shuffle: rows of N12, N13, N15 and R22 leave the task that makes them, and only N11's means do."""
+    import __spark_entry__
+
+    for name in ("N11_similarity_statistics", "N12_similarity_matrix", "N13_standardised", "N15_mixed_matrix", "R22_dense_clamp"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan[: plan.index("MapInArrow")] and "Window" not in plan[: plan.index("MapInArrow")], name
