@@ -104,3 +104,26 @@ def test_cells_are_not_joined(spark, tmp_path):
     for name in ("N11_similarity_statistics", "N12_similarity_matrix", "N13_standardised", "N15_mixed_matrix", "R22_dense_clamp"):
         plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan[: plan.index("MapInArrow")] and "Window" not in plan[: plan.index("MapInArrow")], name
+
+
+@pytest.mark.parametrize("columns", [16384, 64])
+def test_nearest_in_runs_of_targets(columns, monkeypatch):
+    """The k best in double precision, with ties by id, whatever runs targets pass in; rows near a tie in single precision are not lost."""
+    import pyarrow as pa
+
+    from latticeq.operators import search
+
+    monkeypatch.setattr(search, "COLUMNS", columns)
+    vec = RNG.normal(size=(3000, 8))
+    vec[1000:1300] = vec[7] + RNG.normal(0, 1e-4, (300, 8))  # scores that differ in their last places
+    vec[2000:2100] = vec[11]  # ties
+    vec[5] = np.nan
+    vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+    ids = RNG.permutation(3000)
+    queries, k = np.array([5, 7, 11, 1005, 2050, 40]), 20
+    found = pa.concat_tables(search._nearest_of(pa.chunked_array([ids]), ids, vec, queries, np.arange(3000), k))
+    scores, want = np.round(np.clip(vec[queries] @ vec.T, -1, 1), 6), []
+    for row, q in enumerate(queries):
+        best = sorted((j for j in range(3000) if j != q and scores[row, j] >= -1), key=lambda j: (-scores[row, j], ids[j]))[:k]
+        want += [(int(ids[q]), int(ids[j]), float(scores[row, j])) for j in best]
+    assert list(zip(*(found.column(c).to_pylist() for c in ("query", "target", "score")), strict=True)) == want
