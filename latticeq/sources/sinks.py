@@ -103,17 +103,20 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("facts", COMMITS).alias("x")).select("x.*")
 
 
-def write_shards(df: DataFrame, path: str, key: str, shards: int) -> None:
+def write_shards(df: DataFrame, path: str, key: str, shards: int, unique: bool = True) -> None:
     """A pack of `shards` shards: rows are dealt by turns in the order of their keys, which are of any type that has an order.
 
     Each write has a folder of its own, data/attempt=..., which nobody sees until one line in the manifest names it; a write that broke off leaves
     a folder that no reader looks at, and is repeated as if it had not been. A pack that is there already must have the same columns; its shards are
     kept, keys that it has are left out, and new ones go into shards behind the last one. Rows with a null key are left out, of rows with
-    one key the first in the order of the other columns stays.
+    one key the first in the order of the other columns stays, or without `unique` all, in that order.
     """
     spark = df.sparkSession
     first, types = 0, json.dumps(df.dtypes)
-    new = sampling.keep_first(df.where(F.col(key).isNotNull()), [key], sampling.orderable(df, but=[key]))
+    rest = sampling.orderable(df, but=[key])
+    new = df.where(F.col(key).isNotNull())
+    if unique:
+        new = sampling.keep_first(new, [key], rest)
     if exists(spark, f"{path}/manifest"):
         made = commits(spark, path).agg(F.max_by("types", "next"), F.max("next")).first()  # a line for each write
         if made[0] != types:
@@ -121,7 +124,7 @@ def write_shards(df: DataFrame, path: str, key: str, shards: int) -> None:
         first = made[1]
         new = new.join(_visible(spark, path).select(key), key, "left_anti").select(*df.columns)
     attempt = uuid.uuid4().hex
-    dealt = sampling.numbered(new, [key], "_number").withColumn("shard", F.lit(first) + (F.col("_number") % shards).cast("int")).withColumn("place", F.floor(F.col("_number") / shards).cast("bigint")).drop("_number")
+    dealt = sampling.numbered(new, [key] if unique else [key, *rest], "_number").withColumn("shard", F.lit(first) + (F.col("_number") % shards).cast("int")).withColumn("place", F.floor(F.col("_number") / shards).cast("bigint")).drop("_number")
     dealt.repartition("shard").sortWithinPartitions("shard", "place").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/data/attempt={attempt}")
     schema = df.withColumns({"place": F.lit(0).cast("bigint"), "shard": F.lit(0)}).schema
     rows, last = spark.read.schema(schema).parquet(f"{path}/data/attempt={attempt}").agg(F.count(F.lit(1)), F.max("shard")).first()
