@@ -12,9 +12,19 @@ def r6(x: Column) -> Column:
     return F.round(x, 6)
 
 
+def varies(x: Column) -> Column:
+    """Whether a column has two values. A spread that is joined from parts may miss 0 by its rounding where all values are equal, so it cannot tell."""
+    return F.min(x) < F.max(x)
+
+
+def variance(x: Column) -> Column:
+    """The population variance, exactly 0 of equal values."""
+    return F.when(F.min(x) == F.max(x), 0.0).otherwise(F.var_pop(x))
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation, or null if a side does not vary."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(varies(x) & varies(y), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def rank_table(df: DataFrame, value: str, out: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -53,7 +63,7 @@ def regression(df: DataFrame, pred: str, target: str, keys: tuple[str, ...] = ()
         for table, c in ranks:
             df = df.join(table, [*keys, c])
     p, t = F.col(pred), F.col(target)
-    mse, baseline = F.avg((p - t) * (p - t)), F.var_pop(t)
+    mse, baseline = F.avg((p - t) * (p - t)), variance(t)
     found = [F.count(F.lit(1)).alias("n"), r6(mse).alias("mse"), r6(F.sqrt(mse)).alias("rmse"), r6(F.avg(F.abs(p - t))).alias("mae"), r6(F.avg(p - t)).alias("bias"), r6(baseline).alias("baseline_mse")]
     found += [r6(1 - F.try_divide(mse, baseline)).alias("r2"), r6(pearson(p, t)).alias("pearson")]
     if spearman:
@@ -167,7 +177,7 @@ def confusion(df: DataFrame, pred: str, target: str, cut: float = 0.5) -> DataFr
 def noise_stats(df: DataFrame, reference: str, one: str, other: str) -> DataFrame:
     """Bias and variance of a perturbed label against its reference, half the variance between two draws, and the ceiling they set on r2."""
     shift, between = F.col(one) - F.col(reference), F.var_pop(F.col(one) - F.col(other)) / 2
-    return df.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(shift)).alias("bias"), r6(F.var_pop(shift)).alias("variance"), r6(between).alias("sigma2"), r6(1 - F.try_divide(between, F.var_pop(reference))).alias("ceiling"))
+    return df.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(shift)).alias("bias"), r6(F.var_pop(shift)).alias("variance"), r6(between).alias("sigma2"), r6(1 - F.try_divide(between, variance(F.col(reference)))).alias("ceiling"))
 
 
 def loss_total(terms: dict[str, Column], weights: dict[str, float], log_scales: dict[str, float] | None = None) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs, kernels
 from ..functions.udfs import matrix, spread
-from .metrics import pearson
+from .metrics import pearson, variance
 
 #: Root mean square displacements, sizes of patches beside the usual one, and draws of what is random.
 LEVELS, PATCH, OTHER_PATCHES, DRAWS = (0.1, 0.25, 0.5), 32, (31, 33), 2
@@ -103,6 +103,6 @@ def noise_table(table: DataFrame, least: int = 3) -> DataFrame:
     a, b, y = F.col("a"), F.col("b"), F.col("y")
     two = F.count("b") > 0
     sigma2: Column = F.when(two, F.var_pop(a - b) / 2).otherwise(F.var_pop(y - a))
-    figures = {"pearson": pearson(y, a), "draws_pearson": F.when(two, pearson(a, b)), "bias": F.avg(a - y), "sigma2": sigma2, "var": F.var_pop(y), "ceiling": 1 - F.try_divide(sigma2, F.var_pop(y))}
+    figures = {"pearson": pearson(y, a), "draws_pearson": F.when(two, pearson(a, b)), "bias": F.avg(a - y), "sigma2": sigma2, "var": F.var_pop(y), "ceiling": 1 - F.try_divide(sigma2, variance(y))}
     found = rows.groupBy("family", "kind").agg(F.count(F.lit(1)).alias("n"), *(F.round(x, 9).alias(name) for name, x in figures.items()))
     return found.where(F.col("n") >= least)

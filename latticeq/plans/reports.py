@@ -114,7 +114,7 @@ _NOISE = "count(*)::BIGINT AS n, round(avg(pred - target), 6) AS bias, round(1 -
 @query("R23_noise_table", f"SELECT * FROM (SELECT 'all' AS kind, {_NOISE} FROM ({LABELS}) UNION ALL SELECT pair_type, {_NOISE} FROM ({LABELS}) GROUP BY 1) WHERE n >= 3")
 def noise_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = rows(spark, sf_dir).withColumn("kind", F.explode(F.array(F.lit("all"), "pair_type")))
-    ceiling = 1 - F.try_divide(F.var_pop(F.col("pred") - F.col("gw_raw")) / 2, F.var_pop("target"))
+    ceiling = 1 - F.try_divide(F.var_pop(F.col("pred") - F.col("gw_raw")) / 2, metrics.variance(F.col("target")))
     return own.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("pred") - F.col("target")), 6).alias("bias"), F.round(ceiling, 6).alias("ceiling")).where("n >= 3")
 
 
