@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from ..functions import exprs
+from ..functions import exprs, kernels
+from ..functions.udfs import spread
 from . import ids, sampling
 
 #: Codes of the kinds of residue pairs.
@@ -51,11 +56,49 @@ def reasons(facts: DataFrame, lengths: DataFrame, longest: int = LONGEST) -> Dat
     return facts.withColumn("reason", reason)
 
 
-def nearest(points: Column, residue: Column, k: int = PATCH) -> Column:
-    """The numbers of the k points nearest to a residue's, itself first, then by distance and number; fewer if there are fewer."""
-    centre = F.get(points, residue.cast("int"))
-    apart = F.transform(points, lambda p, j: F.struct((j != residue).alias("other"), exprs.distance(p, centre).alias("d"), j.alias("j")))
-    return F.transform(F.slice(F.sort_array(apart), 1, k), lambda x: x["j"])
+def with_patches(items: DataFrame, patch: int) -> DataFrame:
+    """items (points1, points2 and x, an array of rows with r1 and r2) with patch1 and patch2 in the place of points: for each of a side's residues the numbers
+    of the points nearest to it, itself first, then by distance and number, fewer if there are fewer.
+
+    Distances of a structure are made in strips, once for each residue that is asked for. Points without a distance come before the others, and those whose
+    distance is no number behind them, as Spark sorts them.
+    """
+    names = [c for c in items.columns if c not in ("points1", "points2")]
+    out = StructType([*(items.schema[c] for c in names), *(StructField(f"patch{side}", ArrayType(ArrayType(IntegerType()))) for side in "12")])
+
+    def nearest(points: pa.ListScalar, residues: np.ndarray) -> pa.Array:
+        rows = points.values
+        size, whole = len(rows), np.zeros(len(rows), bool)
+        lengths = rows.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        usual = int(lengths.max(initial=1))
+        xyz = np.zeros((size, max(usual, 1)))
+        flat, full = rows.flatten(), np.maximum(lengths, 0)
+        at = np.repeat(np.arange(size), full)
+        xyz[at, np.arange(len(flat)) - np.repeat(np.cumsum(full) - full, full)] = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        whole[:] = lengths == usual
+        whole[at[np.asarray(flat.is_null())]] = False
+        asked, back = np.unique(residues, return_inverse=True)
+        k, found = min(patch, size), []
+        for part in kernels.strips(len(asked), size):
+            own = asked[part]
+            apart = kernels.distances(xyz[own], xyz)
+            key = np.where(np.isnan(apart), np.inf, apart)
+            key[~(whole[own][:, None] & whole[None])] = -1
+            key[np.arange(len(own)), own] = -2  # itself first
+            found.append(np.argsort(key, axis=1, kind="stable")[:, :k])
+        near = np.concatenate(found)[back.ravel()].astype(np.int32) if found else np.zeros((0, k), np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * k), pa.array(near.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                x = one.column("x")[0].values
+                patches = [nearest(one.column(f"points{side}")[0], x.field(f"r{side}").to_numpy(zero_copy_only=False).astype(np.int64)) for side in "12"]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), p) for p in patches]
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in names), *lists], out.names)
+
+    return spread(items, "id1", "id2").mapInArrow(run, out)
 
 
 def build_items(labels: DataFrame, proteins: DataFrame, group: str = "row", strict: bool = False, patch: int = PATCH, longest: int = LONGEST) -> Items:
@@ -80,9 +123,9 @@ def build_items(labels: DataFrame, proteins: DataFrame, group: str = "row", stri
     own = good.join(lists, group)
     for side in "12":
         own = own.join(stored.select(F.col("id").alias(f"id{side}"), F.col("points").alias(f"points{side}")), f"id{side}")
-    patches = [F.transform("x", lambda x: nearest(F.col("points1"), x["r1"], patch)).alias("patch1"), F.transform("x", lambda x: nearest(F.col("points2"), x["r2"], patch)).alias("patch2")]
     fields = [F.col("x").getField(name).alias(name) for name in ("r1", "r2", "code", "structure", "composite", "tm")]
-    return Items(own.select(group, "id1", "id2", "n", *fields, *patches), rejects)
+    filled = with_patches(own.select(group, "id1", "id2", "n", "x", "points1", "points2"), patch)
+    return Items(filled.select(group, "id1", "id2", "n", *fields, "patch1", "patch2"), rejects)
 
 
 def collated(items: DataFrame, size: int, order: str = "row", fills: dict[str, Column] | None = None) -> DataFrame:
