@@ -119,10 +119,11 @@ def wide_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("query bigint, cosine double, other double").csv(where, sep="\t", header=True)
 
 
-def _written(spark: SparkSession, lines: DataFrame, key: str, order: str) -> str:
-    """A folder of text files, one for each value of key."""
+def _written(spark: SparkSession, lines: DataFrame, key: str, order: str, whole: bool = True) -> str:
+    """A folder of text files, one for each value of key. If they need not be whole, a large one is cut into several, none within a value of order."""
     where = folder(spark)
-    lines.repartition(key).sortWithinPartitions(key, order).select(key, F.col("line").alias("value")).write.partitionBy(key).text(where)
+    parts = lines.repartition(key) if whole else lines.repartitionByRange(key, order)
+    parts.sortWithinPartitions(key, order).select(key, F.col("line").alias("value")).write.partitionBy(key).text(where)
     formats.register(spark)
     return where
 
@@ -151,7 +152,7 @@ def fasta_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = F.replace(F.replace(F.replace("text", F.lit("\n"), F.lit("")), F.lit(">"), F.lit("")), F.lit(" "), F.lit(""))
     own = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 7).cast("string").alias("part"), clean.alias("s"))
     entry = F.concat(F.lit(">i"), F.col("item_id").cast("string"), F.lit(" note\n"), F.substring("s", 1, 40), F.lit("\n"), F.expr("substring(s, 41)"))
-    where = _written(spark, own.select("part", "item_id", entry.alias("line")), "part", "item_id")
+    where = _written(spark, own.select("part", "item_id", entry.alias("line")), "part", "item_id", whole=False)
     return spark.read.format("fasta").load(where).select("id", "sequence")
 
 
@@ -159,7 +160,7 @@ def fasta_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked lists in files, streamed until all are taken."""
     own = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).cast("string").alias("part"), "l_orderkey", F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("line"))
-    where, out = _written(spark, own, "part", "l_orderkey"), folder(spark)
+    where, out = _written(spark, own, "part", "l_orderkey", whole=False), folder(spark)
     stream = spark.readStream.format("hits").load(where).select("query", "target", "score")
     incremental.write_batches(stream, f"{out}/hits", f"{out}/state")
     return incremental.appended(spark, f"{out}/hits")
